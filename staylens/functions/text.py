@@ -19,9 +19,18 @@ def null_tokens(c: Column | str, tokens: Iterable[str] = NA_TOKENS, trim: bool =
     A CSV reader drops these on load; a plain Spark read keeps all but the
     empty field as text. Matching is exact unless `trim` is set.
     """
-    col = F.col(c) if isinstance(c, str) else c
-    probe = F.trim(col) if trim else col
-    return F.when(probe.isin(list(tokens)), F.lit(None).cast("string")).otherwise(col)
+    if isinstance(c, str):
+        # one SQL expression per column: a single call, and Catalyst turns the
+        # long IN list into a hash set lookup (InSet)
+        ref = "`" + c.replace("`", "``") + "`"
+        probe = f"trim({ref})" if trim else ref
+        return F.expr(f"CASE WHEN {probe} IN ({_sql_list(tokens)}) THEN CAST(NULL AS STRING) ELSE {ref} END")
+    probe = F.trim(c) if trim else c
+    return F.when(probe.isin(list(tokens)), F.lit(None).cast("string")).otherwise(c)
+
+
+def _sql_list(tokens: Iterable[str]) -> str:
+    return ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in tokens)
 
 
 def with_null_tokens(df: DataFrame, columns: Iterable[str] | None = None,
@@ -30,7 +39,7 @@ def with_null_tokens(df: DataFrame, columns: Iterable[str] | None = None,
     names = list(columns) if columns is not None else [
         f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
     tokens = list(tokens)
-    return df.withColumns({n: null_tokens(F.col(f"`{n}`"), tokens, trim) for n in names})
+    return df.withColumns({n: null_tokens(n, tokens, trim) for n in names})
 
 
 def title_case(c: Column | str) -> Column:

@@ -30,7 +30,8 @@ from staylens.plans.normalise import Tables, normalise, rename_project
 from staylens.plans.stages import materialised
 from staylens.schemas import (ADMIT_DATE, BILLING, CATEGORY_COLUMNS, DISCHARGE_DATE, HOSPITAL, NAME, ROW_POS,
                               TOP_DOCTORS)
-from staylens.sources.fixtures import raw_encounters
+from staylens.sources.files import load_raw
+from staylens.sources.fixtures import raw_encounters_text
 
 DIGITS = 6
 GROUP_FORECAST_KEY = "medical_condition"
@@ -45,7 +46,9 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 # ---------------------------------------------------------------- stages
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
-    return raw_encounters(spark, sf)
+    """The raw table as a file would hold it (derived once from the order
+    tables and written), loaded: tokens -> NULL, numbers typed."""
+    return load_raw(materialised(spark, f"{sf}|raw_text", lambda: raw_encounters_text(spark, sf)))
 
 
 def _stages(spark: SparkSession, sf: str) -> cleaning.CleaningStages:
