@@ -23,9 +23,13 @@ _TABLES: dict[tuple[str, str], str] = {}
 _LOCK = threading.RLock()  # re-entrant: building a view materialises its tables
 
 
+def _app_id(spark: SparkSession) -> str:
+    return spark.conf.get("spark.app.id", None) or spark.sparkContext.applicationId
+
+
 def materialised(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Parquet copy of `build()` for this application, written on first use."""
-    app = spark.sparkContext.applicationId
+    app = _app_id(spark)
     slot = (app, key)
     with _LOCK:
         path = _TABLES.get(slot)
@@ -43,6 +47,6 @@ def forget(spark: SparkSession | None = None) -> None:
         if spark is None:
             _TABLES.clear()
         else:
-            app = spark.sparkContext.applicationId
+            app = _app_id(spark)
             for slot in [s for s in _TABLES if s[0] == app]:
                 del _TABLES[slot]

@@ -78,7 +78,18 @@ def raw_encounters_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Medication": F.when(k % 73 == 0, F.lit("None")).otherwise(_pick(F.col("o_custkey") % 5, MEDICATIONS)),
         "Test Results": F.when(k % 71 == 0, F.lit("NA")).otherwise(_pick(k % 3, TEST_RESULTS)),
     }
-    return rows.select(*[cols[c].alias(c) for c in RAW_COLUMNS], (k * 2 + F.col("dup")).alias(ROW_POS))
+    out = rows.select(*[cols[c].alias(c) for c in RAW_COLUMNS], (k * 2 + F.col("dup")).alias(ROW_POS))
+    # A small order table is one split (one task for every later scan of
+    # the derived table); spread it over the cores. Inputs that already have
+    # at least that many splits keep their layout: no shuffle at scale.
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        splits = orders.rdd.getNumPartitions()
+    except Exception:  # no SparkContext on this client: keep the layout
+        return out
+    if splits < cores:
+        out = out.repartition(cores, ROW_POS)
+    return out
 
 
 def raw_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
