@@ -29,6 +29,13 @@ def split_not_null(df: DataFrame, columns: Iterable[str], on_bad: str = "quarant
     return df.where(ok), df.where(~ok)
 
 
+def not_null_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Rows that a NOT NULL split loads and quarantines, in one pass:
+    loaded, quarantined."""
+    ok = _all_present(list(columns))
+    return df.agg(F.count_if(ok).alias("loaded"), F.count_if(~ok).alias("quarantined"))
+
+
 def check_no_nulls(quarantine: DataFrame, table: str = "table") -> None:
     """Raise when a quarantine holds rows (one `limit 1` probe, not a count)."""
     if quarantine.limit(1).count() > 0:

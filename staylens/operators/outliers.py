@@ -72,6 +72,16 @@ def _keep(threshold: float) -> Column:
     return F.coalesce(F.abs(F.col("_z")) <= F.lit(float(threshold)), F.lit(False))
 
 
+def scored(df: DataFrame, column: str, group_cols: Iterable[str] = (), null_policy: str = "omit") -> DataFrame:
+    """Rows with their z-score in `_z` (and the statistics used)."""
+    return with_stats(df, column, group_cols).withColumn("_z", zscore_expr(column, null_policy))
+
+
+def kept(threshold: float = OUTLIER_THRESHOLD) -> Column:
+    """Over `scored` rows: true where the row survives the outlier filter."""
+    return _keep(threshold)
+
+
 def remove_outliers(df: DataFrame, column: str, threshold: float = OUTLIER_THRESHOLD,
                     group_cols: Iterable[str] = (), null_policy: str = "omit") -> DataFrame:
     """Rows with |z| <= threshold (inclusive); rows whose z is NULL go too."""

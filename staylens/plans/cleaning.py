@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from staylens.functions.dates import parse_date
 from staylens.functions.text import title_case
 from staylens.operators.dedup import drop_duplicates, duplicate_count
-from staylens.operators.outliers import outlier_report, remove_outliers
-from staylens.operators.profile import date_range, missing_report, unique_values
+from staylens.operators import outliers
+from staylens.operators.outliers import remove_outliers
+from staylens.operators.profile import missing_report, unique_values
 from staylens.schemas import (ADMIT_DATE, BILLING, CATEGORY_COLUMNS, DATE_FORMAT, DISCHARGE_DATE, NAME,
                               OUTLIER_THRESHOLD)
 
@@ -70,8 +71,21 @@ def cleaning_report(stages: CleaningStages, outlier_column: str = BILLING,
                     date_columns: Iterable[str] = (ADMIT_DATE, DISCHARGE_DATE),
                     group_cols: Iterable[str] = (), null_policy: str = "omit") -> DataFrame:
     """One long table of everything the run reports:
-    step, metric, column_name, value (double), value_date (date)."""
+    step, metric, column_name, value (double), value_date (date).
+
+    Four passes: the raw table's missing counts, its duplicate groups, the
+    distinct category values, and one aggregate over the scored rows that
+    gives rows in / removed / saved and the date ranges of the saved rows.
+    """
+    dates = list(date_columns)
     miss = missing_report(stages.raw)
+    rows = outliers.scored(stages.dated, outlier_column, group_cols, null_policy)
+    keep = outliers.kept(threshold)
+    summary = rows.agg(
+        F.count(F.lit(1)).alias("rows_in"), F.count_if(~keep).alias("rows_removed"),
+        F.count_if(keep).alias("rows_saved"),
+        *[F.min(F.when(keep, F.col(f"`{c}`"))).alias(f"_lo{i}") for i, c in enumerate(dates)],
+        *[F.max(F.when(keep, F.col(f"`{c}`"))).alias(f"_hi{i}") for i, c in enumerate(dates)])
     parts = [
         _rows(miss, "missing", {"missing_count": F.col("missing_count"), "missing_pct": F.col("missing_pct")},
               F.col("column_name")),
@@ -80,17 +94,18 @@ def cleaning_report(stages: CleaningStages, outlier_column: str = BILLING,
                "rows_in_groups": F.col("n_in_groups")}),
         _rows(unique_values(stages.dated, categories).groupBy("column_name").agg(F.count(F.lit(1)).alias("n")),
               "unique", {"distinct_values": F.col("n")}, F.col("column_name")),
-        _rows(outlier_report(stages.dated, outlier_column, threshold, group_cols, null_policy)
-              .agg(F.sum("rows_in").alias("rows_in"), F.sum("rows_removed").alias("rows_removed")),
-              "outliers", {"rows_in": F.col("rows_in"), "rows_removed": F.col("rows_removed")},
-              F.lit(outlier_column)),
-        _rows(stages.clean.agg(F.count(F.lit(1)).alias("n")), "save", {"rows": F.col("n")}),
+        summary.select(F.inline(F.array(
+            *[F.struct(F.lit(step).alias("step"), F.lit(metric).alias("metric"),
+                       F.lit(col).cast("string").alias("column_name"), F.col(src).cast("double").alias("value"),
+                       F.lit(None).cast("date").alias("value_date"))
+              for step, metric, col, src in (("outliers", "rows_in", outlier_column, "rows_in"),
+                                             ("outliers", "rows_removed", outlier_column, "rows_removed"),
+                                             ("save", "rows", None, "rows_saved"))],
+            *[F.struct(F.lit("date_range").alias("step"), F.lit(bound).alias("metric"),
+                       F.lit(c).alias("column_name"), F.lit(None).cast("double").alias("value"),
+                       F.col(f"_{tag}{i}").alias("value_date"))
+              for i, c in enumerate(dates) for bound, tag in (("earliest", "lo"), ("latest", "hi"))]))),
     ]
-    ranges = date_range(stages.clean, date_columns)
-    for bound in ("earliest", "latest"):
-        parts.append(ranges.select(F.lit("date_range").alias("step"), F.lit(bound).alias("metric"),
-                                   "column_name", F.lit(None).cast("double").alias("value"),
-                                   F.col(bound).alias("value_date")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -15,6 +15,7 @@ Rows that break a NOT NULL key are quarantined, not loaded.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -33,6 +34,11 @@ class Tables:
     admissions: DataFrame
     billing: DataFrame
     quarantine: dict = field(default_factory=dict)
+    unsplit: dict = field(default_factory=dict)  # rows before the NOT NULL split
+
+
+def _keep(name: str, df: DataFrame) -> DataFrame:
+    return df
 
 
 def rename_columns(clean: DataFrame, mapping: dict = RENAME_MAP) -> DataFrame:
@@ -47,34 +53,40 @@ def rename_project(clean: DataFrame, mapping: dict = RENAME_MAP) -> DataFrame:
     return renamed.select(*keep, ROW_POS)
 
 
-def patients_table(renamed: DataFrame):
-    """(patients, quarantine): distinct patient rows, id = first appearance."""
-    return split_not_null(distinct_first(renamed, PATIENT_ATTRS, "patient_id"), PATIENT_KEYS)
-
-
-def normalise(clean: DataFrame, keying: str = "last_wins") -> Tables:
+def normalise(clean: DataFrame, keying: str = "last_wins",
+              stage: Callable[[str, DataFrame], DataFrame] = _keep) -> Tables:
+    """Build the three tables. `stage(name, df)` is applied to each table as
+    soon as it is built and the next table is keyed from its result, so a
+    caller that writes each table (e.g. `plans.stages.materialised`) reads
+    patients back to key admissions and admissions back to key bills,
+    instead of recomputing them."""
     renamed = rename_columns(clean)
-    patients, patients_bad = patients_table(renamed)
+    patient_rows = distinct_first(renamed, PATIENT_ATTRS, "patient_id")
+    patients, patients_bad = split_not_null(patient_rows, PATIENT_KEYS)
+    patients = stage("patients", patients)
     if keying == "last_wins":
         by_name = last_wins_lookup(patients, "name", "patient_id")
-        adm_rows = distinct_first(renamed, ADMISSION_ATTRS, "admission_id").join(by_name, "name", "left")
-        admissions, admissions_bad = split_not_null(
-            adm_rows.select("admission_id", "patient_id", *ADMISSION_ATTRS[1:]), ADMISSION_KEYS)
+        adm_rows = (distinct_first(renamed, ADMISSION_ATTRS, "admission_id").join(by_name, "name", "left")
+                    .select("admission_id", "patient_id", *ADMISSION_ATTRS[1:]))
+        admissions, admissions_bad = split_not_null(adm_rows, ADMISSION_KEYS)
+        admissions = stage("admissions", admissions)
         by_date = last_wins_lookup(admissions, "admission_date", "admission_id")
-        bill_rows = distinct_first(renamed, BILLING_ATTRS, "billing_id").join(by_date, "admission_date", "left")
-        billing, billing_bad = split_not_null(
-            bill_rows.select("billing_id", "admission_id", "total_charges", "insurance_provider"), BILLING_KEYS)
+        bill_rows = (distinct_first(renamed, BILLING_ATTRS, "billing_id").join(by_date, "admission_date", "left")
+                     .select("billing_id", "admission_id", "total_charges", "insurance_provider"))
     elif keying == "exact":
         keys = patients.select(*[F.col(a).alias(f"_p_{a}") for a in PATIENT_ATTRS], "patient_id")
         cond = [F.col(a).eqNullSafe(F.col(f"_p_{a}")) for a in PATIENT_ATTRS]
-        rows = renamed.join(keys, cond, "left")
-        admissions, admissions_bad = split_not_null(
-            rows.select(F.col(ROW_POS).alias("admission_id"), "patient_id", *ADMISSION_ATTRS[1:]), ADMISSION_KEYS)
-        billing, billing_bad = split_not_null(
-            renamed.select(F.col(ROW_POS).alias("billing_id"),
-                           F.when(F.col("admission_date").isNotNull(), F.col(ROW_POS)).alias("admission_id"),
-                           "total_charges", "insurance_provider"), BILLING_KEYS)
+        adm_rows = (renamed.join(keys, cond, "left")
+                    .select(F.col(ROW_POS).alias("admission_id"), "patient_id", *ADMISSION_ATTRS[1:]))
+        admissions, admissions_bad = split_not_null(adm_rows, ADMISSION_KEYS)
+        admissions = stage("admissions", admissions)
+        bill_rows = renamed.select(F.col(ROW_POS).alias("billing_id"),
+                                   F.when(F.col("admission_date").isNotNull(), F.col(ROW_POS)).alias("admission_id"),
+                                   "total_charges", "insurance_provider")
     else:
         raise ValueError(f"keying must be 'last_wins' or 'exact', not {keying!r}")
+    billing, billing_bad = split_not_null(bill_rows, BILLING_KEYS)
+    billing = stage("billing", billing)
     return Tables(patients, admissions, billing,
-                  {"patients": patients_bad, "admissions": admissions_bad, "billing": billing_bad})
+                  {"patients": patients_bad, "admissions": admissions_bad, "billing": billing_bad},
+                  {"patients": patient_rows, "admissions": adm_rows, "billing": bill_rows})

@@ -22,14 +22,14 @@ from pyspark.sql import types as T
 from staylens.functions.dates import parse_date
 from staylens.functions.text import title_case
 from staylens.operators import dedup, outliers, profile, reports, timeseries
-from staylens.operators.integrity import orphan_report
+from staylens.operators.integrity import not_null_counts, orphan_report
 from staylens.operators.keys import last_wins_lookup
 from staylens.plans import cleaning
 from staylens.plans.encounters import encounter_view
 from staylens.plans.normalise import Tables, normalise, rename_project
 from staylens.plans.stages import materialised
-from staylens.schemas import (ADMIT_DATE, BILLING, CATEGORY_COLUMNS, DISCHARGE_DATE, HOSPITAL, NAME, ROW_POS,
-                              TOP_DOCTORS)
+from staylens.schemas import (ADMISSION_KEYS, ADMIT_DATE, BILLING, BILLING_KEYS, CATEGORY_COLUMNS,
+                              DISCHARGE_DATE, HOSPITAL, NAME, PATIENT_KEYS, ROW_POS, TOP_DOCTORS)
 from staylens.sources.files import load_raw
 from staylens.sources.fixtures import raw_encounters_text
 
@@ -60,13 +60,10 @@ def _clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _tables(spark: SparkSession, sf: str, keying: str = "last_wins") -> Tables:
-    lazy = normalise(_clean(spark, sf), keying)
-    return Tables(
-        materialised(spark, f"{sf}|patients|{keying}", lambda: lazy.patients),
-        materialised(spark, f"{sf}|admissions|{keying}", lambda: lazy.admissions),
-        materialised(spark, f"{sf}|billing|{keying}", lambda: lazy.billing),
-        lazy.quarantine,
-    )
+    """The three tables, each written once and read back before the next
+    one is keyed from it."""
+    return normalise(_clean(spark, sf), keying,
+                     stage=lambda name, df: materialised(spark, f"{sf}|{name}|{keying}", lambda: df))
 
 
 def _view(spark: SparkSession, sf: str, keying: str = "last_wins") -> DataFrame:
@@ -161,10 +158,11 @@ def q_last_admission_by_date(spark, sf):
 def q_not_null_split(spark, sf):
     t = _tables(spark, sf)
     parts = []
-    for name, good in (("patients", t.patients), ("admissions", t.admissions), ("billing", t.billing)):
-        for status, df in (("loaded", good), ("quarantined", t.quarantine[name])):
-            parts.append(df.agg(F.count(F.lit(1)).alias("n_rows"))
-                         .select(F.lit(name).alias("table_name"), F.lit(status).alias("status"), "n_rows"))
+    for name, keys in (("patients", PATIENT_KEYS), ("admissions", ADMISSION_KEYS), ("billing", BILLING_KEYS)):
+        counts = not_null_counts(t.unsplit[name], keys)
+        parts.append(counts.select(F.lit(name).alias("table_name"), F.inline(F.array(
+            F.struct(F.lit("loaded").alias("status"), F.col("loaded").alias("n_rows")),
+            F.struct(F.lit("quarantined").alias("status"), F.col("quarantined").alias("n_rows"))))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
