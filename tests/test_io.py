@@ -59,3 +59,21 @@ def test_create_tables_and_append(spark, scratch_dir):
     files.save_table(rows, "patients_t", mode="append")
     assert spark.table("patients_t").count() == 2
     assert files.key_scan(spark, "patients_t", ["patient_id", "name"]).columns == ["patient_id", "name"]
+
+
+def test_csv_many_splits_per_file_numbered_in_order(spark, scratch_dir):
+    path = os.path.join(scratch_dir, "raw_split")
+    names = _write_csv(spark, path, 2)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    old_open = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        raw = files.read_raw_csv(spark, path)
+        assert raw.rdd.getNumPartitions() > 4
+        got = raw.orderBy("row_pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.set("spark.sql.files.openCostInBytes", old_open)
+    assert [r.Name for r in got] == names
+    assert [r.row_pos for r in got] == list(range(len(names)))
