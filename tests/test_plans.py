@@ -1,8 +1,11 @@
 """Physical-plan properties the library relies on at scale."""
 
+import json
 import re
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from conftest import SF001
 from staylens import registry
@@ -26,11 +29,22 @@ def test_no_cartesian_products(all_plans):
         assert "BroadcastNestedLoopJoin" not in phys, name
 
 
-def test_no_window_over_one_partition(all_plans):
+def _window_partition_sizes(df):
+    nodes = json.loads(df._jdf.queryExecution().optimizedPlan().toJSON())
+    return [len(n["partitionSpec"]) for n in nodes if n["class"].endswith("logical.Window")]
+
+
+def test_window_detector(spark):
+    df = spark.range(4).withColumn("g", F.col("id") % 2)
+    assert _window_partition_sizes(df.withColumn("r", F.row_number().over(Window.orderBy("id")))) == [0]
+    assert _window_partition_sizes(
+        df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("id")))) == [1]
+
+
+def test_no_window_over_one_partition(spark):
     # a Window with an empty PARTITION BY would pull every row into one task
-    for name, (logical, _) in all_plans.items():
-        for m in re.finditer(r"Window \[.*?\], \[(.*?)\], \[", logical):
-            assert m.group(1).strip(), (name, m.group(0)[:200])
+    for name, fn in QUERIES.items():
+        assert 0 not in _window_partition_sizes(fn(spark, SF001)), name
 
 
 def test_global_zscore_is_a_scalar_subquery(spark):
