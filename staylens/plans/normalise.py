@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from staylens.operators.dedup import distinct_first
 from staylens.operators.integrity import split_not_null
-from staylens.operators.keys import last_wins_lookup
+from staylens.operators.keys import bounded_broadcast, day_span, last_wins_lookup
 from staylens.schemas import (ADMISSION_ATTRS, ADMISSION_KEYS, BILLING_ATTRS, BILLING_KEYS, PATIENT_ATTRS,
                               PATIENT_KEYS, RENAME_MAP, ROW_POS)
 
@@ -54,12 +54,13 @@ def rename_project(clean: DataFrame, mapping: dict = RENAME_MAP) -> DataFrame:
 
 
 def normalise(clean: DataFrame, keying: str = "last_wins",
-              stage: Callable[[str, DataFrame], DataFrame] = _keep) -> Tables:
+              stage: Callable[[str, DataFrame], DataFrame] = _keep, bound_dates: bool = True) -> Tables:
     """Build the three tables. `stage(name, df)` is applied to each table as
     soon as it is built and the next table is keyed from its result, so a
     caller that writes each table (e.g. `plans.stages.materialised`) reads
     patients back to key admissions and admissions back to key bills,
-    instead of recomputing them."""
+    instead of recomputing them. `bound_dates` sizes the date lookup by the
+    admission date span (one min/max job) and broadcasts it when small."""
     renamed = rename_columns(clean)
     patient_rows = distinct_first(renamed, PATIENT_ATTRS, "patient_id")
     patients, patients_bad = split_not_null(patient_rows, PATIENT_KEYS)
@@ -70,7 +71,11 @@ def normalise(clean: DataFrame, keying: str = "last_wins",
                     .select("admission_id", "patient_id", *ADMISSION_ATTRS[1:]))
         admissions, admissions_bad = split_not_null(adm_rows, ADMISSION_KEYS)
         admissions = stage("admissions", admissions)
+        # one row per admission day at most: broadcast behind that bound, so
+        # the bills are not shuffled for this lookup
         by_date = last_wins_lookup(admissions, "admission_date", "admission_id")
+        if bound_dates:
+            by_date = bounded_broadcast(by_date, day_span(admissions, "admission_date"))
         bill_rows = (distinct_first(renamed, BILLING_ATTRS, "billing_id").join(by_date, "admission_date", "left")
                      .select("billing_id", "admission_id", "total_charges", "insurance_provider"))
     elif keying == "exact":

@@ -188,3 +188,17 @@ def test_forecast_summary_matches_numpy(spark):
     assert abs(s.predicted_5yr - pred[48:60].mean()) < 1e-6
     assert abs(s.predicted_10yr - pred[-12:].mean()) < 1e-6
     assert abs(s.growth_1yr - (pred[:12].mean() - y.mean()) / y.mean() * 100) < 1e-6
+
+
+def test_bounded_broadcast(spark):
+    adm = spark.createDataFrame([(d("2024-01-01"), 1), (d("2024-01-10"), 2), (None, 3)],
+                                "admission_date date, admission_id long")
+    assert keys.day_span(adm, "admission_date") == 10
+    assert keys.day_span(adm.where("false"), "admission_date") == 0
+    lookup = keys.last_wins_lookup(adm, "admission_date", "admission_id")
+    bills = spark.createDataFrame([(d("2024-01-10"), 5.0)], "admission_date date, total_charges double")
+    hinted = bills.join(keys.bounded_broadcast(lookup, 10), "admission_date", "left")
+    plain = bills.join(keys.bounded_broadcast(lookup, 10, max_rows=5), "admission_date", "left")
+    assert "broadcast" in hinted._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "strategy=broadcast" not in plain._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert hinted.first().admission_id == 2
