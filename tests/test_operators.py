@@ -202,3 +202,16 @@ def test_bounded_broadcast(spark):
     assert "broadcast" in hinted._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "strategy=broadcast" not in plain._jdf.queryExecution().optimizedPlan().toString().lower()
     assert hinted.first().admission_id == 2
+
+
+def test_sql_view_equals_dataframe_view(spark):
+    from conftest import SF001
+    from staylens import registry
+    from staylens.plans.encounters import encounter_view_sql
+    t = registry._tables(spark, SF001)
+    by_sql = encounter_view_sql(spark, t, prefix="t_")
+    by_df = encounter_view(t)
+    assert by_sql.columns == by_df.columns
+    assert by_sql.count() == by_df.count() == 1815
+    assert by_sql.exceptAll(by_df).count() == 0 and by_df.exceptAll(by_sql).count() == 0
+    assert spark.sql("SELECT count(DISTINCT patient_id) FROM t_encounters").first()[0] == 150
