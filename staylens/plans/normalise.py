@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylens.operators.dedup import distinct_first
-from staylens.operators.integrity import split_not_null
+from staylens.operators.integrity import check_no_nulls, split_not_null
 from staylens.operators.keys import bounded_broadcast, day_span, last_wins_lookup
 from staylens.schemas import (ADMISSION_ATTRS, ADMISSION_KEYS, BILLING_ATTRS, BILLING_KEYS, PATIENT_ATTRS,
                               PATIENT_KEYS, RENAME_MAP, ROW_POS)
@@ -54,22 +54,34 @@ def rename_project(clean: DataFrame, mapping: dict = RENAME_MAP) -> DataFrame:
 
 
 def normalise(clean: DataFrame, keying: str = "last_wins",
-              stage: Callable[[str, DataFrame], DataFrame] = _keep, bound_dates: bool = True) -> Tables:
+              stage: Callable[[str, DataFrame], DataFrame] = _keep, bound_dates: bool = True,
+              on_bad: str = "quarantine") -> Tables:
     """Build the three tables. `stage(name, df)` is applied to each table as
     soon as it is built and the next table is keyed from its result, so a
     caller that writes each table (e.g. `plans.stages.materialised`) reads
     patients back to key admissions and admissions back to key bills,
     instead of recomputing them. `bound_dates` sizes the date lookup by the
-    admission date span (one min/max job) and broadcasts it when small."""
+    admission date span (one min/max job) and broadcasts it when small.
+    `on_bad="fail"` raises as soon as a table would lose rows to a NULL key
+    (checked before the next table is built); the default quarantines them."""
+    if on_bad not in ("quarantine", "fail"):
+        raise ValueError(f"on_bad must be 'quarantine' or 'fail', not {on_bad!r}")
+
+    def checked(name: str, bad: DataFrame) -> None:
+        if on_bad == "fail":
+            check_no_nulls(bad, name)
+
     renamed = rename_columns(clean)
     patient_rows = distinct_first(renamed, PATIENT_ATTRS, "patient_id")
     patients, patients_bad = split_not_null(patient_rows, PATIENT_KEYS)
+    checked("patients", patients_bad)
     patients = stage("patients", patients)
     if keying == "last_wins":
         by_name = last_wins_lookup(patients, "name", "patient_id")
         adm_rows = (distinct_first(renamed, ADMISSION_ATTRS, "admission_id").join(by_name, "name", "left")
                     .select("admission_id", "patient_id", *ADMISSION_ATTRS[1:]))
         admissions, admissions_bad = split_not_null(adm_rows, ADMISSION_KEYS)
+        checked("admissions", admissions_bad)
         admissions = stage("admissions", admissions)
         # one row per admission day at most: broadcast behind that bound, so
         # the bills are not shuffled for this lookup
@@ -84,6 +96,7 @@ def normalise(clean: DataFrame, keying: str = "last_wins",
         adm_rows = (renamed.join(keys, cond, "left")
                     .select(F.col(ROW_POS).alias("admission_id"), "patient_id", *ADMISSION_ATTRS[1:]))
         admissions, admissions_bad = split_not_null(adm_rows, ADMISSION_KEYS)
+        checked("admissions", admissions_bad)
         admissions = stage("admissions", admissions)
         bill_rows = renamed.select(F.col(ROW_POS).alias("billing_id"),
                                    F.when(F.col("admission_date").isNotNull(), F.col(ROW_POS)).alias("admission_id"),
@@ -91,6 +104,7 @@ def normalise(clean: DataFrame, keying: str = "last_wins",
     else:
         raise ValueError(f"keying must be 'last_wins' or 'exact', not {keying!r}")
     billing, billing_bad = split_not_null(bill_rows, BILLING_KEYS)
+    checked("billing", billing_bad)
     billing = stage("billing", billing)
     return Tables(patients, admissions, billing,
                   {"patients": patients_bad, "admissions": admissions_bad, "billing": billing_bad},

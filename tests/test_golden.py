@@ -79,3 +79,17 @@ def test_sf001_view_and_forecast(spark):
     mean_all = timeseries.forecast(fit).agg(F.avg("value")).first()[0]
     assert (approx(mean_all), approx(s.predicted_1yr), approx(s.predicted_5yr), approx(s.predicted_10yr)) == \
         (217.5646, 176.9734, 211.1393, 263.1641)
+
+
+def test_sf001_forecast_cards(spark):
+    fit = timeseries.linear_fit(timeseries.monthly_counts(registry._view(spark, SF01)))
+    s = timeseries.forecast_summary(fit, labels=True).first()
+    assert s.current_label == "171 patients"
+    assert (s.predicted_1yr_label, s.growth_1yr_label) == ("177 patients", "+3.5%")
+    assert s.predicted_10yr_label == "263 patients"
+
+
+def test_fail_on_null_keys(spark):
+    from staylens.plans.normalise import normalise
+    with pytest.raises(ValueError, match="admissions"):
+        normalise(registry._clean(spark, SF001), on_bad="fail")
