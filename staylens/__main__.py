@@ -3,8 +3,9 @@
     python -m staylens load   --raw RAW.csv --out TABLES_DIR [--keying last_wins|exact]
     python -m staylens report --tables TABLES_DIR --out REPORTS_DIR [--group-by COL]
 
-`load` cleans the raw file and writes clean/, patients/, admissions/,
-billing/, the quarantined rows and cleaning_report/ as Parquet. `report`
+`load` cleans the raw file and writes dated/ (deduplicated, formatted),
+clean/, patients/, admissions/, billing/, the quarantined rows and
+cleaning_report/ as Parquet. `report`
 joins the tables into the encounter view, writes it once, writes every
 report table under REPORTS_DIR and prints the KPI and forecast cards
 (one row each).
@@ -26,7 +27,10 @@ from staylens.sources.files import read_raw_csv, read_table, write_table
 def _load(args) -> None:
     spark = get_session(args.master)
     raw = read_raw_csv(spark, args.raw)
-    stages = cleaning_stages(raw, threshold=args.threshold)
+    # the deduplicated, formatted rows are written once; the outlier
+    # statistics and filter scan them instead of re-running the dedup
+    stages = cleaning_stages(raw, threshold=args.threshold,
+                             stage=lambda name, df: read_table(spark, write_table(df, os.path.join(args.out, name))))
     clean = read_table(spark, write_table(stages.clean, os.path.join(args.out, "clean")))
     write_table(cleaning_report(stages, threshold=args.threshold), os.path.join(args.out, "cleaning_report"))
 

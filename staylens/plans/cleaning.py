@@ -8,7 +8,7 @@ report date ranges, save.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -42,13 +42,24 @@ def format_dates(df: DataFrame, columns: Iterable[str] = (ADMIT_DATE, DISCHARGE_
     return df.withColumns({c: parse_date(F.col(f"`{c}`"), fmt) for c in columns})
 
 
+def _keep(name: str, df: DataFrame) -> DataFrame:
+    return df
+
+
 def cleaning_stages(raw: DataFrame, outlier_column: str = BILLING, threshold: float = OUTLIER_THRESHOLD,
                     date_format: str | tuple[str, ...] = DATE_FORMAT, group_cols: Iterable[str] = (),
-                    null_policy: str = "omit") -> CleaningStages:
-    """Every intermediate table of the run, lazily (nothing is computed)."""
+                    null_policy: str = "omit",
+                    stage: Callable[[str, DataFrame], DataFrame] = _keep) -> CleaningStages:
+    """Every intermediate table of the run, lazily (nothing is computed).
+
+    `stage("dated", df)` is applied to the deduplicated, formatted table
+    before the outlier step. A caller that writes it there (and reads it
+    back) shuffles the raw rows once: the z-score statistics and the filter
+    then both scan the written table, instead of each re-running the dedup.
+    """
     dedup = drop_duplicates(raw)
     titled = format_names(dedup)
-    dated = format_dates(titled, fmt=date_format)
+    dated = stage("dated", format_dates(titled, fmt=date_format))
     clean = remove_outliers(dated, outlier_column, threshold, group_cols, null_policy)
     return CleaningStages(raw, dedup, titled, dated, clean)
 

@@ -56,7 +56,13 @@ def _stages(spark: SparkSession, sf: str) -> cleaning.CleaningStages:
 
 
 def _clean(spark: SparkSession, sf: str) -> DataFrame:
-    return materialised(spark, f"{sf}|clean", lambda: _stages(spark, sf).clean)
+    """The clean table, written once; the dedup runs once (the deduplicated,
+    formatted table is written first and the outlier step scans it)."""
+    def build():
+        staged = cleaning.cleaning_stages(
+            _raw(spark, sf), stage=lambda name, df: materialised(spark, f"{sf}|{name}", lambda: df))
+        return staged.clean
+    return materialised(spark, f"{sf}|clean", build)
 
 
 def _tables(spark: SparkSession, sf: str, keying: str = "last_wins") -> Tables:
