@@ -7,14 +7,17 @@ Only admissions with both dates are kept, which also makes the patient side
 an inner join. The billing side is a left join written as its two halves:
 
 * matched   = admissions INNER JOIN bills       (one row per bill)
-* unmatched = admissions LEFT ANTI JOIN billed ids (charge 0)
+* unmatched = admissions without a billed id (charge 0)
 
 Under last-wins keying every bill of a date lands on one admission, so a
 busy date makes one admission id very hot on the billing side. AQE can split
 a skewed side of an inner join but not the right side of a left join, so
 the inner half keeps the hot key splittable; the anti half only needs the
 distinct billed ids, which partial aggregation folds before the shuffle.
-The two halves share the admissions exchange (ReusedExchange).
+It is written as an outer join plus an IS NULL filter, not as LEFT ANTI:
+Catalyst pushes an anti join below the patient join, which would make the
+two halves different plans; this way both halves read one exchange of the
+patient-admission rows (ReusedExchange).
 """
 
 from __future__ import annotations
@@ -28,14 +31,20 @@ from staylens.schemas import ENCOUNTER_COLUMNS
 
 
 def encounter_view(tables: Tables) -> DataFrame:
+    # admission_id is a NOT NULL key; saying so gives both halves the same
+    # filters (and so one shared exchange)
     adm = (tables.admissions
-           .where(F.col("admission_date").isNotNull() & F.col("discharge_date").isNotNull())
+           .where(F.col("admission_date").isNotNull() & F.col("discharge_date").isNotNull()
+                  & F.col("admission_id").isNotNull())
            .select("admission_id", "patient_id", "admission_date", "discharge_date", "doctor", "admission_type"))
     stays = tables.patients.select("patient_id", "gender", "medical_condition").join(adm, "patient_id")
     bills = tables.billing.where(F.col("admission_id").isNotNull()).select("admission_id", "total_charges")
     matched = stays.join(bills, "admission_id")
-    billed = bills.select("admission_id").distinct()
-    unmatched = (stays.join(billed, "admission_id", "left_anti")
+    billed = bills.select(F.col("admission_id").alias("_billed")).distinct()
+    # anti join written as outer join + IS NULL: it stays above the patient
+    # join, so both halves share the same exchange of `stays`
+    unmatched = (stays.join(billed, F.col("admission_id") == F.col("_billed"), "left")
+                 .where(F.col("_billed").isNull()).drop("_billed")
                  .withColumn("total_charges", F.lit(None).cast("double")))
     rows = matched.unionByName(unmatched)
     return rows.select(

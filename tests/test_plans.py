@@ -62,3 +62,22 @@ def test_reports_read_only_needed_columns(spark):
 
 def test_top_k_is_take_ordered(all_plans):
     assert "TakeOrderedAndProject" in all_plans["top_doctors"][1]
+
+
+def test_view_halves_share_one_exchange(spark):
+    from staylens.plans.encounters import encounter_view
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")          # plan as if every table were large
+        v = encounter_view(registry._tables(spark, SF001))
+        v.collect()
+        phys = v._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, val in old.items():
+            if val is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, val)
+    assert "SortMergeJoin" in phys and "ReusedExchange" in phys
