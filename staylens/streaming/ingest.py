@@ -15,6 +15,12 @@ rows are appended to a table in the batch load:
 
 The batch steps that need whole-table statistics (outliers, keys, reports)
 run on the loaded table with the batch API.
+
+Cost: each micro-batch's anti join reads the stored table's columns (hash
+and values), so triggers should carry many files each (`maxFilesPerTrigger`
+or `availableNow`). For a table far larger than a batch, Spark's stateful
+`dropDuplicates` on all columns (RocksDB state store) avoids that scan,
+at the price of state that holds every distinct row.
 """
 
 from __future__ import annotations
