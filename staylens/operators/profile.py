@@ -31,19 +31,22 @@ def _is_missing(df: DataFrame, name: str):
     return col.isNull()
 
 
-def missing_report(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+def missing_report(df: DataFrame, columns: Iterable[str] | None = None,
+                   group_cols: Iterable[str] = ()) -> DataFrame:
     """Per column: missing count and percent of rows (NaN counts as missing).
 
-    Columns: column_name, position (0-based column order), missing_count,
-    missing_pct. One pass: all counts in a single aggregate, then unpivoted.
+    Columns: *group_cols, column_name, position (0-based column order),
+    missing_count, missing_pct. One pass: all counts in a single (grouped)
+    aggregate, then unpivoted.
     """
-    cols = _data_columns(df, columns)
-    counts = df.agg(F.count(F.lit(1)).alias("_n"),
-                    *[F.count_if(_is_missing(df, c)).alias(f"_m{i}") for i, c in enumerate(cols)])
+    groups = list(group_cols)
+    cols = [c for c in _data_columns(df, columns) if c not in groups]
+    counts = df.groupBy(*[_q(g) for g in groups]).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.count_if(_is_missing(df, c)).alias(f"_m{i}") for i, c in enumerate(cols)])
     entries = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"),
                                  F.col(f"_m{i}").alias("missing_count")) for i, c in enumerate(cols)])
-    return (counts.select("_n", F.inline(entries))
-            .select("column_name", "position", "missing_count",
+    return (counts.select(*[_q(g) for g in groups], "_n", F.inline(entries))
+            .select(*[_q(g) for g in groups], "column_name", "position", "missing_count",
                     pct_of("missing_count", "_n").alias("missing_pct")))
 
 
@@ -62,17 +65,19 @@ def unique_values(df: DataFrame, columns: Iterable[str], order_col: str = ROW_PO
             .groupBy("column_name", "value").agg(F.min("_pos").alias("first_pos")))
 
 
-def date_range(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+def date_range(df: DataFrame, columns: Iterable[str], group_cols: Iterable[str] = ()) -> DataFrame:
     """Earliest and latest value of each column (NULLs skipped), one pass.
 
-    Columns: column_name, earliest, latest.
+    Columns: *group_cols, column_name, earliest, latest.
     """
     cols = list(columns)
-    bounds = df.agg(*[F.struct(F.min(_q(c)).alias("earliest"), F.max(_q(c)).alias("latest")).alias(f"_b{i}")
-                      for i, c in enumerate(cols)])
+    groups = [_q(g) for g in group_cols]
+    bounds = df.groupBy(*groups).agg(
+        *[F.struct(F.min(_q(c)).alias("earliest"), F.max(_q(c)).alias("latest")).alias(f"_b{i}")
+          for i, c in enumerate(cols)])
     entries = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_b{i}.earliest").alias("earliest"),
                                  F.col(f"_b{i}.latest").alias("latest")) for i, c in enumerate(cols)])
-    return bounds.select(F.inline(entries))
+    return bounds.select(*groups, F.inline(entries))
 
 
 def shape(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:

@@ -104,11 +104,15 @@ def crosstab_pct_wide(df: DataFrame, row: str = "medical_condition", col: str =
 
 
 def kpis(df: DataFrame, entity: str = "patient_id", stay: str = "length_of_stay",
-         cost: str = "total_charges", labels: bool = True, approx: bool = False) -> DataFrame:
+         cost: str = "total_charges", labels: bool = True, approx: bool = False,
+         group_cols: Iterable[str] = (), keep_null_groups: bool = False) -> DataFrame:
     """Headline cards in one pass: total_patients, avg_stay, avg_cost and
-    their label text ('1,500', '15.6 days', '$136,658.24')."""
+    their label text ('1,500', '15.6 days', '$136,658.24'); one row, or one
+    row per group."""
+    groups = list(group_cols)
     distinct = F.approx_count_distinct(entity) if approx else F.count_distinct(entity)
-    out = df.agg(distinct.alias("total_patients"), F.avg(stay).alias("avg_stay"), F.avg(cost).alias("avg_cost"))
+    out = (_groups(df, groups, keep_null_groups).groupBy(*groups)
+           .agg(distinct.alias("total_patients"), F.avg(stay).alias("avg_stay"), F.avg(cost).alias("avg_cost")))
     if not labels:
         return out
     return out.withColumns({

@@ -215,3 +215,17 @@ def test_sql_view_equals_dataframe_view(spark):
     assert by_sql.count() == by_df.count() == 1815
     assert by_sql.exceptAll(by_df).count() == 0 and by_df.exceptAll(by_sql).count() == 0
     assert spark.sql("SELECT count(DISTINCT patient_id) FROM t_encounters").first()[0] == 150
+
+
+def test_profiles_and_kpis_per_group(spark):
+    df = spark.createDataFrame([("a", 1.0, d("2024-01-02"), 1, 3), ("a", None, d("2024-01-05"), 2, 5),
+                                ("b", 2.0, None, 3, 7)],
+                               "g string, x double, t date, patient_id long, length_of_stay int")
+    miss = {(r.g, r.column_name): (r.missing_count, r.missing_pct)
+            for r in profile.missing_report(df, ["x", "t"], group_cols=["g"]).collect()}
+    assert miss == {("a", "x"): (1, 50.0), ("a", "t"): (0, 0.0), ("b", "x"): (0, 0.0), ("b", "t"): (1, 100.0)}
+    rng = {r.g: (r.earliest, r.latest) for r in profile.date_range(df, ["t"], group_cols=["g"]).collect()}
+    assert rng == {"a": (d("2024-01-02"), d("2024-01-05")), "b": (None, None)}
+    k = {r.g: (r.total_patients, r.avg_stay, r.avg_cost)
+         for r in reports.kpis(df.withColumnRenamed("x", "total_charges"), group_cols=["g"], labels=False).collect()}
+    assert k == {"a": (2, 4.0, 1.0), "b": (1, 7.0, 2.0)}
