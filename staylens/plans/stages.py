@@ -41,12 +41,22 @@ def materialised(spark: SparkSession, key: str, build: Callable[[], DataFrame])
     return spark.read.parquet(path)
 
 
-def forget(spark: SparkSession | None = None) -> None:
-    """Drop the bookkeeping (files stay until the folder is cleaned)."""
+def forget(spark: SparkSession | None = None, keys=None, delete_files: bool = False) -> None:
+    """Drop the bookkeeping of this application's tables (the given `keys`,
+    or all; without a session, everything). With `delete_files`, also delete
+    them through the Hadoop FileSystem API (HDFS, object stores, local): the
+    listed tables, or the application's whole table folder."""
     with _LOCK:
         if spark is None:
             _TABLES.clear()
-        else:
-            app = _app_id(spark)
-            for slot in [s for s in _TABLES if s[0] == app]:
-                del _TABLES[slot]
+            return
+        app = _app_id(spark)
+        slots = [s for s in _TABLES if s[0] == app and (keys is None or s[1] in keys)]
+        paths = [_TABLES.pop(s) for s in slots]
+        if delete_files:
+            targets = [scratch_path(spark, app)] if keys is None else paths
+            jvm = spark.sparkContext._jvm
+            conf = spark.sparkContext._jsc.hadoopConfiguration()
+            for target in targets:
+                path = jvm.org.apache.hadoop.fs.Path(target)
+                path.getFileSystem(conf).delete(path, True)

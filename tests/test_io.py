@@ -77,3 +77,22 @@ def test_csv_many_splits_per_file_numbered_in_order(spark, scratch_dir):
         spark.conf.set("spark.sql.files.openCostInBytes", old_open)
     assert [r.Name for r in got] == names
     assert [r.row_pos for r in got] == list(range(len(names)))
+
+
+def test_materialised_tables_written_once_and_deleted(spark):
+    from staylens.plans import stages
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(3)
+
+    a = stages.materialised(spark, "test|once", build)
+    b = stages.materialised(spark, "test|once", build)
+    assert a.count() == b.count() == 3 and len(calls) == 1
+    folder = a.inputFiles()[0].replace("file:", "").rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    stages.forget(spark, keys=["test|once"], delete_files=True)   # only this table
+    assert not os.path.exists(folder)
+    stages.materialised(spark, "test|once", build)        # rebuilt after forget
+    assert len(calls) == 2
