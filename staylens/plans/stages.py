@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from staylens.session import scratch_path
 
 _TABLES: dict[tuple[str, str], str] = {}
+_FRAMES: dict[tuple[str, str], object] = {}
 _LOCK = threading.RLock()  # re-entrant: building a view materialises its tables
 
 
@@ -38,7 +39,18 @@ def materialised(spark: SparkSession, key: str, build: Callable[[], DataFrame])
             path = scratch_path(spark, f"{app}/{digest}")
             build().write.mode("overwrite").parquet(path)
             _TABLES[slot] = path
-    return spark.read.parquet(path)
+            _FRAMES[slot] = spark.read.parquet(path)
+        return _FRAMES[slot]
+
+
+def remembered(spark: SparkSession, key: str, build: Callable[[], object]) -> object:
+    """The same (immutable) DataFrame, or bundle of them, for a key within
+    an application: plans that every report starts from are built once."""
+    slot = (_app_id(spark), key)
+    with _LOCK:
+        if slot not in _FRAMES:
+            _FRAMES[slot] = build()
+        return _FRAMES[slot]
 
 
 def forget(spark: SparkSession | None = None, keys=None, delete_files: bool = False) -> None:
@@ -49,8 +61,11 @@ def forget(spark: SparkSession | None = None, keys=None, delete_files: bool = Fa
     with _LOCK:
         if spark is None:
             _TABLES.clear()
+            _FRAMES.clear()
             return
         app = _app_id(spark)
+        for slot in [s for s in _FRAMES if s[0] == app and (keys is None or s[1] in keys)]:
+            del _FRAMES[slot]
         slots = [s for s in _TABLES if s[0] == app and (keys is None or s[1] in keys)]
         paths = [_TABLES.pop(s) for s in slots]
         if delete_files:

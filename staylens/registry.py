@@ -27,7 +27,7 @@ from staylens.operators.keys import last_wins_lookup
 from staylens.plans import cleaning
 from staylens.plans.encounters import encounter_view
 from staylens.plans.normalise import Tables, normalise, rename_project
-from staylens.plans.stages import materialised
+from staylens.plans.stages import materialised, remembered
 from staylens.schemas import (ADMISSION_KEYS, ADMIT_DATE, BILLING, BILLING_KEYS, CATEGORY_COLUMNS,
                               DISCHARGE_DATE, HOSPITAL, NAME, PATIENT_KEYS, ROW_POS, TOP_DOCTORS)
 from staylens.sources.files import load_raw
@@ -48,11 +48,12 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
     """The raw table as a file would hold it (derived once from the order
     tables and written), loaded: tokens -> NULL, numbers typed."""
-    return load_raw(materialised(spark, f"{sf}|raw_text", lambda: raw_encounters_text(spark, sf)))
+    return remembered(spark, f"{sf}|raw", lambda: load_raw(
+        materialised(spark, f"{sf}|raw_text", lambda: raw_encounters_text(spark, sf))))
 
 
 def _stages(spark: SparkSession, sf: str) -> cleaning.CleaningStages:
-    return cleaning.cleaning_stages(_raw(spark, sf))
+    return remembered(spark, f"{sf}|stages", lambda: cleaning.cleaning_stages(_raw(spark, sf)))
 
 
 def _clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,7 +74,7 @@ def _tables(spark: SparkSession, sf: str, keying: str = "last_wins") -> Tables:
         key = f"{sf}|{name}" if name == "patients" else f"{sf}|{name}|{keying}"
         return materialised(spark, key, lambda: df)
 
-    return normalise(_clean(spark, sf), keying, stage=stage)
+    return remembered(spark, f"{sf}|tables|{keying}", lambda: normalise(_clean(spark, sf), keying, stage=stage))
 
 
 def _view(spark: SparkSession, sf: str, keying: str = "last_wins") -> DataFrame:
