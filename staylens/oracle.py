@@ -101,8 +101,9 @@ CTES = [
     ("dated", f"""SELECT * REPLACE ({_date(_q('Date of Admission'))} AS "Date of Admission",
                                    {_date(_q('Discharge Date'))} AS "Discharge Date") FROM titled"""),
     ("ostats", 'SELECT avg("Billing Amount") AS m, stddev_pop("Billing Amount") AS s FROM dated'),
-    ("scored", 'SELECT d.*, o.m AS _m, o.s AS _s, ("Billing Amount" - o.m) / NULLIF(o.s, 0) AS _z '
-               'FROM dated d CROSS JOIN ostats o'),
+    ("scored", 'SELECT d.*, (SELECT m FROM ostats) AS _m, (SELECT s FROM ostats) AS _s, '
+               '("Billing Amount" - (SELECT m FROM ostats)) / NULLIF((SELECT s FROM ostats), 0) AS _z '
+               'FROM dated d'),
     ("clean", "SELECT * EXCLUDE (_m, _s, _z) FROM scored WHERE abs(_z) <= 3"),
     ("ren", f"SELECT {_RENAMED}, row_pos FROM clean"),
     ("patients_all", f"SELECT min(row_pos) AS patient_id, {_P} FROM ren GROUP BY ALL"),
@@ -173,14 +174,14 @@ def _series_ctes(prefix: str, group: str | None) -> list[tuple[str, str]]:
                    stddev_pop(n_patients) AS std_y, avg(n_patients) AS mean_y,
                    max(month_end) AS last_month_end
             FROM {prefix}monthly {gby}"""),
+        (f"{prefix}fk", f"SELECT *, CAST(unnest(range(0, 120)) AS INTEGER) AS k FROM {prefix}fit WHERE n_months > 0"),
         (f"{prefix}fc", f"""
-            SELECT {gkey}h.k, last_day(f.last_month_end + to_months(CAST(h.k + 1 AS INTEGER))) AS month_end,
-                   f.intercept + f.slope * CAST(f.n_months + h.k AS DOUBLE) AS base,
-                   pow(CAST('{_GROWTH}' AS DOUBLE), CAST(h.k AS DOUBLE)) AS growth,
-                   f.std_y * sqrt(1.0 + CAST(h.k AS DOUBLE) / CAST(f.n_months AS DOUBLE)) AS band,
-                   f.mean_y
-            FROM {prefix}fit f CROSS JOIN (SELECT CAST(range AS INTEGER) AS k FROM range(0, 120)) h
-            WHERE f.n_months > 0"""),
+            SELECT {gkey}k, last_day(last_month_end + to_months(CAST(k + 1 AS INTEGER))) AS month_end,
+                   intercept + slope * CAST(n_months + k AS DOUBLE) AS base,
+                   pow(CAST('{_GROWTH}' AS DOUBLE), CAST(k AS DOUBLE)) AS growth,
+                   std_y * sqrt(1.0 + CAST(k AS DOUBLE) / CAST(n_months AS DOUBLE)) AS band,
+                   mean_y
+            FROM {prefix}fk"""),
         (f"{prefix}fcv", f"SELECT *, base * growth AS value FROM {prefix}fc"),
         (f"{prefix}summary", f"""
             SELECT {gkey}any_value(mean_y) AS current_avg,
@@ -354,13 +355,10 @@ SQL: dict[str, str] = {
     "admission_type_pct_wide": _with([
         ("pairs", "SELECT medical_condition, admission_type, count(*) AS n FROM view "
                   "WHERE medical_condition IS NOT NULL AND admission_type IS NOT NULL GROUP BY ALL"),
-        ("grid", "SELECT r.medical_condition, t.admission_type, "
-                 f"{_r('CAST(coalesce(p.n, 0) AS DOUBLE) / sum(coalesce(p.n, 0)) OVER (PARTITION BY r.medical_condition) * 100.0')} AS pct "
-                 "FROM (SELECT DISTINCT medical_condition FROM pairs) r "
-                 "CROSS JOIN (SELECT DISTINCT admission_type FROM pairs) t "
-                 "LEFT JOIN pairs p ON p.medical_condition = r.medical_condition "
-                 "AND p.admission_type = t.admission_type"),
-    ]) + "PIVOT grid ON admission_type USING first(pct) GROUP BY medical_condition",
+        ("pcts", "SELECT medical_condition, admission_type, "
+                 f"{_r('CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY medical_condition) * 100.0')} AS pct "
+                 "FROM pairs"),
+    ]) + "PIVOT pcts ON admission_type USING coalesce(first(pct), 0) GROUP BY medical_condition",
     "monthly_patients": _with(SERIES) + "SELECT month_end, k, n_patients FROM s_monthly",
     "monthly_fit": _with(SERIES) + (
         f"SELECT n_months, {_r('slope')} AS slope, {_r('intercept')} AS intercept, {_r('std_y')} AS std_y, "
