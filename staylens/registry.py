@@ -1,10 +1,11 @@
 """Registered queries: name -> callable(spark, sf_dir) -> DataFrame.
 
 Every query starts from the driver's tables (through the derived raw
-encounter table) and runs over all of it. Cleaning-level queries are one lazy
-plan from the raw table; table-, view- and report-level queries read the
-materialised clean table and view (written once per application, see
-`plans.stages`), the way a dashboard reads the loaded database.
+encounter table) and runs over all of it. Each intermediate table that many
+queries read - raw, deduplicated/formatted, clean, the three normalised
+tables, the view - is written once per application (`plans.stages`), the
+way the reports of a dashboard read one loaded database; each query then
+runs its own step over the whole of its input.
 
 Doubles are rounded to 6 decimals here (and only here), so results can be
 compared with the SQL oracle regardless of summation order; the library
@@ -53,17 +54,16 @@ def _raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stages(spark: SparkSession, sf: str) -> cleaning.CleaningStages:
-    return remembered(spark, f"{sf}|stages", lambda: cleaning.cleaning_stages(_raw(spark, sf)))
+    """The cleaning run's tables. The deduplicated, formatted table is
+    written once (the dedup runs once per application); the outlier step,
+    the profiles and the run report scan it."""
+    return remembered(spark, f"{sf}|stages", lambda: cleaning.cleaning_stages(
+        _raw(spark, sf), stage=lambda name, df: materialised(spark, f"{sf}|{name}", lambda: df)))
 
 
 def _clean(spark: SparkSession, sf: str) -> DataFrame:
-    """The clean table, written once; the dedup runs once (the deduplicated,
-    formatted table is written first and the outlier step scans it)."""
-    def build():
-        staged = cleaning.cleaning_stages(
-            _raw(spark, sf), stage=lambda name, df: materialised(spark, f"{sf}|{name}", lambda: df))
-        return staged.clean
-    return materialised(spark, f"{sf}|clean", build)
+    """The clean table, written once."""
+    return materialised(spark, f"{sf}|clean", lambda: _stages(spark, sf).clean)
 
 
 def _tables(spark: SparkSession, sf: str, keying: str = "last_wins") -> Tables:

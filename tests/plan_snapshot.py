@@ -47,7 +47,10 @@ def main(argv):
     tables = registry._tables(spark, sf)
     view = registry._view(spark, sf)
     sections = [
-        ("Cleaning chain (dedup, title case, dates, z-score filter), lazy", cleaning_stages(raw).clean),
+        ("Cleaning chain (dedup, title case, dates, z-score filter), fully lazy: the statistics "
+         "subquery repeats the dedup", cleaning_stages(raw).clean),
+        ("Clean table from the written deduplicated rows (what the registered queries use)",
+         registry._stages(spark, sf).clean),
         ("Admissions keyed to the last patient of their name", lazy.admissions),
         ("Bills keyed to the last admission of their date (bounded broadcast)", lazy.billing),
         ("Encounter view from the written tables", encounter_view(tables)),
