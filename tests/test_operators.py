@@ -229,3 +229,35 @@ def test_profiles_and_kpis_per_group(spark):
     k = {r.g: (r.total_patients, r.avg_stay, r.avg_cost)
          for r in reports.kpis(df.withColumnRenamed("x", "total_charges"), group_cols=["g"], labels=False).collect()}
     assert k == {"a": (2, 4.0, 1.0), "b": (1, 7.0, 2.0)}
+
+
+def test_equal_bills_on_one_date_merge(spark):
+    # Billing is distinct on (date, charge, insurer): two patients' equal
+    # bills on one date become one bill (last-wins); exact keying keeps both
+    clean = _clean_rows(spark, [
+        ("A", "F", "A", "X", d("2024-01-01"), d("2024-01-03"), "u", 1, "doc", "h", 50.0, "i", 0),
+        ("B", "M", "A", "X", d("2024-01-01"), d("2024-01-04"), "u", 2, "doc", "h", 50.0, "i", 1),
+    ])
+    assert normalise(clean).billing.count() == 1
+    assert normalise(clean, "exact").billing.count() == 2
+
+
+def test_growth_arithmetic_in_doubles(spark):
+    # Rates summed left to right in floats, /12, compound power in doubles
+    from staylens.schemas import GROWTH_FACTORS, monthly_growth_rate
+    total = 0.0
+    for _, r in GROWTH_FACTORS:
+        total += r
+    assert monthly_growth_rate() == total / 12
+    hist = spark.createDataFrame([(d("2024-01-31"), 0, 5), (d("2024-02-29"), 1, 5)],
+                                 "month_end date, k int, n_patients long")
+    fc = {r.k: r.growth for r in timeseries.forecast(timeseries.linear_fit(hist)).collect()}
+    for k in (1, 12, 119):
+        assert abs(fc[k] - (1 + total / 12) ** k) <= 4e-16 * fc[k]
+    assert dict(timeseries.forecast(timeseries.linear_fit(hist)).dtypes)["growth"] == "double"
+
+
+def test_keep_null_groups(spark):
+    df = spark.createDataFrame([("a", 1.0), (None, 3.0)], "gender string, total_charges double")
+    got = {r.gender: r.avg_cost for r in reports.cost_by_group(df, keep_null_groups=True).collect()}
+    assert got == {"a": 1.0, None: 3.0}
