@@ -16,6 +16,9 @@ from __future__ import annotations
 import argparse
 import os
 
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
+
 from staylens.plans.cleaning import cleaning_report, cleaning_stages
 from staylens.plans.dashboard import build_reports
 from staylens.plans.encounters import encounter_view
@@ -31,15 +34,22 @@ def _load(args) -> None:
     # statistics and filter scan them instead of re-running the dedup
     stages = cleaning_stages(raw, threshold=args.threshold,
                              stage=lambda name, df: read_table(spark, write_table(df, os.path.join(args.out, name))))
-    clean = read_table(spark, write_table(stages.clean, os.path.join(args.out, "clean")))
-    write_table(cleaning_report(stages, threshold=args.threshold), os.path.join(args.out, "cleaning_report"))
+    counts = {}
 
-    def stage(name, df):
-        return read_table(spark, write_table(df, os.path.join(args.out, name)))
+    def written(name, df):
+        # row count taken while the table is written (no second pass)
+        obs = Observation(name)
+        path = write_table(df.observe(obs, F.count(F.lit(1)).alias("rows")), os.path.join(args.out, name))
+        counts[name] = obs.get["rows"]
+        return read_table(spark, path)
 
-    tables = normalise(clean, args.keying, stage=stage)
+    clean = written("clean", stages.clean)
+    write_table(cleaning_report(stages, threshold=args.threshold), os.path.join(args.out, "cleaning_report"))
+    tables = normalise(clean, args.keying, stage=written)
     for name, bad in tables.quarantine.items():
-        write_table(bad, os.path.join(args.out, f"quarantine_{name}"))
+        written(f"quarantine_{name}", bad)
+    for name, n in counts.items():
+        print(f"{name}: {n} rows")
     print(f"tables written to {args.out}")
 
 

@@ -9,13 +9,15 @@ from staylens.__main__ import main
 from staylens.sources.fixtures import raw_encounters_text
 
 
-def test_load_then_report(spark, scratch_dir):
+def test_load_then_report(spark, scratch_dir, capsys):
     raw = os.path.join(scratch_dir, "raw")
     (raw_encounters_text(spark, SF001).coalesce(1).sortWithinPartitions("row_pos").drop("row_pos")
      .write.option("header", True).csv(raw))
     tables = os.path.join(scratch_dir, "tables")
     out = os.path.join(scratch_dir, "reports")
     main(["load", "--raw", raw, "--out", tables])
+    out_text = capsys.readouterr().out
+    assert "patients: 200 rows" in out_text and "clean: 1497 rows" in out_text
     main(["report", "--tables", tables, "--out", out])
     # same numbers as the golden sf0.001 run (FIXTURES.md)
     assert spark.read.parquet(os.path.join(tables, "patients")).count() == 200
