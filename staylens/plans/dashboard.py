@@ -13,16 +13,24 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 
 from staylens.operators import reports, timeseries
-from staylens.plans.cleaning import clean_encounters
+from staylens.plans.cleaning import clean_encounters, cleaning_stages
 from staylens.plans.encounters import encounter_view
 from staylens.plans.normalise import normalise
 from staylens.schemas import FORECAST_HORIZON, TOP_DOCTORS
 from staylens.session import cut_lineage
 
 
-def encounters_from_raw(raw: DataFrame, keying: str = "last_wins", **clean_options) -> DataFrame:
-    """Clean, normalise and join: the view every report reads."""
-    return encounter_view(normalise(clean_encounters(raw, **clean_options), keying))
+def encounters_from_raw(raw: DataFrame, keying: str = "last_wins", stage=None, **clean_options) -> DataFrame:
+    """Clean, normalise and join: the view every report reads.
+
+    `stage` (e.g. `plans.stages.stage_to(folder)`) writes the deduplicated
+    rows and each table as they are built, so the dedup runs once and every
+    table is computed once; without it the whole chain is one lazy plan.
+    """
+    if stage is None:
+        return encounter_view(normalise(clean_encounters(raw, **clean_options), keying))
+    clean = stage("clean", cleaning_stages(raw, stage=stage, **clean_options).clean)
+    return encounter_view(normalise(clean, keying, stage=stage))
 
 
 def materialise(df: DataFrame) -> DataFrame:

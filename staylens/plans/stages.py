@@ -75,3 +75,14 @@ def forget(spark: SparkSession | None = None, keys=None, delete_files: bool = Fa
             for target in targets:
                 path = jvm.org.apache.hadoop.fs.Path(target)
                 path.getFileSystem(conf).delete(path, True)
+
+
+def stage_to(folder: str) -> Callable[[str, DataFrame], DataFrame]:
+    """A `stage` hook for `cleaning_stages` / `normalise`: write each table
+    as Parquet under `folder` (on storage every node sees) and read it back,
+    so later steps scan it instead of recomputing it."""
+    def stage(name: str, df: DataFrame) -> DataFrame:
+        path = f"{folder.rstrip('/')}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.parquet(path)
+    return stage

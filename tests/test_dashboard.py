@@ -32,3 +32,15 @@ def test_build_reports_per_group(spark):
     hist = out["monthly_patients"].groupBy("medical_condition").agg(F.max("k").alias("m"), F.count("*").alias("n"))
     assert all(r.n == r.m + 1 for r in hist.collect())      # gap-free spine per series
     assert out["top_doctors"].count() == 3
+
+
+def test_encounters_from_raw_staged_equals_lazy(spark, scratch_dir):
+    from staylens.plans.dashboard import encounters_from_raw
+    from staylens.plans.stages import stage_to
+    raw = registry._raw(spark, SF001)
+    staged = encounters_from_raw(raw, stage=stage_to(scratch_dir))
+    lazy = encounters_from_raw(raw)
+    assert staged.count() == lazy.count() == 1815
+    assert staged.exceptAll(lazy).count() == 0
+    import os
+    assert {"dated", "clean", "patients", "admissions", "billing"} <= set(os.listdir(scratch_dir))
