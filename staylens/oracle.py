@@ -217,6 +217,16 @@ def _missing() -> str:
     return _with([("mr", f"SELECT count(*) AS n, {counts} FROM raw")]) + _union(rows)
 
 
+def _missing_by_group(group: str) -> str:
+    cols = [c for c in RAW_COLUMNS if c != group]
+    counts = ", ".join(
+        f"count(*) FILTER (WHERE {_q(c)} IS NULL{' OR isnan(' + _q(c) + ')' if _NUMERIC.get(c) == 'DOUBLE' else ''})"
+        f" AS m{i}" for i, c in enumerate(cols))
+    rows = [f"SELECT {_q(group)}, {_s(c)} AS column_name, {i} AS position, m{i} AS missing_count, "
+            f"{_r(f'CAST(m{i} AS DOUBLE) / n * 100.0')} AS missing_pct FROM mg" for i, c in enumerate(cols)]
+    return _with([("mg", f"SELECT {_q(group)}, count(*) AS n, {counts} FROM raw GROUP BY {_q(group)}")]) + _union(rows)
+
+
 def _growth(name: str) -> str:
     return f"{_r(f'(predicted_{name} - current_avg) / current_avg * 100.0')} AS growth_{name}"
 
@@ -284,6 +294,7 @@ def _not_null_split() -> str:
 SQL: dict[str, str] = {
     # cleaning
     "missing_report": _missing(),
+    "missing_report_by_group": _missing_by_group("Hospital"),
     "duplicate_count": _with() + (
         "SELECT CAST(sum(c) AS BIGINT) AS n_rows, count(*) AS n_distinct, CAST(sum(c - 1) AS BIGINT) AS n_duplicates, "
         "CAST(coalesce(sum(CASE WHEN c > 1 THEN c END), 0) AS BIGINT) AS n_in_groups "
@@ -337,6 +348,10 @@ SQL: dict[str, str] = {
         "'$' || format('{:,.2f}', avg_cost) AS avg_cost_label "
         "FROM (SELECT count(DISTINCT patient_id) AS total_patients, avg(length_of_stay) AS avg_stay, "
         "avg(total_charges) AS avg_cost FROM view)"),
+    "kpi_cards_by_group": _with() + (
+        "SELECT medical_condition, count(DISTINCT patient_id) AS total_patients, "
+        f"{_r('avg(length_of_stay)')} AS avg_stay, {_r('avg(total_charges)')} AS avg_cost "
+        "FROM view WHERE medical_condition IS NOT NULL GROUP BY medical_condition"),
     "cost_by_gender": _with() + (
         "SELECT gender, round(round_even(avg(total_charges) * 100, 0) / 100, 6) AS avg_cost "
         "FROM view WHERE gender IS NOT NULL GROUP BY gender"),

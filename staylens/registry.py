@@ -86,6 +86,10 @@ def q_missing_report(spark, sf):
     return rounded(profile.missing_report(_raw(spark, sf)))
 
 
+def q_missing_report_by_group(spark, sf):
+    return rounded(profile.missing_report(_raw(spark, sf), group_cols=(HOSPITAL,)))
+
+
 def q_duplicate_count(spark, sf):
     return dedup.duplicate_count(_raw(spark, sf))
 
@@ -205,6 +209,10 @@ def q_kpi_cards(spark, sf):
     return rounded(reports.kpis(_view(spark, sf), labels=True))
 
 
+def q_kpi_cards_by_group(spark, sf):
+    return rounded(reports.kpis(_view(spark, sf), labels=False, group_cols=(GROUP_FORECAST_KEY,)))
+
+
 def q_cost_by_gender(spark, sf):
     return rounded(reports.cost_by_group(_view(spark, sf), "gender"))
 
