@@ -22,3 +22,11 @@ def test_entry_runs(spark):
     assert df.columns == ["medical_condition", "avg_los", "n_patients"]
     assert df.count() == 6
     assert set(e.queries()) == set(e.oracle_sql())
+
+
+def test_query_schemas_are_stable(spark):
+    import __spark_entry__ as e
+    for name, fn in e.queries().items():
+        first, second = fn(spark, SF001), fn(spark, SF001)
+        assert first.schema == second.schema, name
+        assert len(set(first.columns)) == len(first.columns), name
