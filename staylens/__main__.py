@@ -32,7 +32,8 @@ def _load(args) -> None:
     raw = read_raw_csv(spark, args.raw)
     # the deduplicated, formatted rows are written once; the outlier
     # statistics and filter scan them instead of re-running the dedup
-    stages = cleaning_stages(raw, threshold=args.threshold,
+    groups = [args.outlier_group_by] if args.outlier_group_by else []
+    stages = cleaning_stages(raw, threshold=args.threshold, group_cols=groups,
                              stage=lambda name, df: read_table(spark, write_table(df, os.path.join(args.out, name))))
     counts = {}
 
@@ -44,7 +45,8 @@ def _load(args) -> None:
         return read_table(spark, path)
 
     clean = written("clean", stages.clean)
-    write_table(cleaning_report(stages, threshold=args.threshold), os.path.join(args.out, "cleaning_report"))
+    write_table(cleaning_report(stages, threshold=args.threshold, group_cols=groups),
+                os.path.join(args.out, "cleaning_report"))
     tables = normalise(clean, args.keying, stage=written)
     for name, bad in tables.quarantine.items():
         written(f"quarantine_{name}", bad)
@@ -74,6 +76,7 @@ def main(argv=None) -> None:
     load.add_argument("--out", required=True)
     load.add_argument("--keying", choices=("last_wins", "exact"), default="last_wins")
     load.add_argument("--threshold", type=float, default=3.0)
+    load.add_argument("--outlier-group-by", default=None, help="z-scores per group of this raw column")
     load.set_defaults(run=_load)
     rep = sub.add_parser("report", help="compute the reports from written tables")
     rep.add_argument("--tables", required=True)
