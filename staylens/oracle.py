@@ -72,7 +72,7 @@ CTES = [
         JOIN customer c ON o.o_custkey = c.c_custkey
         JOIN nation n ON c.c_nationkey = n.n_nationkey
         JOIN supplier s ON s.s_suppkey = o.o_orderkey % (SELECT count(*) FROM supplier)"""),
-    ("copies", "SELECT *, 0 AS dup FROM base UNION ALL SELECT *, 1 AS dup FROM base WHERE k % 100 = 7"),
+    ("copies", "SELECT *, unnest(CASE WHEN k % 100 = 7 THEN [0, 1] ELSE [0] END) AS dup FROM base"),
     ("raw_text", f"""
         SELECT
           CASE WHEN k % 3 = 0 THEN upper('pat o''neil-' || substr(c_name, 10))
