@@ -9,6 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from staylens.llm.shared import table
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from staylens.llm.tokencount import digest
+    return digest(table(spark, sf_dir, "documents"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from staylens.llm.packing import digest
+    return digest(table(spark, sf_dir, "documents"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from staylens.llm.tokenfiles import digest
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from staylens.llm.decontaminate import digest
     return digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
