@@ -73,9 +73,13 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0]:offs[-1]], offs - offs[0]
 
 
-def word_codes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_codes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, stems: tuple[int, ...] = (),
+               stem_codes: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(code of each word, number of the first word of each text plus the end).
-    A word never runs over the border of two texts."""
+    A word never runs over the border of two texts. With `stems`, one array per
+    stem length goes to `stem_codes`: the code of each word's first so many
+    bytes, 0 for words that are not longer."""
+    found: list[list[np.ndarray]] = [[] for _ in stems]
     n = len(data)
     codes: list[np.ndarray] = []
     starts_all: list[np.ndarray] = []
@@ -119,7 +123,13 @@ def word_codes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
         np.cumsum(_VALUES[seg] * p[:len(seg)], out=sums[1:])
         codes.append(mix((sums[ends] - sums[starts]) * q[starts]))
         starts_all.append(starts + at)
+        for k, into in zip(stems, found):
+            longer = ends - starts > k
+            code = mix((sums[np.minimum(starts + k, len(seg))] - sums[starts]) * q[starts] + np.uint64(k))
+            into.append(np.where(longer, code, np.uint64(0)))
         at = end
+    if stem_codes is not None:
+        stem_codes += [np.concatenate(x) if x else np.empty(0, np.uint64) for x in found]
     starts = np.concatenate(starts_all) if starts_all else np.empty(0, np.int64)
     return (np.concatenate(codes) if codes else np.empty(0, np.uint64)), np.searchsorted(starts, offsets)
 

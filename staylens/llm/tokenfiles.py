@@ -230,7 +230,7 @@ def _writer(key: str, text: str, vocabulary: str, end_id: int, folder: str):
             if sink is None:
                 if isinstance(fs, pa.fs.LocalFileSystem):
                     fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-                sink = fs.open_output_stream(inner)
+                sink = fs.open_output_stream(inner, compression=None)
                 sink.write(MAGIC)
             texts = batch[text].to_pylist()
             for at in range(0, len(texts), 100):

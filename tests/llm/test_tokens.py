@@ -175,3 +175,14 @@ def test_token_files_query(spark, monkeypatch):
         f = tokenfiles.TokenFile(r["path"])
         assert f.ids(3, 40).tolist() == all_ids[r["start"]:r["start"] + r["n_ids"]][3:40]
     assert tokenfiles.digest(frame(spark, [])).count() == 0
+
+
+def test_token_pairs_equal_plain_merging():
+    rng = random.Random(9)
+    c = tokencount.PrefixCounter("byte_bpe_50k.json")
+    ids = sorted(c.text)
+    short = [i for i in ids if len(c.text[i]) < 4]
+    same = [c.ids[x] for x in (b"a", b"aa", b"--", b"-", b"----", b" ", b"  ", b"aaa", b"aaaa") if x in c.ids]
+    pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(3000)] + [(rng.choice(short), rng.choice(short)) for _ in range(6000)]
+    for a, b in pairs + [(x, y) for x in same for y in same]:
+        assert c._follows(a, b) == (c.merge(c.text[a] + c.text[b]) == [a, b]), (c.text[a], c.text[b])
