@@ -44,6 +44,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from staylens.llm.hnsw import digest
+    return digest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from staylens.llm.warc import digest
     return digest(table(spark, sf_dir, "pages"))
