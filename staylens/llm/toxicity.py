@@ -25,6 +25,7 @@ from staylens.llm.shared import col, free_name, small_batches, written
 #: Labelled rows that the classifier is fitted on, at most (those with the
 #: smallest hash of their id).
 SAMPLE_ROWS = 20_000
+SAMPLE_PARTS = 8
 #: Features kept, at most, and how many standard errors apart their shares must be.
 MAX_FEATURES, MIN_Z = 8192, 5.0
 STEMS = (4, 5, 6)
@@ -184,9 +185,10 @@ def _training(n_features: int, penalty: float):
     return run
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS,
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int | None = SAMPLE_ROWS,
         terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, penalty: float = SWAP_PENALTY) -> Model:
-    """Fit on at most `sample_rows` rows (a text and a 0/1 label each).
+    """Fit on `sample_rows` rows (a text and a 0/1 label each), more only where
+    keys tie; None takes all rows, for a sample that is already drawn.
 
     Only the text and the label are used; the key's hash picks the sample.
     Rows with a null text or label are left out. Without rows, or with one
@@ -197,7 +199,10 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
     spark = labelled.sparkSession
     small_batches(spark)
     rows = labelled.where(col(text).isNotNull() & col(label).isNotNull()).select(col(text).alias("text"), col(label).cast("int").alias("toxic"), F.xxhash64(col(key)).alias("h"))
-    sample = written(rows.orderBy("h", "toxic", F.xxhash64("text")).limit(sample_rows).select("text", "toxic").repartition(8), "labelled")
+    if sample_rows is not None:
+        last = rows.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+        rows = rows.where(F.col("h") <= last) if last is not None else rows
+    sample = written(rows.select("text", "toxic").repartition(SAMPLE_PARTS), "labelled")
     n1, n0 = sample.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") != 1)).first()
     if not n1 or not n0:
         share = (n1 + 0.5) / (n1 + n0 + 1.0) if n1 or n0 else 0.5
@@ -251,7 +256,7 @@ def fit_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     is taken first, so only its ids (at most `sample_rows`) meet the documents."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    return fit(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), sample_rows=sample_rows)
+    return fit(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), sample_rows=None)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
