@@ -45,6 +45,11 @@ GATHER = 1 << 20
 FREQUENT, MAX_FREQUENT = 100, 1 << 16
 #: Bits of a set's bitmap; members of a list compared in one task.
 BITS, BLOCK = 1024, 512
+#: Cost of comparing two members of a list (bitmaps, in one task) in units of
+#: the cost of a key (written, shuffled, grouped).
+COMPARE = 1 / 64
+#: Classes whose shared shingles are summed in one task, about.
+CREDITED = 1 << 19
 BLOCK_BYTES = 4 << 20
 
 
@@ -151,8 +156,9 @@ def _to_buckets(text: str, n: int, percent: int, n_buckets: int, gather: int):
     return run
 
 
-def _meet(table: pa.Table, frequent_from: int) -> pa.Table:
-    """One bucket: (0, class, its shared shingles here) and (1, frequent shingle, classes)."""
+def _meet(table: pa.Table, frequent_from: int, parts: int) -> pa.Table:
+    """One bucket: the classes with shared shingles and how many, packed by the
+    part that sums them up, and (part -1) the frequent shingles and their classes."""
     def joined(kind: int, name: str, of) -> np.ndarray:
         rows = table.filter(pc.equal(table["kind"], kind))[name]
         return np.concatenate([np.frombuffer(x.as_py(), of) for x in rows] or [np.empty(0, of)])
@@ -174,17 +180,35 @@ def _meet(table: pa.Table, frequent_from: int) -> pa.Table:
         frequent, times = tokens[start][often], classes[often]
     cls, place = np.unique(np.concatenate(ids), return_inverse=True)
     number = np.bincount(place, np.concatenate(numbers), minlength=len(cls)).astype(np.int64)
-    return pa.table({"kind": pa.array([0] * len(cls) + [1] * len(frequent), pa.int32()),
-                     "id": pa.array(np.concatenate([cls, frequent.view(np.int64)]), pa.int64()),
-                     "number": pa.array(np.concatenate([number, times]), pa.int64())})
+    part = (cls.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+    by = np.argsort(part, kind="stable")
+    cls, number, ends = cls[by], number[by], np.searchsorted(part[by], np.arange(parts + 1))
+    rows = [(k, cls[ends[k]:ends[k + 1]].tobytes(), number[ends[k]:ends[k + 1]].tobytes()) for k in range(parts) if ends[k] < ends[k + 1]]
+    if len(frequent):
+        rows.append((-1, frequent.tobytes(), times.astype(np.int64).tobytes()))
+    return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "a": pa.array([r[1] for r in rows], pa.binary()),
+                     "b": pa.array([r[2] for r in rows], pa.binary())})
 
 
-def _meeting(frequent_from: int):
+def _meeting(frequent_from: int, parts: int):
     def run(table: pa.Table) -> pa.Table:
-        return _meet(table, frequent_from)
+        return _meet(table, frequent_from, parts)
     return run
 
 
+def _sum_up(table: pa.Table) -> pa.Table:
+    """(id, number) of one part, numbers of equal ids added."""
+    ids, numbers = (np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table[c]]) for c in ("a", "b"))
+    ids, place = np.unique(ids, return_inverse=True)
+    return pa.table({"id": pa.array(ids), "number": pa.array(np.bincount(place, numbers, minlength=len(ids)).astype(np.int64))})
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in (a, b)], names=["id", "number"])
+
+
 def _full_sets(text: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, text, n):
@@ -232,14 +256,15 @@ def choose_boundary(rows: list[tuple[int, int, int]], sets: dict[int, int], perc
 
     `rows`: (size bin, postings, sum of the lengths of the lists they are in);
     `sets`: size -> number of sets. A light set costs its 2-subsets; a set that
-    heavy ones may link with costs its postings and half the lists they meet."""
+    heavy ones may link with costs its postings, and for half the lists they
+    meet a comparison, which is `COMPARE` of the cost of a key."""
     per_set = {}
     total = {}
     for size, n in sets.items():
         b = int(size_bin(size))
         total[b] = total.get(b, 0) + n
     for b, postings, scanned in rows:
-        per_set[b] = (postings + scanned / 2) / max(1, total.get(b, 1))
+        per_set[b] = (postings + COMPARE * scanned / 2) / max(1, total.get(b, 1))
     sizes = sorted(sets)
     light = np.cumsum([sets[s] * (m + 2) * (m + 1) / 2 for s in sizes for m in [s - int(_needed(s, percent))]])
     heavy = np.cumsum([sets[s] * per_set.get(int(size_bin(s)), 1.0) for s in sizes])
@@ -410,13 +435,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     spread = classes.agg(F.sum(F.col("size") - needed + F.floor(F.col("size") / 8) + 1)).first()[0] or 0
     n_buckets = 1 + int(spread) // BUCKET
     sent = docs.select("text").mapInArrow(_to_buckets("text", n, percent, n_buckets, GATHER), "bucket int, kind int, a binary, b binary")
-    met = written(sent.groupBy("bucket").applyInArrow(_meeting(FREQUENT), "kind int, id bigint, number bigint"), "met")
-    shared = met.where("kind = 0").groupBy(F.col("id").alias("cls")).agg(F.sum("number").alias("shared"))
+    parts = 1 + classes.count() // CREDITED
+    met = written(sent.groupBy("bucket").applyInArrow(_meeting(FREQUENT, parts), "part int, a binary, b binary"), "met")
+    summed = "id bigint, number bigint"
+    shared = met.where("part >= 0").groupBy("part").applyInArrow(_sum_up, summed).select(F.col("id").alias("cls"), F.col("number").alias("shared"))
     sure = F.greatest(F.lit(1), F.floor(needed / 8))
     left = classes.join(shared, "cls").where(F.col("shared") >= sure).select("cls", F.col("id").alias("rep"))
     texts = docs.join(left, docs["id"].eqNullSafe(left["rep"])).select("cls", "text")
     sets = written(texts.mapInArrow(_full_sets("text", n), "cls bigint, size bigint, shingles binary, bitmap binary"), "shingle-sets")
-    often = met.where("kind = 1").groupBy("id").agg(F.sum("number").alias("number")).orderBy(F.desc("number"), "id").limit(MAX_FREQUENT).collect()
+    often = met.where("part < 0").mapInArrow(_unpack, summed).orderBy(F.desc("number"), "id").limit(MAX_FREQUENT).collect()
     codes = np.array([r["id"] for r in often], np.int64).view(np.uint64)
     by = np.argsort(codes)
     frequent = spark.sparkContext.broadcast((codes[by], np.array([r["number"] for r in often], np.int64)[by]))
