@@ -3,22 +3,26 @@
 Both public JSON vocabularies split a text before a space that follows a
 non-space character and never look across that border, so a text's ids are
 the ids of its pieces, one after another. Distinct pieces are encoded once
-per worker (many in one call, parted by a special token) and kept in a
-bounded table.
+per worker (by the library's split and model; for other kinds of vocabulary,
+many in one call, parted by a special token) and kept in a bounded table.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from itertools import filterfalse
+from string import ascii_letters
 
 import numpy as np
 
 #: Entries kept in one worker's table; it is emptied when it would grow beyond.
-MAX_WORDS = 500_000
+MAX_WORDS = 1_500_000
 #: Characters of a text taken at once.
 SLICE = 1 << 20
 #: Pieces encoded in one call.
@@ -26,6 +30,18 @@ GROUP = 2000
 
 _ODD = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
+#: Marks that end many words and are a piece of the split by themselves.
+_ENDS = frozenset((",", "."))
+#: What byte-level vocabularies split a text into before the merges (fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_ODD_TEXTS = (" it's they'll don't 'tis", " a.b\n\n  c\t d", "x\u00a0y \u3000z\u2028", " 12³½ Ⅷ4a_b--c!?", " é̀ ß日本語 \u0301", " \x1c\x85 \x00", "'", " ")
+
+
+def _byte_letters() -> list[int]:
+    """Code of the visible letter that stands for each byte in byte-level vocabularies."""
+    kept = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
+    others = iter(range(256, 512))
+    return [b if b in kept else next(others) for b in range(256)]
 
 
 def resolve(vocabulary: str) -> str:
@@ -59,6 +75,18 @@ def pieces(text: str) -> tuple[str, list[str]]:
     return rest[0], rest[1:]
 
 
+class _Words(dict):
+    """A table that works out what it lacks."""
+
+    def __init__(self, of):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, word: str) -> bytes:
+        out = self[word] = self.of(word)
+        return out
+
+
 class WordIds:
     """Ids of texts as little-endian bytes of `self.dtype`."""
 
@@ -72,9 +100,91 @@ class WordIds:
         self.special = [t.content for _, t in special]
         plain = [(i, t.content) for i, t in special if not (t.lstrip or t.rstrip or t.single_word)]
         self.mark_id, self.mark = plain[0] if plain else (None, None)
-        self.table: dict[str, bytes] = {}      # pieces that follow a space
+        self.table: dict[str, bytes] = _Words(self._word)      # pieces that follow a space
+        self.parts: dict[str, bytes] = {}      # what the library's own split makes of odd pieces
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.letters = {b: chr(c) for b, c in zip(range(256), _byte_letters())}
+        self.pattern = None if self.tokenizer.pre_tokenizer is None else self._pattern()
+        self.lead = self._lead()
+        self.plain = self.tokenizer.normalizer is None
+        self.lowers = self._normal(ascii_letters) == ascii_letters.lower()
         self.heads: dict[str, bytes] = {}      # first pieces
 
+    def _lead(self) -> str | None:
+        """What stands before a word of letters after a space when it comes to the
+        merges; None unless such words are one byte-level piece."""
+        if self.mark is None or sys.byteorder != "little":
+            return None
+        split, found = self._split, set()
+        for word in ("ab", "é", "ß", "straße", "日本", "x" * 50):
+            pieces = split(self._normal(" " + word))
+            letters = self._letters(word)
+            if len(pieces) != 1 or not pieces[0].endswith(letters):
+                return None
+            found.add(pieces[0][:-len(letters)])
+        return found.pop() if len(found) == 1 else None
+
+    def _normal(self, text: str) -> str:
+        return self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+
+    def _split(self, text: str) -> list[str]:
+        """Pieces of a normalised text that the merges stay within, in byte letters."""
+        if self.pattern is not None:
+            return list(map(self._letters, self.pattern.findall(text)))
+        return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)] if self.tokenizer.pre_tokenizer else [text]
+
+    def _pattern(self):
+        """The regular expression behind the library's split, when it is one and
+        finds the same pieces in some odd texts."""
+        import regex
+
+        split = json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}
+        steps = split.get("pretokenizers", [split])
+        if steps[-1].get("type") != "ByteLevel" or steps[-1].get("add_prefix_space"):
+            return None
+        if len(steps) == 1 and steps[0].get("use_regex"):
+            found = PATTERN
+        elif len(steps) == 2 and steps[0].get("type") == "Split" and steps[0].get("invert") and steps[0].get("behavior") == "Removed" and not steps[1].get("use_regex"):
+            found = steps[0]["pattern"].get("Regex", "")
+        else:
+            return None
+        found = regex.compile(found)
+        same = all(list(map(self._letters, found.findall(t))) == [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(t)] for t in _ODD_TEXTS)
+        return found if same and not found.groups else None
+
+    def _letters(self, word: str) -> str:
+        return word.encode().decode("latin-1").translate(self.letters)
+
+    def _merged(self, piece: str) -> bytes:
+        """Ids of one piece of the split, by the library's model."""
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
+
+    def _part(self, piece: str) -> bytes:
+        out = self.parts.get(piece)
+        if out is None:
+            if len(self.parts) > MAX_WORDS // 10:
+                self.parts.clear()
+            out = self.parts[piece] = self._merged(piece)
+        return out
+
+    def _word(self, w: str) -> bytes:
+        """Ids of a space and a string, through the library's split and model."""
+        stem, end = (w[:-1], w[-1]) if w[-1:] in _ENDS else (w, "")
+        if stem.isalpha():
+            ids = self.table.get(stem) if end else None
+            if ids is None:
+                low = stem if self.plain else stem.lower() if self.lowers and stem.isascii() else self._normal(stem)
+                if low.isalpha():
+                    ids = self._merged(self.lead + self._letters(low))
+                else:
+                    ids = b"".join(map(self._part, self._split(self._normal(" " + stem))))
+                if end:
+                    self.table[stem] = ids
+            return ids + self._part(end) if end else ids
+        if any(x in w for x in self.special):
+            return self._plain(" " + w)
+        return b"".join(map(self._part, self._split(self._normal(" " + w))))
+
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
@@ -109,14 +219,11 @@ class WordIds:
             self.heads.clear()
         heads = {h for parts in cut for h, _ in parts if h not in self.heads}
         self._fill(self.heads, sorted(heads), "")
-        need: set[str] = set()
-        for parts in cut:
-            for _, rest in parts:
-                need.update(filterfalse(self.table.__contains__, rest))
-        if self.table and len(self.table) + len(need) > MAX_WORDS:
+        if len(self.table) > MAX_WORDS:
             self.table.clear()
-            need = {p for parts in cut for _, rest in parts for p in rest}
-        self._fill(self.table, list(need), " ")
+        if self.lead is None:
+            need = {p for parts in cut for _, rest in parts for p in filterfalse(self.table.__contains__, rest)}
+            self._fill(self.table, list(need), " ")
         get = self.table.__getitem__
         return [b"".join(x for h, rest in parts for x in (self.heads[h], b"".join(map(get, rest)))) for parts in cut]
 
