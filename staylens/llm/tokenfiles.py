@@ -37,7 +37,7 @@ BLOCK_IDS = 1 << 20
 #: A pair must occur this often to become a rule; rules per round; a round
 #: that shortens the block by less than this share is the last.
 MIN_COUNT = 8
-RULES_PER_ROUND = 1024
+RULES_PER_ROUND = 2048
 MIN_GAIN = 0.02
 _HEAD = struct.Struct("<7Q")
 
@@ -63,8 +63,10 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT, min_gain: float = MIN_
              per_round: int = RULES_PER_ROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(terminals, rules, symbols) of a block: symbol s < len(terminals) is an
     id, any other is the pair rules[s - len(terminals)] of earlier symbols."""
-    terminals, seq = np.unique(ids, return_inverse=True)
-    seq = seq.astype(np.uint32)
+    terminals = np.flatnonzero(np.bincount(ids)) if len(ids) else np.empty(0, np.int64)
+    places = np.zeros(int(terminals[-1]) + 1 if len(terminals) else 0, np.uint32)
+    places[terminals] = np.arange(len(terminals))
+    seq = places[ids]
     rules: list[np.ndarray] = []
     symbols = len(terminals)
     while len(seq) > 1:
