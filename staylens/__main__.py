@@ -3,7 +3,7 @@
     python -m staylens load   --raw RAW.csv --out TABLES_DIR [--keying last_wins|exact]
     python -m staylens report --tables TABLES_DIR --out REPORTS_DIR [--group-by COL]
 
-`load` cleans the raw file and writes dated/ (deduplicated, formatted),
+`load` cleans the raw file and writes raw/ (as read), dedup/, dated/ (formatted),
 clean/, patients/, admissions/, billing/, the quarantined rows and
 cleaning_report/ as Parquet. `report`
 joins the tables into the encounter view, writes it once, writes every
@@ -24,12 +24,14 @@ from staylens.plans.dashboard import build_reports
 from staylens.plans.encounters import encounter_view
 from staylens.plans.normalise import Tables, normalise
 from staylens.session import get_session
-from staylens.sources.files import read_raw_csv, read_table, write_table
+from staylens.sources.files import malformed_lines, read_raw_csv, read_table, write_table
 
 
 def _load(args) -> None:
     spark = get_session(args.master)
-    raw = read_raw_csv(spark, args.raw)
+    # the parsed file is written once; profiles, dedup and report scan it
+    raw = read_table(spark, write_table(read_raw_csv(spark, args.raw, multi_line=args.multi_line, on_malformed=args.on_malformed),
+                                        os.path.join(args.out, "raw")))
     # the deduplicated, formatted rows are written once; the outlier
     # statistics and filter scan them instead of re-running the dedup
     groups = [args.outlier_group_by] if args.outlier_group_by else []
@@ -50,6 +52,8 @@ def _load(args) -> None:
     tables = normalise(clean, args.keying, stage=written)
     for name, bad in tables.quarantine.items():
         written(f"quarantine_{name}", bad)
+    if args.on_malformed == "quarantine":
+        written("quarantine_lines", malformed_lines(spark, args.raw, args.multi_line))
     for name, n in counts.items():
         print(f"{name}: {n} rows")
     print(f"tables written to {args.out}")
@@ -74,6 +78,8 @@ def main(argv=None) -> None:
     load = sub.add_parser("load", help="clean a raw file and write the tables")
     load.add_argument("--raw", required=True)
     load.add_argument("--out", required=True)
+    load.add_argument("--multi-line", action="store_true", help="quoted fields may hold line breaks")
+    load.add_argument("--on-malformed", choices=("fail", "quarantine"), default="fail", help="lines with more fields than the header")
     load.add_argument("--keying", choices=("last_wins", "exact"), default="last_wins")
     load.add_argument("--threshold", type=float, default=3.0)
     load.add_argument("--outlier-group-by", default=None, help="z-scores per group of this raw column")

@@ -4,8 +4,9 @@ New raw files in a folder are loaded micro-batch by micro-batch into one
 Parquet table of raw rows (typed, missing-value tokens resolved), the way
 rows are appended to a table in the batch load:
 
-* each batch gets `row_pos` (batch number in the high bits, a per-batch
-  increasing id below), so "first"/"last" keep meaning arrival order;
+* each batch gets `row_pos`, dense and going on from the largest stored one,
+  so "first"/"last" keep meaning arrival order, whatever the number of read
+  partitions or batches;
 * duplicate rows are dropped within the batch (first kept) and against the
   rows already stored. The stored table keeps a 64-bit hash of each row;
   the anti join uses the hash as its equi-key and compares every column
@@ -34,10 +35,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from staylens.operators.dedup import drop_duplicates
 from staylens.schemas import NA_TOKENS, RAW_COLUMNS, RAW_TEXT_SCHEMA, ROW_POS
-from staylens.sources.files import load_raw
+from staylens.sources.files import dense_positions, load_raw
 
 ROW_KEY = "row_key"
-_BATCH_SHIFT = 44  # ids below 2^44 within a batch: up to 2048 read partitions
 
 
 def raw_file_stream(spark: SparkSession, src_dir: str, schema: T.StructType = RAW_TEXT_SCHEMA,
@@ -45,7 +45,7 @@ def raw_file_stream(spark: SparkSession, src_dir: str, schema: T.StructType = RA
     """Stream of raw text rows from files arriving in `src_dir`."""
     reader = spark.readStream.schema(schema).format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.option("header", True).option("escape", '"')
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.load(src_dir)
@@ -55,14 +55,13 @@ def _q(name: str):
     return F.col(f"`{name}`")
 
 
-def load_batch(batch: DataFrame, batch_id: int, columns: Iterable[str] = RAW_COLUMNS,
+def load_batch(batch: DataFrame, start: int = 0, columns: Iterable[str] = RAW_COLUMNS,
                tokens: Iterable[str] = NA_TOKENS) -> DataFrame:
-    """One micro-batch of text rows -> raw rows with row_pos and row_key,
-    duplicates inside the batch dropped (first kept)."""
+    """One micro-batch of text rows -> raw rows with row_pos (from `start` on,
+    dense in read order) and row_key, duplicates inside the batch dropped
+    (first kept)."""
     cols = list(columns)
-    numbered = batch.withColumn(ROW_POS, F.lit(batch_id).cast("long") * F.lit(1 << _BATCH_SHIFT)
-                                + F.monotonically_increasing_id())
-    raw = drop_duplicates(load_raw(numbered, tokens), subset=cols)
+    raw = drop_duplicates(load_raw(dense_positions(batch, ROW_POS, start), tokens), subset=cols)
     return raw.withColumn(ROW_KEY, F.xxhash64(*[_q(c) for c in cols]))
 
 
@@ -78,19 +77,23 @@ def new_rows(loaded: DataFrame, stored: DataFrame | None, columns: Iterable[str]
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # nothing written yet
+    """The stored table, or None when nothing is there; other errors rise."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return None
+    return spark.read.parquet(path)
 
 
 def append_batch(batch: DataFrame, batch_id: int, table_path: str,
                  columns: Iterable[str] = RAW_COLUMNS) -> None:
-    """foreachBatch body: load, drop known rows, append."""
+    """foreachBatch body: load, drop known rows, append. Positions go on from
+    the largest one stored (a maximum from the files' statistics)."""
     cols = list(columns)
-    loaded = load_batch(batch, batch_id, cols)
-    fresh = new_rows(loaded, _stored(batch.sparkSession, table_path), cols)
-    fresh.write.mode("append").parquet(table_path)
+    stored = _stored(batch.sparkSession, table_path)
+    last = stored.agg(F.max(ROW_POS)).first()[0] if stored is not None else None
+    loaded = load_batch(batch, 0 if last is None else last + 1, cols)
+    new_rows(loaded, stored, cols).write.mode("append").parquet(table_path)
 
 
 def start_ingest(spark: SparkSession, src_dir: str, table_path: str, checkpoint: str,

@@ -96,3 +96,59 @@ def test_materialised_tables_written_once_and_deleted(spark):
     assert not os.path.exists(folder)
     stages.materialised(spark, "test|once", build)        # rebuilt after forget
     assert len(calls) == 2
+
+
+HEADER = ",".join(RAW_COLUMNS)
+ROW = "Ann,F,A+,Flu,2024-1-5,Dr,H,I,12.5,7,Urgent,2024-01-09,Aspirin,Normal"
+
+
+def _file(scratch_dir, text):
+    path = os.path.join(scratch_dir, "raw.csv")
+    with open(path, "w") as f:
+        f.write(text)
+    return path
+
+
+def test_csv_columns_by_name_and_extra_columns(spark, scratch_dir):
+    names = ["Age", *reversed(RAW_COLUMNS)]
+    cells = dict(zip(RAW_COLUMNS, ROW.split(",")), Age="61")
+    raw = files.read_raw_csv(spark, _file(scratch_dir, ",".join(names) + "\n" + ",".join(cells[n] for n in names) + "\n"))
+    assert raw.columns == [*RAW_COLUMNS, "Age", "row_pos"]
+    assert raw.first()["Name"] == "Ann" and raw.first()["Age"] == "61" and raw.first()["Billing Amount"] == 12.5
+
+
+def test_csv_without_a_needed_column_is_refused(spark, scratch_dir):
+    import pytest
+    with pytest.raises(ValueError, match="Test Results"):
+        files.read_raw_csv(spark, _file(scratch_dir, HEADER.rsplit(",", 1)[0] + "\n"))
+
+
+def test_csv_quotes_line_breaks_and_blanks(spark, scratch_dir):
+    text = HEADER + '\n"Ann ""Bo"" Li' + ROW[3:].replace(",F,", '",F,', 1) + '\n"two\nlines' + ROW[3:].replace(",F,", '",F,', 1) + "\n"
+    raw = files.read_raw_csv(spark, _file(scratch_dir, text), multi_line=True)
+    assert [r["Name"] for r in raw.orderBy("row_pos").collect()] == ['Ann "Bo" Li', "two\nlines"]
+    df = spark.createDataFrame([("  lead", 'a "q", b', "x ")], "a string, b string, c string")
+    path = files.save_csv(df, os.path.join(scratch_dir, "out"))
+    assert tuple(spark.read.option("header", True).option("escape", '"').csv(path).first()) == ("  lead", 'a "q", b', "x ")
+
+
+def test_malformed_lines_stop_the_read_or_are_set_aside(spark, scratch_dir):
+    import pytest
+    path = _file(scratch_dir, "\n".join([HEADER, ROW, ROW + ",more", "Short,F", ROW.replace("Ann", '"a,b"')]) + "\n")
+    with pytest.raises(Exception, match="more fields than the header"):
+        files.read_raw_csv(spark, path).collect()
+    raw = files.read_raw_csv(spark, path, on_malformed="quarantine")
+    assert sorted(r["Name"] for r in raw.collect()) == ["Ann", "Short", "a,b"]
+    assert raw.count() == 3 and raw.where("Name = 'Short'").first()["Doctor"] is None
+    assert [r.line for r in files.malformed_lines(spark, path).collect()] == [ROW + ",more"]
+
+
+def test_failed_casts_are_not_missing_values(spark):
+    df = spark.createDataFrame([("$1,200.50", "1"), ("NA", "x"), ("3.5", "2")], "`Billing Amount` string, `Room Number` string")
+    assert sorted(tuple(r) for r in files.failed_casts(df).collect()) == [("Billing Amount", 1, 1), ("Room Number", 0, 1)]
+
+
+def test_positions_are_dense_for_any_number_of_partitions(spark):
+    df = spark.range(5000).repartition(37)
+    got = [r.row_pos for r in files.dense_positions(df, start=100).collect()]
+    assert sorted(got) == list(range(100, 5100))
