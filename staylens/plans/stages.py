@@ -6,14 +6,15 @@ dedup, the statistics and the joins; instead each is written once as
 Parquet under the shared checkpoint folder (`spark.checkpoint.dir`) and
 read back, so later scans get column pruning and filter pushdown, and the
 data survive the loss of any executor. Tables are keyed by Spark
-application and a caller-given key (e.g. source folder + stage name).
+application and a caller-given key (e.g. source folder, `source_mark` of its
+files, stage name), so a changed source is not answered from an old table.
 """
 
 from __future__ import annotations
 
 import hashlib
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,26 @@ def remembered(spark: SparkSession, key: str, build: Callable[[], object]) -> ob
         return _FRAMES[slot]
 
 
+def source_mark(spark: SparkSession, paths: Iterable[str]) -> str:
+    """A short text that changes when a file under the paths does (names,
+    lengths, modification times), for the key of a table made from them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    seen = hashlib.sha1()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        files = fs.listFiles(p, True) if fs.exists(p) else None
+        for line in sorted(_files(files)):
+            seen.update(line.encode())
+    return seen.hexdigest()[:16]
+
+
+def _files(files):
+    while files is not None and files.hasNext():
+        f = files.next()
+        yield f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}\n"
+
+
 def forget(spark: SparkSession | None = None, keys=None, delete_files: bool = False) -> None:
     """Drop the bookkeeping of this application's tables (the given `keys`,
     or all; without a session, everything). With `delete_files`, also delete

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library is tuned for. On a cluster they come from the job
@@ -17,6 +18,7 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
+STATIC_CONF = ("spark.ui.enabled", "spark.ui.showConsoleProgress")
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -29,23 +31,36 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    conf = dict(DEFAULT_CONF)
+    wanted = dict(extra or {})
     if shuffle_partitions:
-        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.update(extra or {})
-    for key, value in conf.items():
+        wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    for key, value in wanted.items():          # asked for by the caller
         builder = builder.config(key, value)
+    if SparkSession.getActiveSession() is None:
+        submitted = SparkConf()
+        for key in STATIC_CONF:                # settings that only a new session takes
+            if key not in wanted and not submitted.contains(key):
+                builder = builder.config(key, DEFAULT_CONF[key])
     spark = builder.getOrCreate()
+    for key, value in DEFAULT_CONF.items():
+        if key not in STATIC_CONF and key not in wanted and spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def _is_local(master: str) -> bool:
+    """One machine, one JVM: a local folder is a shared one."""
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder (`spark.checkpoint.dir`).
 
-    The cluster names a shared folder there; it is used as is. Only when it
-    is unset (local runs, tests) a scratch folder is made and set.
+    The cluster names a shared folder there; it is used as is. When it is
+    unset, a scratch folder is made and set on a local master (tests); on any
+    other, executors would not share it, so this raises.
     """
     try:
         sc = spark.sparkContext
@@ -56,10 +71,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if sc is None or not _is_local(sc.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: it has to name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="staylens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
-    if sc is not None:
-        sc.setCheckpointDir(local)
+    sc.setCheckpointDir(local)
     return local
 
 
