@@ -23,14 +23,17 @@ def money(c: Column | str) -> Column:
 def fixed(c: Column | str, digits: int, suffix: str = "") -> Column:
     """Fixed-point text: fixed(15.6086, 1, ' days') -> '15.6 days'.
 
-    The value is rounded half-to-even first, so ties do not round up.
+    The exact binary value is rounded, half to even, so 0.35 (a little less)
+    gives 0.3 and 15.65 (a little more) gives 15.7; a negative zero keeps its sign.
     """
-    return F.format_string(f"%.{digits}f{suffix.replace('%', '%%')}", F.bround(_col(c).cast("double"), digits))
+    text = F.replace(F.format_number(_col(c).cast("double"), digits), F.lit(","), F.lit(""))
+    return F.concat(text, F.lit(suffix)) if suffix else text
 
 
 def signed_pct(c: Column | str, digits: int = 1) -> Column:
     """3.25 -> '+3.2%'."""
-    return F.format_string(f"%+.{digits}f%%", F.bround(_col(c).cast("double"), digits))
+    text = fixed(c, digits, "%")
+    return F.when(text.startswith("-"), text).otherwise(F.concat(F.lit("+"), text))
 
 
 def count_label(c: Column | str, noun: str = "patients") -> Column:
@@ -40,4 +43,4 @@ def count_label(c: Column | str, noun: str = "patients") -> Column:
 
 def rate_label(c: Column | str) -> Column:
     """0.007 -> '0.7%/yr'."""
-    return F.format_string("%.1f%%/yr", F.bround(_col(c).cast("double") * F.lit(100.0), 1))
+    return fixed(_col(c).cast("double") * F.lit(100.0), 1, "%/yr")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from staylens.schemas import NA_TOKENS
 
-# A run of letters or a run of anything else; title case works run by run.
-_RUNS = r"(\p{L}+|[^\p{L}]+)"
+# A run of cased letters or a run of anything else (letters without case, as in
+# CJK or Hebrew, start a new word like any other sign); title case works run by run.
+_RUNS = r"([\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+)"
 
 
 def null_tokens(c: Column | str, tokens: Iterable[str] = NA_TOKENS, trim: bool = False) -> Column:

@@ -66,11 +66,13 @@ def duplicate_rows(df: DataFrame, subset: Iterable[str] | None = None, order_col
     """All rows of every group of equal rows (no row of a group is kept out).
 
     The keys of groups with more than one row are found by a grouping, then
-    the rows are picked by a NULL-safe semi join (split by AQE when one key is
-    hot), not by a window that would hold a whole group in one task.
+    the rows are picked by a semi join (split by AQE when one key is hot) on a
+    64-bit hash and the whole row as one struct (NULL equal to NULL in it),
+    not by a window that would hold a whole group in one task.
     """
     keys = _keys(df, subset, order_col)
+    row = F.struct(*[_q(k).alias(f"c{i}") for i, k in enumerate(keys)])
     dup_keys = (df.groupBy(*[_q(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
-                .where(F.col("_n") > 1).select(*[_q(k).alias(f"_k{i}") for i, k in enumerate(keys)]))
-    cond = [_q(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    return df.join(dup_keys, cond, "left_semi")
+                .where(F.col("_n") > 1).select(F.xxhash64(*[_q(k) for k in keys]).alias("_hash"), row.alias("_row")))
+    same = (F.xxhash64(*[_q(k) for k in keys]) == F.col("_hash")) & (row == F.col("_row"))
+    return df.join(dup_keys, same, "left_semi")

@@ -15,17 +15,19 @@ def _all_present(columns: Iterable[str]):
     return cond
 
 
-def split_not_null(df: DataFrame, columns: Iterable[str], on_bad: str = "quarantine"):
+def split_not_null(df: DataFrame, columns: Iterable[str], on_bad: str = "quarantine", table: str = "table"):
     """(good, quarantine): rows with every key column present, and the rest.
 
     A table with NOT NULL keys takes the good rows; the quarantine keeps the
-    others whole for inspection. `on_bad="fail"` returns the same pair; call
-    `check_no_nulls(quarantine)` to raise when it is not empty.
+    others whole for inspection. `on_bad="fail"` raises when there are such
+    rows (one `limit 1` probe).
     """
     cols = list(columns)
     if on_bad not in ("quarantine", "fail"):
         raise ValueError(f"on_bad must be 'quarantine' or 'fail', not {on_bad!r}")
     ok = _all_present(cols)
+    if on_bad == "fail":
+        check_no_nulls(df.where(~ok), table)
     return df.where(ok), df.where(~ok)
 
 
@@ -51,13 +53,15 @@ def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str | Non
 
 
 def orphan_report(relations: Iterable[tuple[str, DataFrame, DataFrame, str]]) -> DataFrame:
-    """One row per relation (name, child, parent, key): relation, n_child, n_orphans."""
+    """One row per relation (name, child, parent, key): relation, n_child,
+    n_orphans. Both counts come from one left join, so a child is read once."""
     parts = []
     for name, child, parent, key in relations:
-        n_child = child.agg(F.count(F.lit(1)).alias("n_child"))
-        n_orph = orphans(child, parent, key).agg(F.count(F.lit(1)).alias("n_orphans"))
-        parts.append(n_child.select(F.lit(name).alias("relation"), "n_child",
-                                    n_orph.scalar().alias("n_orphans")))
+        keys = parent.select(F.col(key).alias("_pk")).distinct()
+        joined = child.select(F.col(key).alias("_fk")).join(keys, F.col("_fk") == F.col("_pk"), "left")
+        parts.append(joined.agg(F.count(F.lit(1)).alias("n_child"),
+                                F.count_if(F.col("_fk").isNotNull() & F.col("_pk").isNull()).alias("n_orphans"))
+                     .select(F.lit(name).alias("relation"), "n_child", "n_orphans"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

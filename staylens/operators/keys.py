@@ -21,11 +21,6 @@ def last_wins_lookup(dim: DataFrame, key: str, value: str, order_col: str | None
     return base.groupBy(key).agg(agg)
 
 
-def attach(df: DataFrame, lookup: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """Add the lookup's value column to `df` by `key` (left: unknown keys get NULL)."""
-    return df.join(lookup, key, how)
-
-
 # A lookup at or below this many rows is broadcast (key + id: ~16 bytes a row).
 BROADCAST_MAX_ROWS = 2_000_000
 

@@ -85,15 +85,14 @@ def kept(threshold: float = OUTLIER_THRESHOLD) -> Column:
 def remove_outliers(df: DataFrame, column: str, threshold: float = OUTLIER_THRESHOLD,
                     group_cols: Iterable[str] = (), null_policy: str = "omit") -> DataFrame:
     """Rows with |z| <= threshold (inclusive); rows whose z is NULL go too."""
-    scored = with_stats(df, column, group_cols).withColumn("_z", zscore_expr(column, null_policy))
-    return scored.where(_keep(threshold)).drop("_mean", "_std", "_nulls", "_z")
+    rows = scored(df, column, group_cols, null_policy)
+    return rows.where(_keep(threshold)).drop("_mean", "_std", "_nulls", "_z")
 
 
 def outlier_rows(df: DataFrame, column: str, threshold: float = OUTLIER_THRESHOLD,
                  group_cols: Iterable[str] = (), null_policy: str = "omit", name: str = "z_score") -> DataFrame:
     """The rows `remove_outliers` removes, with their z-score."""
-    scored = with_stats(df, column, group_cols).withColumn("_z", zscore_expr(column, null_policy))
-    return (scored.where(~_keep(threshold)).withColumnRenamed("_z", name)
+    return (scored(df, column, group_cols, null_policy).where(~_keep(threshold)).withColumnRenamed("_z", name)
             .drop("_mean", "_std", "_nulls"))
 
 
@@ -101,8 +100,7 @@ def outlier_report(df: DataFrame, column: str, threshold: float = OUTLIER_THRESH
                    group_cols: Iterable[str] = (), null_policy: str = "omit") -> DataFrame:
     """Rows in, kept and removed, with the mean and std used (per group)."""
     groups = list(group_cols)
-    scored = with_stats(df, column, groups).withColumn("_z", zscore_expr(column, null_policy))
-    return (scored.groupBy(*[_q(g) for g in groups])
+    return (scored(df, column, groups, null_policy).groupBy(*[_q(g) for g in groups])
             .agg(F.count(F.lit(1)).alias("rows_in"),
                  F.count_if(_keep(threshold)).alias("rows_kept"),
                  F.count_if(~_keep(threshold)).alias("rows_removed"),

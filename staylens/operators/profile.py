@@ -1,4 +1,4 @@
-"""Profiles of a table: missing values, distinct values, date ranges, shape.
+"""Profiles of a table: missing values, distinct values, date ranges.
 
 Each profile is one aggregation pass over the table (many columns at once),
 never one job per column.
@@ -24,7 +24,8 @@ def _data_columns(df: DataFrame, columns: Iterable[str] | None) -> list[str]:
     return list(columns) if columns is not None else [c for c in df.columns if c != ROW_POS]
 
 
-def _is_missing(df: DataFrame, name: str):
+def is_missing(df: DataFrame, name: str):
+    """NULL, or NaN in a column of floating numbers."""
     col = _q(name)
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
         return col.isNull() | F.isnan(col)
@@ -42,7 +43,7 @@ def missing_report(df: DataFrame, columns: Iterable[str] | None = None,
     groups = list(group_cols)
     cols = [c for c in _data_columns(df, columns) if c not in groups]
     counts = df.groupBy(*[_q(g) for g in groups]).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.count_if(_is_missing(df, c)).alias(f"_m{i}") for i, c in enumerate(cols)])
+        F.count(F.lit(1)).alias("_n"), *[F.count_if(is_missing(df, c)).alias(f"_m{i}") for i, c in enumerate(cols)])
     entries = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"),
                                  F.col(f"_m{i}").alias("missing_count")) for i, c in enumerate(cols)])
     return (counts.select(*[_q(g) for g in groups], "_n", F.inline(entries))
@@ -78,9 +79,3 @@ def date_range(df: DataFrame, columns: Iterable[str], group_cols: Iterable[str]
     entries = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_b{i}.earliest").alias("earliest"),
                                  F.col(f"_b{i}.latest").alias("latest")) for i, c in enumerate(cols)])
     return bounds.select(*groups, F.inline(entries))
-
-
-def shape(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """Row and column count: n_rows, n_columns."""
-    cols = _data_columns(df, columns)
-    return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(cols)))

@@ -38,8 +38,8 @@ def group_mean(df: DataFrame, key: str | Sequence[str], value: str, name: str =
 
 def cost_by_group(df: DataFrame, key: str = "gender", value: str = "total_charges",
                   labels: bool = False, keep_null_groups: bool = False) -> DataFrame:
-    """Mean charge per group to the cent: key, avg_cost [, avg_cost_label]."""
-    out = group_mean(df, key, value, "avg_cost", 2, keep_null_groups)
+    """Mean charge per group to the cent, by key: key, avg_cost [, avg_cost_label]."""
+    out = group_mean(df, key, value, "avg_cost", 2, keep_null_groups).orderBy(key)
     return out.withColumn("avg_cost_label", money("avg_cost")) if labels else out
 
 
@@ -78,7 +78,7 @@ def top_groups(df: DataFrame, key: str = "doctor", entity: str = "patient_id", k
 
 
 def crosstab_pct(df: DataFrame, row: str = "medical_condition", col: str = "admission_type") -> DataFrame:
-    """Row-percent contingency table in long form: row, col, n_rows, pct.
+    """Row-percent contingency table in long form, by row and column: row, col, n_rows, pct.
 
     Counts rows (not entities); pairs with a NULL on either side are left
     out; each row's pct sums to 100. The window runs over the aggregated
@@ -87,20 +87,18 @@ def crosstab_pct(df: DataFrame, row: str = "medical_condition", col: str = "admi
     pairs = (df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
              .groupBy(row, col).agg(F.count(F.lit(1)).alias("n_rows")))
     total = F.sum("n_rows").over(Window.partitionBy(row))
-    return pairs.withColumn("pct", pct_of("n_rows", total))
+    return pairs.withColumn("pct", pct_of("n_rows", total)).orderBy(row, col)
 
 
 def crosstab_pct_wide(df: DataFrame, row: str = "medical_condition", col: str = "admission_type",
                       values: Sequence[str] | None = None) -> DataFrame:
     """Row-percent contingency table, one column per `col` value (0 where a
-    pair does not occur). Without `values`, Spark finds the distinct column
-    values first (capped by spark.sql.pivotMaxValues)."""
-    base = df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
-    counts = (base.groupBy(row).pivot(col, list(values) if values is not None else None)
-              .agg(F.count(F.lit(1))).na.fill(0))
-    value_cols = [c for c in counts.columns if c != row]
-    total = sum((F.col(f"`{c}`") for c in value_cols), F.lit(0))
-    return counts.select(row, *[pct_of(F.col(f"`{c}`"), total).alias(c) for c in value_cols])
+    pair does not occur), by row. Percentages are of all the row's pairs, also
+    those of values that are not listed. Without `values`, Spark finds the
+    distinct column values first (more than spark.sql.pivotMaxValues raise)."""
+    pairs = crosstab_pct(df, row, col)
+    return (pairs.groupBy(row).pivot(col, list(values) if values is not None else None)
+            .agg(F.first("pct")).na.fill(0.0).orderBy(row))
 
 
 def kpis(df: DataFrame, entity: str = "patient_id", stay: str = "length_of_stay",

@@ -4,12 +4,13 @@ Every step works per series (`group_cols`), so one call fits thousands of
 series in parallel. Only the first step touches row-level data (a grouped
 distinct count); the rest runs on one row per series-month. Month spines
 and horizons are generated with `sequence` + `explode` from one row per
-series - no cross join and no join against a driver-made range.
+series, and empty months are looked up in its map of counts - no join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,30 +27,44 @@ def _not_null(keys: Sequence[str]) -> Column:
     return cond
 
 
-def monthly_counts(df: DataFrame, date_col: str = "admission_date", entity: str = "patient_id",
-                   group_cols: Iterable[str] = (), drop_last: bool = True, approx: bool = False) -> DataFrame:
-    """Distinct entities per calendar month, empty months filled with 0.
+def _keep(name: str, df: DataFrame) -> DataFrame:
+    return df
+
 
-    Each series runs from its first to its last month (months without rows
-    inside that span count 0); with `drop_last` the last (incomplete) month
-    is dropped. Columns: *group_cols, month_end (date), k (0-based month
-    number in the series), n_patients (long).
+def monthly_counts(df: DataFrame, date_col: str = "admission_date", entity: str = "patient_id",
+                   group_cols: Iterable[str] = (), drop_last: bool = True, approx: bool = False,
+                   end: date | None = None, per_series_end: bool = False,
+                   stage: Callable[[str, DataFrame], DataFrame] = _keep) -> DataFrame:
+    """Distinct entities per calendar month, empty months filled with 0,
+    ordered by series and month.
+
+    Each series runs from its first month to the last month of the whole
+    table (`end`: any day of another last month; `per_series_end`: each
+    series' own last month). With `drop_last` that month, which may be
+    incomplete, is left out. Columns: *group_cols, month_end (date), k
+    (0-based month number in the series), n_patients (long).
+
+    Only the grouped distinct count touches rows; `stage("monthly", counts)`
+    is applied to it. Gaps are filled within one row per series.
     """
     groups = list(group_cols)
     distinct = F.approx_count_distinct(entity) if approx else F.count_distinct(entity)
-    counts = (df.where(F.col(date_col).isNotNull() & _not_null(groups))
-              .groupBy(*groups, F.last_day(F.col(date_col)).alias("month_end"))
-              .agg(distinct.alias("n_patients")))
-    first = F.trunc("lo", "month")
-    last = F.trunc("hi", "month")
-    stop = F.add_months(last, -1) if drop_last else last
-    months = F.when(stop >= first, F.sequence(first, stop, F.expr("interval 1 month")))
-    spine = (counts.groupBy(*groups).agg(F.min("month_end").alias("lo"), F.max("month_end").alias("hi"))
-             .select(*groups, month_index(first).alias("_k0"), F.explode(months).alias("_m"))
-             .select(*groups, F.last_day("_m").alias("month_end"),
-                     (month_index("_m") - F.col("_k0")).cast("int").alias("k")))
-    return (spine.join(counts, [*groups, "month_end"], "left")
-            .select(*groups, "month_end", "k", F.coalesce("n_patients", F.lit(0)).cast("long").alias("n_patients")))
+    counts = stage("monthly", df.where(F.col(date_col).isNotNull())
+                   .groupBy(*groups, month_index(F.col(date_col)).alias("_month")).agg(distinct.alias("_n")))
+    last = (F.max("_month") if per_series_end else
+            F.lit(end.year * 12 + end.month - 1) if end is not None else
+            F.first(counts.agg(F.max("_month")).scalar()))
+    months = (counts.where(_not_null(groups)).groupBy(*groups)
+              .agg(F.map_from_entries(F.collect_list(F.struct("_month", "_n"))).alias("_counts"),
+                   F.min("_month").alias("_first"), last.alias("_last")))
+    stop = F.col("_last") - 1 if drop_last else F.col("_last")
+    spine = months.where(stop >= F.col("_first")).select(
+        *groups, "_counts", "_first", F.explode(F.sequence("_first", stop)).alias("_month"))
+    first_day = F.make_date((F.col("_month") / 12).cast("int"), F.col("_month") % 12 + 1, F.lit(1))
+    return (spine.select(*groups, F.last_day(first_day).alias("month_end"),
+                         (F.col("_month") - F.col("_first")).cast("int").alias("k"),
+                         F.coalesce(F.col("_counts")[F.col("_month")], F.lit(0)).cast("long").alias("n_patients"))
+            .orderBy(*groups, "month_end"))
 
 
 def linear_fit(series: DataFrame, y: str = "n_patients", x: str = "k",
@@ -77,14 +92,6 @@ def linear_fit(series: DataFrame, y: str = "n_patients", x: str = "k",
                     "std_y", "mean_y", "last_month_end"))
 
 
-def growth_factor_table(spark, factors=GROWTH_FACTORS) -> DataFrame:
-    """The annual growth rates with their label ('0.7%/yr')."""
-    from staylens.functions.labels import rate_label
-    rows = [(i, name, float(rate)) for i, (name, rate) in enumerate(factors)]
-    df = spark.createDataFrame(rows, "position int, factor string, annual_rate double")
-    return df.withColumn("label", rate_label("annual_rate"))
-
-
 def _forecast_rows(fit: DataFrame, groups: Sequence[str], horizon: int, factors) -> DataFrame:
     rate = float(monthly_growth_rate(factors))
     k = F.col("k")
@@ -117,26 +124,27 @@ def forecast(fit: DataFrame, group_cols: Iterable[str] = (), horizon: int = FORE
 
 
 def forecast_summary(fit: DataFrame, group_cols: Iterable[str] = (), horizon: int = FORECAST_HORIZON,
-                     factors=GROWTH_FACTORS, windows=FORECAST_WINDOWS, labels: bool = False) -> DataFrame:
+                     factors=GROWTH_FACTORS, windows=FORECAST_WINDOWS, labels: bool = False,
+                     carry: Iterable[str] = ()) -> DataFrame:
     """Current monthly mean, mean forecast in each window and % change.
 
-    Columns: *group_cols, current_avg, predicted_<w>, growth_<w> per window
+    Columns: *group_cols, *carry (columns of the fit), current_avg, predicted_<w>, growth_<w> per window
     (default 1yr = months 0-11, 5yr = 48-59, 10yr = 108-119).
     """
     groups = list(group_cols)
     rows = _forecast_rows(fit, groups, horizon, factors)
-    aggs = [F.first("mean_y").alias("current_avg")]
+    aggs = [*(F.first(c).alias(c) for c in carry), F.first("mean_y").alias("current_avg")]
     for name, lo, hi in windows:
         aggs.append(F.avg(F.when(F.col("k").between(lo, hi), F.col("value"))).alias(f"predicted_{name}"))
     out = rows.groupBy(*groups).agg(*aggs)
     for name, _, _ in windows:
         out = out.withColumn(f"growth_{name}", pct_change(f"predicted_{name}", "current_avg"))
     if labels:
-        from staylens.functions.labels import count_label, signed_pct
-        out = out.withColumn("current_label", count_label(F.format_string("%.0f", F.bround("current_avg", 0))))
+        from staylens.functions.labels import count_label, fixed, signed_pct
+        out = out.withColumn("current_label", count_label(fixed("current_avg", 0)))
         for name, _, _ in windows:
             out = (out.withColumn(f"predicted_{name}_label",
-                                  count_label(F.format_string("%.0f", F.bround(f"predicted_{name}", 0))))
+                                  count_label(fixed(f"predicted_{name}", 0)))
                    .withColumn(f"growth_{name}_label", signed_pct(f"growth_{name}")))
     return out
 

@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from staylens.functions.dates import parse_date
 from staylens.functions.text import title_case
-from staylens.operators.dedup import drop_duplicates, duplicate_count
+from staylens.functions.numeric import pct_of
+from staylens.operators.dedup import drop_duplicates
 from staylens.operators import outliers
 from staylens.operators.outliers import remove_outliers
-from staylens.operators.profile import missing_report, unique_values
+from staylens.operators.profile import is_missing
 from staylens.schemas import (ADMIT_DATE, BILLING, CATEGORY_COLUMNS, DATE_FORMAT, DISCHARGE_DATE, NAME,
-                              OUTLIER_THRESHOLD)
+                              OUTLIER_THRESHOLD, ROW_POS)
 
 
 @dataclass
@@ -52,12 +53,13 @@ def cleaning_stages(raw: DataFrame, outlier_column: str = BILLING, threshold: fl
                     stage: Callable[[str, DataFrame], DataFrame] = _keep) -> CleaningStages:
     """Every intermediate table of the run, lazily (nothing is computed).
 
-    `stage("dated", df)` is applied to the deduplicated, formatted table
-    before the outlier step. A caller that writes it there (and reads it
-    back) shuffles the raw rows once: the z-score statistics and the filter
-    then both scan the written table, instead of each re-running the dedup.
+    `stage("dedup", df)` is applied to the deduplicated rows and
+    `stage("dated", df)` to the formatted ones, before the outlier step. A
+    caller that writes them there (and reads them back) shuffles the raw rows
+    once: the formatting, the z-score statistics and the filter then scan
+    written tables, instead of each re-running the dedup.
     """
-    dedup = drop_duplicates(raw)
+    dedup = stage("dedup", drop_duplicates(raw))
     titled = format_names(dedup)
     dated = stage("dated", format_dates(titled, fmt=date_format))
     clean = remove_outliers(dated, outlier_column, threshold, group_cols, null_policy)
@@ -69,14 +71,6 @@ def clean_encounters(raw: DataFrame, **options) -> DataFrame:
     return cleaning_stages(raw, **options).clean
 
 
-def _rows(df: DataFrame, step: str, metric_cols: dict, column_name=None) -> DataFrame:
-    entries = F.array(*[F.struct(F.lit(m).alias("metric"), v.cast("double").alias("value")) for m, v in
-                        metric_cols.items()])
-    col_name = column_name if column_name is not None else F.lit(None).cast("string")
-    return df.select(F.lit(step).alias("step"), col_name.alias("column_name"), F.inline(entries)).select(
-        "step", "metric", "column_name", "value", F.lit(None).cast("date").alias("value_date"))
-
-
 def cleaning_report(stages: CleaningStages, outlier_column: str = BILLING,
                     threshold: float = OUTLIER_THRESHOLD, categories: Iterable[str] = CATEGORY_COLUMNS,
                     date_columns: Iterable[str] = (ADMIT_DATE, DISCHARGE_DATE),
@@ -84,27 +78,36 @@ def cleaning_report(stages: CleaningStages, outlier_column: str = BILLING,
     """One long table of everything the run reports:
     step, metric, column_name, value (double), value_date (date).
 
-    Four passes: the raw table's missing counts, its duplicate groups, the
-    distinct category values, and one aggregate over the scored rows that
-    gives rows in / removed / saved and the date ranges of the saved rows.
+    Three passes: the raw rows' groups of equal rows give the missing counts
+    and the duplicates; one aggregate over the scored rows gives the distinct
+    category values, rows in / removed / saved and the date ranges of the saved
+    rows; the statistics of the scores are the third.
     """
-    dates = list(date_columns)
-    miss = missing_report(stages.raw)
+    dates, cats = list(date_columns), list(categories)
+    names = [c for c in stages.raw.columns if c != ROW_POS]
     rows = outliers.scored(stages.dated, outlier_column, group_cols, null_policy)
     keep = outliers.kept(threshold)
     summary = rows.agg(
         F.count(F.lit(1)).alias("rows_in"), F.count_if(~keep).alias("rows_removed"),
         F.count_if(keep).alias("rows_saved"),
+        *[(F.count_distinct(F.col(f"`{c}`")) + F.max(F.col(f"`{c}`").isNull().cast("int"))).alias(f"_u{i}")
+          for i, c in enumerate(cats)],
         *[F.min(F.when(keep, F.col(f"`{c}`"))).alias(f"_lo{i}") for i, c in enumerate(dates)],
         *[F.max(F.when(keep, F.col(f"`{c}`"))).alias(f"_hi{i}") for i, c in enumerate(dates)])
+    groups = stages.raw.groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.count(F.lit(1)).alias("_n"))
+    profile = groups.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("_rows"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("_dup"),
+        F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias("_in_groups"),
+        *[F.coalesce(F.sum(F.when(is_missing(stages.raw, c), F.col("_n"))), F.lit(0)).alias(f"_m{i}") for i, c in enumerate(names)])
+    entries = lambda *cells: F.array(*[F.struct(F.lit(step).alias("step"), F.lit(metric).alias("metric"),
+                                                F.lit(name).cast("string").alias("column_name"), value.cast("double").alias("value"),
+                                                F.lit(None).cast("date").alias("value_date")) for step, metric, name, value in cells])
     parts = [
-        _rows(miss, "missing", {"missing_count": F.col("missing_count"), "missing_pct": F.col("missing_pct")},
-              F.col("column_name")),
-        _rows(duplicate_count(stages.raw), "duplicates",
-              {"rows": F.col("n_rows"), "duplicates": F.col("n_duplicates"),
-               "rows_in_groups": F.col("n_in_groups")}),
-        _rows(unique_values(stages.dated, categories).groupBy("column_name").agg(F.count(F.lit(1)).alias("n")),
-              "unique", {"distinct_values": F.col("n")}, F.col("column_name")),
+        profile.select(F.inline(entries(
+            *[("missing", "missing_count", c, F.col(f"_m{i}")) for i, c in enumerate(names)],
+            *[("missing", "missing_pct", c, pct_of(f"_m{i}", "_rows")) for i, c in enumerate(names)],
+            ("duplicates", "rows", None, F.col("_rows")), ("duplicates", "duplicates", None, F.col("_dup")),
+            ("duplicates", "rows_in_groups", None, F.col("_in_groups"))))),
         summary.select(F.inline(F.array(
             *[F.struct(F.lit(step).alias("step"), F.lit(metric).alias("metric"),
                        F.lit(col).cast("string").alias("column_name"), F.col(src).cast("double").alias("value"),
@@ -112,6 +115,9 @@ def cleaning_report(stages: CleaningStages, outlier_column: str = BILLING,
               for step, metric, col, src in (("outliers", "rows_in", outlier_column, "rows_in"),
                                              ("outliers", "rows_removed", outlier_column, "rows_removed"),
                                              ("save", "rows", None, "rows_saved"))],
+            *[F.struct(F.lit("unique").alias("step"), F.lit("distinct_values").alias("metric"),
+                       F.lit(c).alias("column_name"), F.col(f"_u{i}").cast("double").alias("value"),
+                       F.lit(None).cast("date").alias("value_date")) for i, c in enumerate(cats)],
             *[F.struct(F.lit("date_range").alias("step"), F.lit(bound).alias("metric"),
                        F.lit(c).alias("column_name"), F.lit(None).cast("double").alias("value"),
                        F.col(f"_{tag}{i}").alias("value_date"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylens.operators.dedup import distinct_first
-from staylens.operators.integrity import check_no_nulls, split_not_null
+from staylens.operators.integrity import split_not_null
 from staylens.operators.keys import bounded_broadcast, day_span, last_wins_lookup
 from staylens.schemas import (ADMISSION_ATTRS, ADMISSION_KEYS, BILLING_ATTRS, BILLING_KEYS, PATIENT_ATTRS,
                               PATIENT_KEYS, RENAME_MAP, ROW_POS)
@@ -35,6 +35,7 @@ class Tables:
     billing: DataFrame
     quarantine: dict = field(default_factory=dict)
     unsplit: dict = field(default_factory=dict)  # rows before the NOT NULL split
+    billed_bound: int | None = None  # at most so many admissions have a bill (known under last-wins keying)
 
 
 def _keep(name: str, df: DataFrame) -> DataFrame:
@@ -67,27 +68,23 @@ def normalise(clean: DataFrame, keying: str = "last_wins",
     if on_bad not in ("quarantine", "fail"):
         raise ValueError(f"on_bad must be 'quarantine' or 'fail', not {on_bad!r}")
 
-    def checked(name: str, bad: DataFrame) -> None:
-        if on_bad == "fail":
-            check_no_nulls(bad, name)
-
+    billed_bound = None
     renamed = rename_columns(clean)
     patient_rows = distinct_first(renamed, PATIENT_ATTRS, "patient_id")
-    patients, patients_bad = split_not_null(patient_rows, PATIENT_KEYS)
-    checked("patients", patients_bad)
+    patients, patients_bad = split_not_null(patient_rows, PATIENT_KEYS, on_bad, "patients")
     patients = stage("patients", patients)
     if keying == "last_wins":
         by_name = last_wins_lookup(patients, "name", "patient_id")
         adm_rows = (distinct_first(renamed, ADMISSION_ATTRS, "admission_id").join(by_name, "name", "left")
                     .select("admission_id", "patient_id", *ADMISSION_ATTRS[1:]))
-        admissions, admissions_bad = split_not_null(adm_rows, ADMISSION_KEYS)
-        checked("admissions", admissions_bad)
+        admissions, admissions_bad = split_not_null(adm_rows, ADMISSION_KEYS, on_bad, "admissions")
         admissions = stage("admissions", admissions)
         # one row per admission day at most: broadcast behind that bound, so
         # the bills are not shuffled for this lookup
         by_date = last_wins_lookup(admissions, "admission_date", "admission_id")
         if bound_dates:
-            by_date = bounded_broadcast(by_date, day_span(admissions, "admission_date"))
+            billed_bound = day_span(admissions, "admission_date")
+            by_date = bounded_broadcast(by_date, billed_bound)
         bill_rows = (distinct_first(renamed, BILLING_ATTRS, "billing_id").join(by_date, "admission_date", "left")
                      .select("billing_id", "admission_id", "total_charges", "insurance_provider"))
     elif keying == "exact":
@@ -95,17 +92,19 @@ def normalise(clean: DataFrame, keying: str = "last_wins",
         cond = [F.col(a).eqNullSafe(F.col(f"_p_{a}")) for a in PATIENT_ATTRS]
         adm_rows = (renamed.join(keys, cond, "left")
                     .select(F.col(ROW_POS).alias("admission_id"), "patient_id", *ADMISSION_ATTRS[1:]))
-        admissions, admissions_bad = split_not_null(adm_rows, ADMISSION_KEYS)
-        checked("admissions", admissions_bad)
+        admissions, admissions_bad = split_not_null(adm_rows, ADMISSION_KEYS, on_bad, "admissions")
         admissions = stage("admissions", admissions)
+        # A row's admission is loaded when it has a date and its patient is, that is, has the patient keys.
+        loaded = F.col("admission_date").isNotNull()
+        for c in PATIENT_KEYS:
+            loaded = loaded & F.col(c).isNotNull()
         bill_rows = renamed.select(F.col(ROW_POS).alias("billing_id"),
-                                   F.when(F.col("admission_date").isNotNull(), F.col(ROW_POS)).alias("admission_id"),
+                                   F.when(loaded, F.col(ROW_POS)).alias("admission_id"),
                                    "total_charges", "insurance_provider")
     else:
         raise ValueError(f"keying must be 'last_wins' or 'exact', not {keying!r}")
-    billing, billing_bad = split_not_null(bill_rows, BILLING_KEYS)
-    checked("billing", billing_bad)
+    billing, billing_bad = split_not_null(bill_rows, BILLING_KEYS, on_bad, "billing")
     billing = stage("billing", billing)
     return Tables(patients, admissions, billing,
                   {"patients": patients_bad, "admissions": admissions_bad, "billing": billing_bad},
-                  {"patients": patient_rows, "admissions": adm_rows, "billing": bill_rows})
+                  {"patients": patient_rows, "admissions": adm_rows, "billing": bill_rows}, billed_bound)

@@ -33,7 +33,7 @@ RAW_COLUMNS = (
 RAW_TEXT_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in RAW_COLUMNS])
 RAW_TYPES = {BILLING: T.DoubleType(), ROOM: T.IntegerType()}
 
-# Columns whose distinct values the cleaning run lists.
+# Columns whose distinct values the cleaning run lists.
 CATEGORY_COLUMNS = (GENDER, BLOOD_TYPE, CONDITION, INSURER, ADMIT_TYPE, MEDICATION, TEST_RESULTS)
 
 # Columns that must not be null in the normalised tables.
@@ -101,8 +101,9 @@ NA_TOKENS = (
     "nan", "null",
 )
 
-# Default date format of the date-parsing step.
-DATE_FORMAT = "yyyy-MM-dd"
+# Default date format of the date-parsing step: month and day with or without
+# a leading zero.
+DATE_FORMAT = "yyyy-M-d"
 
 # Outlier rule: |z| <= 3 is kept.
 OUTLIER_THRESHOLD = 3.0

@@ -76,3 +76,23 @@ def test_pct_change_zero_base(spark):
     df = spark.createDataFrame([(110.0, 100.0), (1.0, 0.0)], "p double, c double")
     got = [r.g for r in df.select(numeric.pct_change("p", "c").alias("g")).collect()]
     assert got == [(110.0 - 100.0) / 100.0 * 100.0, None]
+
+
+def test_labels_round_the_exact_value(spark):
+    values = [0.35, 15.65, 1.05, -0.04, 0.0, 2.5, -3.25, 1234.5678]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    for r in df.select("i", "v", labels.fixed("v", 1).alias("f"), labels.signed_pct("v").alias("p")).collect():
+        assert r.f == f"{r.v:.1f}" and r.p == f"{r.v:+.1f}%", r
+
+
+def test_title_case_of_mixed_scripts(spark):
+    words = ["日abc DEF", "שabc", "o'BRIEN", "ǅX ß-a", "3rd"]
+    from staylens.functions.text import title_case
+    got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(title_case("w")).collect()]
+    assert got[0] == "日Abc Def" and got[1] == "שAbc" and got[2] == "O'Brien" and got[4] == "3Rd"
+
+
+def test_dates_without_leading_zeros(spark):
+    from staylens.functions.dates import parse_date
+    df = spark.createDataFrame([("2024-1-5",), ("2024-01-31",), ("2024-02-30",), ("2024-01-05 10:00",), ("x",)], "t string")
+    assert [str(r[0]) for r in df.select(parse_date("t")).collect()] == ["2024-01-05", "2024-01-31", "None", "None", "None"]

@@ -154,8 +154,12 @@ def test_monthly_per_group(spark):
     df = spark.createDataFrame([("a", d("2024-01-05"), 1), ("a", d("2024-03-01"), 1), ("b", d("2024-05-01"), 2),
                                 ("b", d("2024-06-01"), 2), (None, d("2024-01-01"), 3)],
                                "g string, admission_date date, patient_id long")
-    got = sorted((r.g, r.k, r.n_patients) for r in timeseries.monthly_counts(df, group_cols=["g"]).collect())
-    assert got == [("a", 0, 1), ("a", 1, 0), ("b", 0, 1)]
+    # every series ends with the whole table's last month (June, dropped): a's March is complete, April and May are 0
+    rows = lambda **kw: [(r.g, r.month_end, r.k, r.n_patients) for r in timeseries.monthly_counts(df, group_cols=["g"], **kw).collect()]
+    assert rows() == [("a", d("2024-01-31"), 0, 1), ("a", d("2024-02-29"), 1, 0), ("a", d("2024-03-31"), 2, 1),
+                      ("a", d("2024-04-30"), 3, 0), ("a", d("2024-05-31"), 4, 0), ("b", d("2024-05-31"), 0, 1)]
+    assert [r[:1] + r[2:] for r in rows(per_series_end=True)] == [("a", 0, 1), ("a", 1, 0), ("b", 0, 1)]
+    assert [r[:1] + r[2:] for r in rows(end=d("2024-02-11"), drop_last=False)] == [("a", 0, 1), ("a", 1, 0)]
 
 
 def test_one_month_fit_and_forecast(spark):
@@ -204,19 +208,50 @@ def test_bounded_broadcast(spark):
     assert hinted.first().admission_id == 2
 
 
-def test_sql_view_equals_dataframe_view(spark):
+def test_view_for_sql_reports(spark):
     from conftest import SF001
     from staylens import registry
-    from staylens.plans.encounters import encounter_view_sql
+    from staylens.plans.encounters import register_view
     t = registry._tables(spark, SF001)
-    by_sql = encounter_view_sql(spark, t, prefix="t_")
-    by_df = encounter_view(t)
-    assert by_sql.columns == by_df.columns
-    assert by_sql.count() == by_df.count() == 1815
-    assert by_sql.exceptAll(by_df).count() == 0 and by_df.exceptAll(by_sql).count() == 0
-    assert spark.sql("SELECT count(DISTINCT patient_id) FROM t_encounters").first()[0] == 150
+    view = register_view(t, prefix="t_")
+    assert view.count() == spark.sql("SELECT count(*) FROM t_encounters").first()[0] == 1815
 
 
+def test_bills_are_not_shuffled_for_the_view(spark):
+    from conftest import SF001
+    from staylens import registry
+    from staylens.plans.normalise import Tables
+    t = registry._tables(spark, SF001)
+    assert t.billed_bound
+    unbound = Tables(t.patients, t.admissions, t.billing)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(encounter_view(t)) == key(encounter_view(unbound))
+    plan = encounter_view(t)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+
+
+def test_crosstab_percentages_are_of_all_pairs(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "z"), ("a", "z"), ("b", "x")], "medical_condition string, admission_type string")
+    wide = {r["medical_condition"]: r.asDict() for r in reports.crosstab_pct_wide(df, values=["x", "y"]).collect()}
+    assert wide["a"] == {"medical_condition": "a", "x": 25.0, "y": 25.0} and wide["b"]["x"] == 100.0
+
+
+def test_reports_come_in_key_order(spark):
+    df = spark.createDataFrame([("b", 1.0), ("a", 2.0), ("c", 3.0)], "gender string, total_charges double")
+    assert [r.gender for r in reports.cost_by_group(df).collect()] == ["a", "b", "c"]
+
+
+def test_fail_on_null_keys_and_exact_orphans(spark):
+    import pytest
+    from staylens.operators.integrity import orphan_report, split_not_null
+    df = spark.createDataFrame([(1, "a"), (None, "b")], "k long, v string")
+    with pytest.raises(ValueError):
+        split_not_null(df, ["k"], on_bad="fail")
+    assert split_not_null(df, ["v"], on_bad="fail")[0].count() == 2
+    parent = spark.createDataFrame([(1,), (2,)], "k long")
+    child = spark.createDataFrame([(1,), (3,), (None,), (3,)], "k long")
+    assert tuple(orphan_report([("r", child, parent, "k")]).first()) == ("r", 4, 2)
+
 def test_profiles_and_kpis_per_group(spark):
     df = spark.createDataFrame([("a", 1.0, d("2024-01-02"), 1, 3), ("a", None, d("2024-01-05"), 2, 5),
                                 ("b", 2.0, None, 3, 7)],
