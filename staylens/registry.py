@@ -14,6 +14,7 @@ itself returns full precision.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,14 +29,16 @@ from staylens.operators.keys import last_wins_lookup
 from staylens.plans import cleaning
 from staylens.plans.encounters import encounter_view
 from staylens.plans.normalise import Tables, normalise, rename_project
-from staylens.plans.stages import materialised, remembered
+from staylens.plans.stages import materialised, remembered, source_mark
 from staylens.schemas import (ADMISSION_KEYS, ADMIT_DATE, BILLING, BILLING_KEYS, CATEGORY_COLUMNS,
                               DISCHARGE_DATE, HOSPITAL, NAME, PATIENT_KEYS, ROW_POS, TOP_DOCTORS)
-from staylens.sources.files import load_raw
+from staylens.session import scratch_path
+from staylens.sources.files import failed_casts, load_raw, read_raw_csv, read_table, save_csv, write_table
 from staylens.sources.fixtures import raw_encounters_text
 
 DIGITS = 6
 GROUP_FORECAST_KEY = "medical_condition"
+SOURCE_TABLES = ("orders", "customer", "nation", "supplier")
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
@@ -46,24 +49,31 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 
 # ---------------------------------------------------------------- stages
+def _key(spark: SparkSession, sf: str, stage: str) -> str:
+    """Key of a stage's table: source folder, state of its files, stage."""
+    return f"{sf}|{source_mark(spark, [f'{sf}/{t}.parquet' for t in SOURCE_TABLES])}|{stage}"
+
+
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
     """The raw table as a file would hold it (derived once from the order
     tables and written), loaded: tokens -> NULL, numbers typed."""
-    return remembered(spark, f"{sf}|raw", lambda: load_raw(
-        materialised(spark, f"{sf}|raw_text", lambda: raw_encounters_text(spark, sf))))
+    return remembered(spark, _key(spark, sf, "raw"), lambda: load_raw(_raw_text(spark, sf)))
+
+
+def _raw_text(spark: SparkSession, sf: str) -> DataFrame:
+    return materialised(spark, _key(spark, sf, "raw_text"), lambda: raw_encounters_text(spark, sf))
 
 
 def _stages(spark: SparkSession, sf: str) -> cleaning.CleaningStages:
-    """The cleaning run's tables. The deduplicated, formatted table is
-    written once (the dedup runs once per application); the outlier step,
-    the profiles and the run report scan it."""
-    return remembered(spark, f"{sf}|stages", lambda: cleaning.cleaning_stages(
-        _raw(spark, sf), stage=lambda name, df: materialised(spark, f"{sf}|{name}", lambda: df)))
+    """The cleaning run's tables. The deduplicated rows and the formatted ones
+    are written once; the outlier step, the profiles and the run report scan them."""
+    return remembered(spark, _key(spark, sf, "stages"), lambda: cleaning.cleaning_stages(
+        _raw(spark, sf), stage=lambda name, df: materialised(spark, _key(spark, sf, name), lambda: df)))
 
 
 def _clean(spark: SparkSession, sf: str) -> DataFrame:
     """The clean table, written once."""
-    return materialised(spark, f"{sf}|clean", lambda: _stages(spark, sf).clean)
+    return materialised(spark, _key(spark, sf, "clean"), lambda: _stages(spark, sf).clean)
 
 
 def _tables(spark: SparkSession, sf: str, keying: str = "last_wins") -> Tables:
@@ -71,14 +81,14 @@ def _tables(spark: SparkSession, sf: str, keying: str = "last_wins") -> Tables:
     one is keyed from it."""
     def stage(name: str, df: DataFrame) -> DataFrame:
         # patients do not depend on the keying: one table for both
-        key = f"{sf}|{name}" if name == "patients" else f"{sf}|{name}|{keying}"
-        return materialised(spark, key, lambda: df)
+        key = name if name == "patients" else f"{name}|{keying}"
+        return materialised(spark, _key(spark, sf, key), lambda: df)
 
-    return remembered(spark, f"{sf}|tables|{keying}", lambda: normalise(_clean(spark, sf), keying, stage=stage))
+    return remembered(spark, _key(spark, sf, f"tables|{keying}"), lambda: normalise(_clean(spark, sf), keying, stage=stage))
 
 
 def _view(spark: SparkSession, sf: str, keying: str = "last_wins") -> DataFrame:
-    return materialised(spark, f"{sf}|view|{keying}", lambda: encounter_view(_tables(spark, sf, keying)))
+    return materialised(spark, _key(spark, sf, f"view|{keying}"), lambda: encounter_view(_tables(spark, sf, keying)))
 
 
 # ---------------------------------------------------------------- cleaning
@@ -108,7 +118,7 @@ def q_title_case_names(spark, sf):
 
 
 def q_parse_dates(spark, sf):
-    t = _stages(spark, sf).titled
+    t = _stages(spark, sf).titled      # names formatted on the written deduplicated rows
     return t.select(ROW_POS,
                     F.col(f"`{ADMIT_DATE}`").alias("admission_text"),
                     parse_date(F.col(f"`{ADMIT_DATE}`")).alias("admission_date"),
@@ -145,7 +155,32 @@ def q_cleaning_report(spark, sf):
     return rounded(cleaning.cleaning_report(_stages(spark, sf)))
 
 
+def q_csv_round_trip(spark, sf):
+    """The raw text with quotes, separators, outer blanks and a further column,
+    written as CSV and read back."""
+    text = _raw_text(spark, sf).drop(ROW_POS)
+    text = (text.withColumn("Note", F.concat(F.col(HOSPITAL), F.lit(' ""x"", '), F.col("Gender")))
+            .withColumn("Doctor", F.concat(F.lit('  Dr "'), F.col("Doctor"), F.lit('", '))))
+    path = save_csv(text, scratch_path(spark, f"csv-{uuid.uuid4().hex}"))
+    return read_raw_csv(spark, path).drop(ROW_POS)
+
+
+def q_failed_casts(spark, sf):
+    """Missing and malformed numbers, where every seventh charge is not a number
+    and every eleventh is missing."""
+    text = _raw_text(spark, sf)
+    charge = (F.when(F.col(ROW_POS) % 7 == 0, F.lit("$1,200.50")).when(F.col(ROW_POS) % 11 == 0, F.lit("NA")).otherwise(F.col(f"`{BILLING}`")))
+    return failed_casts(text.withColumn(BILLING, charge))
+
+
 # ---------------------------------------------------------------- tables
+def q_appended_patients(spark, sf):
+    """The patients table written, and the same rows appended."""
+    patients = _tables(spark, sf).patients
+    path = write_table(patients, scratch_path(spark, f"appended-{uuid.uuid4().hex}"))
+    return read_table(spark, write_table(patients, path, mode="append"))
+
+
 def q_rename_project(spark, sf):
     return rename_project(_clean(spark, sf))
 
@@ -184,14 +219,22 @@ def q_not_null_split(spark, sf):
     return out
 
 
-def q_fk_orphans(spark, sf):
-    t = _tables(spark, sf)
+def _orphans(spark, sf, keying):
+    t = _tables(spark, sf, keying)
     return orphan_report([
         ("admissions.patient_id", t.admissions, t.patients, "patient_id"),
         ("billing.admission_id", t.billing, t.admissions, "admission_id"),
     ])
 
 
+def q_fk_orphans(spark, sf):
+    return _orphans(spark, sf, "last_wins")
+
+
+def q_fk_orphans_exact(spark, sf):
+    return _orphans(spark, sf, "exact")
+
+
 def q_encounter_view(spark, sf):
     return _view(spark, sf)
 
@@ -214,13 +257,22 @@ def q_kpi_cards_by_group(spark, sf):
 
 
 def q_cost_by_gender(spark, sf):
-    return rounded(reports.cost_by_group(_view(spark, sf), "gender"))
+    return rounded(reports.cost_by_group(_view(spark, sf), "gender", labels=True))
 
 
 def q_stay_by_condition(spark, sf):
     return rounded(reports.stay_by_group(_view(spark, sf), "medical_condition"))
 
 
+def q_condition_labels(spark, sf):
+    return reports.stay_by_group(_view(spark, sf), "medical_condition", labels=True).select("medical_condition", "n_patients_label")
+
+
+def q_forecast_cards(spark, sf):
+    cards = timeseries.forecast_summary(timeseries.linear_fit(_history(spark, sf)), labels=True)
+    return cards.select(*[c for c in cards.columns if c.endswith("_label")])
+
+
 def q_top_doctors(spark, sf):
     return reports.top_groups(_view(spark, sf), "doctor", k=TOP_DOCTORS)
 
@@ -234,7 +286,10 @@ def q_admission_type_pct_wide(spark, sf):
 
 
 def _history(spark, sf, groups=()):
-    return timeseries.monthly_counts(_view(spark, sf), group_cols=groups)
+    def stage(name: str, counts: DataFrame) -> DataFrame:
+        return materialised(spark, _key(spark, sf, "|".join([name, *groups])), lambda: counts)
+
+    return timeseries.monthly_counts(_view(spark, sf), group_cols=groups, stage=stage)
 
 
 def q_monthly_patients(spark, sf):
@@ -261,8 +316,7 @@ def q_forecast_series(spark, sf):
 def q_forecast_by_group(spark, sf):
     groups = (GROUP_FORECAST_KEY,)
     fit = timeseries.linear_fit(_history(spark, sf, groups), group_cols=groups)
-    summary = timeseries.forecast_summary(fit, groups)
-    return rounded(fit.select(*groups, "n_months", "slope", "intercept").join(summary, list(groups)))
+    return rounded(timeseries.forecast_summary(fit, groups, carry=("n_months", "slope", "intercept")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
