@@ -435,3 +435,22 @@ SQL: dict[str, str] = {
         f"SELECT f.g AS medical_condition, f.n_months, {_r('f.slope')} AS slope, {_r('f.intercept')} AS intercept, "
         f"{_summary_cols()} FROM g_fit f JOIN g_summary s ON f.g = s.g"),
 }
+
+# The same statements over a raw table with more dirt, for the queries dirty_<name>.
+_PLAIN_TEXT = "raw_text AS ("
+_DIRTIER_TEXT = """raw_text AS (
+        SELECT * REPLACE (
+          CASE WHEN row_pos // 2 % 211 = 0 THEN NULL WHEN row_pos // 2 % 37 = 0 THEN '日' || "Name" ELSE "Name" END AS "Name",
+          CASE WHEN row_pos // 2 % 31 = 0 THEN NULL ELSE "Gender" END AS "Gender",
+          CASE WHEN row_pos // 2 % 47 = 0 THEN NULL ELSE "Medical Condition" END AS "Medical Condition",
+          CASE WHEN row_pos // 2 % 29 = 0 THEN NULL ELSE "Doctor" END AS "Doctor",
+          CASE WHEN "Date of Admission" LIKE '1995-07%' THEN NULL
+               WHEN row_pos // 2 % 41 = 0 THEN replace("Date of Admission", '-0', '-') ELSE "Date of Admission" END AS "Date of Admission",
+          CASE WHEN row_pos // 2 % 41 = 0 THEN replace("Discharge Date", '-0', '-') ELSE "Discharge Date" END AS "Discharge Date")
+        FROM plain_text),
+"""
+for _name in ("missing_report", "title_case_names", "parse_dates", "cleaning_report", "not_null_split", "fk_orphans_exact",
+              "encounter_view_exact", "cost_by_gender", "stay_by_condition", "top_doctors", "monthly_patients", "forecast_by_group"):
+    _head, _tail = SQL[_name].split(_PLAIN_TEXT, 1)
+    _body, _rest = _tail.split("),\nraw AS (", 1)
+    SQL[f"dirty_{_name}"] = f"{_head}plain_text AS ({_body}),\n{_DIRTIER_TEXT}raw AS ({_rest}"

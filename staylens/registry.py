@@ -34,10 +34,15 @@ from staylens.schemas import (ADMISSION_KEYS, ADMIT_DATE, BILLING, BILLING_KEYS,
                               DISCHARGE_DATE, HOSPITAL, NAME, PATIENT_KEYS, ROW_POS, TOP_DOCTORS)
 from staylens.session import scratch_path
 from staylens.sources.files import failed_casts, load_raw, read_raw_csv, read_table, save_csv, write_table
-from staylens.sources.fixtures import raw_encounters_text
+from staylens.sources.fixtures import dirtier, raw_encounters_text
 
 DIGITS = 6
 GROUP_FORECAST_KEY = "medical_condition"
+#: After a folder's name: the table derived from it with more dirt in it.
+DIRTIER = "::dirtier"
+#: Queries that also run on that table, as dirty_<name>.
+ON_DIRT = ("missing_report", "title_case_names", "parse_dates", "cleaning_report", "not_null_split", "fk_orphans_exact",
+           "encounter_view_exact", "cost_by_gender", "stay_by_condition", "top_doctors", "monthly_patients", "forecast_by_group")
 SOURCE_TABLES = ("orders", "customer", "nation", "supplier")
 
 
@@ -49,9 +54,13 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 
 # ---------------------------------------------------------------- stages
+def _folder(sf: str) -> str:
+    return sf.removesuffix(DIRTIER)
+
+
 def _key(spark: SparkSession, sf: str, stage: str) -> str:
     """Key of a stage's table: source folder, state of its files, stage."""
-    return f"{sf}|{source_mark(spark, [f'{sf}/{t}.parquet' for t in SOURCE_TABLES])}|{stage}"
+    return f"{sf}|{source_mark(spark, [f'{_folder(sf)}/{t}.parquet' for t in SOURCE_TABLES])}|{stage}"
 
 
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,7 +70,11 @@ def _raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _raw_text(spark: SparkSession, sf: str) -> DataFrame:
-    return materialised(spark, _key(spark, sf, "raw_text"), lambda: raw_encounters_text(spark, sf))
+    def build() -> DataFrame:
+        text = raw_encounters_text(spark, _folder(sf))
+        return dirtier(text) if sf.endswith(DIRTIER) else text
+
+    return materialised(spark, _key(spark, sf, "raw_text"), build)
 
 
 def _stages(spark: SparkSession, sf: str) -> cleaning.CleaningStages:
@@ -322,3 +335,10 @@ def q_forecast_by_group(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }
+
+
+def _on_dirt(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf: fn(spark, sf + DIRTIER)
+
+
+QUERIES |= {f"dirty_{name}": _on_dirt(QUERIES[name]) for name in ON_DIRT}

@@ -92,6 +92,23 @@ def raw_encounters_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def dirtier(text: DataFrame) -> DataFrame:
+    """The same table with dirt that the plain one has not: NULL names, genders,
+    conditions and doctors, names that start with a letter without case, dates
+    without leading zeros, and a month (July 1995) without admissions."""
+    k = F.floor(F.col(ROW_POS) / 2)
+    null = F.lit(None).cast("string")
+    short = lambda c: F.when(k % 41 == 0, F.replace(F.col(f"`{c}`"), F.lit("-0"), F.lit("-"))).otherwise(F.col(f"`{c}`"))
+    return text.withColumns({
+        "Name": F.when(k % 211 == 0, null).when(k % 37 == 0, F.concat(F.lit("日"), F.col("Name"))).otherwise(F.col("Name")),
+        "Gender": F.when(k % 31 == 0, null).otherwise(F.col("Gender")),
+        "Medical Condition": F.when(k % 47 == 0, null).otherwise(F.col("`Medical Condition`")),
+        "Doctor": F.when(k % 29 == 0, null).otherwise(F.col("Doctor")),
+        "Date of Admission": F.when(F.col("`Date of Admission`").startswith("1995-07"), null).otherwise(short("Date of Admission")),
+        "Discharge Date": short("Discharge Date"),
+    })
+
+
 def raw_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw table as loaded: tokens -> NULL, numbers typed, `row_pos` kept."""
     return load_raw(raw_encounters_text(spark, sf_dir))
