@@ -14,6 +14,7 @@ import functools
 import json
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +26,14 @@ from staylens.llm.shared import col, free_name, small_batches
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
+#: Entries in each of a worker's tables; one is emptied when it would grow beyond.
+MAX_WORDS = 1_000_000
+#: Texts whose new words are counted together.
+DOCUMENTS = 250
 REPORT = "struct<n_bytes:bigint,n_tokens:bigint,over_limit:boolean,word_ends:binary>"
 
-#: What byte-level vocabularies split a text into before the merges (fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def _byte_letters() -> dict[str, int]:
-    """The visible letter that stands for each byte in a byte-level vocabulary."""
-    kept = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    letters = {chr(b): b for b in kept}
-    for n, b in enumerate(b for b in range(256) if b not in set(kept)):
-        letters[chr(256 + n)] = b
-    return letters
+#: Rank of a merge that never comes.
+INFINITE = 1 << 62
 
 
 class PrefixCounter:
@@ -48,7 +44,7 @@ class PrefixCounter:
 
         with open(tokens.resolve(vocabulary), encoding="utf-8") as f:
             spec = json.load(f)
-        letters = _byte_letters()
+        letters = {chr(c): b for b, c in enumerate(tokens._byte_letters())}
         model = spec["model"]
         split = spec.get("pre_tokenizer") or {}
         if model["type"] != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or spec.get("normalizer"):
@@ -63,11 +59,13 @@ class PrefixCounter:
         for rank, pair in enumerate(model["merges"]):
             a, b = map(to_bytes, pair if isinstance(pair, list) else pair.split(" "))
             self.merges[self.ids[a], self.ids[b]] = (rank, self.ids[a + b])
-        self.pattern = regex.compile(PATTERN)
+        self.pattern = regex.compile(tokens.PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, sorted((t["content"] for t in special), key=len, reverse=True)))) if special else None
         self.pairs: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
-        self.counts: dict[str, int] = {}       # whole pieces that follow a space
+        self.spines: dict[int, tuple[list, list]] = {}
+        self.done: dict[str, int] = {}         # totals of pieces of the split
+        self.counts: dict[str, int] = {}       # totals of strings that follow a space
 
     def merge(self, text: bytes) -> list[int]:
         """Plain byte-pair encoding of a short string."""
@@ -80,12 +78,45 @@ class PrefixCounter:
             out[i:i + 2] = [self.merges[out[i], out[i + 1]][1]]
         return out
 
+    def edges(self, t: int) -> tuple[list, list]:
+        """How a token's left and right edge grow while it is merged: the symbol
+        at the edge, and the rank of the merge that takes it in (none: infinite)."""
+        found = self.spines.get(t)
+        if found is None:
+            text = self.text[t]
+            parts = [([(i, INFINITE)], [(i, INFINITE)]) for i in (self.ids[text[k:k + 1]] for k in range(len(text)))]
+            while len(parts) > 1:
+                pairs = [self.merges.get((p[1][-1][0], q[1][-1][0]), (INFINITE, -1)) for p, q in zip(parts, parts[1:])]
+                rank, new = min(pairs)
+                if rank == INFINITE:
+                    break
+                k = pairs.index((rank, new))
+                (left, _), (_, right) = parts[k], parts[k + 1]
+                parts[k:k + 2] = [([*left[:-1], (left[-1][0], rank), (new, INFINITE)], [*right[:-1], (right[-1][0], rank), (new, INFINITE)])]
+            found = self.spines[t] = (parts[0][0], parts[-1][1])
+        return found
+
     def _follows(self, a: int, b: int) -> bool:
+        """Do two tokens stay two? Follow both facing edges through the merges in
+        order of rank: no merge across the border may come first."""
         ok = self.pairs.get((a, b))
         if ok is None:
-            if len(self.pairs) > 4 * tokens.MAX_WORDS:
+            if len(self.pairs) > MAX_WORDS:
                 self.pairs.clear()
-            ok = self.pairs[a, b] = self.merge(self.text[a] + self.text[b]) == [a, b]
+            left, right = self.edges(a)[1], self.edges(b)[0]
+            i = j = 0
+            while ok is None:
+                (x, x_goes), (y, y_goes) = left[i], right[j]
+                across = self.merges.get((x, y), (INFINITE, -1))[0]
+                if across < x_goes and across <= y_goes:      # of equal pairs, the leftmost merges first
+                    ok = False
+                elif x_goes == y_goes == INFINITE:
+                    ok = True
+                elif x_goes <= y_goes:
+                    i += 1
+                else:
+                    j += 1
+            self.pairs[a, b] = ok
         return ok
 
     def _stands(self, t: int) -> bool:
@@ -94,21 +125,46 @@ class PrefixCounter:
             ok = self.alone[t] = self.merge(self.text[t]) == [t]
         return ok
 
-    def table(self, word: bytes) -> list[int]:
-        """Tokens of word[:i] for i = 0 .. len(word), the word being one piece of the split."""
-        count, last = [0], [-1]
-        ids, longest = self.ids, self.longest
-        for i in range(1, len(word) + 1):
-            for j in range(max(0, i - longest), i):
+    def extend(self, word: bytes, count: list[int], last: list[int]) -> None:
+        """Go on from the prefixes in `count` and `last` to all prefixes of a word."""
+        ids, longest, pairs = self.ids, self.longest, self.pairs
+        for i in range(len(count), len(word) + 1):
+            for j in range(i - 1, max(-1, i - longest - 1), -1):
                 t = ids.get(word[j:i])
-                if t is not None and (self._stands(t) if j == 0 else self._follows(last[j], t)):
+                if t is None:
+                    continue
+                if j == 0:
+                    ok = self._stands(t)
+                else:
+                    ok = pairs.get((last[j], t))
+                    if ok is None:
+                        ok = self._follows(last[j], t)
+                if ok:
                     count.append(count[j] + 1)
                     last.append(t)
                     break
             else:
                 raise ValueError(f"no token ends {word[:i]!r}")
+
+    def table(self, word: bytes) -> list[int]:
+        """Tokens of word[:i] for i = 0 .. len(word), the word being one piece of the split."""
+        count, last = [0], [-1]
+        self.extend(word, count, last)
         return count
 
+    def tables(self, words: list[str]) -> None:
+        """Store the totals of new words in `self.done`. In sorted order each word
+        starts from the prefixes that it shares with the one before."""
+        before, count, last = b"", [0], [-1]
+        for raw, w in sorted((w.encode(), w) for w in words):
+            n, most = 0, min(len(raw), len(before))
+            while n < most and raw[n] == before[n]:
+                n += 1
+            del count[n + 1:], last[n + 1:]
+            self.extend(raw, count, last)
+            self.done[w] = count[-1]
+            before = raw
+
     def words(self, text: str) -> Iterator[tuple[int, str, bool]]:
         """(start, string, is special) of the pieces the library merges within."""
         at = 0
@@ -123,39 +179,56 @@ class PrefixCounter:
     def short(self, text: str) -> int:
         return sum(1 if special else self.table(w.encode())[-1] for _, w, special in self.words(text))
 
+    def _split(self, w: str) -> list[str]:
+        """Pieces of the split of a space and a string without special tokens."""
+        if w.isalpha():
+            return [" " + w]
+        if w[:-1].isalpha() and w[-1] in ",.":
+            return [" " + w[:-1], w[-1]]
+        return [m[0] for m in self.pattern.finditer(" " + w)]
+
+    def learn(self, words: set[str]) -> None:
+        """Store the counts of new strings that follow a space in `self.counts`."""
+        if len(self.done) > MAX_WORDS:
+            self.done.clear()
+        odd = {w for w in words if self.special and self.special.search(w)}
+        split = {w: self._split(w) for w in words - odd}
+        self.tables(list({x for parts in split.values() for x in parts}.difference(self.done)))
+        done = self.done
+        for w, parts in split.items():
+            self.counts[w] = sum([done[x] for x in parts])
+        for w in odd:
+            self.counts[w] = self.short(" " + w)
+
+    def batch(self, texts: list[str], ends: bool = False) -> list[tuple[int, list[int]]]:
+        """Tokens of each text and, on request, the count at the end of each space-parted piece."""
+        cut = [[tokens.pieces(s) for s in tokens.slices(t)] for t in texts]
+        counts = self.counts
+        need = {w for parts in cut for _, rest in parts for w in filterfalse(counts.__contains__, rest)}
+        if counts and len(counts) + len(need) > MAX_WORDS:
+            counts.clear()
+            need = {w for parts in cut for _, rest in parts for w in rest}
+        self.learn(need)
+        out = []
+        for parts in cut:
+            n, at = 0, []
+            for head, rest in parts:
+                n += self.short(head)
+                if ends:
+                    each = np.cumsum(np.fromiter(map(counts.__getitem__, rest), np.int64, len(rest))) + n
+                    at += [n, *each.tolist()]
+                    n = at[-1]
+                else:
+                    n += sum(map(counts.__getitem__, rest))
+            out.append((n, at))
+        return out
+
     def total(self, text: str) -> tuple[int, list[int]]:
         """Tokens of a text, and the count at the end of each space-parted piece."""
-        n, ends = 0, []
-        counts = self.counts
-        for part in tokens.slices(text):
-            head, rest = tokens.pieces(part)
-            n += self.short(head)
-            ends.append(n)
-            if len(counts) > 2 * tokens.MAX_WORDS:
-                counts.clear()
-            for w in set(rest).difference(counts):
-                counts[w] = self.short(" " + w)
-            each = np.cumsum(np.fromiter(map(counts.__getitem__, rest), np.int64, len(rest)))
-            if len(rest):
-                ends.extend((each + n).tolist())
-                n += int(each[-1])
-        return n, ends
+        return self.batch([text], ends=True)[0]
 
     def count(self, text: str) -> int:
-        n = 0
-        counts = self.counts
-        for part in tokens.slices(text):
-            head, rest = tokens.pieces(part)
-            n += self.short(head)
-            try:
-                n += sum(map(counts.__getitem__, rest))
-            except KeyError:
-                if len(counts) > 2 * tokens.MAX_WORDS:
-                    counts.clear()
-                for w in set(rest).difference(counts):
-                    counts[w] = self.short(" " + w)
-                n += sum(map(counts.__getitem__, rest))
-        return n
+        return self.batch([text])[0][0]
 
 
 class PrefixTable:
@@ -215,17 +288,11 @@ def _counting(text: str, report: str, keep: list[str], vocabulary: str, limit: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(vocabulary)
         for batch in batches:
-            n_tokens, n_bytes, ends = [], [], []
-            for t in batch[text]:
-                t = t.as_py() or ""
-                n_bytes.append(len(t.encode()))
-                if store:
-                    n, at = c.total(t)
-                    ends.append(np.array(at, "<i4").tobytes())
-                else:
-                    n = c.count(t)
-                    ends.append(None)
-                n_tokens.append(n)
+            texts = [t or "" for t in batch[text].to_pylist()]
+            n_bytes = [len(t.encode()) for t in texts]
+            found = [x for i in range(0, len(texts), DOCUMENTS) for x in c.batch(texts[i:i + DOCUMENTS], store)]
+            n_tokens = [n for n, _ in found]
+            ends = [np.array(at, "<i4").tobytes() if store else None for _, at in found]
             out = pa.StructArray.from_arrays(
                 [pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()),
                  pa.array([n > limit for n in n_tokens], pa.bool_()), pa.array(ends, pa.binary())],
