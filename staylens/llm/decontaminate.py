@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylens.llm import textcodes
-from staylens.llm.shared import col, free_name, small_batches, written
+from staylens.llm.shared import col, free_name, small_batches, tidy, written
 
 WINDOW = 10
 #: Bytes of document text in one suffix array, and of benchmark text in one broadcast.
@@ -294,7 +294,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ben
         cols = list(dict.fromkeys([*keep, text]))
         fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols]
         source = frame.select(*map(col, cols), *([col(report)] if i else []))
-        frame = source.mapInArrow(_searcher(text, report, cols, held, window, i > 0), ", ".join([*fields, f"`{report}` {REPORT}"]))
+        frame = source.mapInArrow(tidy(_searcher(text, report, cols, held, window, i > 0)), ", ".join([*fields, f"`{report}` {REPORT}"]))
     return frame.select(*map(col, keep), col(report)), report
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from staylens.llm import textcodes
 from staylens.llm.components import connected_components
-from staylens.llm.shared import col, free_name, small_batches, written
+from staylens.llm.shared import col, free_name, small_batches, tidy, written
 
 N, PERCENT = 5, 80
 #: Prefix shingles meeting in one bucket of the filter, about.
@@ -410,7 +410,7 @@ def _link_classes(sets: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
     rows = rows.select("key", F.least("block", "peer").alias("low"), F.greatest("block", "peer").alias("high"), "cls", "size", "component", "bitmap",
                        F.when(F.col("block") > F.col("peer"), 1).otherwise(0).alias("side"))
     sides = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    pairs = sides.mapInArrow(_compare(percent), "a bigint, b bigint").distinct()
+    pairs = sides.mapInArrow(tidy(_compare(percent)), "a bigint, b bigint").distinct()
     more = _links(pairs, sets, percent)
     return connected_components(links.union(more))
 
@@ -429,12 +429,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     small_batches(spark)
     docs = docs.select(col(key).alias("id"), col(text).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    sets_of = written(docs.mapInArrow(_classes("id", "text", n), f"id {kind}, size bigint, cls bigint"), "shingle-classes")
+    sets_of = written(docs.mapInArrow(tidy(_classes("id", "text", n)), f"id {kind}, size bigint, cls bigint"), "shingle-classes")
     classes = written(sets_of.where("size > 0").groupBy("cls").agg(F.min("id").alias("id"), F.first("size").alias("size")), "classes")
     needed = F.ceil(F.col("size") * percent / 100)
     spread = classes.agg(F.sum(F.col("size") - needed + F.floor(F.col("size") / 8) + 1)).first()[0] or 0
     n_buckets = 1 + int(spread) // BUCKET
-    sent = docs.select("text").mapInArrow(_to_buckets("text", n, percent, n_buckets, GATHER), "bucket int, kind int, a binary, b binary")
+    sent = docs.select("text").mapInArrow(tidy(_to_buckets("text", n, percent, n_buckets, GATHER)), "bucket int, kind int, a binary, b binary")
     parts = 1 + classes.count() // CREDITED
     met = written(sent.groupBy("bucket").applyInArrow(_meeting(FREQUENT, parts), "part int, a binary, b binary"), "met")
     summed = "id bigint, number bigint"
@@ -442,7 +442,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     sure = F.greatest(F.lit(1), F.floor(needed / 8))
     left = classes.join(shared, "cls").where(F.col("shared") >= sure).select("cls", F.col("id").alias("rep"))
     texts = docs.join(left, docs["id"].eqNullSafe(left["rep"])).select("cls", "text")
-    sets = written(texts.mapInArrow(_full_sets("text", n), "cls bigint, size bigint, shingles binary, bitmap binary"), "shingle-sets")
+    sets = written(texts.mapInArrow(tidy(_full_sets("text", n)), "cls bigint, size bigint, shingles binary, bitmap binary"), "shingle-sets")
     often = met.where("part < 0").mapInArrow(_unpack, summed).orderBy(F.desc("number"), "id").limit(MAX_FREQUENT).collect()
     codes = np.array([r["id"] for r in often], np.int64).view(np.uint64)
     by = np.argsort(codes)

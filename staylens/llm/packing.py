@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from staylens.llm import tokens
-from staylens.llm.shared import col, small_batches, written
+from staylens.llm.shared import col, small_batches, tidy, written
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW = 4096
@@ -169,7 +169,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
     small_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part bigint, rank bigint, ids binary"
-    cut = written(docs.select(col(key), col(text)).mapInArrow(_cut(key, text, vocabulary, window, end_id, with_ids), schema), "pieces")
+    cut = written(docs.select(col(key), col(text)).mapInArrow(tidy(_cut(key, text, vocabulary, window, end_id, with_ids)), schema), "pieces")
     counts = written(cut.groupBy("part", "length").count(), "piece-counts")
     histogram = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     rows = sorted(plan(histogram, window))         # at most a few per length

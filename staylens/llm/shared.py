@@ -35,6 +35,23 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_ROWS, str(DEFAULT_BATCH_ROWS))
 
 
+def tidy(run):
+    """A mapInArrow function that gives its freed memory back at the end of a
+    task: workers are used again by later stages, which count it otherwise."""
+    def then_release(batches):
+        yield from run(batches)
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc has it
+        if trim is not None:
+            trim(0)
+    return then_release
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ from string import ascii_letters
 import numpy as np
 
 #: Entries kept in one worker's table; it is emptied when it would grow beyond.
-MAX_WORDS = 1_500_000
+MAX_WORDS = 500_000
 #: Characters of a text taken at once.
 SLICE = 1 << 20
 #: Pieces encoded in one call.

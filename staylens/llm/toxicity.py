@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylens.llm import textcodes
-from staylens.llm.shared import col, free_name, small_batches, written
+from staylens.llm.shared import col, free_name, small_batches, tidy, written
 
 #: Labelled rows that the classifier is fitted on, at most (those with the
 #: smallest hash of their id).
@@ -207,7 +207,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
     if not n1 or not n0:
         share = (n1 + 0.5) / (n1 + n0 + 1.0) if n1 or n0 else 0.5
         return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(share / (1 - share))))
-    counts = sample.mapInArrow(_counts, "code bigint, n1 bigint, n0 bigint").groupBy("code").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    counts = sample.mapInArrow(tidy(_counts), "code bigint, n1 bigint, n0 bigint").groupBy("code").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     p = (F.col("n1") + F.col("n0")) / (n1 + n0)
     z = F.abs(F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n1 + 1 / n0))
     chosen = counts.withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "code").limit(MAX_FEATURES).select("code").collect()
@@ -243,7 +243,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     cols = list(dict.fromkeys([*keep, text]))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{name}` double"])
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(*map(col, cols)).mapInArrow(_scorer(text, keep, name, held), schema), name
+    return docs.select(*map(col, cols)).mapInArrow(tidy(_scorer(text, keep, name, held)), schema), name
 
 
 def held_out(key: str = "doc_id"):
