@@ -3,9 +3,9 @@
 Copies of a vector form a class. The classes of a label are dealt into shards
 of bounded size, and each shard gets a graph. Every vector is then looked up
 in every shard of its label: for two shards at a time, both ways, so a link
-found from either side counts for both. A sample of the lookups is audited
-against all vectors of the shard, and the beam is widened until the audit
-passes. Links are decided by the cosine in double precision. What leaves a
+found from either side counts for both. A sample of the lookups that have
+links is audited against all vectors of the shard, and the beam is widened
+until the audit passes. Links are decided by the cosine in double precision. What leaves a
 task is a count and one tree edge per vector, not the pairs.
 """
 
@@ -28,8 +28,8 @@ COSINE = 0.93
 #: layer and above; beam while building, and at first while searching.
 SHARD = 8192
 GROUND, UPPER, BUILD_BEAM, BEAM = 32, 16, 64, 48
-#: Lookups audited for each side of a pair of shards, and the share of links
-#: that they must find before the beam stops growing.
+#: Lookups with links audited for each side of a pair of shards, and the share of
+#: a lookup's links that they must find on average before the beam stops growing.
 AUDITED, RECALL = 200, 0.995
 
 
@@ -170,21 +170,45 @@ class Graph:
         return np.unique(np.concatenate(found))
 
 
-def lookups(graph: Graph, queries: np.ndarray, least: float) -> list[np.ndarray]:
-    """Found links of every query, with a beam as wide as the audit asks for."""
-    rng = np.random.default_rng(7)
-    audited = rng.permutation(len(queries))[:AUDITED]
-    true = [np.flatnonzero(graph.x @ queries[k] >= least) for k in audited]
-    total = sum(map(len, true))
-    width = BEAM
-    while width < len(graph.x):
-        found = sum(len(np.intersect1d(graph.within(queries[k], least, width), t)) for k, t in zip(audited, true))
-        if found >= RECALL * total:
+def _links(graph: Graph, queries: np.ndarray, places: np.ndarray, least: float, own: bool) -> list[np.ndarray]:
+    """All links of some queries, by brute force; a query of the graph's own does not link with itself."""
+    hits = queries[places] @ graph.x.T >= least
+    if own:
+        hits[np.arange(len(places)), places] = False
+    return [np.flatnonzero(h) for h in hits]
+
+
+def lookups(graph: Graph, queries: np.ndarray, least: float, own: bool = False) -> list[np.ndarray]:
+    """Found links of every query, with a beam as wide as the audit asks for.
+
+    Queries are drawn until AUDITED of them have links; each counts the same,
+    however many links it has. If there are not that many, all links are known
+    by then and returned. `own`: the queries are the graph's vectors, and no
+    vector links with itself.
+    """
+    n = len(queries)
+    drawn = np.random.default_rng(7).permutation(n)
+    true: dict[int, np.ndarray] = {}
+    linked: list[int] = []
+    for at in range(0, n, AUDITED):
+        places = drawn[at:at + AUDITED]
+        true.update(zip(places.tolist(), _links(graph, queries, places, least, own)))
+        linked = [k for k, t in true.items() if len(t)]
+        if len(linked) >= AUDITED:
             break
-        width *= 2
-    if width >= len(graph.x):                          # the widest beam is the whole shard
-        return [np.flatnonzero(graph.x @ q >= least) for q in queries]
-    return [graph.within(q, least, width) for q in queries]
+    if len(true) < n:
+        linked = linked[:AUDITED]
+        width = BEAM
+        while width < len(graph.x):
+            if np.mean([np.isin(true[k], graph.within(queries[k], least, width)).mean() for k in linked]) >= RECALL:
+                found = [true[k] if k in true else graph.within(queries[k], least, width) for k in range(n)]
+                return [f[f != k] for k, f in enumerate(found)] if own else found
+            width *= 2
+        rest = np.array([k for k in range(n) if k not in true])          # the widest beam is the whole shard
+        for at in range(0, len(rest), AUDITED):
+            places = rest[at:at + AUDITED]
+            true.update(zip(places.tolist(), _links(graph, queries, places, least, own)))
+    return [true[k] for k in range(n)]
 
 
 def _unit(raw: bytes) -> np.ndarray:
@@ -218,7 +242,7 @@ def _search(least: float):
         cls_b, times_b, b = (cls_a, times_a, a) if same else pickle.loads(table["other"][0].as_py())
         n = len(cls_a)
         owner, found = [], []
-        for k, hits in enumerate(lookups(a, b.x, least)):
+        for k, hits in enumerate(lookups(a, b.x, least, same)):
             owner.append(np.full(len(hits), k))
             found.append(hits)
         if not same:
@@ -231,8 +255,6 @@ def _search(least: float):
         pair = np.unique(left * len(cls_b) + right)
         left, right = pair // len(cls_b), pair % len(cls_b)
         good = np.einsum("ij,ij->i", a.x[left], b.x[right]) >= least
-        if same:
-            good &= left != right
         left, right = left[good], right[good]
         # one count for each class, and a spanning forest of the links found here
         cls = cls_a if same else np.concatenate([cls_a, cls_b])

@@ -63,3 +63,41 @@ def test_recall_of_the_graph():
     true = x @ x.T >= 0.93
     assert sum(true[i, f].sum() for i, f in enumerate(found)) >= 0.98 * true.sum()
     assert all(true[i, f].all() for i, f in enumerate(found))
+
+
+class Narrow:
+    """A graph whose narrow beams lose the links of vectors with few of them."""
+
+    def __init__(self, x):
+        self.x = x
+
+    def within(self, q, least, width):
+        hits = np.flatnonzero(self.x @ q >= least)
+        return hits if len(hits) > 50 or width >= 256 else hits[self.x[hits] @ q > 1 - 1e-9]
+
+
+def sparse_links(pairs, cluster, alone):
+    """Vectors of which `pairs` pairs and one cluster link, and the links."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(pairs + alone + 1, 64))
+    x = np.concatenate([x, x[:pairs] + rng.normal(size=(pairs, 64)) * 0.05, x[-1] + rng.normal(size=(cluster, 64)) * 0.02])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    return x, x @ x.T >= 0.93
+
+
+@pytest.mark.parametrize("pairs, cluster, alone", [(1, 0, 3000), (300, 0, 1500), (300, 600, 1000)])
+def test_audit_notices_lost_links_where_links_are_rare_or_uneven(pairs, cluster, alone):
+    x, true = sparse_links(pairs, cluster, alone)
+    np.fill_diagonal(true, False)
+    assert true.sum() >= 2 * pairs
+    found = H.lookups(Narrow(x), x, 0.93, True)
+    assert all(np.array_equal(np.flatnonzero(t), np.sort(f)) for t, f in zip(true, found))
+
+
+def test_audit_between_shards_with_hardly_any_links():
+    x, true = sparse_links(2, 0, 3000)
+    half = len(x) - 2                            # the second of each pair lies in the other shard
+    other = np.concatenate([np.random.default_rng(6).normal(size=(2000, 64)), x[half:]])
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    found = H.lookups(Narrow(x[:half]), other, 0.93)
+    assert sum(map(len, found)) == (x[:half] @ other.T >= 0.93).sum() >= 2
