@@ -6,6 +6,9 @@ the token. A token that ends the prefix is the right one if and only if it
 is compatible with the last token before it (both together encode to just
 these two). So one pass over a word's prefixes stores the count at each of
 them, and every later question (length, truncation, budget) is a lookup.
+
+What is stored of a text is the change of the count at every code point: one
+byte each (four, where a change does not fit), after a byte that says which.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylens.llm import tokens
-from staylens.llm.shared import col, free_name, small_batches
+from staylens.llm.shared import col, free_name, small_batches, written
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -30,12 +33,20 @@ LIMIT = 1024
 MAX_WORDS = 1_000_000
 #: Texts whose new words are counted together.
 DOCUMENTS = 250
-REPORT = "struct<n_bytes:bigint,n_tokens:bigint,over_limit:boolean,word_ends:binary>"
+REPORT = "struct<n_bytes:bigint,n_tokens:bigint,over_limit:boolean,word_ends:binary,prefixes:binary>"
 
 #: Rank of a merge that never comes.
 INFINITE = 1 << 62
 
 
+def changes(counts: list[int]) -> bytes | None:
+    """Changes from one count to the next as signed bytes; None if one does not fit."""
+    if max(counts) > 127:
+        step = np.diff(counts)
+        return step.astype(np.int8).tobytes() if abs(step).max() < 128 else None
+    return bytes([b - a & 255 for a, b in zip(counts, counts[1:])])
+
+
 class PrefixCounter:
     """Counts at every prefix, for a byte-level BPE vocabulary in JSON."""
 
@@ -64,8 +75,10 @@ class PrefixCounter:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
         self.spines: dict[int, tuple[list, list]] = {}
-        self.done: dict[str, int] = {}         # totals of pieces of the split
-        self.counts: dict[str, int] = {}       # totals of strings that follow a space
+        self.space = regex.compile(r"\s+")
+        self.done: dict[str, bytes | list[int]] = {}      # changes at the code points of pieces of the split, or the counts
+        self.counts: dict[str, bytes] = {}     # changes at the code points of strings that follow a space, the space first
+        self.wide: dict[str, list[int]] = {}   # of strings with changes that do not fit a byte: the counts
 
     def merge(self, text: bytes) -> list[int]:
         """Plain byte-pair encoding of a short string."""
@@ -152,9 +165,10 @@ class PrefixCounter:
         self.extend(word, count, last)
         return count
 
-    def tables(self, words: list[str]) -> None:
-        """Store the totals of new words in `self.done`. In sorted order each word
-        starts from the prefixes that it shares with the one before."""
+    def tables(self, words: list[str]) -> dict[str, list[int]]:
+        """Counts at the code points of words. In sorted order each word starts
+        from the prefixes that it shares with the one before."""
+        out = {}
         before, count, last = b"", [0], [-1]
         for raw, w in sorted((w.encode(), w) for w in words):
             n, most = 0, min(len(raw), len(before))
@@ -162,8 +176,44 @@ class PrefixCounter:
                 n += 1
             del count[n + 1:], last[n + 1:]
             self.extend(raw, count, last)
-            self.done[w] = count[-1]
+            out[w] = count[:] if len(raw) == len(w) else self._points(raw, count)
             before = raw
+        return out
+
+    @staticmethod
+    def _points(raw: bytes, count: list[int]) -> list[int]:
+        """Of the counts at every byte, those where a code point ends."""
+        return [n for i, n in enumerate(count) if i == len(raw) or raw[i] & 0xC0 != 0x80]
+
+    def prefixes(self, text: str) -> list[int]:
+        """Tokens of text[:i] for i = 0 .. len(text). Nothing is encoded again; only
+        where a cut changes the split itself (inside a contraction or a special
+        token) the few pieces around the cut are counted from their own tables."""
+        pieces = list(self.words(text))
+        counts, before = [0] * (len(text) + 1), [0]
+        runs = {m.start(): m[0] for m in self.space.finditer(text)}
+        for k, (start, w, special) in enumerate(pieces):
+            n = before[-1]
+            raw = None if special else self._points(w.encode(), self.table(w.encode()))
+            before.append(n + (1 if special else raw[-1]))
+            run = runs.get(start)
+            if run is not None:                # cut in white space, all of it up to the cut is one piece
+                counts[start + 1:start + len(run) + 1] = [n + x for x in self._points(run.encode(), self.table(run.encode()))[1:]]
+            for i in range(1, len(w) + 1):
+                if i < len(w) and (special or w[0] == "'" and i > 1):
+                    counts[start + i] = self._near(text, pieces, before, k, start + i)
+                elif special or not self.space.match(w[i - 1]):
+                    counts[start + i] = n + (1 if special else raw[i])
+        return counts
+
+    def _near(self, text: str, pieces: list, before: list[int], k: int, i: int) -> int:
+        """Count of text[:i] where the cut may change the pieces from k - 1 on."""
+        j = k
+        while j > 0 and not pieces[j - 1][2]:  # a whole special token is a border
+            j -= 1
+            if not pieces[j][1].isspace():
+                break
+        return before[j] + self.short(text[pieces[j][0]:i])
 
     def words(self, text: str) -> Iterator[tuple[int, str, bool]]:
         """(start, string, is special) of the pieces the library merges within."""
@@ -191,79 +241,85 @@ class PrefixCounter:
         """Store the counts of new strings that follow a space in `self.counts`."""
         if len(self.done) > MAX_WORDS:
             self.done.clear()
+        done = self.done
         odd = {w for w in words if self.special and self.special.search(w)}
         split = {w: self._split(w) for w in words - odd}
-        self.tables(list({x for parts in split.values() for x in parts}.difference(self.done)))
-        done = self.done
+        for w, parts in split.items():         # a cut may change the split
+            if not w.isalpha() and (self.space.search(w) or any(p[0] == "'" and len(p) > 1 for p in parts)):
+                odd.add(w)
+        for w, at in self.tables(list({x for w, parts in split.items() if w not in odd for x in parts}.difference(done))).items():
+            step = changes(at)
+            done[w] = at if step is None else step
         for w, parts in split.items():
-            self.counts[w] = sum([done[x] for x in parts])
+            if w in odd:
+                continue
+            if len(parts) == 1 and isinstance(done[parts[0]], bytes):
+                self.counts[w] = done[parts[0]]
+            elif all(isinstance(done[x], bytes) for x in parts):
+                self.counts[w] = b"".join([done[x] for x in parts])
+            else:
+                odd.add(w)
         for w in odd:
-            self.counts[w] = self.short(" " + w)
-
-    def batch(self, texts: list[str], ends: bool = False) -> list[tuple[int, list[int]]]:
-        """Tokens of each text and, on request, the count at the end of each space-parted piece."""
+            at = self.prefixes(" " + w)
+            step = changes(at)
+            if step is None:
+                self.wide[w] = at
+            self.counts[w] = step or b""
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Of each text the changes of the count at its code points."""
         cut = [[tokens.pieces(s) for s in tokens.slices(t)] for t in texts]
         counts = self.counts
         need = {w for parts in cut for _, rest in parts for w in filterfalse(counts.__contains__, rest)}
         if counts and len(counts) + len(need) > MAX_WORDS:
             counts.clear()
+            self.wide.clear()
             need = {w for parts in cut for _, rest in parts for w in rest}
         self.learn(need)
-        out = []
-        for parts in cut:
-            n, at = 0, []
-            for head, rest in parts:
-                n += self.short(head)
-                if ends:
-                    each = np.cumsum(np.fromiter(map(counts.__getitem__, rest), np.int64, len(rest))) + n
-                    at += [n, *each.tolist()]
-                    n = at[-1]
-                else:
-                    n += sum(map(counts.__getitem__, rest))
-            out.append((n, at))
-        return out
+        return [self._changes(parts) for parts in cut]
+
+    def _changes(self, parts: list[tuple[str, list[str]]]) -> np.ndarray:
+        found = []
+        for head, rest in parts:
+            if head:
+                at = self.prefixes(head)
+                step = changes(at)
+                found.append(np.diff(at) if step is None else np.frombuffer(step, np.int8))
+            if self.wide and not self.wide.keys().isdisjoint(rest):
+                found += [np.diff(self.wide[w]) if w in self.wide else np.frombuffer(self.counts[w], np.int8) for w in rest]
+            else:
+                found.append(np.frombuffer(b"".join(map(self.counts.__getitem__, rest)), np.int8))
+        return np.concatenate(found) if len(found) > 1 else found[0]
+
+    @staticmethod
+    def ends(text: str, step: np.ndarray) -> list[int]:
+        """The count at the end of each space-parted piece, from the changes."""
+        size = []
+        for k, (head, rest) in enumerate(map(tokens.pieces, tokens.slices(text))):
+            if head or not k:                  # a later slice starts with its space
+                size.append(len(head))
+            size += [1 + len(w) for w in rest]
+        return np.concatenate([[0], np.cumsum(step, dtype=np.int64)])[np.cumsum(size)].tolist()
 
     def total(self, text: str) -> tuple[int, list[int]]:
         """Tokens of a text, and the count at the end of each space-parted piece."""
-        return self.batch([text], ends=True)[0]
+        step = self.batch([text])[0]
+        return int(step.sum(dtype=np.int64)), self.ends(text, step)
 
     def count(self, text: str) -> int:
-        return self.batch([text])[0][0]
+        return int(self.batch([text])[0].sum(dtype=np.int64))
 
 
 class PrefixTable:
     """Token counts of one text at every code point, computed once.
 
     `at(i)` is the count of text[:i]; `cut(budget)` is the longest prefix
-    within a budget. Nothing is encoded again; only where a cut changes the
-    split itself (inside a contraction or a special token, or after white
-    space) the few pieces around the cut are counted from their own tables.
+    within a budget.
     """
 
     def __init__(self, text: str, vocabulary: str = VOCABULARY):
-        c = counter(vocabulary)
-        self.text, self.counter = text, c
-        self.pieces = list(c.words(text))
-        self.starts = [s for s, _, _ in self.pieces]
-        self.before = [0]
-        self.counts = [0] * (len(text) + 1)
-        for k, (start, w, special) in enumerate(self.pieces):
-            raw = c.table(w.encode()) if not special else None
-            n = self.before[-1]
-            for i in range(1, len(w) + 1):
-                sure = not (w[i - 1].isspace() or i < len(w) and (special or w[0] == "'" and i > 1))
-                if sure:
-                    self.counts[start + i] = n + (1 if special else raw[len(w[:i].encode())])
-                else:
-                    self.counts[start + i] = self._near(k, start + i)
-            self.before.append(n + (1 if special else raw[-1]))
-
-    def _near(self, k: int, i: int) -> int:
-        """Count of text[:i] where the cut may change the pieces from k - 1 on."""
-        j = max(0, k - 1)
-        while j > 0 and (self.pieces[j][1].isspace() or self.pieces[j][2]):
-            j -= 1
-        return self.before[j] + self.counter.short(self.text[self.starts[j]:i])
+        self.text = text
+        self.counts = counter(vocabulary).prefixes(text)
 
     def at(self, i: int) -> int:
         return self.counts[max(0, min(i, len(self.text)))]
@@ -279,38 +335,61 @@ def words_within(word_ends: bytes, budget: int) -> int:
     return bisect_right(np.frombuffer(word_ends, "<i4"), budget)
 
 
+def stored(step: np.ndarray) -> bytes:
+    """Changes at every code point as bytes of the column `prefixes`."""
+    return (b"\1" if step.itemsize == 1 else b"\4") + step.astype("i1" if step.itemsize == 1 else "<i4").tobytes()
+
+
+def _steps(prefixes: bytes) -> np.ndarray:
+    return np.frombuffer(prefixes, "<i4" if prefixes[0] == 4 else "i1", offset=1)
+
+
+def prefix_counts(prefixes: bytes) -> np.ndarray:
+    """Tokens of text[:i] for i = 0 .. len(text), from the stored column `prefixes`."""
+    return np.concatenate([[0], np.cumsum(_steps(prefixes), dtype=np.int64)])
+
+
+def points_within(prefixes: bytes, budget: int) -> int:
+    """Code points of the longest prefix of a text within a token budget, from
+    the stored column `prefixes`."""
+    return int(np.flatnonzero(prefix_counts(prefixes) <= max(0, budget))[-1])
+
+
 @functools.lru_cache(maxsize=2)
 def counter(vocabulary: str) -> PrefixCounter:
     return PrefixCounter(vocabulary)
 
 
-def _counting(text: str, report: str, keep: list[str], vocabulary: str, limit: int, store: bool):
+def _counting(text: str, report: str, keep: list[str], vocabulary: str, limit: int, store_ends: bool, store: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(vocabulary)
         for batch in batches:
             texts = [t or "" for t in batch[text].to_pylist()]
             n_bytes = [len(t.encode()) for t in texts]
-            found = [x for i in range(0, len(texts), DOCUMENTS) for x in c.batch(texts[i:i + DOCUMENTS], store)]
-            n_tokens = [n for n, _ in found]
-            ends = [np.array(at, "<i4").tobytes() if store else None for _, at in found]
+            found = [x for i in range(0, len(texts), DOCUMENTS) for x in c.batch(texts[i:i + DOCUMENTS])]
+            n_tokens = [int(step.sum(dtype=np.int64)) for step in found]
+            ends = [np.array(c.ends(t, step), "<i4").tobytes() if store_ends else None for t, step in zip(texts, found)]
+            prefixes = [stored(step) if store else None for step in found]
             out = pa.StructArray.from_arrays(
                 [pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()),
-                 pa.array([n > limit for n in n_tokens], pa.bool_()), pa.array(ends, pa.binary())],
-                names=["n_bytes", "n_tokens", "over_limit", "word_ends"])
+                 pa.array([n > limit for n in n_tokens], pa.bool_()), pa.array(ends, pa.binary()), pa.array(prefixes, pa.binary())],
+                names=["n_bytes", "n_tokens", "over_limit", "word_ends", "prefixes"])
             yield pa.RecordBatch.from_arrays([*(batch[k] for k in keep), out], names=[*keep, report])
     return run
 
 
 def count_tokens(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, limit: int = LIMIT,
-                 keep: list[str] | None = None, store_prefixes: bool = False) -> tuple[DataFrame, str]:
+                 keep: list[str] | None = None, store_prefixes: bool = False, every_point: bool = False) -> tuple[DataFrame, str]:
     """Exact token counts of whole texts, one task-local pass, no shuffle.
 
     Returns the `keep` columns (default: all) plus a struct column (named
     "tokens", with underscores added if taken) and its name: n_bytes (UTF-8),
     n_tokens, over_limit (n_tokens > limit) and, on request, word_ends: the
     exact count at the end of every space-parted piece as int32, which
-    `words_within` answers budget questions from. `PrefixTable` gives the
-    counts of one text at every code point.
+    `words_within` answers budget questions from, and with `every_point`
+    prefixes: the exact count at every code point as bytes that
+    `prefix_counts` and `points_within` read, about one per code point.
+    `PrefixTable` gives the same counts of one text.
 
     Special strings inside texts count as one token (the library's default).
     Null and empty texts have 0 bytes and 0 tokens; repeated rows are each
@@ -321,10 +400,21 @@ def count_tokens(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULA
     report = free_name(docs, "tokens")
     cols = list(dict.fromkeys([*keep, text]))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{report}` {REPORT}"])
-    return docs.select(*map(col, cols)).mapInArrow(_counting(text, report, keep, vocabulary, limit, store_prefixes), schema), report
+    return docs.select(*map(col, cols)).mapInArrow(_counting(text, report, keep, vocabulary, limit, store_prefixes, every_point), schema), report
+
+
+def _last(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [int(_steps(x.as_buffer()).sum(dtype=np.int64)) for x in batch["prefixes"]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
+                                             names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+    return run
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    out, t = count_tokens(docs.select("doc_id", "text"), keep=["doc_id"])
-    return out.select("doc_id", F.col(t)["n_bytes"].alias("n_bytes"), F.col(t)["n_tokens"].alias("n_tokens"),
-                      F.col(t)["over_limit"].alias("over_limit"))
+def digest(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Totals, read from the stored counts at every prefix."""
+    out, t = count_tokens(docs.select("doc_id", "text"), limit=limit, keep=["doc_id"], every_point=True)
+    held = written(out.select("doc_id", F.col(t)["n_bytes"].alias("n_bytes"), F.col(t)["prefixes"].alias("prefixes")), "token-prefixes")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return held.mapInArrow(_last(limit), f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -76,6 +77,36 @@ def test_count_tokens_query(spark):
     assert c == "tokens_" and row["tokens"] == "b" and row[c]["n_tokens"] == 1 and len(row[c]["word_ends"]) == 4
 
 
+def test_stored_prefixes_answer_every_code_point(spark, monkeypatch):
+    tok = library("byte_bpe_50k.json")
+    rows = list(enumerate(texts(8, 60, 15) + ["", "it's they'll, don't. x\n's 日本語。 naïve", "a   \n\n  b", "<|endoftext|><|endoftext|> <|endo", "x" * 200]))
+    out, c = tokencount.count_tokens(frame(spark, rows), keep=["doc_id"], every_point=True)
+    got = {r["doc_id"]: bytes(r[c]["prefixes"]) for r in out.collect()}
+    for i, t in rows:
+        want = [len(tok.encode(t[:k], add_special_tokens=False).ids) for k in range(len(t) + 1)]
+        assert tokencount.prefix_counts(got[i]).tolist() == want, t
+        assert all(tokencount.points_within(got[i], b) == max(k for k, n in enumerate(want) if n <= b) for b in (0, 2, 5))
+    kept = []
+    monkeypatch.setattr(tokencount, "written", lambda df, name: kept.append(df) or df)
+    totals = {r["doc_id"]: r["n_tokens"] for r in tokencount.digest(frame(spark, rows)).collect()}
+    assert totals == {i: tokencount.prefix_counts(x)[-1] for i, x in got.items()}
+    assert {r["doc_id"]: bytes(r["prefixes"]) for r in kept[0].collect()} == got
+
+
+def test_wide_changes_and_slices(monkeypatch):
+    c = tokencount.PrefixCounter("byte_bpe_50k.json")
+    t = "one  two three it's four five\n six seven eight"
+    want = c.total(t)
+    monkeypatch.setattr(tokens, "SLICE", 5)
+    assert c.total(t) == want and len(want[1]) == 8
+    monkeypatch.setattr(tokencount, "changes", lambda counts: None)
+    wide = tokencount.PrefixCounter("byte_bpe_50k.json")
+    assert tokencount.prefix_counts(tokencount.stored(wide.batch([t])[0])).tolist() == tokencount.PrefixTable(t).counts
+    monkeypatch.undo()
+    assert tokencount.changes([0, 300, 0]) is None and tokencount.changes([0, 1, 0]) == b"\1\xff"
+    assert tokencount._steps(pa.scalar(tokencount.stored(np.array([300, -300]))).as_buffer()).tolist() == [300, -300]
+
+
 def brute_windows(histogram, window):
     """Best-fit decreasing, one piece at a time."""
     rooms = []
