@@ -4,7 +4,8 @@ Every record is a gzip member of its own. Of pages with equal payloads, the
 one with the smallest key is a response and the others are revisit records
 that refer to it. The reader checks every member and record (gzip's crc,
 version line, length, digests); where a check fails it looks for the next
-member or version line that passes, goes on there, and logs the bytes between
+member or version line that passes, inside a decompressed member too, goes on
+there, and logs the bytes between
 as a quarantined gap.
 """
 
@@ -88,24 +89,43 @@ def _check(head: bytes, block: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
-def _parse(raw: bytes) -> list[tuple[dict[str, str], bytes]]:
-    """Records of one decompressed member."""
-    out, at = [], 0
+def _parse(raw: bytes, broken: bool = False) -> tuple[list[tuple[dict[str, str] | None, bytes, int]], str]:
+    """Records of one decompressed member, and between them its gaps (no fields,
+    the reason, the inner offset); the first reason, if any. `broken`: the
+    member's data end in a gzip error, so only records with right digests count
+    and the one that reaches up to the error does not."""
+    out, at, why, bad = [], 0, "", None
     while at < len(raw):
-        if not _VERSION.match(raw, at):
-            raise Damaged("version line")
-        found = re.compile(rb"\r?\n\r?\n").search(raw, at)
-        if not found:
-            raise Damaged("header")
-        length = _fields(raw[at:found.start()]).get("content-length", "")
-        end = found.end() + int(length) if length.isdecimal() else -1
-        if end < 0 or raw[end:end + 4] != b"\r\n\r\n":
-            raise Damaged("length")
-        out.append(_check(raw[at:found.start()], raw[found.end():end]))
-        at = end + 4
-    if not out:
-        raise Damaged("empty member")
-    return out
+        after = None
+        try:
+            if not _VERSION.match(raw, at):
+                raise Damaged("version line")
+            found = re.compile(rb"\r?\n\r?\n").search(raw, at)
+            if not found:
+                raise Damaged("header")
+            length = _fields(raw[at:found.start()]).get("content-length", "")
+            end = found.end() + int(length) if length.isdecimal() else -1
+            if end < 0 or raw[end:end + 4] != b"\r\n\r\n":
+                raise Damaged("length")
+            after = end + 4
+            fields, block = _check(raw[at:found.start()], raw[found.end():end])
+            if broken and (after == len(raw) or "warc-block-digest" not in fields):
+                raise Damaged("gzip")
+        except Damaged as e:
+            why = why or str(e)
+            if bad is None:
+                bad = at
+                out.append((None, str(e).encode(), at))
+            if after is None:
+                following = _VERSION.search(raw, at + 1)
+                after = following.start() if following else len(raw)
+        else:
+            bad = None
+            out.append((fields, block, at))
+        at = after
+    if not any(fields is not None for fields, _, _ in out):
+        raise Damaged(why or "empty member")
+    return out, why
 
 
 class Archive:
@@ -119,24 +139,35 @@ class Archive:
         self.file.seek(offset)
         return self.file.read(max(0, min(n, self.size - offset)))
 
-    def _member(self, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-        z, parts, offset = zlib.decompressobj(31), [], at
+    def _member(self, at: int) -> tuple[list[tuple[dict[str, str] | None, bytes, int]], int, str]:
+        """Records and gaps of a member, its end, and why it has no end (else empty)."""
+        z, parts, offset, why = zlib.decompressobj(31), [], at, ""
+        while not z.eof and not why:
+            data = self._at(offset, CHUNK)
+            if not data:
+                why = "cut off"
+                break
+            before = z.copy()
+            try:
+                parts.append(z.decompress(data))
+            except zlib.error:
+                why = "gzip"
+                try:                           # what comes out before the error
+                    for k in range(len(data)):
+                        parts.append(before.decompress(data[k:k + 1]))
+                except zlib.error:
+                    pass
+            offset += len(data)
+        raw = b"".join(parts)
+        if why and not raw:
+            raise Damaged(why)
         try:
-            while not z.eof:
-                data = self._at(offset, CHUNK)
-                if not data:
-                    raise Damaged("cut off")
-                out = z.decompress(data)
-                if not parts and out and not out.startswith(b"WARC/1.") and not b"WARC/1.".startswith(out):
-                    raise Damaged("version line")
-                if out:
-                    parts.append(out)
-                offset += len(data)
-        except zlib.error as e:
-            raise Damaged("gzip") from e
-        return _parse(b"".join(parts)), offset - len(z.unused_data)
-
-    def _plain(self, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
+            found, _ = _parse(raw, why == "gzip")
+        except Damaged as e:
+            raise Damaged(why or str(e)) from e
+        return found, offset - len(z.unused_data), why
+
+    def _plain(self, at: int) -> tuple[list[tuple[dict[str, str] | None, bytes, int]], int, str]:
         head, found = b"", None
         while not found:
             data = self._at(at + len(head), 1 << 14)
@@ -150,7 +181,7 @@ class Archive:
         end = at + found.end() + int(length) if length.isdecimal() else self.size + 1
         if end > self.size or self._at(end, 4) != b"\r\n\r\n":
             raise Damaged("length")
-        return [_check(head[:found.start()], self._at(at + found.end(), int(length)))], end + 4
+        return [_check(head[:found.start()], self._at(at + found.end(), int(length))) + (0,)], end + 4, ""
 
     def _next(self, at: int) -> int:
         """Place of the next member start or version line, or the end."""
@@ -164,15 +195,16 @@ class Archive:
 
     def records(self) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
         """(offset, length, fields, block) of every sound record, and
-        (offset, length, None, reason) of every gap, in order."""
+        (offset, length, None, reason) of every gap, in order. A gap inside a
+        member has the member's place, and its inner offset in the reason."""
         at, gap, why = 0, None, ""
         while at < self.size:
             start = self._at(at, 3)
             try:
                 if start == b"\x1f\x8b\x08":
-                    found, end = self._member(at)
+                    found, end, broken = self._member(at)
                 elif start == b"WAR":
-                    found, end = self._plain(at)
+                    found, end, broken = self._plain(at)
                 else:
                     raise Damaged("no member or version line")
             except Damaged as e:
@@ -183,8 +215,12 @@ class Archive:
             if gap is not None:
                 yield gap, at - gap, None, why.encode()
                 gap = None
-            for fields, block in found:
-                yield at, end - at, fields, block
+            if broken:                         # what follows the decoded records is searched as after any damage
+                end = self._next(at + 1)
+            for fields, block, inner in found:
+                yield at, end - at, fields, block if fields is not None else block + b" at inner offset %d" % inner
+            if broken:
+                yield at, end - at, None, broken.encode()
             at = end
         if gap is not None:
             yield gap, self.size - gap, None, why.encode()

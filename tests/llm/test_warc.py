@@ -80,3 +80,24 @@ def test_large_gap_is_scanned_in_chunks(monkeypatch):
     assert read(raw)[0] == ["0", "1", "2"]
     plain = sample(6, False)
     assert read(plain[0] + b"WARC/1.1 x" * 50 + plain[1])[0] == ["0", "1"]
+
+
+def test_salvage_inside_members():
+    plain = sample(12, False)
+    keys = [str(i) for i in range(12)]
+    bad = bytearray(plain[4])
+    bad[-6] ^= 1
+    for damaged in (bytes(bad), b"X" + plain[4][1:], plain[4][:-9]):
+        raw = warc.member(b"".join([*plain[:4], damaged, *plain[5:]]))
+        records, gaps = read(raw + warc.member(plain[0]))
+        assert records == keys[:4] + keys[5:] + ["0"] and gaps == [(0, len(raw))]
+        why = [b for _, _, f, b in warc.Archive(pa.BufferReader(raw)).records() if f is None]
+        assert why[0].endswith(b" at inner offset %d" % sum(map(len, plain[:4])))
+    first = warc.member(b"X" + b"".join(plain)[1:])
+    assert read(first)[0] == keys[1:]
+    whole = warc.member(b"".join(plain))
+    records, gaps = read(whole[:len(whole) * 3 // 4])
+    assert len(records) >= 5 and records == keys[:len(records)] and gaps
+    crc = bytearray(whole)
+    crc[-6] ^= 1
+    assert read(bytes(crc) + warc.member(plain[3]))[0] == keys[:-1] + ["3"]
