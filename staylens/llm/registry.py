@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from staylens.llm import sql
 from staylens.llm.shared import table
 
 
@@ -59,8 +60,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from staylens.llm.collocations import digest
+    return digest(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from staylens.llm.fim import digest
+    return digest(table(spark, sf_dir, "documents"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from staylens.llm.repeats import digest
+    return digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: fn for name, fn in sorted(globals().items()) if name.startswith("op") and callable(fn)
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op11_collocations": sql.COLLOCATIONS,
+    "op12_fill_in_middle": sql.FIM,
+    "op13_substring_dedup": sql.REPEATS,
+}
