@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from staylens.llm import textcodes
-from staylens.llm.shared import col, free_name, small_batches, tidy
+from staylens.llm.shared import col, free_name, numbered, small_batches, tidy
 
 #: Marks before the prefix, the suffix and the middle.
 SENTINELS = (b"<P>", b"<S>", b"<M>")
@@ -170,9 +170,10 @@ def fill_in_middle(docs: DataFrame, key: str = "doc_id", text: str = "text", see
     held a few times over by one task.
     """
     small_batches(docs.sparkSession)
-    out = free_name(docs, "fim")
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, RESULT)])
-    return docs.mapInArrow(_transformer(key, text, out, seed, plain_from, spm_below), schema), out
+    out, names = free_name(docs, "fim"), docs.columns
+    docs, (key, text) = numbered(docs, key, text)
+    schema = T.StructType([*docs.schema.fields, T.StructField("fim", RESULT)])
+    return docs.mapInArrow(_transformer(key, text, "fim", seed, plain_from, spm_below), schema).toDF(*names, out), out
 
 
 def _hasher(output: str, form: str, names: tuple[str, str]):

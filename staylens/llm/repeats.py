@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from staylens.llm import textcodes
-from staylens.llm.shared import col, free_name, open_fs, shared_path, small_batches, tidy, written
+from staylens.llm.shared import col, free_name, numbered, open_fs, shared_path, small_batches, tidy, written
 
 WINDOW = 35
 #: Text in a shard, about; a longer text is a shard of its own.
@@ -241,10 +241,15 @@ def _windows(text: str, window: int, n_buckets: int, anchors: str):
 
 # ---------------------------------------------------------------- automata
 
-def _passages(recurs: np.ndarray, window: int) -> Iterator[tuple[int, int]]:
-    """(first word, end) of the runs of recurring windows, long ones cut."""
-    edge = np.diff(np.concatenate([[0], recurs.astype(np.int8), [0]]))
-    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+def _passages(recurs: np.ndarray, first: np.ndarray, window: int) -> Iterator[tuple[int, int]]:
+    """(first word, end) of each text's runs of recurring windows, long ones cut."""
+    opens = np.zeros(len(recurs) + 1, bool)
+    opens[first[first < len(recurs)]] = True
+    on = np.append(recurs, False)
+    before = np.concatenate([[False], recurs])
+    begin = np.flatnonzero(on & (~before | opens))
+    end = np.flatnonzero(before & (~on | opens))
+    for a, b in zip(begin.tolist(), end.tolist()):
         for at in range(a, b, PATTERN_WINDOWS):
             yield at, min(at + PATTERN_WINDOWS, b) + window - 1
 
@@ -274,7 +279,7 @@ def locate(words: bytes, offsets: np.ndarray, first: np.ndarray, recurs: np.ndar
             np.add.at(change, np.searchsorted(offsets, ends), -1)
 
     held, size = [], 0
-    for a, b in _passages(recurs, window):
+    for a, b in _passages(recurs, first, window):
         held.append((a, b))
         size += int(offsets[b] - offsets[a])
         if size >= PATTERN_BYTES:
@@ -333,7 +338,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
     small_batches(spark)
     if spark.conf.get(HANDED_BYTES, None) in (None, str(256 << 20), str(64 << 20)):
         spark.conf.set(HANDED_BYTES, str(4 * SHARD_BYTES))
-    out = free_name(docs, "repeats")
+    out, names = free_name(docs, "repeats"), docs.columns
+    docs, (text,) = numbered(docs, text)
     packed = docs.mapInArrow(_packer(text), "payload binary, bytes bigint")
     shards = written(packed.select(F.monotonically_increasing_id().alias("shard"), "payload", "bytes"), "repeat-shards")
     n_buckets = max(1, -(-(shards.agg(F.sum("bytes")).first()[0] or 0) // BUCKET_BYTES))
@@ -341,8 +347,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
     rows = shards.select("shard", "payload")
     anchors = _recurring(rows.mapInArrow(_anchors(text, window, n_buckets), asked), "repeat-anchors")
     windows = _recurring(rows.mapInArrow(_windows(text, window, n_buckets, anchors), asked), "repeat-windows")
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, RESULT)])
-    return rows.mapInArrow(_remover(text, window, anchors, windows, out), schema), out
+    schema = T.StructType([*docs.schema.fields, T.StructField("repeats", RESULT)])
+    return rows.mapInArrow(_remover(text, window, anchors, windows, "repeats"), schema).toDF(*names, out), out
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -64,6 +64,12 @@ def free_name(df: DataFrame, want: str) -> str:
     return want
 
 
+def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """`df` with columns named c0, c1, ... (for tasks that take any name: dotted,
+    repeated, clashing), and what the named ones are called there."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), [f"c{df.columns.index(n)}" for n in names]
+
+
 def col(name: str):
     """A column by its exact name (dots and backquotes included)."""
     return F.col("`" + name.replace("`", "``") + "`")
