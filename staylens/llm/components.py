@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.shared import written
+from staylens.llm.shared import discard, written
 
 
 def _to_least(links: DataFrame, both: bool) -> DataFrame:
@@ -35,9 +35,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     `links`: columns a, b, both not null, in any order; links to itself and
     repeated links do not matter. Nodes without links do not appear."""
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    mark = None
+    mark = last = None
     while True:
         links = written(_to_least(_to_least(links, both=True), both=False), "links")
+        if last is not None:
+            discard(last)
+        last = links
         seen = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             break

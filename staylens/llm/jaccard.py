@@ -12,13 +12,17 @@ Two texts link when 100 * |A and B| >= percent * |A or B|. Steps:
    are found through inverted lists of single prefix shingles. The boundary
    between the two is chosen by their summed cost.
 4. In every key list, each class is checked against the list's first; links
-   are joined to components. Lists that still hold several components are
-   compared in blocks, pairs of different components only, with an upper
-   bound of the overlap from bitmaps; what passes is checked on the full sets.
-
-Two classes that link share a key, so they are either in one component
-before the last step or compared in it: no link between components is lost,
-and no list is expanded into all its pairs of links.
+   are joined to components.
+5. Classes of lists that still hold several components meet in rounds: each
+   takes one of these lists to a block of bounded size, with its full set, and
+   the block names the links that join components, fewer than it has members.
+6. Lists that hold several components even then are compared whole: in blocks,
+   members outside a list's largest component visit every block of it. A pair
+   is compared only while its two sides lie in different components.
+
+Two classes that link share a key, so they are in one component before the
+last step or are compared in it: no link between components is lost, and only
+links that join components ever leave a task.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 
 from staylens.llm import textcodes
 from staylens.llm.components import connected_components
-from staylens.llm.shared import col, free_name, small_batches, tidy, written
+from staylens.llm.shared import col, discard, free_name, small_batches, tidy, written
 
 N, PERCENT = 5, 80
 #: Prefix shingles meeting in one bucket of the filter, about.
@@ -43,8 +47,14 @@ GATHER = 1 << 20
 #: Shingles in at least this many classes go last in the order of prefixes;
 #: of these at most so many, the most frequent. Only the order depends on it.
 FREQUENT, MAX_FREQUENT = 100, 1 << 16
-#: Bits of a set's bitmap; members of a list compared in one task.
+#: Bits of a set's bitmap; members of a list in one block, about.
 BITS, BLOCK = 1024, 512
+#: Rounds of step 5 go on while they leave less than this share of the rows.
+WORTH = 0.7
+#: Sets compared with one at once; what they join is looked at in between.
+AT_ONCE = 64
+#: Sizes beyond are counted by bins when the boundary is chosen.
+EXACT_SIZES = 1 << 12
 #: Cost of comparing two members of a list (bitmaps, in one task) in units of
 #: the cost of a key (written, shuffled, grouped).
 COMPARE = 1 / 64
@@ -98,12 +108,12 @@ def _sets(batches, text: str, n: int):
             yield batch.slice(i, j - i), list(shingle_sets(batch[text].slice(i, j - i), n))
 
 
-def _classes(key: str, text: str, n: int):
+def _classes(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _sets(batches, text, n):
+        for batch, sets in _sets(batches, "text", n):
             yield pa.RecordBatch.from_arrays(
-                [batch[key], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_code(s) if len(s) else None for s in sets], pa.int64())],
-                names=["id", "size", "cls"])
+                [batch["id"], batch["mark"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_code(s) if len(s) else None for s in sets], pa.int64())],
+                names=["id", "mark", "size", "cls"])
     return run
 
 
@@ -209,18 +219,28 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in (a, b)], names=["id", "number"])
 
 
+def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of BITS bits for each set, as 64-bit numbers."""
+    bits = np.zeros((len(sets), BITS), np.uint8)
+    if sets:
+        bits[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), (np.concatenate(sets) % np.uint64(BITS)).astype(np.int64)] = 1
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
 def _full_sets(text: str, n: int):
+    """Sets of the rows that stand for their class; a task gives a class once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
         for batch, sets in _sets(batches, text, n):
-            keep = [k for k, (s, c) in enumerate(zip(sets, batch["cls"].to_pylist())) if len(s) and set_code(s) == c]
-            maps = []
-            for k in keep:
-                bits = np.zeros(BITS, np.uint8)
-                bits[(sets[k] % np.uint64(BITS)).astype(np.int64)] = 1
-                maps.append(np.packbits(bits).tobytes())
+            keep = []
+            for k, (s, c) in enumerate(zip(sets, batch["cls"].to_pylist())):
+                if len(s) and c not in given and set_code(s) == c:
+                    given.add(c)
+                    keep.append(k)
+            maps = _bitmaps([sets[k] for k in keep])
             yield pa.RecordBatch.from_arrays(
                 [batch["cls"].take(pa.array(keep, pa.int64())), pa.array([len(sets[k]) for k in keep], pa.int64()),
-                 pa.array([sets[k].tobytes() for k in keep], pa.binary()), pa.array(maps, pa.binary())], names=["cls", "size", "shingles", "bitmap"])
+                 pa.array([sets[k].tobytes() for k in keep], pa.binary()), pa.array([m.tobytes() for m in maps], pa.binary())], names=["cls", "size", "shingles", "bitmap"])
     return run
 
 
@@ -323,51 +343,119 @@ def _bounded(percent: int):
     return run
 
 
-def _compare(percent: int):
-    """Pairs of different components in one block of a list (or between two)
-    that may link. Rows come sorted by list and block."""
-    group = ["key", "low", "high"]
-
-    def pairs(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        cls, size, comp, side, *by = (rows[c].to_numpy() for c in ("cls", "size", "component", "side", *group))
-        maps = _maps(rows["bitmap"])
-        new = np.ones(len(cls), bool)
-        new[1:] = np.any([x[1:] != x[:-1] for x in by], axis=0)
-        start = np.flatnonzero(new)
-        for lo, hi in zip(start.tolist(), np.append(start[1:], len(cls)).tolist()):
-            two = by[1][lo] != by[2][lo]
-            for i in range(lo, hi):
-                if two and side[i]:
-                    continue
-                other = np.arange(lo, hi) if two else np.arange(i + 1, hi)
-                other = other[(comp[other] != comp[i]) & ((side[other] == 1) if two else True)]
-                if len(other):
-                    other = other[_may_link(size[i], size[other], maps[i], maps[other], percent)]
-                    yield np.minimum(cls[i], cls[other]), np.maximum(cls[i], cls[other])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+class _Block:
+    """Members of one block, and the links found that join their components."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.rows: list[tuple] = []      # cls, size, component, is a visitor elsewhere, set
+        self.up: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
+        self.closed = False
+
+    def _root(self, c: int) -> int:
+        while (above := self.up.get(c, c)) != c:
+            self.up[c] = self.up.get(above, above)
+            c = above
+        return c
+
+    def _join(self, a: int, b: int) -> None:
+        """One component from here on."""
+        self.up[b] = a
+        self.label[self.label == b] = a
+
+    def _overlap(self, s: np.ndarray, members: np.ndarray) -> np.ndarray:
+        """Elements that the set has in common with each member."""
+        theirs = [self.sets[k] for k in members.tolist()]
+        flat = np.concatenate(theirs)
+        hit = s[np.minimum(np.searchsorted(s, flat), len(s) - 1)] == flat
+        return np.add.reduceat(hit, np.cumsum([0] + [len(x) for x in theirs[:-1]]))
+
+    def _look(self, cls: int, size: int, component: int, s: np.ndarray, bits: np.ndarray, members: np.ndarray) -> None:
+        """Compare a set with members, those of its component left out as it grows."""
+        mine = self._root(component)
+        members = members[self.label[members] != mine]
+        if len(members):
+            members = members[_may_link(size, self.size[members], bits, self.maps[members], self.percent)]
+        while len(members):
+            now, members = members[:AT_ONCE], members[AT_ONCE:]
+            common = self._overlap(s, now)
+            good = now[100 * common >= self.percent * (size + self.size[now] - common)]
+            for k in good.tolist():
+                if self.label[k] != mine:
+                    self.links.append((cls, int(self.cls[k])))
+                    self._join(mine, int(self.label[k]))
+            if len(good):
+                members = members[self.label[members] != mine]
+
+    def close(self) -> None:
+        """All members are here: compare them with each other, by size."""
+        if self.closed:
+            return
+        self.closed = True
+        self.rows.sort(key=lambda r: (r[1], r[0]))
+        columns = list(zip(*self.rows)) or [()] * 5
+        self.rows = []
+        self.cls, self.size = np.array(columns[0], np.int64), np.array(columns[1], np.int64)
+        self.label = np.array([self._root(c) for c in columns[2]], np.int64)
+        self.visits, self.sets = np.array(columns[3], bool), list(columns[4])
+        self.maps = _bitmaps(self.sets)
+        most = np.searchsorted(self.size, self.size * 100 // self.percent, "right")
+        for k in range(len(self.cls)):
+            if most[k] > k + 1:
+                self._look(int(self.cls[k]), int(self.size[k]), int(self.label[k]), self.sets[k], self.maps[k], np.arange(k + 1, most[k]))
+
+    def visit(self, cls: int, size: int, component: int, s: np.ndarray, first: bool) -> None:
+        """A member of another block; two visitors meet in the block of the later."""
+        lo, hi = np.searchsorted(self.size, [_needed(size, self.percent), size * 100 // self.percent + 1])
+        members = np.arange(lo, hi)
+        if not first:
+            members = members[~self.visits[members]]
+        if len(members):
+            self._look(cls, size, component, s, _bitmaps([s])[0], members)
 
-        def out(rows: pa.Table) -> pa.RecordBatch:
-            found = [(np.empty(0, np.int64),) * 2, *pairs(rows)]
-            both = np.unique(np.stack([np.concatenate(x) for x in zip(*found)], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
+def _compare(percent: int):
+    """Links that join components, block by block. Rows come sorted by key, peer
+    (the block) and visitor (members first)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, at = None, None
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([held, rows]) if held is not None else rows
-            if not rows.num_rows:
-                continue
-            by = [rows[c].to_numpy() for c in group]
-            cut = int(np.flatnonzero(np.any([x != x[-1] for x in by], axis=0))[-1]) + 1 if any((x != x[-1]).any() for x in by) else 0
-            held = rows.slice(cut).combine_chunks()              # the last list may go on
-            if cut:
-                yield out(rows.slice(0, cut))
-        if held is not None and held.num_rows:
-            yield out(held)
+            done = []
+            for key, peer, visitor, home, cls, size, component, visits, raw in zip(*(batch[c].to_pylist() for c in _BLOCK_ROWS)):
+                if at != (key, peer):
+                    if block is not None:
+                        block.close()
+                        done += block.links
+                    block, at = _Block(percent), (key, peer)
+                s = np.frombuffer(raw, np.uint64)
+                if visitor:
+                    block.close()
+                    block.visit(cls, size, component, s, home < peer)
+                else:
+                    block.rows.append((cls, size, component, visits, s))
+            if done:
+                yield _pairs(done)
+        if block is not None:
+            block.close()
+            yield _pairs(block.links)
     return run
 
 
+_BLOCK_ROWS = ("key", "peer", "visitor", "home", "cls", "size", "component", "visits", "shingles")
+
+
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _compared(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """rows: key, peer, visitor, home, cls, component, visits."""
+    full = rows.join(sets.select("cls", "size", "shingles"), "cls").select(*_BLOCK_ROWS)
+    full = full.repartition("key", "peer").sortWithinPartitions("key", "peer", "visitor")
+    return written(full.mapInArrow(tidy(_compare(percent)), "a bigint, b bigint"), "joining-links")
+
+
 def _overlaps(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -391,46 +479,72 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _link_classes(sets: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the classes that link with others."""
     about = sets.select("cls", "size", "bitmap")
-    lists = keys.groupBy("key").agg(F.min("cls").alias("first"), F.max("cls").alias("last"), F.count(F.lit(1)).alias("length")).where("first <> last")
-    lists = written(lists, "key-lists")
-    stars = keys.join(lists.select("key", "first"), "key").where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct()
+    lists = keys.groupBy("key").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).where("first <> last").select("key", "first")
+    stars = keys.join(lists, "key").where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct()
     first = about.select(F.col("cls").alias("a"), F.col("size").alias("size_a"), F.col("bitmap").alias("map_a"))
     other = about.select(F.col("cls").alias("b"), F.col("size").alias("size_b"), F.col("bitmap").alias("map_b"))
     stars = stars.join(first, "a").join(other, "b").mapInArrow(_bounded(percent), "a bigint, b bigint")
     links = _links(stars, sets, percent)
-    found = written(connected_components(links), "star-components")
-    # Lists with several components: every pair across them, in blocks.
-    member = about.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    told = keys.join(member.select("cls", "component"), "cls")
-    mixed = told.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
-    n_blocks = F.ceil(F.col("length") / BLOCK).cast("int")
-    rows = keys.join(mixed, "key").join(lists.select("key", n_blocks.alias("n_blocks")), "key").join(member, "cls")
-    block = F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int")
-    rows = rows.withColumn("block", block).withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    rows = rows.select("key", F.least("block", "peer").alias("low"), F.greatest("block", "peer").alias("high"), "cls", "size", "component", "bitmap",
-                       F.when(F.col("block") > F.col("peer"), 1).otherwise(0).alias("side"))
-    sides = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    pairs = sides.mapInArrow(tidy(_compare(percent)), "a bigint, b bigint").distinct()
-    more = _links(pairs, sets, percent)
-    return connected_components(links.union(more))
-
-
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
-    """One row per row of `docs`: id (the key), size (distinct shingles of n
-    words; a shorter text is one shingle), component (the least key reachable
-    over links, its own included).
-
-    Null and blank texts have size 0 and link with nothing: their component
-    is their own key. Equal texts are one class, so repeated rows link; null
-    keys are never the least unless all are null. Other columns are ignored;
-    an empty table stays empty. Shingles and classes are told apart by 64-bit codes.
-    """
+    found = written(connected_components(links), "class-groups")
+    discard(links)
+    before, turn = None, 0
+    while True:
+        rows = _mixed(keys, found)
+        n = rows.count()
+        if not n:
+            break
+        last = before is not None and n > WORTH * before
+        links = _compared(_visiting(rows) if last else _met_once(rows, turn), sets, percent)
+        discard(rows)
+        known = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        merged = written(connected_components(known.union(links)), "class-groups")
+        discard(found, links)
+        found, before, turn = merged, n, turn + 1
+        if last:
+            break
+    return found
+
+
+def _mixed(keys: DataFrame, found: DataFrame) -> DataFrame:
+    """key, cls, component, length of the lists that hold several components."""
+    told = keys.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    mixed = told.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("length"))
+    return written(told.join(mixed.where("c1 <> c2").select("key", "length"), "key"), "mixed-lists")
+
+
+def _met_once(rows: DataFrame, turn: int) -> DataFrame:
+    """Each class in one of its lists, at first the longest, then another one
+    each turn, the same for classes that share most lists."""
+    choice = F.struct(F.col("length") if turn == 0 else F.xxhash64("key", F.lit(turn)), F.col("key"))
+    picked = rows.groupBy("cls", "component").agg(F.max(choice).alias("choice")).select("cls", "component", "choice.key")
+    blocks = picked.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "n_blocks")
+    home = F.pmod(F.xxhash64("cls", F.lit(turn)), F.col("n_blocks"))
+    return picked.join(blocks, "key").select("key", home.alias("peer"), F.lit(False).alias("visitor"), home.alias("home"), "cls", "component", F.lit(False).alias("visits"))
+
+
+def _visiting(rows: DataFrame) -> DataFrame:
+    """All members in their blocks; those outside the list's largest component in every block."""
+    sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m")).select("key", F.col("m.component").alias("main"))
+    n_blocks = F.ceil(F.col("length") / BLOCK)
+    home = F.pmod(F.xxhash64("cls"), n_blocks)
+    rows = rows.join(main, "key").select("key", "cls", "component", (F.col("component") != F.col("main")).alias("visits"), n_blocks.alias("n_blocks"), home.alias("home"))
+    peers = F.when(F.col("visits"), F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)).otherwise(F.array("home"))
+    rows = rows.withColumn("peer", F.explode(peers))
+    return rows.select("key", "peer", (F.col("peer") != F.col("home")).alias("visitor"), "home", "cls", "component", "visits")
+
+
+def _rows(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
+    """id, mark (of the text), size, grp (a number for each group of linked
+    classes, null without words), component (least id) of each row."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(col(key).alias("id"), col(text).alias("text"))
+    docs = docs.select(col(key).alias("id"), col(text).cast("string").alias("text"))
+    docs = docs.withColumn("mark", F.xxhash64("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    sets_of = written(docs.mapInArrow(tidy(_classes("id", "text", n)), f"id {kind}, size bigint, cls bigint"), "shingle-classes")
-    classes = written(sets_of.where("size > 0").groupBy("cls").agg(F.min("id").alias("id"), F.first("size").alias("size")), "classes")
+    sets_of = written(docs.mapInArrow(tidy(_classes(n)), f"id {kind}, mark bigint, size bigint, cls bigint"), "shingle-classes")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("least")
+    classes = written(sets_of.where("size > 0").groupBy("cls").agg(least, F.max("size").alias("size")).select("cls", "size", "least.id", "least.mark"), "classes")
     needed = F.ceil(F.col("size") * percent / 100)
     spread = classes.agg(F.sum(F.col("size") - needed + F.floor(F.col("size") / 8) + 1)).first()[0] or 0
     n_buckets = 1 + int(spread) // BUCKET
@@ -440,9 +554,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     summed = "id bigint, number bigint"
     shared = met.where("part >= 0").groupBy("part").applyInArrow(_sum_up, summed).select(F.col("id").alias("cls"), F.col("number").alias("shared"))
     sure = F.greatest(F.lit(1), F.floor(needed / 8))
-    left = classes.join(shared, "cls").where(F.col("shared") >= sure).select("cls", F.col("id").alias("rep"))
-    texts = docs.join(left, docs["id"].eqNullSafe(left["rep"])).select("cls", "text")
-    sets = written(texts.mapInArrow(tidy(_full_sets("text", n)), "cls bigint, size bigint, shingles binary, bitmap binary"), "shingle-sets")
+    left = classes.join(shared, "cls").where(F.col("shared") >= sure).select("cls", F.col("id").alias("rep"), F.col("mark").alias("rep_mark"))
+    texts = docs.join(left, docs["id"].eqNullSafe(left["rep"]) & (docs["mark"] == left["rep_mark"])).select("cls", "text")
+    full = texts.mapInArrow(tidy(_full_sets("text", n)), "cls bigint, size bigint, shingles binary, bitmap binary")
+    sets = written(full.dropDuplicates(["cls"]), "shingle-sets")
     often = met.where("part < 0").mapInArrow(_unpack, summed).orderBy(F.desc("number"), "id").limit(MAX_FREQUENT).collect()
     codes = np.array([r["id"] for r in often], np.int64).view(np.uint64)
     by = np.argsort(codes)
@@ -450,27 +565,47 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     posted = sets.mapInArrow(_postings(frequent, percent), "token bigint, bin bigint").groupBy("token", "bin").count()
     per_bin = posted.groupBy("token").agg(F.collect_list(F.struct("bin", "count")).alias("bins"), F.sum("count").alias("length"))     # a few hundred bins at most
     cost = per_bin.select(F.inline("bins"), "length").groupBy("bin").agg(F.sum("count"), F.sum(F.col("count") * F.col("length"))).collect()
-    small = 1 << 12       # sizes beyond are heavy: their 2-subsets outnumber any list
-    sizes = {int(r[0]): int(r[1]) for r in sets.where(F.col("size") <= small).groupBy("size").count().collect()}
+    # a size beyond EXACT_SIZES counts as the largest of its bin
+    binned = F.floor(F.pow(F.lit(2.0), (F.floor(12 * F.log2("size")) + 1) / 12)).cast("bigint")
+    about = F.when(F.col("size") <= EXACT_SIZES, F.col("size")).otherwise(binned)
+    sizes = {int(r[0]): int(r[1]) for r in sets.groupBy(about.alias("about")).count().collect()}
     boundary = choose_boundary([tuple(r) for r in cost], sizes, percent)
     keys = written(sets.mapInArrow(_keys(frequent, percent, boundary), "key bigint, cls bigint"), "keys")
     linked = _link_classes(sets, keys, percent)
     groups = classes.join(linked.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "id", F.coalesce("component", "cls").alias("component"))
     least = groups.groupBy("component").agg(F.min("id").alias("least"))
-    of_class = written(groups.join(least, "component").select("cls", F.col("least").alias("component")), "class-components")
-    return sets_of.join(of_class, "cls", "left").select("id", "size", F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    of_class = written(groups.join(least, "component").select("cls", F.col("component").alias("grp"), F.col("least").alias("component")), "class-components")
+    discard(met, sets, keys, classes, linked)
+    return sets_of.join(of_class, "cls", "left").select("id", "mark", "size", "grp", F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
+    """One row per row of `docs`: id (the key), size (distinct shingles of n
+    words; a shorter text is one shingle), component (the least key reachable
+    over links, its own included).
+
+    Null and blank texts have size 0 and link with nothing: their component
+    is their own key. Equal texts are one class, so repeated rows link; null
+    keys are never the least unless all are null. Other columns are ignored;
+    an empty table stays empty. Shingles and classes are told apart by 64-bit codes.
+    """
+    return _rows(docs, key, text, n, percent).select("id", "size", "component")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
-    """One row per component: the one with the least key (of repeated rows with
-    that key and text, one). Rows without words all stay; if one row with a null
-    key stays, all of them do. Columns as in `docs`."""
-    found = written(jaccard_components(docs, key, text, n, percent), "shingle-components")
-    stay = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("stay"))
-    name = free_name(docs, "stay")
-    stay = stay.select(F.col("stay").alias(name)).distinct()
-    kept = docs.join(stay, docs[key].eqNullSafe(stay[name]), "left_semi")
-    if found.where("size > 0").groupBy("id").count().where("count > 1").limit(1).count():     # repeated rows
+    """One row of each group of linked rows: the one with the least key (null
+    last), of repeated rows with that key one. Rows without words all stay.
+    Columns as in `docs`. A key may occur with several texts; each of them
+    belongs to its own group."""
+    found = written(_rows(docs, key, text, n, percent), "shingle-components")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first")
+    stay = found.where("size > 0").groupBy("grp").agg(first).select(F.col("first.id").alias("id"), F.col("first.mark").alias("mark"))
+    names = [free_name(docs, "stay"), free_name(docs, "stay_mark")]
+    blank = found.where("size = 0").select("id", "mark")
+    stay = written(stay.union(blank).distinct().toDF(*names), "staying")
+    mark = F.xxhash64(col(text).cast("string"))
+    kept = docs.join(stay, col(key).eqNullSafe(col(names[0])) & (mark == col(names[1])), "left_semi")
+    if found.where("size > 0").groupBy("id", "mark").count().where("count > 1").limit(1).count():     # repeated rows
         words = F.coalesce(F.length(F.trim(F.translate(col(text), "\t\n\x0b\x0c\r", "     "))), F.lit(0)) > 0
         kept = kept.where(~words).unionByName(kept.where(words).dropDuplicates([key, text]))
     return kept.select(*map(col, docs.columns))

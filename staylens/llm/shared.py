@@ -26,7 +26,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     lineage, survives lost executors, and later reads prune columns."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by `written` that no later step reads."""
+    for t in tables:
+        spark, path = t.sparkSession, t._written_at
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def small_batches(spark: SparkSession) -> None:
