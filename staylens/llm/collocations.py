@@ -12,9 +12,11 @@ few MB of text at a time:
 3. Pairs that are frequent in the whole corpus are ranked again by frequency
    and become the first ids of the next level.
 
-Spark sums the tasks' counts by the phrase itself (a string), so counts are
-exact; a phrase is frequent only if its parts are, so each level looks at the
-occurrences that the level before left. What is frequent reaches the tasks as
+Pairs of words are counted twice: first by half of their code, packed, in
+buckets, which leaves those that may be frequent; then, like all longer
+phrases, by the phrase itself (a string), so counts are exact; a phrase is
+frequent only if its parts are, so each level looks at the occurrences that
+the level before left. What is frequent reaches the tasks as
 a bit map of FILTER_BITS bits, whatever the corpus: where it lets an
 infrequent phrase pass, the exact counts drop it later.
 """
@@ -39,6 +41,8 @@ MIN_COUNT, LONGEST, TOP = 100, 5, 2000
 GATHER_BYTES = 8 << 20
 #: Ids along a tile's side, and pairs from which a tile is counted densely.
 SIDE, DENSE = 1 << 10, 1 << 14
+#: Pairs whose codes are counted in one bucket, at most, about.
+BUCKET = 1 << 22
 #: Bits of the map of frequent phrases: 8 MB, collected and broadcast.
 LOG_BITS = 26
 #: First step of the report: groups of phrases that are cut to their top rows.
@@ -159,8 +163,9 @@ def _has(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) > 0
 
 
-def phrase_counts(w: Words, k: int, frequent: list[np.ndarray]) -> pa.RecordBatch:
-    """Counts of the phrases of `k` words whose parts pass `frequent` (bit maps by length)."""
+def phrase_counts(w: Words, k: int, frequent: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, code, count) of the phrases of `k` words whose parts, and
+    with a map for `k` themselves, pass `frequent` (bit maps by length)."""
     some = np.flatnonzero(_has(frequent[0], w.codes))
     _, kind, counts = np.unique(w.codes[some], return_inverse=True, return_counts=True)
     last = np.full(len(w.codes) + 1, -1, np.int64)
@@ -174,12 +179,12 @@ def phrase_counts(w: Words, k: int, frequent: list[np.ndarray]) -> pa.RecordBatc
             fits &= ids[at + 1] >= 0
         at = at[fits]
         code = textcodes.combine(codes[at], w.codes[at + length - 1])
-        if length < k:
+        if len(frequent) >= length:
             passed = _has(frequent[length - 1], code)
             at, code = at[passed], code[passed]
         kind, seen, counts = count_pairs(ids[at], last[at + length - 1])
         if length == k:
-            return w.rows(at[seen], k, code[seen], counts)
+            return at[seen], code[seen], counts
         ids = np.full(len(w.codes) + 1, -1, np.int64)
         ids[at] = ranked(kind, counts)
         codes = np.zeros(len(w.codes), np.uint64)
@@ -191,10 +196,46 @@ def _phrases(k: int, frequent: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = [b.value for b in frequent]
         for w in _gathered(batches):
-            yield phrase_counts(w, k, maps)
+            at, codes, counts = phrase_counts(w, k, maps)
+            yield w.rows(at, k, codes, counts)
     return tidy(run)
 
 
+def _packed_pairs(words, n_buckets: int):
+    """Pairs of words for `_often`: in each bucket, the upper halves of their
+    codes and their counts, up to 255 (entries of one pair are split, not cut)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w in _gathered(batches):
+            _, codes, counts = phrase_counts(w, 2, [words.value])
+            times = -(-counts // 255)
+            counts = np.repeat(counts, times)
+            first = np.cumsum(times) - times
+            left = counts - 255 * (np.arange(len(counts)) - np.repeat(first, times))
+            codes = np.repeat(codes, times)
+            bucket = (codes % np.uint64(n_buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+            upper, left = (codes[order] >> np.uint64(32)).astype("<u4"), np.minimum(left[order], 255).astype(np.uint8)
+            some = np.flatnonzero(np.diff(ends))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.int64()), *(pa.array([x[ends[k]:ends[k + 1]].tobytes() for k in some], pa.binary()) for x in (upper, left))],
+                names=["bucket", "upper", "counts"])
+    return tidy(run)
+
+
+def _often(min_count: int):
+    """Codes (upper halves) of one bucket that occur `min_count` times or more."""
+    def run(table: pa.Table) -> pa.Table:
+        upper = np.frombuffer(b"".join(table["upper"].to_pylist()), "<u4")
+        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8)
+        order = np.argsort(upper, kind="stable")
+        first = np.flatnonzero(np.diff(upper[order].astype(np.int64), prepend=-1))
+        total = np.add.reduceat(counts[order], first, dtype=np.int64) if len(first) else np.empty(0, np.int64)
+        codes = upper[order][first[total >= min_count]].astype(np.uint64) << np.uint64(32)
+        return pa.table({"code": pa.array(codes.view(np.int64))})
+    return run
+
+
 # ---------------------------------------------------------------- counts in Spark
 
 _ROWS = "lang string, phrase string, code bigint, n bigint"
@@ -234,7 +275,13 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", mi
     maps: list = []
     for k in range(2, longest + 1):
         maps.append(spark.sparkContext.broadcast(_bit_map(levels[-1])))
-        counted = _summed(source.mapInArrow(_phrases(k, maps), _ROWS)).where(F.col("n") >= min_count)
+        passing = list(maps)
+        if k == 2:      # most pairs occur once or twice: a packed count of their codes sorts them out
+            n_buckets = 1 + int(words.agg(F.sum("n")).first()[0] or 0) // BUCKET
+            packed = source.mapInArrow(_packed_pairs(maps[0], n_buckets), "bucket bigint, upper binary, counts binary")
+            often = packed.groupBy("bucket").applyInArrow(_often(min_count), "code bigint")
+            passing.append(spark.sparkContext.broadcast(_bit_map(often)))
+        counted = _summed(source.mapInArrow(_phrases(k, passing), _ROWS)).where(F.col("n") >= min_count)
         levels.append(written(counted, "collocation-phrases"))
     return [x.select("lang", "phrase", "n") for x in levels], words.groupBy("lang").agg(F.sum("n").alias("n"))
 

@@ -63,6 +63,7 @@ def run(spark, rows, **kw):
                                      (3, {"min_count": 3, "longest": 3}), (4, {"min_count": 4, "longest": 2})])
 def test_against_brute_force(spark, seed, kw, monkeypatch):
     monkeypatch.setattr(C, "GATHER_BYTES", 2000)
+    monkeypatch.setattr(C, "BUCKET", 300)
     rows = corpus(seed)
     got = run(spark, rows, **kw)
     assert got == brute(rows, **kw) and got
@@ -117,3 +118,15 @@ def test_tiles_count_pairs_like_a_table(dense, monkeypatch):
     by_rank = [want[x[i], y[i]] for i in (int(np.flatnonzero(rank == r)[0]) for r in range(len(counts)))]
     assert by_rank == sorted(by_rank, reverse=True)
     assert all(len(a) == 0 for a in C.count_pairs(x[:0], y[:0]))
+
+
+def test_packed_pairs_add_up_beyond_a_byte():
+    import pyarrow as pa
+
+    class Everything:
+        value = np.full(1 << C.LOG_BITS >> 6, ~np.uint64(0))
+    texts = pa.RecordBatch.from_pydict({"text": ["a b a b " * 500, "c d", "a b"], "lang": ["x", "x", "y"]})
+    sent = [pa.Table.from_batches([b]) for b in C._packed_pairs(Everything, 3)(iter([texts]))]
+    rows = pa.concat_tables(sent)
+    found = {n: sum(C._often(n)(rows.filter(pa.compute.equal(rows["bucket"], b))).num_rows for b in range(3)) for n in (1, 2, 999, 1000, 1001)}
+    assert found == {1: 4, 2: 2, 999: 2, 1000: 1, 1001: 0}
