@@ -38,13 +38,13 @@ from staylens.llm.shared import col, free_name, numbered, open_fs, shared_path,
 
 WINDOW = 35
 #: Text in a shard, about; a longer text is a shard of its own.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Rows in a shard, at most.
 SHARD_ROWS = 1 << 14
 #: Text whose keys meet in one bucket, about.
 BUCKET_BYTES = 16 << 20
 #: Text compiled into one automaton, about.
-PATTERN_BYTES = 2 << 20
+PATTERN_BYTES = 1 << 20
 #: Windows in one pattern, at most; longer passages are cut, with overlap.
 PATTERN_WINDOWS = 2048
 #: Bytes of shards handed to a task at once.
