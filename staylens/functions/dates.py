@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from staylens.schemas import DATE_FORMAT
+from staylens.schemas import DATE_FORMAT, TIMESTAMP_FORMAT
 
 
 def _col(c: Column | str) -> Column:
@@ -22,6 +22,28 @@ def parse_date(c: Column | str, fmt: str | tuple[str, ...] = DATE_FORMAT) -> Col
     return parsed[0] if len(parsed) == 1 else F.coalesce(*parsed)
 
 
+#: Formats tried by `detect_format`, in this order.
+KNOWN_FORMATS = ("yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "yyyy/M/d", "d.M.yyyy", "yyyyMMdd")
+
+
+def format_number(value: Column, formats: tuple[str, ...] = KNOWN_FORMATS) -> Column:
+    """Place (from 1) of the first format that parses the value; NULL if none does."""
+    return F.coalesce(*[F.when(F.try_to_date(value, f).isNotNull(), F.lit(i)) for i, f in enumerate(formats, 1)])
+
+
+def parse_date_as(c: Column | str, number: Column, formats: tuple[str, ...] = KNOWN_FORMATS) -> Column:
+    """Text -> date by the format of that place; anything else is NULL."""
+    out = F.lit(None).cast("date")
+    for i, f in reversed(list(enumerate(formats, 1))):
+        out = F.when(number == i, F.try_to_date(_col(c), f)).otherwise(out)
+    return out
+
+
+def parse_timestamp(c: Column | str, fmt: str = TIMESTAMP_FORMAT) -> Column:
+    """Text -> timestamp; values that do not match the format become NULL."""
+    return F.try_to_timestamp(_col(c), F.lit(fmt))
+
+
 def stay_days(discharge: Column | str, admission: Column | str, timestamps: bool = False) -> Column:
     """Whole days from admission to discharge, truncated toward zero.
 

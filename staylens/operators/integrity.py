@@ -52,6 +52,40 @@ def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str | Non
     return child.where(F.col(key).isNotNull()).join(keys, F.col(key) == F.col("_pk"), "left_anti")
 
 
+#: A key bitmap is broadcast up to so many keys between its least and largest (64 MB).
+BITMAP_MAX_SPAN = 1 << 29
+
+
+def key_bitmap(parent: DataFrame, key: str) -> DataFrame:
+    """The parent's keys (0 or more, whole numbers) as bits: bucket, bits; a row
+    for each 32768 keys in a row, built from partial aggregates."""
+    keys = parent.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"))
+    return (keys.groupBy(F.bitmap_bucket_number("_k").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_k")).alias("bits")))
+
+
+def split_foreign_key(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None):
+    """(loaded, quarantine): child rows whose key is NULL or has a parent row,
+    and the orphans.
+
+    The parent's keys become an exact bitmap. While it spans at most
+    BITMAP_MAX_SPAN keys it is broadcast, so child rows are tested where they
+    are read and none is shuffled; beyond, child rows meet it by bucket."""
+    pk = parent_key or key
+    span = parent.agg(F.min(pk).alias("lo"), F.max(pk).alias("hi")).first()
+    if span["lo"] is not None and span["lo"] < 0:
+        raise ValueError(f"{pk}: keys below 0")
+    bits = key_bitmap(parent, pk).select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits"))
+    if (span["hi"] or 0) - (span["lo"] or 0) <= BITMAP_MAX_SPAN:
+        bits = F.broadcast(bits)
+    at = F.bitmap_bit_position(F.col(key))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    known = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    marked = (child.join(bits, F.bitmap_bucket_number(F.col(key)) == F.col("_bucket"), "left")
+              .withColumn("_ok", F.col(key).isNull() | known).drop("_bucket", "_bits"))
+    return marked.where("_ok").drop("_ok"), marked.where("NOT _ok").drop("_ok")
+
+
 def orphan_report(relations: Iterable[tuple[str, DataFrame, DataFrame, str]]) -> DataFrame:
     """One row per relation (name, child, parent, key): relation, n_child,
     n_orphans. Both counts come from one left join, so a child is read once."""

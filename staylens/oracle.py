@@ -436,6 +436,174 @@ SQL: dict[str, str] = {
         f"{_summary_cols()} FROM g_fit f JOIN g_summary s ON f.g = s.g"),
 }
 
+# ---------------------------------------------------------------- models and relations
+_READMIT = [("r", """
+    SELECT *, datediff('day', pe, admission_date)::INTEGER AS gap_days, datediff('day', discharge_date, ns)::INTEGER AS days_to_next
+    FROM (SELECT *, lag(discharge_date) OVER w AS pe, lead(admission_date) OVER w AS ns, row_number() OVER w - 1 AS n_before
+          FROM x_adm WHERE discharge_date IS NOT NULL
+          WINDOW w AS (PARTITION BY patient_id ORDER BY admission_date, discharge_date, admission_id))""")]
+_WITHIN = "coalesce({} BETWEEN 0 AND 30, FALSE)".format
+_STAY = """datediff('day', "Date of Admission", "Discharge Date")"""
+_AGE_NO = """TRY_CAST(regexp_extract("Name", '([0-9]+)$', 1) AS INTEGER)"""
+_AGE = f"CASE WHEN {_AGE_NO} % 17 <> 0 THEN {_AGE_NO} % 73 + 18 END"
+_CONDITIONS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "OTHER")
+_TYPES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def _least_squares(target: str, numeric: dict[str, str], levels: dict[str, tuple[str, ...]]) -> str:
+    """Normal equations over `clean`, solved by Gauss-Jordan steps in a recursive CTE."""
+    names = ["(intercept)"] + [f"{c}={v}" for c, vs in levels.items() for v in vs[1:]] + list(numeric)
+    d, k = len(names), len(names) - len(numeric)
+    cols = [f"CAST({target} AS DOUBLE) AS y"] + [f"CAST({e} AS DOUBLE) AS v{i}" for i, e in enumerate(numeric.values())]
+    cols += [f"{_q(c)} AS c{i}" for i, c in enumerate(levels)]
+    present = " AND ".join(["y IS NOT NULL", *(f"v{i} IS NOT NULL" for i in range(len(numeric))), *(f"c{i} IS NOT NULL" for i in range(len(levels)))])
+    x = ["1.0::DOUBLE"] + [f"CASE WHEN c{i} = {_s(v)} THEN 1.0 ELSE 0.0 END::DOUBLE" for i, vs in enumerate(levels.values()) for v in vs[1:]]
+    x += [f"(v{i} - m{i}) / s{i}" for i in range(len(numeric))]
+    means = ", ".join(f"avg(v{i}) AS m{i}, stddev_pop(v{i}) AS s{i}" for i in range(len(numeric)))
+    ctes = [
+        ("lq", f"SELECT * FROM (SELECT {', '.join(cols)} FROM clean) WHERE {present}"),
+        ("lm", f"SELECT count(*) AS n, avg(y) AS my, stddev_pop(y) AS sy, {means} FROM lq"),
+        ("lx", f"SELECT [{', '.join(x)}, (y - my) / sy] AS x FROM lq, lm"),
+        ("lg", f"SELECT i, j, sum(x[i] * x[j]) AS v FROM lx, (SELECT unnest(range(1, {d + 2})) AS i), (SELECT unnest(range(1, {d + 2})) AS j) GROUP BY i, j"),
+        ("l0", f"SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM lg WHERE i <= {d} GROUP BY i)"),
+        ("lj", f"""SELECT 1 AS k, m FROM l0 UNION ALL
+            SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / m[k][k])
+                     ELSE list_transform(r, lambda v, j: v - r[k] / m[k][k] * m[k][j]) END)
+            FROM lj WHERE k <= {d}"""),
+        ("lb", f"SELECT list_transform(m, lambda r: r[{d + 1}]) AS b FROM lj WHERE k = {d + 1}"),
+        ("lr", f"SELECT 1 - ((SELECT v FROM lg WHERE i = {d + 1} AND j = {d + 1}) - (SELECT sum(b[i] * v) FROM lg, lb WHERE j = {d + 1} AND i <= {d})) "
+               f"/ (SELECT v FROM lg WHERE i = {d + 1} AND j = {d + 1}) AS r2"),
+    ]
+    shift = " - ".join(["my + b[1] * sy", *(f"b[{k + i + 1}] * sy / s{i} * m{i}" for i in range(len(numeric)))])
+    rows = [f"SELECT {_s(names[0])} AS term, {_r(shift)} AS coefficient, n::BIGINT AS n_rows, {_r('r2')} AS r_squared FROM lb, lm, lr"]
+    for i, t in enumerate(names[1:], 1):
+        scale = f" / s{i - k}" if i >= k else ""
+        rows.append(f"SELECT {_s(t)}, {_r(f'b[{i + 1}] * sy{scale}')}, n, {_r('r2')} FROM lb, lm, lr")
+    return "WITH RECURSIVE" + _with(ctes)[4:] + _union(rows)
+
+
+def _correlations(columns: dict[str, str], group: str) -> str:
+    names = list(columns)
+    base = ", ".join(f"CAST({e} AS DOUBLE) AS v{i}" for i, e in enumerate(columns.values()))
+    rows = []
+    for i, a in enumerate(names):
+        for j in range(i + 1, len(names)):
+            rows.append(f"SELECT {_q(group)}, {_s(a)} AS column_a, {_s(names[j])} AS column_b, count(*) AS n_rows, {_r(f'covar_pop(v{i}, v{j})')} AS covar_pop, "
+                        f"CASE WHEN min(v{i}) < max(v{i}) AND min(v{j}) < max(v{j}) THEN {_r(f'corr(v{i}, v{j})')} END AS corr "
+                        f"FROM cv WHERE v{i} IS NOT NULL AND v{j} IS NOT NULL GROUP BY {_q(group)}")
+    return _with([("cv", f"SELECT {_q(group)}, {base} FROM clean WHERE {_q(group)} IS NOT NULL")]) + _union(rows)
+
+
+_DENSE = [
+    ("d_pat", "SELECT row_number() OVER (ORDER BY patient_id) AS d, * FROM patients"),
+    ("d_adm", "SELECT row_number() OVER (ORDER BY admission_id) AS d, * FROM admissions"),
+    ("d_bill", "SELECT row_number() OVER (ORDER BY billing_id) AS d, * FROM billing"),
+]
+
+
+def _two_loads() -> list[tuple[str, str]]:
+    """Clean rows of even orders loaded, then those of odd ones."""
+    out: list[tuple[str, str]] = []
+    for i in (1, 2):
+        before = lambda t: f"(SELECT count(*) FROM {t}1)" if i == 2 else "0"  # noqa: B023, E731
+        both = lambda t: f"(SELECT * FROM {t}1 UNION ALL SELECT * FROM {t}2)" if i == 2 else f"{t}1"  # noqa: B023, E731
+        out += [
+            (f"half{i}", f"SELECT * FROM ren WHERE row_pos // 2 % 2 = {i - 1}"),
+            (f"pat{i}", f"SELECT {before('pat')} + row_number() OVER (ORDER BY f) AS patient_id, {_P} "
+                        f"FROM (SELECT min(row_pos) AS f, {_P} FROM half{i} GROUP BY ALL) WHERE name IS NOT NULL"),
+            (f"nlk{i}", f"SELECT name, max(patient_id) AS patient_id FROM {both('pat')} GROUP BY name"),
+            (f"adm{i}", f"SELECT {before('adm')} + row_number() OVER (ORDER BY f) AS admission_id, patient_id, {_A_OUT} "
+                        f"FROM (SELECT min(row_pos) AS f, {_A} FROM half{i} GROUP BY ALL) a JOIN nlk{i} USING (name) WHERE admission_date IS NOT NULL"),
+            (f"dlk{i}", f"SELECT admission_date, max(admission_id) AS admission_id FROM {both('adm')} GROUP BY admission_date"),
+            (f"bill{i}", f"SELECT {before('bill')} + row_number() OVER (ORDER BY f) AS billing_id, admission_id, total_charges, insurance_provider "
+                         f"FROM (SELECT min(row_pos) AS f, {_B} FROM half{i} GROUP BY ALL) JOIN dlk{i} USING (admission_date)"),
+        ]
+    return out
+
+
+def _inferred(max_bad: float) -> str:
+    parts = []
+    for c in RAW_COLUMNS:
+        v = "trim(v)"
+        fits = {"boolean": f"lower({v}) IN ('true', 'false')",
+                "int": f"regexp_full_match({v}, '[+-]?[0-9]+') AND TRY_CAST({v} AS INTEGER) IS NOT NULL",
+                "bigint": f"regexp_full_match({v}, '[+-]?[0-9]+') AND TRY_CAST({v} AS BIGINT) IS NOT NULL",
+                "double": rf"regexp_full_match({v}, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')",
+                "date": f"try_strptime({v}, '%Y-%m-%d') IS NOT NULL"}
+        bad = ", ".join(f"count(*) FILTER (WHERE v IS NOT NULL AND NOT ({e})) AS b_{t}" for t, e in fits.items())
+        good = {t: f"n_values > 0 AND b_{t} <= n_values * {max_bad}" for t in fits}
+        kind = " ".join(f"WHEN {g} THEN {_s(t)}" for t, g in good.items())
+        number = " ".join(f"WHEN {g} THEN b_{t}" for t, g in good.items())
+        parts.append(f"SELECT {_s(c)} AS column_name, CASE {kind} ELSE 'string' END AS type, n_values, n_missing, CASE {number} ELSE 0 END::BIGINT AS n_bad "
+                     f"FROM (SELECT count(v) AS n_values, count(*) - count(v) AS n_missing, {bad} "
+                     f"FROM (SELECT CASE WHEN {_q(c)} IN {_TOKENS} THEN NULL ELSE {_q(c)} END AS v FROM raw_text))")
+    return _with() + _union(parts)
+
+
+def _with_times() -> str:
+    """The exact view over admission and discharge times."""
+    k, admit = "row_pos // 2", '"Date of Admission"'
+    time = f"{admit} || printf(' %02d:%02d:00', CAST({k} % 24 AS INTEGER), CAST({k} % 60 AS INTEGER))"
+    dated = f"try_strptime({admit}, '%Y-%m-%d') IS NOT NULL"
+    ctes = []
+    for name, body in [*CTES, *_EXACT_CTES]:
+        if name == "raw_text":
+            ctes.append(("plain_text", body))
+            body = f"""SELECT * REPLACE (CASE WHEN {dated} THEN {time} ELSE {admit} END AS "Date of Admission",
+                CASE WHEN {k} % 19 = 0 AND {dated} THEN strftime(strptime({time}, '%Y-%m-%d %H:%M:%S') - INTERVAL 36 HOUR, '%Y-%m-%d %H:%M:%S')
+                     ELSE "Discharge Date" || printf(' %02d:30:00', CAST({k} * 7 % 24 AS INTEGER)) END AS "Discharge Date") FROM plain_text"""
+        if name == "dated":
+            body = ", ".join(f"try_strptime({_q(c)}, '%Y-%m-%d %H:%M:%S') AS {_q(c)}" for c in ("Date of Admission", "Discharge Date"))
+            body = f"SELECT * REPLACE ({body}) FROM titled"
+        if name == "x_view":
+            body = body.replace("datediff('day', admission_date, discharge_date)", "CAST(trunc((epoch_us(discharge_date) - epoch_us(admission_date)) / 86400000000.0) AS INTEGER)")
+        ctes.append((name, body))
+    return ("WITH " + ",\n".join(f"{name} AS ({body})" for name, body in ctes)
+            + "\nSELECT * REPLACE (strftime(admission_date, '%Y-%m-%d %H:%M:%S') AS admission_date, strftime(discharge_date, '%Y-%m-%d %H:%M:%S') AS discharge_date) FROM x_view")
+
+
+_OTHER_DATE = """CASE WHEN try_strptime("Date of Admission", '%Y-%m-%d') IS NOT NULL AND row_pos // 2 % 5 <> 2
+                  THEN strftime(strptime("Date of Admission", '%Y-%m-%d'), '%-d/%-m/%Y') ELSE "Date of Admission" END"""
+SQL |= {
+    "readmissions": _with(_EXACT_CTES, _READMIT) + (
+        f"SELECT patient_id, admission_id, admission_date, gap_days, {_WITHIN('gap_days')} AS readmitted, days_to_next, "
+        f"{_WITHIN('days_to_next')} AS followed, n_before FROM r"),
+    "readmission_rate": _with(_EXACT_CTES, _READMIT) + (
+        f"SELECT admission_type, count(*) AS n_stays, count(*) FILTER (WHERE {_WITHIN('days_to_next')}) AS n_followed, "
+        f"{_r('avg(' + _WITHIN('days_to_next') + '::INTEGER)')} AS rate, {_r('avg(gap_days)')} AS avg_gap_days FROM r GROUP BY admission_type"),
+    "stay_regression": _least_squares(_STAY, {"Room Number": '"Room Number"', "Billing Amount": '"Billing Amount"'},
+                                      {"Medical Condition": _CONDITIONS, "Admission Type": _TYPES}),
+    "charge_regression": _least_squares('"Billing Amount" / 1000', {"Age": _AGE, "stay": _STAY}, {"Medical Condition": _CONDITIONS}),
+    "age_cost_correlation": _correlations({"Age": _AGE, "charge": '"Billing Amount" / 1000', "stay": _STAY, "Room Number": '"Room Number"'}, "Gender"),
+    "medication_by_condition": _with([("mc", 'SELECT "Medical Condition" AS medical_condition, "Medication" AS medication, count(*) AS n_rows FROM clean '
+                                             'WHERE "Medical Condition" IS NOT NULL AND "Medication" IS NOT NULL GROUP BY ALL')])
+    + f"SELECT *, {_r('CAST(n_rows AS DOUBLE) / sum(n_rows) OVER (PARTITION BY medical_condition) * 100.0')} AS pct FROM mc",
+    "hospital_stays": _with() + (f'SELECT "Hospital" AS hospital, {_r(f"avg({_STAY})")} AS avg_stay, count(*) AS n_stays FROM clean '
+                                 f'WHERE "Hospital" IS NOT NULL AND {_STAY} IS NOT NULL GROUP BY ALL'),
+    "dense_patients": _with(_DENSE) + "SELECT * EXCLUDE (d) REPLACE (d AS patient_id) FROM d_pat",
+    "dense_admissions": _with(_DENSE) + "SELECT a.* EXCLUDE (d) REPLACE (a.d AS admission_id, p.d AS patient_id) FROM d_adm a JOIN d_pat p USING (patient_id)",
+    "dense_billing": _with(_DENSE) + "SELECT b.* EXCLUDE (d) REPLACE (b.d AS billing_id, a.d AS admission_id) FROM d_bill b JOIN d_adm a USING (admission_id)",
+    **{f"two_loads_{name}": _with(_two_loads()) + f"SELECT * FROM {t}1 UNION ALL SELECT * FROM {t}2"
+       for name, t in (("patients", "pat"), ("admissions", "adm"), ("billing", "bill"))},
+    "patients_by_year": _with() + (
+        "SELECT year(admission_date)::INTEGER AS year, medical_condition, count(DISTINCT patient_id) AS n_patients, TRUE AS within_2pct "
+        "FROM view WHERE medical_condition IS NOT NULL GROUP BY 1, 2"),
+    "inferred_types": _inferred(0.02),
+    "inferred_types_strict": _inferred(0.0),
+    "detected_dates": _with([
+        ("other", f'SELECT row_pos, CASE WHEN v IN {_TOKENS} THEN NULL ELSE v END AS v FROM (SELECT row_pos, {_OTHER_DATE} AS v FROM raw_text)'),
+        ("way", "SELECT arg_min(v, row_pos) LIKE '%/%' AS slashes FROM other "
+                "WHERE try_strptime(v, '%Y-%m-%d') IS NOT NULL OR try_strptime(v, '%d/%m/%Y') IS NOT NULL")])
+    + "SELECT row_pos, CAST(CASE WHEN slashes THEN try_strptime(v, '%d/%m/%Y') ELSE try_strptime(v, '%Y-%m-%d') END AS DATE) AS admission_date FROM other, way",
+    "encounter_view_timestamps": _with_times(),
+    "loaded_bills": _with([
+        ("moved", "SELECT * REPLACE (CASE WHEN billing_id // 2 % 31 = 0 THEN NULL WHEN billing_id // 2 % 13 = 0 THEN admission_id * 2 + 1000001 ELSE admission_id END AS admission_id) FROM billing")])
+    + "SELECT *, CASE WHEN admission_id IS NULL OR admission_id IN (SELECT admission_id FROM admissions) THEN 'loaded' ELSE 'quarantined' END AS status FROM moved",
+}
+
+#: Statements of other names that are over the dirtier table.
+_ON_DIRT = {"loaded_bills": "loaded_bills", "inferred_types_strict": "inferred_types_strict"}
+
 # The same statements over a raw table with more dirt, for the queries dirty_<name>.
 _PLAIN_TEXT = "raw_text AS ("
 _DIRTIER_TEXT = """raw_text AS (
@@ -449,8 +617,10 @@ _DIRTIER_TEXT = """raw_text AS (
           CASE WHEN row_pos // 2 % 41 = 0 THEN replace("Discharge Date", '-0', '-') ELSE "Discharge Date" END AS "Discharge Date")
         FROM plain_text),
 """
-for _name in ("missing_report", "title_case_names", "parse_dates", "cleaning_report", "not_null_split", "fk_orphans_exact",
-              "encounter_view_exact", "cost_by_gender", "stay_by_condition", "top_doctors", "monthly_patients", "forecast_by_group"):
+_ON_DIRT |= {name: f"dirty_{name}" for name in (
+    "missing_report", "title_case_names", "parse_dates", "cleaning_report", "not_null_split", "fk_orphans_exact",
+    "encounter_view_exact", "cost_by_gender", "stay_by_condition", "top_doctors", "monthly_patients", "forecast_by_group")}
+for _name, _as in _ON_DIRT.items():
     _head, _tail = SQL[_name].split(_PLAIN_TEXT, 1)
     _body, _rest = _tail.split("),\nraw AS (", 1)
-    SQL[f"dirty_{_name}"] = f"{_head}plain_text AS ({_body}),\n{_DIRTIER_TEXT}raw AS ({_rest}"
+    SQL[_as] = f"{_head}plain_text AS ({_body}),\n{_DIRTIER_TEXT}raw AS ({_rest}"

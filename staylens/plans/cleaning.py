@@ -11,10 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staylens.functions.dates import parse_date
+from staylens.functions.dates import KNOWN_FORMATS, format_number, parse_date, parse_date_as, parse_timestamp
 from staylens.functions.text import title_case
 from staylens.functions.numeric import pct_of
 from staylens.operators.dedup import drop_duplicates
@@ -22,7 +22,7 @@ from staylens.operators import outliers
 from staylens.operators.outliers import remove_outliers
 from staylens.operators.profile import is_missing
 from staylens.schemas import (ADMIT_DATE, BILLING, CATEGORY_COLUMNS, DATE_FORMAT, DISCHARGE_DATE, NAME,
-                              OUTLIER_THRESHOLD, ROW_POS)
+                              OUTLIER_THRESHOLD, ROW_POS, TIMESTAMP_FORMAT)
 
 
 @dataclass
@@ -43,13 +43,31 @@ def format_dates(df: DataFrame, columns: Iterable[str] = (ADMIT_DATE, DISCHARGE_
     return df.withColumns({c: parse_date(F.col(f"`{c}`"), fmt) for c in columns})
 
 
+def format_timestamps(df: DataFrame, columns: Iterable[str] = (ADMIT_DATE, DISCHARGE_DATE), fmt: str = TIMESTAMP_FORMAT) -> DataFrame:
+    """The two columns with their time of day; stays are then elapsed time."""
+    return df.withColumns({c: parse_timestamp(F.col(f"`{c}`"), fmt) for c in columns})
+
+
+def detected_format(df: DataFrame, column: str, order_col: str = ROW_POS, formats: tuple[str, ...] = KNOWN_FORMATS) -> Column:
+    """Place of the format of the column's first value that has a known one
+    (least `order_col`), as a scalar subquery; NULL when no value has."""
+    number = format_number(F.col(f"`{column}`"), formats)
+    return df.where(number.isNotNull()).agg(F.min_by(number, F.col(order_col)).alias("f")).scalar()
+
+
+def format_dates_detected(df: DataFrame, columns: Iterable[str] = (ADMIT_DATE, DISCHARGE_DATE), order_col: str = ROW_POS,
+                          formats: tuple[str, ...] = KNOWN_FORMATS) -> DataFrame:
+    """Each column by the format that its first value has; values in another one are NULL."""
+    return df.withColumns({c: parse_date_as(F.col(f"`{c}`"), detected_format(df, c, order_col, formats), formats) for c in columns})
+
+
 def _keep(name: str, df: DataFrame) -> DataFrame:
     return df
 
 
 def cleaning_stages(raw: DataFrame, outlier_column: str = BILLING, threshold: float = OUTLIER_THRESHOLD,
                     date_format: str | tuple[str, ...] = DATE_FORMAT, group_cols: Iterable[str] = (),
-                    null_policy: str = "omit",
+                    null_policy: str = "omit", timestamps: bool = False,
                     stage: Callable[[str, DataFrame], DataFrame] = _keep) -> CleaningStages:
     """Every intermediate table of the run, lazily (nothing is computed).
 
@@ -57,11 +75,16 @@ def cleaning_stages(raw: DataFrame, outlier_column: str = BILLING, threshold: fl
     `stage("dated", df)` to the formatted ones, before the outlier step. A
     caller that writes them there (and reads them back) shuffles the raw rows
     once: the formatting, the z-score statistics and the filter then scan
-    written tables, instead of each re-running the dedup.
+    written tables, instead of each re-running the dedup. With `timestamps` the
+    two dates keep their time of day (`date_format` is then one of timestamps).
     """
     dedup = stage("dedup", drop_duplicates(raw))
     titled = format_names(dedup)
-    dated = stage("dated", format_dates(titled, fmt=date_format))
+    if timestamps:
+        formatted = format_timestamps(titled, fmt=TIMESTAMP_FORMAT if date_format == DATE_FORMAT else date_format)
+    else:
+        formatted = format_dates(titled, fmt=date_format)
+    dated = stage("dated", formatted)
     clean = remove_outliers(dated, outlier_column, threshold, group_cols, null_policy)
     return CleaningStages(raw, dedup, titled, dated, clean)
 

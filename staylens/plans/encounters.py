@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from staylens.functions.dates import stay_days
 from staylens.operators.keys import BROADCAST_MAX_ROWS
@@ -36,6 +37,8 @@ from staylens.schemas import ENCOUNTER_COLUMNS
 
 
 def encounter_view(tables: Tables) -> DataFrame:
+    """See above. Stays between timestamps are elapsed time in whole days."""
+    timestamps = isinstance(tables.admissions.schema["admission_date"].dataType, T.TimestampType)
     # admission_id is a NOT NULL key; saying so gives both halves the same
     # filters (and so one shared exchange)
     adm = (tables.admissions
@@ -63,7 +66,7 @@ def encounter_view(tables: Tables) -> DataFrame:
         "patient_id", "gender", "medical_condition", "admission_date", "discharge_date", "doctor",
         "admission_type",
         F.coalesce(F.col("total_charges").cast("double"), F.lit(0.0)).alias("total_charges"),
-        stay_days("discharge_date", "admission_date").alias("length_of_stay"),
+        stay_days("discharge_date", "admission_date", timestamps).alias("length_of_stay"),
     ).select(*ENCOUNTER_COLUMNS)
 
 

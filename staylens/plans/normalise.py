@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from staylens.operators.dedup import distinct_first
 from staylens.operators.integrity import split_not_null
@@ -82,7 +83,7 @@ def normalise(clean: DataFrame, keying: str = "last_wins",
         # one row per admission day at most: broadcast behind that bound, so
         # the bills are not shuffled for this lookup
         by_date = last_wins_lookup(admissions, "admission_date", "admission_id")
-        if bound_dates:
+        if bound_dates and isinstance(admissions.schema["admission_date"].dataType, T.DateType):
             billed_bound = day_span(admissions, "admission_date")
             by_date = bounded_broadcast(by_date, billed_bound)
         bill_rows = (distinct_first(renamed, BILLING_ATTRS, "billing_id").join(by_date, "admission_date", "left")

@@ -21,20 +21,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from staylens.functions.dates import parse_date
+from staylens.functions.dates import parse_date, stay_days
 from staylens.functions.text import title_case
-from staylens.operators import dedup, outliers, profile, reports, timeseries
-from staylens.operators.integrity import not_null_counts, orphan_report
+from staylens.operators import dedup, outliers, profile, readmission, reports, sketches, timeseries
+from staylens.operators.correlation import correlations
+from staylens.operators.integrity import not_null_counts, orphan_report, split_foreign_key
 from staylens.operators.keys import last_wins_lookup
+from staylens.operators.regression import linear_regression
 from staylens.plans import cleaning
 from staylens.plans.encounters import encounter_view
 from staylens.plans.normalise import Tables, normalise, rename_project
 from staylens.plans.stages import materialised, remembered, source_mark
-from staylens.schemas import (ADMISSION_KEYS, ADMIT_DATE, BILLING, BILLING_KEYS, CATEGORY_COLUMNS,
-                              DISCHARGE_DATE, HOSPITAL, NAME, PATIENT_KEYS, ROW_POS, TOP_DOCTORS)
+from staylens.plans.store import EncounterStore, with_dense_ids
+from staylens.schemas import (ADMISSION_KEYS, ADMIT_DATE, ADMIT_TYPE, BILLING, BILLING_KEYS, CATEGORY_COLUMNS, CONDITION,
+                              DISCHARGE_DATE, GENDER, HOSPITAL, NAME, PATIENT_KEYS, ROOM, ROW_POS, TOP_DOCTORS)
 from staylens.session import scratch_path
 from staylens.sources.files import failed_casts, load_raw, read_raw_csv, read_table, save_csv, write_table
-from staylens.sources.fixtures import dirtier, raw_encounters_text
+from staylens.sources.fixtures import dirtier, orphaned, other_dates, raw_encounters_text, with_age, with_times
+from staylens.sources.inference import infer_types
 
 DIGITS = 6
 GROUP_FORECAST_KEY = "medical_condition"
@@ -332,6 +336,156 @@ def q_forecast_by_group(spark, sf):
     return rounded(timeseries.forecast_summary(fit, groups, carry=("n_months", "slope", "intercept")))
 
 
+# ---------------------------------------------------------------- models and relations
+def _readmissions(spark, sf):
+    """Stays of patients known by all their attributes, with what comes before and after."""
+    stays = _tables(spark, sf, "exact").admissions
+    return materialised(spark, _key(spark, sf, "readmissions"), lambda: readmission.readmissions(stays))
+
+
+def q_readmissions(spark, sf):
+    return _readmissions(spark, sf).select("patient_id", "admission_id", "admission_date", "gap_days", "readmitted", "days_to_next", "followed", "n_before")
+
+
+def q_readmission_rate(spark, sf):
+    """Share of stays that are followed by another within the horizon, by admission type."""
+    r = _readmissions(spark, sf)
+    return rounded(r.groupBy("admission_type").agg(F.count(F.lit(1)).alias("n_stays"), F.count_if("followed").alias("n_followed"),
+                                                   F.avg(F.col("followed").cast("double")).alias("rate"), F.avg("gap_days").alias("avg_gap_days")))
+
+
+def q_readmission_model(spark, sf):
+    r = _readmissions(spark, sf)
+    rows = readmission.risk_rows(r, r.agg(F.max("admission_date")).scalar())
+    return rounded(readmission.readmission_model(rows, categorical=("admission_type",)))
+
+
+def _stay_rows(spark, sf):
+    rows = _clean(spark, sf)
+    return rows.withColumn("stay", stay_days(DISCHARGE_DATE, ADMIT_DATE))
+
+
+def q_stay_regression(spark, sf):
+    """Stay on condition, admission type, room and charge."""
+    return rounded(linear_regression(_stay_rows(spark, sf), "stay", (ROOM, BILLING), (CONDITION, ADMIT_TYPE)))
+
+
+def q_charge_regression(spark, sf):
+    """Charge (in thousands) on age, stay and condition."""
+    rows = with_age(_stay_rows(spark, sf)).withColumn("charge", F.col(f"`{BILLING}`") / 1000)
+    return rounded(linear_regression(rows, "charge", ("Age", "stay"), (CONDITION,)))
+
+
+def q_age_cost_correlation(spark, sf):
+    """Age, charge (in thousands), stay and room against each other, by gender."""
+    rows = with_age(_stay_rows(spark, sf)).withColumn("charge", F.col(f"`{BILLING}`") / 1000)
+    return rounded(correlations(rows, ("Age", "charge", "stay", ROOM), (GENDER,)))
+
+
+def q_medication_by_condition(spark, sf):
+    rows = _clean(spark, sf).withColumnsRenamed({CONDITION: "medical_condition", "Medication": "medication"})
+    return rounded(reports.crosstab_pct(rows, "medical_condition", "medication"))
+
+
+def q_hospital_stays(spark, sf):
+    """Mean stay and stays of each hospital, shortest first."""
+    rows = _stay_rows(spark, sf).withColumnRenamed(HOSPITAL, "hospital").where("hospital IS NOT NULL AND stay IS NOT NULL")
+    return rounded(rows.groupBy("hospital").agg(F.avg("stay").alias("avg_stay"), F.count(F.lit(1)).alias("n_stays")))
+
+
+def _dense(spark, sf):
+    def stage(name: str, df: DataFrame) -> DataFrame:
+        return materialised(spark, _key(spark, sf, f"dense|{name}"), lambda: df)
+
+    return remembered(spark, _key(spark, sf, "dense"), lambda: with_dense_ids(_tables(spark, sf), stage))
+
+
+def q_dense_patients(spark, sf):
+    return _dense(spark, sf).patients
+
+
+def q_dense_admissions(spark, sf):
+    return _dense(spark, sf).admissions
+
+
+def q_dense_billing(spark, sf):
+    return _dense(spark, sf).billing
+
+
+def _two_loads(spark, sf):
+    """A store that took the clean rows of even orders, then those of odd ones."""
+    def build() -> Tables:
+        store = EncounterStore(spark, scratch_path(spark, f"store-{uuid.uuid4().hex}"))
+        clean, odd = _clean(spark, sf), F.floor(F.col(ROW_POS) / 2) % 2
+        for half in (0, 1):
+            store.append(clean.where(odd == half))
+        return store.tables()
+
+    return remembered(spark, _key(spark, sf, "two_loads"), build)
+
+
+def q_two_loads_patients(spark, sf):
+    return _two_loads(spark, sf).patients
+
+
+def q_two_loads_admissions(spark, sf):
+    return _two_loads(spark, sf).admissions
+
+
+def q_two_loads_billing(spark, sf):
+    return _two_loads(spark, sf).billing
+
+
+def _sketches(spark, sf):
+    return materialised(spark, _key(spark, sf, "sketches"), lambda: sketches.distinct_sketches(
+        _view(spark, sf), "patient_id", "admission_date", ("medical_condition",)))
+
+
+def q_patients_by_year(spark, sf):
+    """Distinct patients per year and condition, exact and whether the merged
+    monthly sketches come within 2%."""
+    year = F.year("month_end").alias("year")
+    estimated = sketches.distinct_in(_sketches(spark, sf), (year, "medical_condition"))
+    rows = _view(spark, sf).where("medical_condition IS NOT NULL")
+    exact = rows.groupBy(F.year("admission_date").alias("year"), "medical_condition").agg(F.count_distinct("patient_id").alias("n_patients"))
+    near = F.abs(F.col("n_estimated") - F.col("n_patients")) <= 0.02 * F.col("n_patients")
+    return exact.join(estimated, ["year", "medical_condition"], "left").select("year", "medical_condition", "n_patients", F.coalesce(near, F.lit(False)).alias("within_2pct"))
+
+
+def q_inferred_types(spark, sf):
+    """Types of the raw text, up to one misfit in fifty values."""
+    return infer_types(_raw_text(spark, sf), max_bad=0.02)
+
+
+def q_inferred_types_strict(spark, sf):
+    return infer_types(_raw_text(spark, sf + DIRTIER))
+
+
+def q_detected_dates(spark, sf):
+    """Admission dates in the format of the first one."""
+    rows = load_raw(other_dates(_raw_text(spark, sf)))
+    dated = cleaning.format_dates_detected(rows, (ADMIT_DATE,))
+    return dated.select(ROW_POS, F.col(f"`{ADMIT_DATE}`").alias("admission_date"))
+
+
+def q_encounter_view_timestamps(spark, sf):
+    """The view over stays with a time of day, every row its own admission."""
+    def stage(name: str, df: DataFrame) -> DataFrame:
+        return materialised(spark, _key(spark, sf, f"times|{name}"), lambda: df)
+
+    tables = remembered(spark, _key(spark, sf, "times"), lambda: normalise(
+        cleaning.cleaning_stages(load_raw(with_times(_raw_text(spark, sf))), timestamps=True, stage=stage).clean, "exact", stage=stage))
+    text = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("admission_date", "discharge_date")}
+    return encounter_view(tables).withColumns(text)
+
+
+def q_loaded_bills(spark, sf):
+    """Bills with an admission, and the orphans, split while loading."""
+    t = _tables(spark, sf + DIRTIER)
+    loaded, bad = split_foreign_key(orphaned(t.billing), t.admissions, "admission_id")
+    return loaded.withColumn("status", F.lit("loaded")).unionByName(bad.withColumn("status", F.lit("quarantined")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

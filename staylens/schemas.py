@@ -104,6 +104,7 @@ NA_TOKENS = (
 # Default date format of the date-parsing step: month and day with or without
 # a leading zero.
 DATE_FORMAT = "yyyy-M-d"
+TIMESTAMP_FORMAT = "yyyy-M-d H:mm:ss"
 
 # Outlier rule: |z| <= 3 is kept.
 OUTLIER_THRESHOLD = 3.0

@@ -112,3 +112,39 @@ def dirtier(text: DataFrame) -> DataFrame:
 def raw_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw table as loaded: tokens -> NULL, numbers typed, `row_pos` kept."""
     return load_raw(raw_encounters_text(spark, sf_dir))
+
+
+def with_age(df: DataFrame, name: str = "Name") -> DataFrame:
+    """An `Age` column: one age for each customer number in the name, none for
+    every 17th customer."""
+    number = F.regexp_extract(F.col(f"`{name}`"), "([0-9]+)$", 1).try_cast("int")
+    return df.withColumn("Age", F.when(number % 17 != 0, number % 73 + 18))
+
+
+def with_times(text: DataFrame) -> DataFrame:
+    """The two dates with a time of day; of every 19th order the discharge comes
+    a day and a half before the admission."""
+    k = F.floor(F.col(ROW_POS) / 2)
+    admit, leave = F.col("`Date of Admission`"), F.col("`Discharge Date`")
+    admitted = F.concat(admit, F.format_string(" %02d:%02d:00", (k % 24).cast("int"), (k % 60).cast("int")))
+    left = F.concat(leave, F.format_string(" %02d:30:00", (k * 7 % 24).cast("int")))
+    before = F.date_format(F.try_to_timestamp(admitted, F.lit("yyyy-MM-dd HH:mm:ss")) - F.expr("INTERVAL 36 HOURS"), "yyyy-MM-dd HH:mm:ss")
+    dated = F.try_to_date(admit, "yyyy-MM-dd").isNotNull()
+    return text.withColumns({"Date of Admission": F.when(dated, admitted).otherwise(admit),
+                             "Discharge Date": F.when((k % 19 == 0) & dated, before).otherwise(left)})
+
+
+def other_dates(text: DataFrame) -> DataFrame:
+    """Admission dates of which the first, and most others, are written day first."""
+    k = F.floor(F.col(ROW_POS) / 2)
+    admit = F.col("`Date of Admission`")
+    day = F.try_to_date(admit, "yyyy-MM-dd")
+    return text.withColumn("Date of Admission", F.when(day.isNotNull() & (k % 5 != 2), F.date_format(day, "d/M/yyyy")).otherwise(admit))
+
+
+def orphaned(billing: DataFrame) -> DataFrame:
+    """Bills of which every 13th points to an admission that is not there, and
+    every 31st to none."""
+    k = F.floor(F.col("billing_id") / 2)
+    return billing.withColumn("admission_id", F.when(k % 31 == 0, F.lit(None).cast("bigint"))
+                              .when(k % 13 == 0, F.col("admission_id") * 2 + 1_000_001).otherwise(F.col("admission_id")))
