@@ -13,16 +13,19 @@ Two texts link when 100 * |A and B| >= percent * |A or B|. Steps:
    between the two is chosen by their summed cost.
 4. In every key list, each class is checked against the list's first; links
    are joined to components.
-5. Classes of lists that still hold several components meet in rounds: each
-   takes one of these lists to a block of bounded size, with its full set, and
-   the block names the links that join components, fewer than it has members.
-6. Lists that hold several components even then are compared whole: in blocks,
-   members outside a list's largest component visit every block of it. A pair
-   is compared only while its two sides lie in different components.
+5. In lists that still hold several components, members are marked that may
+   link with one of another component, by size and an upper bound of the
+   overlap from bitmaps. Lists are looked through in blocks of bounded size;
+   members outside a list's largest component visit every block of it. Marks,
+   not pairs, leave a task: one for a member at most.
+6. Marked classes meet in rounds: each takes one of its lists to a block, with
+   its full set, and the block names the links that join components, fewer
+   than it has members. When rounds no longer help, all marked members of all
+   lists are compared, in blocks with visitors as before.
 
 Two classes that link share a key, so they are in one component before the
-last step or are compared in it: no link between components is lost, and only
-links that join components ever leave a task.
+last step or are marked and compared in it: no link between components is
+lost, and only links that join components ever leave a task.
 """
 
 from __future__ import annotations
@@ -443,17 +446,78 @@ def _compare(percent: int):
 
 
 _BLOCK_ROWS = ("key", "peer", "visitor", "home", "cls", "size", "component", "visits", "shingles")
+_MARK_ROWS = (*_BLOCK_ROWS[:-1], "bitmap")
+
+
+def _near(one: dict, two: dict, percent: int) -> np.ndarray:
+    """A table of which members of `one` may link with which of `two`, in another component."""
+    a, b = one["size"][:, None], two["size"][None]
+    bits_a, bits_b = (np.unpackbits(x["maps"].view(np.uint8), axis=1).astype(np.float32) for x in (one, two))
+    common = (bits_a @ bits_b.T).astype(np.int64)
+    apart = bits_a.sum(1).astype(np.int64)[:, None] + bits_b.sum(1).astype(np.int64)[None] - 2 * common
+    most = np.minimum((a + b - apart) // 2, np.minimum(a, b))
+    return ((100 + percent) * most >= percent * (a + b)) & (one["component"][:, None] != two["component"][None])
+
+
+def _mark(percent: int):
+    """(key, cls) of the members that may link with one of another component.
+    Rows come sorted by key, peer (the block) and visitor (members first)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: dict | None = None
+
+        def ended() -> tuple[np.ndarray, np.ndarray]:
+            near = _near(block, block, percent)
+            cls = block["cls"][block["marked"] | near.any(1)]
+            return np.full(len(cls), block["key"]), cls
+
+        for batch in batches:
+            columns = {c: batch[c].to_numpy(zero_copy_only=False) for c in _MARK_ROWS[:-1]} | {"maps": _maps(batch["bitmap"])}
+            key, peer, visitor = columns["key"], columns["peer"], columns["visitor"]
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (peer[1:] != peer[:-1])])) if len(key) else np.empty(0, np.int64)
+            out = []
+            for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(key)]):
+                if block is None or (block["key"], block["peer"]) != (key[lo], peer[lo]):
+                    if block is not None:
+                        out.append(ended())
+                    block = {c: v[:0] for c, v in columns.items()} | {"key": key[lo], "peer": peer[lo], "marked": np.zeros(0, bool)}
+                mid = lo + int(np.searchsorted(visitor[lo:hi], True))
+                if mid > lo:                       # members of the block
+                    for c in ("cls", "size", "component", "visits", "maps"):
+                        block[c] = np.concatenate([block[c], columns[c][lo:mid]])
+                    block["marked"] = np.append(block["marked"], np.zeros(mid - lo, bool))
+                if hi > mid and len(block["cls"]):        # visitors, after all of them
+                    late = columns["home"][mid:hi] > peer[lo]          # two visitors meet in the block of the later
+                    near = _near({c: v[mid:hi] for c, v in columns.items()}, block, percent) & ~(late[:, None] & block["visits"][None])
+                    block["marked"] |= near.any(0)
+                    cls = columns["cls"][mid:hi][near.any(1)]
+                    out.append((np.full(len(cls), key[lo]), cls))
+            if out:
+                yield _columns(out)
+        if block is not None:
+            yield _columns([ended()])
+    return run
+
+
+def _columns(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*parts)], names=["key", "cls"])
+
+
+def _marked(rows: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """The rows whose member may link with one of another component."""
+    blocks = _visiting(rows, about.select("cls", "bitmap"), percent).select(*_MARK_ROWS)
+    blocks = blocks.repartition("key", "peer").sortWithinPartitions("key", "peer", "visitor")
+    near = blocks.mapInArrow(tidy(_mark(percent)), "key bigint, cls bigint").distinct()
+    return written(rows.join(near, ["key", "cls"]), "marked-members")
 
 
 def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def _compared(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """rows: key, peer, visitor, home, cls, component, visits."""
-    full = rows.join(sets.select("cls", "size", "shingles"), "cls").select(*_BLOCK_ROWS)
-    full = full.repartition("key", "peer").sortWithinPartitions("key", "peer", "visitor")
-    return written(full.mapInArrow(tidy(_compare(percent)), "a bigint, b bigint"), "joining-links")
+def _compared(rows: DataFrame, percent: int) -> DataFrame:
+    """The links that join components, from rows of _BLOCK_ROWS."""
+    rows = rows.select(*_BLOCK_ROWS).repartition("key", "peer").sortWithinPartitions("key", "peer", "visitor")
+    return written(rows.mapInArrow(tidy(_compare(percent)), "a bigint, b bigint"), "joining-links")
 
 
 def _overlaps(percent: int):
@@ -487,51 +551,68 @@ def _link_classes(sets: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
     links = _links(stars, sets, percent)
     found = written(connected_components(links), "class-groups")
     discard(links)
+    full = sets.select("cls", "shingles")
+    rows = _mixed(keys.join(about.select("cls", "size"), "cls"), found)
     before, turn = None, 0
     while True:
-        rows = _mixed(keys, found)
-        n = rows.count()
-        if not n:
-            break
-        last = before is not None and n > WORTH * before
-        links = _compared(_visiting(rows) if last else _met_once(rows, turn), sets, percent)
+        near = _marked(rows, about, percent)
         discard(rows)
+        n = near.count()
+        last = before is not None and n > WORTH * before
+        links = _compared(_visiting(near, full, percent) if last else _met_once(near, full, turn), percent)
         known = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         merged = written(connected_components(known.union(links)), "class-groups")
         discard(found, links)
-        found, before, turn = merged, n, turn + 1
-        if last:
-            break
-    return found
-
-
-def _mixed(keys: DataFrame, found: DataFrame) -> DataFrame:
-    """key, cls, component, length of the lists that hold several components."""
-    told = keys.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed = told.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("length"))
-    return written(told.join(mixed.where("c1 <> c2").select("key", "length"), "key"), "mixed-lists")
-
-
-def _met_once(rows: DataFrame, turn: int) -> DataFrame:
-    """Each class in one of its lists, at first the longest, then another one
-    each turn, the same for classes that share most lists."""
-    choice = F.struct(F.col("length") if turn == 0 else F.xxhash64("key", F.lit(turn)), F.col("key"))
-    picked = rows.groupBy("cls", "component").agg(F.max(choice).alias("choice")).select("cls", "component", "choice.key")
+        found = merged
+        if not n or last:
+            discard(near)
+            return found
+        rows, before, turn = _mixed(near.drop("component"), found), n, turn + 1
+        discard(near)
+
+
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """key, cls, size, component of the lists that hold several components."""
+    told = members.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    mixed = told.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
+    return written(told.join(mixed, "key").select("key", "cls", "size", "component"), "mixed-lists")
+
+
+def _met_once(rows: DataFrame, full: DataFrame, turn: int) -> DataFrame:
+    """Each class in one of its lists, another one each turn, the same for
+    classes that share most lists."""
+    choice = F.struct(F.xxhash64("key", F.lit(turn)), F.col("key"))
+    picked = rows.groupBy("cls", "component", "size").agg(F.max(choice).alias("choice")).select("cls", "component", "size", "choice.key")
     blocks = picked.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "n_blocks")
     home = F.pmod(F.xxhash64("cls", F.lit(turn)), F.col("n_blocks"))
-    return picked.join(blocks, "key").select("key", home.alias("peer"), F.lit(False).alias("visitor"), home.alias("home"), "cls", "component", F.lit(False).alias("visits"))
-
-
-def _visiting(rows: DataFrame) -> DataFrame:
-    """All members in their blocks; those outside the list's largest component in every block."""
+    rows = picked.join(blocks, "key").withColumns({"home": home, "peer": home, "visitor": F.lit(False), "visits": F.lit(False)})
+    return rows.join(full, "cls")
+
+
+def _visiting(rows: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """All members in their blocks, with what `about` has of them; those outside
+    the list's largest component also in every block of sizes that they may link
+    with. Blocks are of one list and one bin of sizes; sizes that are two bins
+    apart never link."""
+    step = F.log(F.lit(100 / percent)) if percent < 100 else F.lit(1.0)
+    size_bin = (F.floor(F.log("size") / step + 1e-9) if percent < 100 else F.col("size")).cast("bigint")
+    rows = rows.withColumn("bin", size_bin)
+    bins = rows.groupBy("key", "bin").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_blocks"))
     sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m")).select("key", F.col("m.component").alias("main"))
-    n_blocks = F.ceil(F.col("length") / BLOCK)
-    home = F.pmod(F.xxhash64("cls"), n_blocks)
-    rows = rows.join(main, "key").select("key", "cls", "component", (F.col("component") != F.col("main")).alias("visits"), n_blocks.alias("n_blocks"), home.alias("home"))
-    peers = F.when(F.col("visits"), F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)).otherwise(F.array("home"))
-    rows = rows.withColumn("peer", F.explode(peers))
-    return rows.select("key", "peer", (F.col("peer") != F.col("home")).alias("visitor"), "home", "cls", "component", "visits")
+    rows = rows.join(main, "key").join(bins, ["key", "bin"]).join(about, "cls")
+    rows = rows.withColumns({"visits": F.col("component") != F.col("main"), "home": F.col("bin") * _BINS_APART + F.pmod(F.xxhash64("cls"), "n_blocks")}).drop("main", "n_blocks")
+    members = rows.withColumns({"peer": F.col("home"), "visitor": F.lit(False)})
+    calls = rows.where("visits").withColumn("at", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1))).drop("bin")
+    calls = calls.join(bins.withColumnRenamed("bin", "at"), ["key", "at"])
+    calls = calls.withColumn("peer", F.explode(F.sequence(F.col("at") * _BINS_APART, F.col("at") * _BINS_APART + F.col("n_blocks") - 1)))
+    calls = calls.where("peer <> home").withColumn("visitor", F.lit(True))
+    return members.select(*_VISIT_ROWS, *about.drop("cls").columns).unionByName(calls.select(*_VISIT_ROWS, *about.drop("cls").columns))
+
+
+#: Numbers of blocks of one bin lie below this.
+_BINS_APART = 1 << 40
+_VISIT_ROWS = ("key", "peer", "visitor", "home", "cls", "size", "component", "visits")
 
 
 def _rows(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:

@@ -140,3 +140,75 @@ def test_overlap_bound_is_never_too_low():
         common = len(np.intersect1d(a, b))
         if 100 * common >= 80 * (len(a) + len(b) - common):
             assert J._may_link(np.array([len(a)]), np.array([len(b)]), *maps, 80).all()
+
+
+def near_copies(n, seed=0):
+    """A group in which most texts link with some others, and none with the first."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        t = list(base)
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(5)}"
+        rows.append((i, " ".join(t)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_a_large_group_of_near_copies(spark, block, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", block)
+    made = []
+    keep = J.written
+
+    def watched(df, name):
+        out = keep(df, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(J, "written", watched)
+    rows = near_copies(300)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, J.digest(frame).collect())) == brute(rows)
+    assert block < 512 or all(n < len(rows) for name, n in made if name == "joining-links"), made
+
+
+def test_repeated_rows_and_rows_without_a_key_stay_linear(spark, monkeypatch):
+    made = {}
+    keep = J.written
+
+    def watched(df, name):
+        out = keep(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(J, "written", watched)
+    one = " ".join(f"a{i}" for i in range(80))
+    two = " ".join([f"a{i}" for i in range(78)] + ["z", "y"])
+    rows = [(5, one)] * 1000 + [(6, two)] * 1000 + [(None, " ".join([f"a{i}" for i in range(79)] + [f"n{i}"])) for i in range(500)]
+    rows += [(None, f"alone {i} words that nobody else has at all {i}") for i in range(500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = J.jaccard_components(frame).collect()
+    assert sum(r["component"] == 5 for r in got) == 2500 and sum(r["component"] is None for r in got) == 500
+    assert made["shingle-sets"] <= 502 and made.get("shingle-links", 0) <= 502, made
+    assert J.keep_one(frame).count() == 501
+
+
+def test_a_key_with_two_texts_belongs_to_two_groups(spark):
+    long = [f"w{i}" for i in range(40)]
+    rows = [(2, " ".join(long)), (5, " ".join(long + ["end"])), (5, "another text of its own, with other words"), (7, " ".join(long))]
+    kept = J.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect())) == sorted([rows[0], rows[2]])
+
+
+def test_sets_beyond_the_exact_sizes_may_be_light(spark, monkeypatch):
+    monkeypatch.setattr(J, "EXACT_SIZES", 3)
+    rows = corpus(2, 120)
+    assert sorted(map(tuple, J.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
+
+
+def test_words_that_a_polynomial_cannot_tell_apart(spark):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = ("".join("ab"[b ^ k] for b in bits) for k in (0, 1))
+    rows = [(1, f"a b {one} c d"), (2, f"a b {other} c d"), (3, f"a b {one} c d")]
+    assert sorted(map(tuple, J.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
