@@ -13,18 +13,19 @@ Two texts link when 100 * |A and B| >= percent * |A or B|. Steps:
    between the two is chosen by their summed cost.
 4. In every key list, each class is checked against the list's first; links
    are joined to components.
-5. In lists that still hold several components, members are marked that may
-   link with one of another component, by size and an upper bound of the
+5. In lists that still hold several components, members are looked for that
+   may link with one of another component, by size and an upper bound of the
    overlap from bitmaps. Lists are looked through in blocks of bounded size;
-   members outside a list's largest component visit every block of it. Marks,
-   not pairs, leave a task: one for a member at most.
-6. Marked classes meet in rounds: each takes one of its lists to a block, with
-   its full set, and the block names the links that join components, fewer
-   than it has members. When rounds no longer help, all marked members of all
-   lists are compared, in blocks with visitors as before.
+   members outside a list's largest component visit every block of sizes near
+   theirs. Not pairs leave a task, but links that hold what may link together,
+   one for a member at most; their components are clusters.
+6. Each class goes once, with its full set, to a block of its cluster, which
+   names the links that join components, fewer than it has members. Of clusters
+   that hold several components even then, members that may still link (by
+   bitmaps, as before) are compared in blocks with visitors.
 
 Two classes that link share a key, so they are in one component before the
-last step or are marked and compared in it: no link between components is
+last step or in one cluster and compared in it: no link between components is
 lost, and only links that join components ever leave a task.
 """
 
@@ -52,8 +53,6 @@ GATHER = 1 << 20
 FREQUENT, MAX_FREQUENT = 100, 1 << 16
 #: Bits of a set's bitmap; members of a list in one block, about.
 BITS, BLOCK = 1024, 512
-#: Rounds of step 5 go on while they leave less than this share of the rows.
-WORTH = 0.7
 #: Sets compared with one at once; what they join is looked at in between.
 AT_ONCE = 64
 #: Sizes beyond are counted by bins when the boundary is chosen.
@@ -459,55 +458,98 @@ def _near(one: dict, two: dict, percent: int) -> np.ndarray:
     return ((100 + percent) * most >= percent * (a + b)) & (one["component"][:, None] != two["component"][None])
 
 
-def _mark(percent: int):
-    """(key, cls) of the members that may link with one of another component.
-    Rows come sorted by key, peer (the block) and visitor (members first)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: dict | None = None
+class _Bitmaps:
+    """Members of one block by their bitmaps, the visitors they get, and what
+    is found of them: with `forest`, links that hold together what may link;
+    else (key, cls) of all that may."""
+
+    def __init__(self, percent: int, forest: bool, key: int, columns: dict):
+        self.percent, self.forest, self.key = percent, forest, key
+        self.rows = {c: v[:0] for c, v in columns.items()}
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, columns: dict, lo: int, hi: int) -> None:
+        self.rows = {c: np.concatenate([v, columns[c][lo:hi]]) for c, v in self.rows.items()}
 
-        def ended() -> tuple[np.ndarray, np.ndarray]:
-            near = _near(block, block, percent)
-            cls = block["cls"][block["marked"] | near.any(1)]
-            return np.full(len(cls), block["key"]), cls
+    def close(self) -> None:
+        """All members are here."""
+        if "label" in self.rows:
+            return
+        near = _near(self.rows, self.rows, self.percent)
+        label = np.arange(len(near))
+        while True:                             # least number reached, by doubling
+            least = np.where(near, label[None], len(near)).min(1, initial=len(near))
+            new = np.minimum(label, least)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        self.rows["label"] = label
+        self._tell(np.flatnonzero(near.any(1)), None)
+
+    def _tell(self, members: np.ndarray, visitors: np.ndarray | None) -> None:
+        cls = self.rows["cls"]
+        if not self.forest:
+            self.found.append((np.full(len(members), self.key), cls[members]))
+            if visitors is not None:
+                self.found.append((np.full(len(visitors), self.key), visitors))
+        elif visitors is None:
+            self.found.append((cls[members], cls[self.rows["label"][members]]))
+
+    def visited(self, columns: dict, lo: int, hi: int, peer: int) -> None:
+        self.close()
+        late = columns["home"][lo:hi] > peer          # two visitors meet in the block of the later
+        near = _near({c: v[lo:hi] for c, v in columns.items()}, self.rows, self.percent) & ~(late[:, None] & self.rows["visits"][None])
+        cls, some = columns["cls"][lo:hi], near.any(1)
+        if not self.forest:
+            self._tell(np.flatnonzero(near.any(0)), cls[some])
+            return
+        label = self.rows["label"]
+        for k in np.flatnonzero(some).tolist():
+            roots = np.unique(label[near[k]])
+            self.found.append((np.full(len(roots), cls[k]), self.rows["cls"][roots]))
+            if len(roots) > 1:
+                label[np.isin(label, roots)] = roots[0]
 
+
+def _mark(percent: int, forest: bool):
+    """What may link, from rows sorted by key, peer (the block) and visitor
+    (members first): columns a and b, see _Bitmaps."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, at = None, None
         for batch in batches:
             columns = {c: batch[c].to_numpy(zero_copy_only=False) for c in _MARK_ROWS[:-1]} | {"maps": _maps(batch["bitmap"])}
             key, peer, visitor = columns["key"], columns["peer"], columns["visitor"]
             new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (peer[1:] != peer[:-1])])) if len(key) else np.empty(0, np.int64)
             out = []
             for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(key)]):
-                if block is None or (block["key"], block["peer"]) != (key[lo], peer[lo]):
+                if at != (key[lo], peer[lo]):
                     if block is not None:
-                        out.append(ended())
-                    block = {c: v[:0] for c, v in columns.items()} | {"key": key[lo], "peer": peer[lo], "marked": np.zeros(0, bool)}
+                        block.close()
+                        out += block.found
+                    block, at = _Bitmaps(percent, forest, key[lo], columns), (key[lo], peer[lo])
                 mid = lo + int(np.searchsorted(visitor[lo:hi], True))
-                if mid > lo:                       # members of the block
-                    for c in ("cls", "size", "component", "visits", "maps"):
-                        block[c] = np.concatenate([block[c], columns[c][lo:mid]])
-                    block["marked"] = np.append(block["marked"], np.zeros(mid - lo, bool))
-                if hi > mid and len(block["cls"]):        # visitors, after all of them
-                    late = columns["home"][mid:hi] > peer[lo]          # two visitors meet in the block of the later
-                    near = _near({c: v[mid:hi] for c, v in columns.items()}, block, percent) & ~(late[:, None] & block["visits"][None])
-                    block["marked"] |= near.any(0)
-                    cls = columns["cls"][mid:hi][near.any(1)]
-                    out.append((np.full(len(cls), key[lo]), cls))
+                if mid > lo:
+                    block.add(columns, lo, mid)
+                if hi > mid:
+                    block.visited(columns, mid, hi, peer[lo])
             if out:
                 yield _columns(out)
         if block is not None:
-            yield _columns([ended()])
+            block.close()
+            yield _columns(block.found)
     return run
 
 
 def _columns(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*parts)], names=["key", "cls"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*parts)], names=["a", "b"])
 
 
-def _marked(rows: DataFrame, about: DataFrame, percent: int) -> DataFrame:
-    """The rows whose member may link with one of another component."""
+def _may_meet(rows: DataFrame, about: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """What `_mark` finds in lists (key, cls, size, component)."""
     blocks = _visiting(rows, about.select("cls", "bitmap"), percent).select(*_MARK_ROWS)
     blocks = blocks.repartition("key", "peer").sortWithinPartitions("key", "peer", "visitor")
-    near = blocks.mapInArrow(tidy(_mark(percent)), "key bigint, cls bigint").distinct()
-    return written(rows.join(near, ["key", "cls"]), "marked-members")
+    return written(blocks.mapInArrow(tidy(_mark(percent, forest)), "a bigint, b bigint").distinct(), "may-link")
 
 
 def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -553,22 +595,27 @@ def _link_classes(sets: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
     discard(links)
     full = sets.select("cls", "shingles")
     rows = _mixed(keys.join(about.select("cls", "size"), "cls"), found)
-    before, turn = None, 0
-    while True:
-        near = _marked(rows, about, percent)
-        discard(rows)
-        n = near.count()
-        last = before is not None and n > WORTH * before
-        links = _compared(_visiting(near, full, percent) if last else _met_once(near, full, turn), percent)
-        known = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        merged = written(connected_components(known.union(links)), "class-groups")
-        discard(found, links)
-        found = merged
-        if not n or last:
-            discard(near)
-            return found
-        rows, before, turn = _mixed(near.drop("component"), found), n, turn + 1
-        discard(near)
+    held = _may_meet(rows, about, percent, forest=True)
+    clusters = written(connected_components(held).join(about.select(F.col("cls").alias("node"), "size"), "node")
+                       .select(F.col("component").alias("key"), F.col("node").alias("cls"), "size"), "clusters")
+    discard(rows, held)
+    rows = _mixed(clusters, found)
+    found = _joined(found, _compared(_met_once(rows, full), percent))
+    discard(rows)
+    rows = _mixed(clusters, found)
+    marks = _may_meet(rows, about, percent, forest=False)
+    near = rows.join(marks.toDF("key", "cls"), ["key", "cls"])
+    found = _joined(found, _compared(_visiting(near, full, percent), percent))
+    discard(rows, marks, clusters)
+    return found
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links; both tables are replaced."""
+    known = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    out = written(connected_components(known.union(links)), "class-groups")
+    discard(found, links)
+    return out
 
 
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -578,14 +625,11 @@ def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
     return written(told.join(mixed, "key").select("key", "cls", "size", "component"), "mixed-lists")
 
 
-def _met_once(rows: DataFrame, full: DataFrame, turn: int) -> DataFrame:
-    """Each class in one of its lists, another one each turn, the same for
-    classes that share most lists."""
-    choice = F.struct(F.xxhash64("key", F.lit(turn)), F.col("key"))
-    picked = rows.groupBy("cls", "component", "size").agg(F.max(choice).alias("choice")).select("cls", "component", "size", "choice.key")
-    blocks = picked.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "n_blocks")
-    home = F.pmod(F.xxhash64("cls", F.lit(turn)), F.col("n_blocks"))
-    rows = picked.join(blocks, "key").withColumns({"home": home, "peer": home, "visitor": F.lit(False), "visits": F.lit(False)})
+def _met_once(rows: DataFrame, full: DataFrame) -> DataFrame:
+    """Every class in one block of its cluster."""
+    blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_blocks"))
+    home = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("n_blocks"))
+    rows = rows.join(blocks, "key").withColumns({"home": home, "peer": home, "visitor": F.lit(False), "visits": F.lit(False)})
     return rows.join(full, "cls")
 
 
