@@ -113,22 +113,21 @@ def _cut(key: str, text: str, vocabulary: str, window: int, end_id: int, with_id
         seen = np.zeros(window + 1, np.int64)
         part = TaskContext.get().partitionId()
         for batch in batches:
-            texts = batch[text].to_pylist()
             rows: list[int] = []
             start, length, crc, total, rank, ids_out = [], [], [], [], [], []
-            for at in range(0, len(texts), 100):
-                for row, raw in enumerate(words.encode(texts[at:at + 100]), at):
-                    ids = np.append(np.frombuffer(raw, words.dtype), words.dtype.type(end_id)).astype("<u4")
-                    for s in range(0, len(ids), window):
-                        piece = ids[s:s + window]
-                        rows.append(row)
-                        start.append(s)
-                        length.append(len(piece))
-                        crc.append(zlib.crc32(piece.tobytes()))
-                        total.append(len(ids))
-                        rank.append(int(seen[len(piece)]))
-                        seen[len(piece)] += 1
-                        ids_out.append(piece.tobytes() if with_ids else None)
+            flat, offsets = words.encode_column(batch[text])
+            for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                ids = np.append(flat[a:b], words.dtype.type(end_id)).astype("<u4")
+                for s in range(0, len(ids), window):
+                    piece = ids[s:s + window]
+                    rows.append(row)
+                    start.append(s)
+                    length.append(len(piece))
+                    crc.append(zlib.crc32(piece.tobytes()))
+                    total.append(len(ids))
+                    rank.append(int(seen[len(piece)]))
+                    seen[len(piece)] += 1
+                    ids_out.append(piece.tobytes() if with_ids else None)
             numbers = [pa.array(x, pa.int64()) for x in (start, length, crc, total, [part] * len(rows), rank)]
             yield pa.RecordBatch.from_arrays([batch[key].take(pa.array(rows, pa.int64())), *numbers, pa.array(ids_out, pa.binary())],
                                              names=[key, "start", "length", "ids_crc32", "doc_tokens", "part", "rank", "ids"])

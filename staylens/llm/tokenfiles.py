@@ -34,11 +34,9 @@ END_ID = 0
 MAGIC = b"RPAIRIDS"
 #: Ids in one block; a longer document makes a longer block.
 BLOCK_IDS = 1 << 20
-#: A pair must occur this often to become a rule; rules per round; a round
-#: that shortens the block by less than this share is the last.
+#: A pair must occur this often to become a rule; rules per round.
 MIN_COUNT = 8
 RULES_PER_ROUND = 2048
-MIN_GAIN = 0.02
 _HEAD = struct.Struct("<7Q")
 
 
@@ -59,10 +57,10 @@ def _free_pairs(pairs: np.ndarray, counts: np.ndarray, symbols: int, most: int)
     return np.array(sorted(out), np.uint64)
 
 
-def compress(ids: np.ndarray, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN,
-             per_round: int = RULES_PER_ROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, min_count: int = MIN_COUNT, per_round: int = RULES_PER_ROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(terminals, rules, symbols) of a block: symbol s < len(terminals) is an
-    id, any other is the pair rules[s - len(terminals)] of earlier symbols."""
+    id, any other is the pair rules[s - len(terminals)] of earlier symbols. In
+    what is left, no pair occurs `min_count` times."""
     terminals = np.flatnonzero(np.bincount(ids)) if len(ids) else np.empty(0, np.int64)
     places = np.zeros(int(terminals[-1]) + 1 if len(terminals) else 0, np.uint32)
     places[terminals] = np.arange(len(terminals))
@@ -95,12 +93,9 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT, min_gain: float = MIN_
         seq[at] = symbols + k
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        before = len(seq)
         seq = seq[stay]
         rules.append(np.stack([left, right], 1).astype(np.uint32))
         symbols += len(chosen)
-        if before - len(seq) < min_gain * before:
-            break
     return terminals.astype(np.uint32), np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), seq
 
 
@@ -234,14 +229,13 @@ def _writer(key: str, text: str, vocabulary: str, end_id: int, folder: str):
                     fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
                 sink = fs.open_output_stream(inner, compression=None)
                 sink.write(MAGIC)
-            texts = batch[text].to_pylist()
-            for at in range(0, len(texts), 100):
-                for row, raw in enumerate(words.encode(texts[at:at + 100]), at):
-                    held.append(np.append(np.frombuffer(raw, words.dtype), words.dtype.type(end_id)))
-                    keys.append(batch[key].slice(row, 1))
-                    size += len(held[-1])
-                    if size >= BLOCK_IDS:
-                        flush()
+            ids, offsets = words.encode_column(batch[text])
+            for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                held.append(np.append(ids[a:b], words.dtype.type(end_id)))
+                keys.append(batch[key].slice(row, 1))
+                size += len(held[-1])
+                if size >= BLOCK_IDS:
+                    flush()
         if sink is None:
             return
         if held:

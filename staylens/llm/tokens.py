@@ -16,13 +16,18 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
-from itertools import filterfalse
 from string import ascii_letters
 
 import numpy as np
+import pyarrow as pa
 
-#: Entries kept in one worker's table; it is emptied when it would grow beyond.
-MAX_WORDS = 500_000
+from staylens.llm import textcodes
+
+#: Text coded at once.
+BLOCK_BYTES = 4 << 20
+#: Entries of one worker's table; when it holds more, a new one is begun, and
+#: this one is kept until that is full too.
+MAX_WORDS = 400_000
 #: Characters of a text taken at once.
 SLICE = 1 << 20
 #: Pieces encoded in one call.
@@ -30,6 +35,9 @@ GROUP = 2000
 
 _ODD = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
+#: White space of two and of three bytes in UTF-8, as numbers.
+_SPACES_2 = [int.from_bytes(c.encode(), "big") for c in "\x85\xa0"]
+_SPACES_3 = [int.from_bytes(chr(c).encode(), "big") for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 #: Marks that end many words and are a piece of the split by themselves.
 _ENDS = frozenset((",", "."))
 #: What byte-level vocabularies split a text into before the merges (fixed value).
@@ -76,16 +84,29 @@ def pieces(text: str) -> tuple[str, list[str]]:
 
 
 class _Words(dict):
-    """A table that works out what it lacks."""
+    """A table that works out what it lacks, or takes it from the table before."""
 
-    def __init__(self, of):
+    def __init__(self, of, old: dict | None = None):
         super().__init__()
-        self.of = of
+        self.of, self.old = of, old or {}
 
     def __missing__(self, word: str) -> bytes:
-        out = self[word] = self.of(word)
+        out = self.old.get(word)
+        if out is None:
+            out = self.of(word)
+        self[word] = out
         return out
 
+    def known(self, word: str) -> bytes | None:
+        out = self.get(word)
+        return self.old.get(word) if out is None else out
+
+    def renewed(self) -> _Words:
+        """An empty table after this one: words still in use move over as they
+        are met, the others go with this table."""
+        self.old = {}
+        return _Words(self.of, self)
+
 
 class WordIds:
     """Ids of texts as little-endian bytes of `self.dtype`."""
@@ -153,6 +174,8 @@ class WordIds:
         return found if same and not found.groups else None
 
     def _letters(self, word: str) -> str:
+        if word.isascii() and word.isalnum():      # stand for themselves
+            return word
         return word.encode().decode("latin-1").translate(self.letters)
 
     def _merged(self, piece: str) -> bytes:
@@ -171,7 +194,7 @@ class WordIds:
         """Ids of a space and a string, through the library's split and model."""
         stem, end = (w[:-1], w[-1]) if w[-1:] in _ENDS else (w, "")
         if stem.isalpha():
-            ids = self.table.get(stem) if end else None
+            ids = self.table.known(stem) if end else None
             if ids is None:
                 low = stem if self.plain else stem.lower() if self.lowers and stem.isascii() else self._normal(stem)
                 if low.isalpha():
@@ -214,18 +237,96 @@ class WordIds:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; None counts as empty."""
-        cut = [[pieces(s) for s in slices(t)] if t else [] for t in texts]
+        ids, offsets = self.encode_column(pa.array(texts, pa.large_string()))
+        return [ids[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each text's first one and the end); nulls count as empty."""
+        ids, ends = [np.empty(0, self.dtype)], [0]
+        for i, j in textcodes.blocks(texts, BLOCK_BYTES):
+            block = texts.slice(i, j - i)
+            if j - i == 1 and block.nbytes > 2 * BLOCK_BYTES and block[0].as_py():       # one long text, in parts
+                n = 0
+                for part in slices(block[0].as_py()):
+                    ids.append(self._block(pa.array([part], pa.large_string()))[0])
+                    n += len(ids[-1])
+                lengths = np.array([n])
+            else:
+                found, offsets = self._block(block)
+                ids.append(found)
+                lengths = np.diff(offsets)
+            ends += (ends[-1] + np.cumsum(lengths)).tolist()
+        return np.concatenate(ids), np.array(ends, np.int64)
+
+    def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """A block of texts: equal pieces are found by their codes, and each
+        distinct one is looked up once by its own bytes."""
+        data, offsets = textcodes.buffers(texts)
+        cuts = _cuts(data, offsets)
+        of_text = np.searchsorted(offsets, cuts, "right") - 1
+        last = np.ones(len(cuts), bool)                      # of its text
+        last[:-1] = of_text[1:] != of_text[:-1]
+        ends = np.append(cuts[1:], 0)
+        ends[last] = offsets[of_text[last] + 1]
+        codes = textcodes.span_codes(data, cuts + 1, ends)
+        _, first, kind = np.unique(codes, return_index=True, return_inverse=True)
+        n_pieces = np.bincount(of_text, minlength=len(offsets) - 1)
+        head_ends = offsets[1:].copy()
+        some = n_pieces > 0
+        head_ends[some] = cuts[np.cumsum(n_pieces)[some] - n_pieces[some]]
+
+        raw = data.tobytes()
+        rest = [raw[a:b].decode() for a, b in zip((cuts[first] + 1).tolist(), ends[first].tolist())]
+        heads = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), head_ends.tolist())]
+        found = [*self._rest(rest), *self._heads(heads)]
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        sizes = np.array([len(x) for x in found], np.int64) // self.dtype.itemsize
+        begins = np.cumsum(sizes) - sizes
+        # pieces in the order of the texts, each text's head before its others
+        place = np.argsort(np.concatenate([of_text * 2 + 1, np.arange(len(heads)) * 2]), kind="stable")
+        pieces = np.concatenate([kind.astype(np.int64), len(rest) + np.arange(len(heads))])[place]
+        length = sizes[pieces]
+        at = np.cumsum(length) - length
+        take = np.repeat(begins[pieces] - at, length)
+        take += np.arange(len(take))
+        ends_at = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(n_pieces + 1)])]
+        return flat[take], ends_at
+
+    def _heads(self, heads: list[str]) -> list[bytes]:
         if len(self.heads) > MAX_WORDS // 10:
             self.heads.clear()
-        heads = {h for parts in cut for h, _ in parts if h not in self.heads}
-        self._fill(self.heads, sorted(heads), "")
+        self._fill(self.heads, sorted({h for h in heads if h not in self.heads}), "")
+        return [self.heads[h] for h in heads]
+
+    def _rest(self, words: list[str]) -> list[bytes]:
         if len(self.table) > MAX_WORDS:
-            self.table.clear()
+            self.table = self.table.renewed()
         if self.lead is None:
-            need = {p for parts in cut for _, rest in parts for p in filterfalse(self.table.__contains__, rest)}
-            self._fill(self.table, list(need), " ")
-        get = self.table.__getitem__
-        return [b"".join(x for h, rest in parts for x in (self.heads[h], b"".join(map(get, rest)))) for parts in cut]
+            need = [w for w in words if w not in self.table]
+            for w in need:
+                if w in self.table.old:
+                    self.table[w] = self.table.old[w]
+            self._fill(self.table, [w for w in need if w not in self.table], " ")
+        return list(map(self.table.__getitem__, words))
+
+
+def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Spaces that follow a character other than white space, in one text."""
+    at = np.flatnonzero(data[1:] == 0x20) + 1
+    before = data[at - 1]
+    inner = ~np.isin(at, offsets) if len(offsets) * 20 > len(at) else np.ones(len(at), bool)
+    if len(offsets) * 20 <= len(at):
+        k = np.searchsorted(at, offsets)
+        k = k[k < len(at)]
+        inner[k[np.isin(at[k], offsets)]] = False
+    wide = np.flatnonzero(before >= 0x80)
+    ok = (before > 0x20) & (before < 0x7F)
+    if len(wide):
+        p = at[wide]
+        two = data[p - 2].astype(np.int64) << 8 | data[p - 1]
+        three = data[np.maximum(p - 3, 0)].astype(np.int64) << 16 | two
+        ok[wide] = ~(np.isin(two, _SPACES_2) | np.isin(three, _SPACES_3))
+    return at[ok & inner]
 
 
 @functools.lru_cache(maxsize=2)
