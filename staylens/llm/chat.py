@@ -135,14 +135,17 @@ def loss_text(turns: Column, runs: Column) -> Column:
 
 def digest(conversations: DataFrame) -> DataFrame:
     """Each conversation, its rows by turn (ties by role, then text) a chain of
-    replies, plus conversation -7; formatted, and read back from the output."""
+    replies, plus conversation -7; the best path by the mean length of its texts
+    formatted, and read back from the output. Rows that already have that
+    conversation's id join it."""
     spark = conversations.sparkSession
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                   F.when(F.col("id") == 0, "user").otherwise(ASSISTANT).alias("role"), F.lit(TRAP).alias("text"))
     rows = conversations.select("conv_id", "turn", "role", "text").unionByName(extra)
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
     chain = rows.withColumn("node", place.cast("long"))
-    done = format_trees(chain.withColumn("parent", F.col("node") - 1), "conv_id", "node", "parent")
+    chain = chain.withColumns({"parent": F.col("node") - 1, "score": F.length("text")})
+    done = format_trees(chain, "conv_id", "node", "parent", score="score", best=1)
     done = done.withColumn("turns", parse(F.col("formatted"))).withColumn("learnt", loss_text(F.col("turns"), F.col("loss_runs")))
     said = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     return done.select(F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),

@@ -80,6 +80,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_chat_formatting": sql.CHAT,
+    "op5_ngram_jaccard": sql.JACCARD,
+    "op7_decontaminate": sql.DECONTAMINATE,
+    "op8_embedding_near_dedup": sql.NEAR_VECTORS,
+    "op9_warc": sql.WARC,
     "op11_collocations": sql.COLLOCATIONS,
     "op12_fill_in_middle": sql.FIM,
     "op13_substring_dedup": sql.REPEATS,

@@ -251,14 +251,16 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on documents with a label, without those held out. The labels' sample
+def fit_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
+                  terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, penalty: float = SWAP_PENALTY) -> Model:
+    """Fit on documents with a label, without those held out; `terms` name
+    groups, each swapped for the others of its row at a `penalty`. The labels' sample
     is taken first, so only its ids (at most `sample_rows`) meet the documents."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    return fit(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), sample_rows=None)
+    return fit(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), sample_rows=None, terms=terms, penalty=penalty)
 
 
-def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    found, s = score(docs.select("doc_id", "text"), fit_documents(docs, labels), keep=["doc_id"])
+def digest(docs: DataFrame, labels: DataFrame, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, penalty: float = SWAP_PENALTY) -> DataFrame:
+    found, s = score(docs.select("doc_id", "text"), fit_documents(docs, labels, terms=terms, penalty=penalty), keep=["doc_id"])
     return found.select("doc_id", held_out().alias("held_out"), F.col(s).alias("score"), (F.col(s) >= 0.5).cast("int").alias("predicted"))
