@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylens.llm.components import connected_components
-from staylens.llm.shared import col, small_batches, written
+from staylens.llm.shared import col, open_fs, shared_path, small_batches, tidy, written
 
 COSINE = 0.93
 #: Vectors in one graph, at most about; links kept per vector on the ground
@@ -31,6 +32,8 @@ GROUND, UPPER, BUILD_BEAM, BEAM = 32, 16, 64, 48
 #: Lookups with links audited for each side of a pair of shards, and the share of
 #: a lookup's links that they must find on average before the beam stops growing.
 AUDITED, RECALL = 200, 0.995
+#: Rows of a table of links handled at once; tasks that compare pairs of shards, at most.
+ROWS, MAX_TASKS = 512, 20_000
 
 
 class Graph:
@@ -179,12 +182,18 @@ def _links(graph: Graph, queries: np.ndarray, places: np.ndarray, least: float,
 
 
 def lookups(graph: Graph, queries: np.ndarray, least: float, own: bool = False) -> list[np.ndarray]:
-    """Found links of every query, with a beam as wide as the audit asks for.
+    """Found links of every query, as a list; see `each_lookup`."""
+    found = dict(each_lookup(graph, queries, least, own))
+    return [found[k] for k in range(len(queries))]
+
+
+def each_lookup(graph: Graph, queries: np.ndarray, least: float, own: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """(query, its links found), with a beam as wide as the audit asks for.
 
     Queries are drawn until AUDITED of them have links; each counts the same,
     however many links it has. If there are not that many, all links are known
-    by then and returned. `own`: the queries are the graph's vectors, and no
-    vector links with itself.
+    by then and given. `own`: the queries are the graph's vectors, and no
+    vector links with itself. Only the audited lookups are held at once.
     """
     n = len(queries)
     drawn = np.random.default_rng(7).permutation(n)
@@ -201,14 +210,16 @@ def lookups(graph: Graph, queries: np.ndarray, least: float, own: bool = False)
         width = BEAM
         while width < len(graph.x):
             if np.mean([np.isin(true[k], graph.within(queries[k], least, width)).mean() for k in linked]) >= RECALL:
-                found = [true[k] if k in true else graph.within(queries[k], least, width) for k in range(n)]
-                return [f[f != k] for k, f in enumerate(found)] if own else found
+                for k in range(n):
+                    hits = true[k] if k in true else graph.within(queries[k], least, width)
+                    yield k, hits[hits != k] if own else hits
+                return
             width *= 2
         rest = np.array([k for k in range(n) if k not in true])          # the widest beam is the whole shard
         for at in range(0, len(rest), AUDITED):
             places = rest[at:at + AUDITED]
-            true.update(zip(places.tolist(), _links(graph, queries, places, least, own)))
-    return [true[k] for k in range(n)]
+            yield from zip(places.tolist(), _links(graph, queries, places, least, own))
+    yield from true.items()
 
 
 def _unit(raw: bytes) -> np.ndarray:
@@ -226,52 +237,94 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["id", "label", "cls", "vector"])
 
 
-def _build(table: pa.Table) -> pa.Table:
-    order = np.argsort(table["cls"].to_numpy(), kind="stable")
-    table = table.take(pa.array(order))
-    x = np.stack([_unit(v) for v in table["vector"].to_pylist()])
-    blob = pickle.dumps((table["cls"].to_numpy(), table["times"].to_numpy(), Graph(x)), protocol=5)
-    return pa.table({"label": table["label"].slice(0, 1), "dim": pa.array([x.shape[1]], pa.int32()), "shard": table["shard"].slice(0, 1),
-                     "graph": pa.array([blob], pa.binary())})
+def _builder(folder: str):
+    def build(table: pa.Table) -> pa.Table:
+        """A shard's graph in a file of its own; a retried task writes another one."""
+        order = np.argsort(table["cls"].to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
+        x = np.stack([_unit(v) for v in table["vector"].to_pylist()])
+        path = f"{folder}/{uuid.uuid4().hex}.graph"
+        fs, inner = open_fs(path)
+        if isinstance(fs, pa.fs.LocalFileSystem):
+            fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+        with fs.open_output_stream(inner, compression=None) as sink:
+            sink.write(pickle.dumps((table["cls"].to_numpy(), table["times"].to_numpy(), Graph(x)), protocol=5))
+        return pa.table({"label": table["label"].slice(0, 1), "dim": pa.array([x.shape[1]], pa.int32()), "shard": table["shard"].slice(0, 1),
+                         "path": pa.array([path])})
+    return build
+
+
+def _load(path: str) -> tuple[np.ndarray, np.ndarray, Graph]:
+    fs, inner = open_fs(path)
+    with fs.open_input_stream(inner, compression=None) as source:
+        return pickle.loads(source.read())
+
+
+def linked(a: Graph, b: Graph, least: float, same: bool) -> np.ndarray:
+    """A table of bytes: which vectors of `a` link with which of `b`, found from
+    either side and decided by the cosine in double precision."""
+    links = np.zeros((len(a.x), len(b.x)), bool)
+    for k, hits in each_lookup(a, b.x, least, same):
+        links[hits, k] = True
+    if same:
+        links |= links.T.copy()
+    else:
+        for k, hits in each_lookup(b, a.x, least):
+            links[k, hits] = True
+    for i in np.flatnonzero(links.any(1)).tolist():
+        at = np.flatnonzero(links[i])
+        links[i, at[np.einsum("ij,j->i", b.x[at], a.x[i]) < least]] = False
+    return links
+
+
+def _reached(links: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Columns that some of these rows link with."""
+    out = np.zeros(links.shape[1], bool)
+    for at in range(0, len(rows), ROWS):
+        out |= links[rows[at:at + ROWS]].any(0)
+    return out
+
+
+def trees(links: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Root (a row) of every row and of every column over the links, -1 for those without."""
+    back = links if same else np.ascontiguousarray(links.T)
+    row = np.full(links.shape[0], -1)
+    column = row if same else np.full(links.shape[1], -1)
+    for i in np.flatnonzero(links.any(1)).tolist():
+        if row[i] >= 0:
+            continue
+        front = np.array([i])
+        row[i] = i
+        while len(front):
+            front = np.flatnonzero(_reached(links, front) & (column < 0))
+            column[front] = i
+            if not same:
+                front = np.flatnonzero(_reached(back, front) & (row < 0))
+                row[front] = i
+    return row, column
 
 
 def _search(least: float):
-    def run(table: pa.Table) -> pa.Table:
-        cls_a, times_a, a = pickle.loads(table["graph"][0].as_py())
-        same = table["i"][0] == table["j"][0]
-        cls_b, times_b, b = (cls_a, times_a, a) if same else pickle.loads(table["other"][0].as_py())
-        n = len(cls_a)
-        owner, found = [], []
-        for k, hits in enumerate(lookups(a, b.x, least, same)):
-            owner.append(np.full(len(hits), k))
-            found.append(hits)
-        if not same:
-            for k, hits in enumerate(lookups(b, a.x, least)):
-                owner.append(hits)
-                found.append(np.full(len(hits), k))
-        right, left = np.concatenate(owner).astype(np.int64), np.concatenate(found).astype(np.int64)      # places in b and in a
-        if same:
-            left, right = np.concatenate([left, right]), np.concatenate([right, left])
-        pair = np.unique(left * len(cls_b) + right)
-        left, right = pair // len(cls_b), pair % len(cls_b)
-        good = np.einsum("ij,ij->i", a.x[left], b.x[right]) >= least
-        left, right = left[good], right[good]
-        # one count for each class, and a spanning forest of the links found here
-        cls = cls_a if same else np.concatenate([cls_a, cls_b])
-        count = np.bincount(left, times_b[right], minlength=len(cls)).astype(np.int64)
-        if not same:
-            count += np.bincount(right + n, times_a[left], minlength=len(cls)).astype(np.int64)
-        u, v = left, right if same else right + n
-        root = np.arange(len(cls))
-        while True:
-            before = root.copy()
-            np.minimum.at(root, u, root[v])
-            np.minimum.at(root, v, root[u])
-            root = root[root]
-            if (root == before).all():
-                break
-        some = count > 0
-        return pa.table({"cls": pa.array(cls[some], pa.int64()), "count": pa.array(count[some], pa.int64()), "root": pa.array(cls[root][some], pa.int64())})
+    """For each pair of shards, a count and one tree edge for every class with links."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, other in zip(batch["path"].to_pylist(), batch["other"].to_pylist()):
+                same = one == other
+                cls_a, times_a, a = _load(one)
+                cls_b, times_b, b = (cls_a, times_a, a) if same else _load(other)
+                links = linked(a, b, least, same)
+                root_a, root_b = trees(links, same)
+                count_a, count_b = np.zeros(len(cls_a), np.int64), np.zeros(len(cls_b), np.int64)
+                for at in range(0, len(cls_a), ROWS):
+                    part = links[at:at + ROWS]
+                    count_a[at:at + ROWS] = part @ times_b.astype(np.float64)
+                    count_b += (times_a[at:at + ROWS].astype(np.float64) @ part).astype(np.int64)
+                parts = [(cls_a, count_a, root_a)] + ([] if same else [(cls_b, count_b, root_b)])
+                some = [r >= 0 for _, _, r in parts]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(x), pa.int64()) for x in (
+                        [c[k] for (c, _, _), k in zip(parts, some)], [n[k] for (_, n, _), k in zip(parts, some)],
+                        [cls_a[r[k]] for (_, _, r), k in zip(parts, some)])], names=["cls", "count", "root"])
     return run
 
 
@@ -298,11 +351,13 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     sizes = classes.groupBy("label", dim.alias("dim")).agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"))
     dealt = classes.withColumn("dim", dim).join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("cls"), "shards").cast("int"))
     graphs = written(dealt.select("label", "dim", "shard", "cls", "times", "vector").groupBy("label", "dim", "shard")
-                     .applyInArrow(_build, "label string, dim int, shard int, graph binary"), "graphs")
-    a = graphs.select("label", "dim", F.col("shard").alias("i"), "graph")
-    b = graphs.select("label", "dim", F.col("shard").alias("j"), F.col("graph").alias("other"))
-    pairs = a.join(b, ["label", "dim"]).where("i <= j").withColumn("other", F.when(F.col("i") < F.col("j"), F.col("other")))
-    found = written(pairs.groupBy("label", "dim", "i", "j").applyInArrow(_search(cosine), "cls bigint, count bigint, root bigint"), "vector-links")
+                     .applyInArrow(_builder(shared_path(spark, "graph-files")), "label string, dim int, shard int, path string"), "graphs")
+    # pairs are of paths; their number, not their size, makes the work, so they are dealt evenly
+    a = graphs.select("label", "dim", F.col("shard").alias("i"), "path")
+    b = graphs.select("label", "dim", F.col("shard").alias("j"), F.col("path").alias("other"))
+    pairs = written(a.join(b, ["label", "dim"]).where("i <= j").select("path", "other"), "graph-pairs")
+    dealt = pairs.repartition(max(1, min(pairs.count(), MAX_TASKS)))
+    found = written(dealt.mapInArrow(tidy(_search(cosine)), "cls bigint, count bigint, root bigint"), "vector-links")
     counts = found.groupBy("cls").agg(F.sum("count").alias("count"))
     components = connected_components(found.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cls")
     told = classes.join(counts, "cls", "left").join(components, "cls", "left").select("cls", "id", "times", "count", F.coalesce("component", "cls").alias("component"))

@@ -101,3 +101,40 @@ def test_audit_between_shards_with_hardly_any_links():
     other /= np.linalg.norm(other, axis=1)[:, None]
     found = H.lookups(Narrow(x[:half]), other, 0.93)
     assert sum(map(len, found)) == (x[:half] @ other.T >= 0.93).sum() >= 2
+
+
+def test_a_shard_of_near_copies_is_counted_in_bounded_memory():
+    import resource
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1, 32)) + 0.02 * rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = H.Graph(x)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    links = H.linked(graph, graph, 0.93, True)
+    assert links.sum() == 3000 * 2999 and not links.diagonal().any()
+    row, _ = H.trees(links, True)
+    assert (row == 0).all()
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+
+
+def test_trees_of_two_shards_against_a_plain_search():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        links = rng.random((rng.integers(1, 15), rng.integers(1, 15))) < 0.12
+        row, column = H.trees(links, False)
+        up = {}
+
+        def find(v):
+            while up.setdefault(v, v) != v:
+                v = up[v]
+            return v
+
+        for i, j in zip(*np.nonzero(links)):
+            up[find(("b", j))] = find(("a", i))
+        for i in range(len(row)):
+            assert (row[i] >= 0) == links[i].any()
+            assert all((row[i] == row[k]) == (find(("a", i)) == find(("a", k))) for k in range(len(row)) if links[i].any() and links[k].any())
+        for j in range(len(column)):
+            assert (column[j] >= 0) == links[:, j].any()
+            if column[j] >= 0:
+                assert find(("b", j)) == find(("a", int(column[j])))
