@@ -20,7 +20,7 @@ from staylens.functions.numeric import pct_of
 from staylens.operators.dedup import drop_duplicates
 from staylens.operators import outliers
 from staylens.operators.outliers import remove_outliers
-from staylens.operators.profile import is_missing
+from staylens.operators.profile import is_missing, unique_values
 from staylens.schemas import (ADMIT_DATE, BILLING, CATEGORY_COLUMNS, DATE_FORMAT, DISCHARGE_DATE, NAME,
                               OUTLIER_THRESHOLD, ROW_POS, TIMESTAMP_FORMAT)
 
@@ -101,10 +101,11 @@ def cleaning_report(stages: CleaningStages, outlier_column: str = BILLING,
     """One long table of everything the run reports:
     step, metric, column_name, value (double), value_date (date).
 
-    Three passes: the raw rows' groups of equal rows give the missing counts
-    and the duplicates; one aggregate over the scored rows gives the distinct
-    category values, rows in / removed / saved and the date ranges of the saved
-    rows; the statistics of the scores are the third.
+    Four passes: the raw rows' groups of equal rows give the missing counts
+    and the duplicates; one aggregate over the scored rows gives rows in /
+    removed / saved and the date ranges of the saved rows; the statistics of the
+    scores are the third; the grouping of `unique_values` gives the distinct
+    category values.
     """
     dates, cats = list(date_columns), list(categories)
     names = [c for c in stages.raw.columns if c != ROW_POS]
@@ -113,8 +114,6 @@ def cleaning_report(stages: CleaningStages, outlier_column: str = BILLING,
     summary = rows.agg(
         F.count(F.lit(1)).alias("rows_in"), F.count_if(~keep).alias("rows_removed"),
         F.count_if(keep).alias("rows_saved"),
-        *[(F.count_distinct(F.col(f"`{c}`")) + F.max(F.col(f"`{c}`").isNull().cast("int"))).alias(f"_u{i}")
-          for i, c in enumerate(cats)],
         *[F.min(F.when(keep, F.col(f"`{c}`"))).alias(f"_lo{i}") for i, c in enumerate(dates)],
         *[F.max(F.when(keep, F.col(f"`{c}`"))).alias(f"_hi{i}") for i, c in enumerate(dates)])
     groups = stages.raw.groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.count(F.lit(1)).alias("_n"))
@@ -138,14 +137,15 @@ def cleaning_report(stages: CleaningStages, outlier_column: str = BILLING,
               for step, metric, col, src in (("outliers", "rows_in", outlier_column, "rows_in"),
                                              ("outliers", "rows_removed", outlier_column, "rows_removed"),
                                              ("save", "rows", None, "rows_saved"))],
-            *[F.struct(F.lit("unique").alias("step"), F.lit("distinct_values").alias("metric"),
-                       F.lit(c).alias("column_name"), F.col(f"_u{i}").cast("double").alias("value"),
-                       F.lit(None).cast("date").alias("value_date")) for i, c in enumerate(cats)],
             *[F.struct(F.lit("date_range").alias("step"), F.lit(bound).alias("metric"),
                        F.lit(c).alias("column_name"), F.lit(None).cast("double").alias("value"),
                        F.col(f"_{tag}{i}").alias("value_date"))
               for i, c in enumerate(dates) for bound, tag in (("earliest", "lo"), ("latest", "hi"))]))),
     ]
+    if cats:
+        distinct = unique_values(stages.dated, cats).groupBy("column_name").agg(F.count(F.lit(1)).cast("double").alias("value"))
+        parts.append(distinct.select(F.lit("unique").alias("step"), F.lit("distinct_values").alias("metric"), "column_name", "value",
+                                     F.lit(None).cast("date").alias("value_date")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

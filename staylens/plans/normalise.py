@@ -57,12 +57,14 @@ def rename_project(clean: DataFrame, mapping: dict = RENAME_MAP) -> DataFrame:
 
 def normalise(clean: DataFrame, keying: str = "last_wins",
               stage: Callable[[str, DataFrame], DataFrame] = _keep, bound_dates: bool = True,
-              on_bad: str = "quarantine") -> Tables:
+              on_bad: str = "quarantine", stage_rows: Callable[[str, DataFrame], DataFrame] = _keep) -> Tables:
     """Build the three tables. `stage(name, df)` is applied to each table as
     soon as it is built and the next table is keyed from its result, so a
     caller that writes each table (e.g. `plans.stages.materialised`) reads
     patients back to key admissions and admissions back to key bills,
-    instead of recomputing them. `bound_dates` sizes the date lookup by the
+    instead of recomputing them. `stage_rows(name, df)` is the same for the rows
+    before the NOT NULL split: the tables, the quarantine and their counts are
+    then filters over one written table. `bound_dates` sizes the date lookup by the
     admission date span (one min/max job) and broadcasts it when small.
     `on_bad="fail"` raises as soon as a table would lose rows to a NULL key
     (checked before the next table is built); the default quarantines them."""
@@ -71,13 +73,14 @@ def normalise(clean: DataFrame, keying: str = "last_wins",
 
     billed_bound = None
     renamed = rename_columns(clean)
-    patient_rows = distinct_first(renamed, PATIENT_ATTRS, "patient_id")
+    patient_rows = stage_rows("patients", distinct_first(renamed, PATIENT_ATTRS, "patient_id"))
     patients, patients_bad = split_not_null(patient_rows, PATIENT_KEYS, on_bad, "patients")
     patients = stage("patients", patients)
     if keying == "last_wins":
         by_name = last_wins_lookup(patients, "name", "patient_id")
         adm_rows = (distinct_first(renamed, ADMISSION_ATTRS, "admission_id").join(by_name, "name", "left")
                     .select("admission_id", "patient_id", *ADMISSION_ATTRS[1:]))
+        adm_rows = stage_rows("admissions", adm_rows)
         admissions, admissions_bad = split_not_null(adm_rows, ADMISSION_KEYS, on_bad, "admissions")
         admissions = stage("admissions", admissions)
         # one row per admission day at most: broadcast behind that bound, so
@@ -93,6 +96,7 @@ def normalise(clean: DataFrame, keying: str = "last_wins",
         cond = [F.col(a).eqNullSafe(F.col(f"_p_{a}")) for a in PATIENT_ATTRS]
         adm_rows = (renamed.join(keys, cond, "left")
                     .select(F.col(ROW_POS).alias("admission_id"), "patient_id", *ADMISSION_ATTRS[1:]))
+        adm_rows = stage_rows("admissions", adm_rows)
         admissions, admissions_bad = split_not_null(adm_rows, ADMISSION_KEYS, on_bad, "admissions")
         admissions = stage("admissions", admissions)
         # A row's admission is loaded when it has a date and its patient is, that is, has the patient keys.
@@ -104,6 +108,7 @@ def normalise(clean: DataFrame, keying: str = "last_wins",
                                    "total_charges", "insurance_provider")
     else:
         raise ValueError(f"keying must be 'last_wins' or 'exact', not {keying!r}")
+    bill_rows = stage_rows("billing", bill_rows)
     billing, billing_bad = split_not_null(bill_rows, BILLING_KEYS, on_bad, "billing")
     billing = stage("billing", billing)
     return Tables(patients, admissions, billing,

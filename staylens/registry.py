@@ -94,14 +94,14 @@ def _clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _tables(spark: SparkSession, sf: str, keying: str = "last_wins") -> Tables:
-    """The three tables, each written once and read back before the next
-    one is keyed from it."""
+    """The three tables, their rows written once and read back before the next
+    one is keyed from them; table and quarantine are filters over these."""
     def stage(name: str, df: DataFrame) -> DataFrame:
         # patients do not depend on the keying: one table for both
         key = name if name == "patients" else f"{name}|{keying}"
         return materialised(spark, _key(spark, sf, key), lambda: df)
 
-    return remembered(spark, _key(spark, sf, f"tables|{keying}"), lambda: normalise(_clean(spark, sf), keying, stage=stage))
+    return remembered(spark, _key(spark, sf, f"tables|{keying}"), lambda: normalise(_clean(spark, sf), keying, stage_rows=stage))
 
 
 def _view(spark: SparkSession, sf: str, keying: str = "last_wins") -> DataFrame:
