@@ -79,3 +79,27 @@ def date_range(df: DataFrame, columns: Iterable[str], group_cols: Iterable[str]
     entries = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_b{i}.earliest").alias("earliest"),
                                  F.col(f"_b{i}.latest").alias("latest")) for i, c in enumerate(cols)])
     return bounds.select(*groups, F.inline(entries))
+
+
+def drop_incomplete(df: DataFrame, columns: Iterable[str], how: str = "any") -> DataFrame:
+    """Rows with a value in every one of the columns (`how="any"` missing drops
+    a row), or in at least one (`"all"`). NaN counts as missing."""
+    if how not in ("any", "all"):
+        raise ValueError(f"how must be 'any' or 'all', not {how!r}")
+    missing = [is_missing(df, c) for c in columns]
+    drop = F.lit(how == "all" and bool(missing))
+    for m in missing:
+        drop = drop | m if how == "any" else drop & m
+    return df.where(~drop)
+
+
+def incomplete_report(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Why rows go: reason (the first of the columns, in their order, that is
+    missing; `complete` for rows that stay), n_rows, n_missing (cells missing
+    in these rows). One pass; reasons without rows are left out."""
+    cols = list(columns)
+    reason, cells = F.lit("complete"), F.lit(0)
+    for c in reversed(cols):
+        reason = F.when(is_missing(df, c), F.lit(c)).otherwise(reason)
+        cells = cells + is_missing(df, c).cast("int")
+    return df.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(cells).cast("bigint").alias("n_missing"))

@@ -565,6 +565,16 @@ def _with_times() -> str:
 _OTHER_DATE = """CASE WHEN try_strptime("Date of Admission", '%Y-%m-%d') IS NOT NULL AND row_pos // 2 % 5 <> 2
                   THEN strftime(strptime("Date of Admission", '%Y-%m-%d'), '%-d/%-m/%Y') ELSE "Date of Admission" END"""
 SQL |= {
+    "incomplete_rows": _with() + (
+        "SELECT reason, count(*) AS n_rows, sum(n)::BIGINT AS n_missing FROM (SELECT CASE "
+        + " ".join(f"WHEN {_q(c)} IS NULL THEN {_s(c)}" for c in RAW_COLUMNS) + " ELSE 'complete' END AS reason, "
+        + " + ".join(f"({_q(c)} IS NULL)::INTEGER" for c in RAW_COLUMNS) + " AS n FROM raw) GROUP BY reason"),
+    "complete_rows": _with() + "SELECT * FROM raw WHERE " + " AND ".join(f"{_q(c)} IS NOT NULL" for c in RAW_COLUMNS),
+    "mixed_dates": _with([("other", f"SELECT row_pos, {_OTHER_DATE} AS v FROM raw_text")])
+    + "SELECT row_pos, CAST(coalesce(try_strptime(v, '%Y-%m-%d'), try_strptime(v, '%d/%m/%Y')) AS DATE) AS admission_date FROM other",
+    "catalog_patients": _with() + "SELECT * FROM patients",
+    "sql_report": _with() + (
+        f"SELECT gender, admission_type, count(*) AS n_rows, {_r('avg(length_of_stay)')} AS avg_stay FROM view GROUP BY gender, admission_type"),
     "readmissions": _with(_EXACT_CTES, _READMIT) + (
         f"SELECT patient_id, admission_id, admission_date, gap_days, {_WITHIN('gap_days')} AS readmitted, days_to_next, "
         f"{_WITHIN('days_to_next')} AS followed, n_before FROM r"),
@@ -602,7 +612,7 @@ SQL |= {
 }
 
 #: Statements of other names that are over the dirtier table.
-_ON_DIRT = {"loaded_bills": "loaded_bills", "inferred_types_strict": "inferred_types_strict"}
+_ON_DIRT = {name: name for name in ("loaded_bills", "inferred_types_strict", "incomplete_rows", "complete_rows")}
 
 # The same statements over a raw table with more dirt, for the queries dirty_<name>.
 _PLAIN_TEXT = "raw_text AS ("

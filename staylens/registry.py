@@ -29,14 +29,14 @@ from staylens.operators.integrity import not_null_counts, orphan_report, split_f
 from staylens.operators.keys import last_wins_lookup
 from staylens.operators.regression import linear_regression
 from staylens.plans import cleaning
-from staylens.plans.encounters import encounter_view
+from staylens.plans.encounters import encounter_view, register_view
 from staylens.plans.normalise import Tables, normalise, rename_project
 from staylens.plans.stages import materialised, remembered, source_mark
 from staylens.plans.store import EncounterStore, with_dense_ids
 from staylens.schemas import (ADMISSION_KEYS, ADMIT_DATE, ADMIT_TYPE, BILLING, BILLING_KEYS, CATEGORY_COLUMNS, CONDITION,
-                              DISCHARGE_DATE, GENDER, HOSPITAL, NAME, PATIENT_KEYS, ROOM, ROW_POS, TOP_DOCTORS)
+                              DISCHARGE_DATE, GENDER, HOSPITAL, NAME, PATIENT_KEYS, PATIENTS_SCHEMA, RAW_COLUMNS, ROOM, ROW_POS, TOP_DOCTORS)
 from staylens.session import scratch_path
-from staylens.sources.files import failed_casts, load_raw, read_raw_csv, read_table, save_csv, write_table
+from staylens.sources.files import create_tables, failed_casts, load_raw, read_raw_csv, read_table, save_csv, save_table, write_table
 from staylens.sources.fixtures import dirtier, orphaned, other_dates, raw_encounters_text, with_age, with_times
 from staylens.sources.inference import infer_types
 
@@ -336,6 +336,38 @@ def q_forecast_by_group(spark, sf):
     return rounded(timeseries.forecast_summary(fit, groups, carry=("n_months", "slope", "intercept")))
 
 
+def q_incomplete_rows(spark, sf):
+    """Rows of the dirtier raw table by the first column that is missing."""
+    return profile.incomplete_report(_raw(spark, sf + DIRTIER), RAW_COLUMNS)
+
+
+def q_complete_rows(spark, sf):
+    return profile.drop_incomplete(_raw(spark, sf + DIRTIER), RAW_COLUMNS)
+
+
+def q_mixed_dates(spark, sf):
+    """Admission dates in either of two formats."""
+    rows = load_raw(other_dates(_raw_text(spark, sf)))
+    return rows.select(ROW_POS, parse_date(F.col(f"`{ADMIT_DATE}`"), ("yyyy-M-d", "d/M/yyyy")).alias("admission_date"))
+
+
+def q_catalog_patients(spark, sf):
+    """The patients in a catalog table: created once, then rows appended to it."""
+    name = f"patients_{uuid.uuid4().hex}"
+    for _ in range(2):          # the second time it exists
+        create_tables(spark, {name: PATIENTS_SCHEMA}, location=scratch_path(spark, "catalog"))
+    return spark.table(save_table(_tables(spark, sf).patients, name, mode="append"))
+
+
+def q_sql_report(spark, sf):
+    """A report written in SQL over the registered views."""
+    prefix = f"v{uuid.uuid4().hex}_"
+    register_view(_tables(spark, sf), prefix)
+    return rounded(spark.sql(
+        f"SELECT p.gender, e.admission_type, count(*) AS n_rows, avg(e.length_of_stay) AS avg_stay FROM {prefix}encounters e "
+        f"JOIN {prefix}patients p USING (patient_id) GROUP BY p.gender, e.admission_type"))
+
+
 # ---------------------------------------------------------------- models and relations
 def _readmissions(spark, sf):
     """Stays of patients known by all their attributes, with what comes before and after."""
