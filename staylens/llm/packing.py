@@ -181,5 +181,19 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
     return cut.join(before, ["part", "length"]).mapInArrow(_place(key, held, window), schema)
 
 
+def sequences(packed: DataFrame, window: int = WINDOW, padding: int = 0) -> DataFrame:
+    """The sequences of `pack(..., with_ids=True)`: sequence_id, used (ids before
+    the padding), n_pieces, ids (little-endian unsigned 32-bit, padded to the
+    window, except at a power of two). A group is one sequence, `window` ids at
+    most."""
+    pieces = F.sort_array(F.collect_list(F.struct("offset", "ids")))
+    whole = F.aggregate(pieces, F.lit(b""), lambda out, p: F.concat(out, p["ids"]))
+    rows = packed.groupBy("sequence_id").agg(F.sum("length").alias("used"), F.count(F.lit(1)).alias("n_pieces"), whole.alias("ids"))
+    stored = F.when(F.col("used").bitwiseAND(F.col("used") - 1) == 0, F.col("used")).otherwise(F.lit(window))
+    fill = F.lit(padding.to_bytes(4, "little"))
+    return rows.withColumn("ids", F.rpad(F.col("ids"), (stored * 4).cast("int"), fill))
+
+
 def digest(docs: DataFrame) -> DataFrame:
+    """op3: the placement of every piece."""
     return pack(docs).drop("ids")

@@ -217,3 +217,42 @@ def test_token_pairs_equal_plain_merging():
     pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(3000)] + [(rng.choice(short), rng.choice(short)) for _ in range(6000)]
     for a, b in pairs + [(x, y) for x in same for y in same]:
         assert c._follows(a, b) == (c.merge(c.text[a] + c.text[b]) == [a, b]), (c.text[a], c.text[b])
+
+
+def test_grammar_leaves_no_pair_that_occurs_often():
+    rng = np.random.default_rng(8)
+    for ids in (np.minimum(rng.zipf(1.3, 60_000), 3000), np.tile(rng.integers(0, 50, 40), 300), np.full(5000, 7), rng.integers(0, 3, 9000)):
+        terminals, rules, seq = tokenfiles.compress(ids.astype(np.uint32))
+        lengths = tokenfiles.expansion_lengths(len(terminals), rules)
+        assert (tokenfiles.expand(terminals, rules, lengths, seq.astype(np.int64)) == ids).all()
+        pairs = seq[:-1].astype(np.int64) << 32 | seq[1:]
+        assert not len(pairs) or np.unique(pairs, return_counts=True)[1].max() < tokenfiles.MIN_COUNT
+
+
+def test_table_of_words_keeps_what_is_in_use(monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_WORDS", 50)
+    w = tokens.WordIds("byte_bpe_50k.json")
+    made = []
+    of = w.table.of
+    w.table.of = lambda word: made.append(word) or of(word)
+    lib = library("byte_bpe_50k.json")
+    for i in range(30):
+        t = " ".join(["often used words", *(f"rare{i}x{k}" for k in range(20))])
+        assert np.frombuffer(w.encode([t])[0], w.dtype).tolist() == lib.encode(t, add_special_tokens=False).ids
+    assert made.count("used") == 1 and len(w.table) <= 80 and not w.table.old.old
+
+
+def test_sequences_hold_every_id_and_are_padded(spark):
+    tok = library("word_bpe_49k.json")
+    rows = [(i, t) for i, t in enumerate(texts(11, 60, 40) + [None, "word " * 300])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    packed = packing.pack(docs, window=64, with_ids=True)
+    pieces = packed.collect()
+    made = {r["sequence_id"]: r for r in packing.sequences(packed, 64).collect()}
+    back = {}
+    for p in sorted(pieces, key=lambda p: (p["doc_id"], p["start"])):
+        ids = np.frombuffer(bytes(made[p["sequence_id"]]["ids"]), "<u4")
+        back.setdefault(p["doc_id"], []).extend(ids[p["offset"]:p["offset"] + p["length"]].tolist())
+    assert back == {k: tok.encode(t or "", add_special_tokens=False).ids + [2] for k, t in rows}
+    for s in made.values():
+        assert len(s["ids"]) == 4 * packing.padded_length(s["used"], 64)
