@@ -16,7 +16,7 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
-from string import ascii_letters
+from string import ascii_letters, digits, punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,7 @@ GROUP = 2000
 
 _ODD = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
+_VISIBLE = digits + ascii_letters + punctuation
 #: White space of two and of three bytes in UTF-8, as numbers.
 _SPACES_2 = [int.from_bytes(c.encode(), "big") for c in "\x85\xa0"]
 _SPACES_3 = [int.from_bytes(chr(c).encode(), "big") for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
@@ -121,6 +122,8 @@ class WordIds:
         self.special = [t.content for _, t in special]
         plain = [(i, t.content) for i, t in special if not (t.lstrip or t.rstrip or t.single_word)]
         self.mark_id, self.mark = plain[0] if plain else (None, None)
+        self.lowers = False
+        self.lowers = self._normal(f" {_VISIBLE} ") == f" {_VISIBLE} ".lower()      # all that is done to visible ASCII
         self.table: dict[str, bytes] = _Words(self._word)      # pieces that follow a space
         self.parts: dict[str, bytes] = {}      # what the library's own split makes of odd pieces
         self.code = "H" if self.dtype.itemsize == 2 else "I"
@@ -128,7 +131,6 @@ class WordIds:
         self.pattern = None if self.tokenizer.pre_tokenizer is None else self._pattern()
         self.lead = self._lead()
         self.plain = self.tokenizer.normalizer is None
-        self.lowers = self._normal(ascii_letters) == ascii_letters.lower()
         self.heads: dict[str, bytes] = {}      # first pieces
 
     def _lead(self) -> str | None:
@@ -146,6 +148,8 @@ class WordIds:
         return found.pop() if len(found) == 1 else None
 
     def _normal(self, text: str) -> str:
+        if self.lowers and text.isascii() and text.isprintable() and "  " not in text:
+            return text.lower()
         return self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
 
     def _split(self, text: str) -> list[str]:
@@ -198,7 +202,7 @@ class WordIds:
             if ids is None:
                 low = stem if self.plain else stem.lower() if self.lowers and stem.isascii() else self._normal(stem)
                 if low.isalpha():
-                    ids = self._merged(self.lead + self._letters(low))
+                    ids = self._merged(self.lead + (low if low.isascii() else self._letters(low)))
                 else:
                     ids = b"".join(map(self._part, self._split(self._normal(" " + stem))))
                 if end:
