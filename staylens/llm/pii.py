@@ -42,6 +42,8 @@ KINDS = (
 #: Words nearby that say a number is something else.
 OTHERWISE = ("version", "order", "invoice", "article", "isbn", "page", "build")
 CONTEXT_CHARS = 40
+#: A masked text is put together from blocks of this many code points.
+BLOCK_CHARS = 256
 RAISE, LOWER = 0.1, 0.3
 #: Spans that are not base ones need this score.
 KEEP_SCORE = 0.5
@@ -93,24 +95,43 @@ def _nearby(text: Column, words: tuple[str, ...]) -> Column:
     return text.rlike("(?i)\\b(?:" + "|".join(words) + ")")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it,
+    also within functions of array elements."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, combine) -> Column:
+    """Running totals of an array, by steps of 1, 2, 4, ... places: no array
+    grows element by element, so n values cost n log n."""
+    doubled = F.array(*(F.lit(1 << e) for e in range(31)))
+
+    def all_of(v: Column) -> Column:
+        def step(acc: Column, d: Column) -> Column:
+            return F.transform(acc, lambda x, i: F.when(i >= d, combine(x, F.get(acc, i - d))).otherwise(x))
+
+        return F.aggregate(F.filter(doubled, lambda d: d < F.size(v)), v, step)
+
+    return _let(values, all_of)
+
+
 def _found(kind: Kind, order: int, t: Column, matches: Column) -> Column:
     """Confirmed spans of one kind: start, kind's place, end, name, score."""
-    between = F.split(t, kind.pattern, -1)
-
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(between[i])
-        end = start + F.length(matches[i])
-        around = F.concat_ws(" ", F.right(between[i], F.lit(CONTEXT_CHARS)), F.left(between[i + 1], F.lit(CONTEXT_CHARS)))
-        score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(_nearby(around, kind.context), RAISE).otherwise(0.0)
-                        - F.when(_nearby(around, OTHERWISE), LOWER).otherwise(0.0))
-        span = F.struct(start.alias("start"), F.lit(order).alias("kind_order"), end.alias("end"), F.lit(kind.name).alias("kind"),
-                        score.alias("score"), _confirmed(kind.name, matches[i]).alias("ok"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def spans(between: Column) -> Column:
+        lengths = F.transform(matches, lambda m, i: F.length(F.get(between, i)) + F.length(m))
+        return _let(_running(lengths, lambda x, y: x + y), lambda ends: F.transform(matches, lambda m, i: span(between, ends, m, i)))
+
+    def span(between: Column, ends: Column, m: Column, i: Column) -> Column:
+        around = F.concat_ws(" ", F.right(F.get(between, i), F.lit(CONTEXT_CHARS)), F.left(F.get(between, i + 1), F.lit(CONTEXT_CHARS)))
+        score = _let(around, lambda a: F.least(
+            F.lit(1.0), F.lit(kind.score) + F.when(_nearby(a, kind.context), RAISE).otherwise(0.0)
+            - F.when(_nearby(a, OTHERWISE), LOWER).otherwise(0.0)))
+        end = F.get(ends, i)
+        return F.struct((end - F.length(m)).alias("start"), F.lit(order).alias("kind_order"), end.alias("end"), F.lit(kind.name).alias("kind"),
+                        score.alias("score"), _confirmed(kind.name, m).alias("ok"))
 
     empty = F.expr("cast(array() as array<struct<start:int,kind_order:int,end:int,kind:string,score:double,ok:boolean>>)")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    spans = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step)["spans"]
-    kept = F.filter(spans, lambda s: s["ok"] if kind.base else s["ok"] & (s["score"] >= KEEP_SCORE))
+    kept = F.filter(_let(F.split(t, kind.pattern, -1), spans), lambda s: s["ok"] if kind.base else s["ok"] & (s["score"] >= KEEP_SCORE))
     return F.when(F.size(matches) > 0, kept).otherwise(empty)
 
 
@@ -141,31 +162,41 @@ def find_pii(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
     return frame.select(*map(col, docs.columns), F.when(any_match, F.sort_array(found)).otherwise(empty).alias(out)), out
 
 
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points start to end of a text given in blocks; touches their blocks only."""
+    first = F.floor(start / BLOCK_CHARS).cast("int")
+    last = F.floor((end - 1) / BLOCK_CHARS).cast("int")
+    joined = F.array_join(F.transform(F.sequence(first, last), lambda k: F.get(blocks, k)), "")
+    return F.when(end > start, F.substring(joined, start - first * BLOCK_CHARS + 1, end - start)).otherwise("")
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    """A text with the runs of its spans (sorted, at least one) replaced."""
+    def runs(ends: Column) -> Column:
+        fresh = lambda i: (i == 0) | (F.get(spans, i)["start"] >= F.get(ends, i - 1))
+        firsts = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), fresh)
+        return _let(firsts, lambda f: _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK_CHARS}}}"), F.lit(0)),
+                                           lambda blocks: shown(ends, f, blocks)))
+
+    def shown(ends: Column, firsts: Column, blocks: Column) -> Column:
+        def run(i: Column, j: Column) -> Column:
+            before = F.when(j > 0, F.get(ends, i - 1)).otherwise(0)
+            return F.concat(_cut(blocks, before, F.get(spans, i)["start"]), F.lit("["), F.upper(F.get(spans, i)["kind"]), F.lit("]"))
+
+        rest = _cut(blocks, F.get(ends, F.size(ends) - 1), F.length(text))
+        return F.concat(F.array_join(F.transform(firsts, run), ""), rest)
+
+    return _let(_running(F.transform(spans, lambda s: s["end"]), F.greatest), runs)
+
+
 def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """The same rows and columns, with every span (overlapping ones together)
-    replaced by its kind in brackets. Null texts stay null."""
+    replaced by its kind in brackets, the first one's where several overlap.
+    Null and empty texts stay as they are, repeated rows are each masked. The
+    work is linear in a text's length and n log n in its matches."""
     found, name = find_pii(docs, text)
-    t = col(text)
-
-    def join(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1),
-                         F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))))
-        fresh = F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] > s["start"]), grown).otherwise(F.concat(acc, fresh))
-
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,kind:string>>)")
-    runs_name = free_name(found, "pii_runs")
-    runs = col(runs_name)
-    found = found.withColumn(runs_name, F.aggregate(col(name), empty, join))
-
-    def shown(r: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(runs, i - 1)["end"]).otherwise(0)
-        return F.concat(F.substring(t, before + 1, r["start"] - before), F.lit("["), F.upper(r["kind"]), F.lit("]"))
-
-    last = F.element_at(runs, -1)["end"]
-    masked = F.concat(F.concat_ws("", F.transform(runs, shown)), F.substring(t, last + 1, F.length(t)))
-    return found.select(*((F.when(F.size(runs) > 0, masked).otherwise(t)).alias(c) if c == text else col(c) for c in docs.columns))
+    masked = F.when(F.size(col(name)) > 0, _masked(col(text), col(name))).otherwise(col(text))
+    return found.select(*(masked.alias(c) if c == text else col(c) for c in docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:
