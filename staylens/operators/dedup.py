@@ -8,13 +8,18 @@ ever gathered in one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from staylens.operators import keys as lookups
 from staylens.schemas import ROW_POS
 
+#: 64-bit hash of a row's compared columns; rows that are equal to it.
+ROW_HASH = "_row_hash"
+COPIES = "_copies"
+
 
 def _q(name: str):
     return F.col(f"`{name}`")
@@ -54,6 +59,39 @@ def drop_duplicates(df: DataFrame, subset: Iterable[str] | None = None, order_co
             .select(*df.columns))
 
 
+def with_row_hash(df: DataFrame, keys: Iterable[str]) -> DataFrame:
+    return df.withColumn(ROW_HASH, F.xxhash64(*[_q(k) for k in keys]))
+
+
+def group_first(hashed: DataFrame, keys: Iterable[str], stage: Callable[[str, DataFrame], DataFrame], name: str,
+                order_col: str = ROW_POS) -> DataFrame:
+    """Distinct rows of `keys` with their lowest `order_col` and the number of
+    rows that are equal (COPIES), for tables of mostly distinct rows.
+
+    Rows that are equal share a hash, so a row that has its hash alone is
+    distinct: only the hashes of such rows are shuffled, never the rows, and
+    rows that share a hash are grouped on all their columns. `hashed` (with
+    `with_row_hash`) is scanned three times. The shared hashes are written by
+    `stage` and broadcast; when there are more than BROADCAST_MAX_ROWS of them,
+    all rows are grouped on their columns."""
+    cols = list(keys)
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return (rows.groupBy(*[_q(c) for c in cols])
+                .agg(F.min(order_col).alias(order_col), F.count(F.lit(1)).alias(COPIES)))
+
+    shared = stage(f"{name}-shared", hashed.groupBy(ROW_HASH).agg(F.count(F.lit(1)).alias("_n"))
+                   .where(F.col("_n") > 1).select(ROW_HASH))
+    n_shared = shared.count()
+    if n_shared > lookups.BROADCAST_MAX_ROWS:
+        return grouped(hashed)
+    alone = hashed if n_shared == 0 else hashed.join(F.broadcast(shared), ROW_HASH, "left_anti")
+    alone = alone.select(*[_q(c) for c in cols], _q(order_col), F.lit(1).cast("bigint").alias(COPIES))
+    if n_shared == 0:
+        return alone
+    return alone.unionByName(grouped(hashed.join(F.broadcast(shared), ROW_HASH, "left_semi")))
+
+
 def distinct_first(df: DataFrame, columns: Iterable[str], id_col: str, order_col: str = ROW_POS) -> DataFrame:
     """Distinct rows of `columns`, each with the position of its first
     appearance as `id_col`: unique and in insertion order, without a global
@@ -62,6 +100,14 @@ def distinct_first(df: DataFrame, columns: Iterable[str], id_col: str, order_col
     return df.groupBy(*[_q(c) for c in cols]).agg(F.min(order_col).alias(id_col)).select(id_col, *cols)
 
 
+def distinct_first_staged(df: DataFrame, columns: Iterable[str], id_col: str, stage: Callable[[str, DataFrame], DataFrame],
+                          name: str, order_col: str = ROW_POS) -> DataFrame:
+    """`distinct_first` for rows that are mostly distinct, by `group_first`."""
+    cols = list(columns)
+    hashed = with_row_hash(df.select(*[_q(c) for c in cols], _q(order_col)), cols)
+    return group_first(hashed, cols, stage, name, order_col).select(_q(order_col).alias(id_col), *cols)
+
+
 def duplicate_rows(df: DataFrame, subset: Iterable[str] | None = None, order_col: str = ROW_POS) -> DataFrame:
     """All rows of every group of equal rows (no row of a group is kept out).
 

@@ -10,7 +10,7 @@ skew-split otherwise).
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,19 +27,26 @@ def _stats_exprs(value: Column) -> list[Column]:
             F.count_if(value.isNull()).alias("_nulls")]
 
 
-def with_stats(df: DataFrame, column: str, group_cols: Iterable[str] = ()) -> DataFrame:
+def _unstaged(name: str, df: DataFrame) -> DataFrame:
+    return df
+
+
+def with_stats(df: DataFrame, column: str, group_cols: Iterable[str] = (),
+               stage: Callable[[str, DataFrame], DataFrame] = _unstaged) -> DataFrame:
     """Attach mean, population std and null count of `column` as _mean, _std,
-    _nulls (per group when `group_cols` are given)."""
+    _nulls (per group when `group_cols` are given). `stage("stats", df)` is
+    applied to the statistics: a caller that writes them takes them once for
+    all later scans of the rows."""
     raw = _q(column).cast("double")
     value = F.when(F.isnan(raw), F.lit(None)).otherwise(raw)
     groups = list(group_cols)
     if not groups:
-        stats = df.agg(F.struct(*_stats_exprs(value)).alias("s")).scalar()
+        stats = stage("stats", df.agg(F.struct(*_stats_exprs(value)).alias("s"))).scalar()
         return (df.withColumn("_s", stats)
                 .withColumns({"_mean": F.col("_s._mean"), "_std": F.col("_s._std"), "_nulls": F.col("_s._nulls")})
                 .drop("_s"))
     keyed = [_q(g).alias(f"_g{i}") for i, g in enumerate(groups)]
-    stats = df.groupBy(*keyed).agg(*_stats_exprs(value))
+    stats = stage("stats", df.groupBy(*keyed).agg(*_stats_exprs(value)))
     cond = [_q(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)]
     return df.join(stats, cond, "left").drop(*[f"_g{i}" for i in range(len(groups))])
 
@@ -72,9 +79,10 @@ def _keep(threshold: float) -> Column:
     return F.coalesce(F.abs(F.col("_z")) <= F.lit(float(threshold)), F.lit(False))
 
 
-def scored(df: DataFrame, column: str, group_cols: Iterable[str] = (), null_policy: str = "omit") -> DataFrame:
+def scored(df: DataFrame, column: str, group_cols: Iterable[str] = (), null_policy: str = "omit",
+           stage: Callable[[str, DataFrame], DataFrame] = _unstaged) -> DataFrame:
     """Rows with their z-score in `_z` (and the statistics used)."""
-    return with_stats(df, column, group_cols).withColumn("_z", zscore_expr(column, null_policy))
+    return with_stats(df, column, group_cols, stage).withColumn("_z", zscore_expr(column, null_policy))
 
 
 def kept(threshold: float = OUTLIER_THRESHOLD) -> Column:
@@ -83,9 +91,10 @@ def kept(threshold: float = OUTLIER_THRESHOLD) -> Column:
 
 
 def remove_outliers(df: DataFrame, column: str, threshold: float = OUTLIER_THRESHOLD,
-                    group_cols: Iterable[str] = (), null_policy: str = "omit") -> DataFrame:
+                    group_cols: Iterable[str] = (), null_policy: str = "omit",
+                    stage: Callable[[str, DataFrame], DataFrame] = _unstaged) -> DataFrame:
     """Rows with |z| <= threshold (inclusive); rows whose z is NULL go too."""
-    rows = scored(df, column, group_cols, null_policy)
+    rows = scored(df, column, group_cols, null_policy, stage)
     return rows.where(_keep(threshold)).drop("_mean", "_std", "_nulls", "_z")
 
 

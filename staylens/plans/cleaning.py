@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from staylens.functions.dates import KNOWN_FORMATS, format_number, parse_date, parse_date_as, parse_timestamp
 from staylens.functions.text import title_case
 from staylens.functions.numeric import pct_of
-from staylens.operators.dedup import drop_duplicates
+from staylens.operators.dedup import COPIES, drop_duplicates, group_first, with_row_hash
 from staylens.operators import outliers
 from staylens.operators.outliers import remove_outliers
 from staylens.operators.profile import is_missing, unique_values
@@ -32,6 +32,7 @@ class CleaningStages:
     titled: DataFrame
     dated: DataFrame
     clean: DataFrame
+    copies: DataFrame | None = None  # the deduplicated rows, each with the number of raw rows equal to it
 
 
 def format_names(df: DataFrame, column: str = NAME) -> DataFrame:
@@ -68,7 +69,8 @@ def _keep(name: str, df: DataFrame) -> DataFrame:
 def cleaning_stages(raw: DataFrame, outlier_column: str = BILLING, threshold: float = OUTLIER_THRESHOLD,
                     date_format: str | tuple[str, ...] = DATE_FORMAT, group_cols: Iterable[str] = (),
                     null_policy: str = "omit", timestamps: bool = False,
-                    stage: Callable[[str, DataFrame], DataFrame] = _keep) -> CleaningStages:
+                    stage: Callable[[str, DataFrame], DataFrame] = _keep,
+                    stage_rows: Callable[[str, DataFrame], DataFrame] | None = None) -> CleaningStages:
     """Every intermediate table of the run, lazily (nothing is computed).
 
     `stage("dedup", df)` is applied to the deduplicated rows and
@@ -77,16 +79,36 @@ def cleaning_stages(raw: DataFrame, outlier_column: str = BILLING, threshold: fl
     once: the formatting, the z-score statistics and the filter then scan
     written tables, instead of each re-running the dedup. With `timestamps` the
     two dates keep their time of day (`date_format` is then one of timestamps).
+
+    `stage_rows` is for callers that write everything. It gets the raw rows
+    with their hash ("raw"), the hashes that several of them share, and then
+    one table ("formatted") of the deduplicated rows, as they were and
+    formatted, with their number of equal raw rows: `dedup`, `titled`, `dated`,
+    `clean` and `copies` are scans of it. The statistics are its last table.
     """
-    dedup = stage("dedup", drop_duplicates(raw))
-    titled = format_names(dedup)
     if timestamps:
-        formatted = format_timestamps(titled, fmt=TIMESTAMP_FORMAT if date_format == DATE_FORMAT else date_format)
+        fmt = TIMESTAMP_FORMAT if date_format == DATE_FORMAT else date_format
+        with_dates = lambda df: format_timestamps(df, fmt=fmt)
     else:
-        formatted = format_dates(titled, fmt=date_format)
-    dated = stage("dated", formatted)
-    clean = remove_outliers(dated, outlier_column, threshold, group_cols, null_policy)
-    return CleaningStages(raw, dedup, titled, dated, clean)
+        with_dates = lambda df: format_dates(df, fmt=date_format)
+    if stage_rows is None:
+        dedup = stage("dedup", drop_duplicates(raw))
+        titled = format_names(dedup)
+        dated = stage("dated", with_dates(titled))
+        clean = remove_outliers(dated, outlier_column, threshold, group_cols, null_policy)
+        return CleaningStages(raw, dedup, titled, dated, clean)
+
+    names = [c for c in raw.columns if c != ROW_POS]
+    hashed = stage_rows("raw", with_row_hash(raw, names))
+    rows = group_first(hashed, names, stage_rows, "raw")
+    new = {c: f"_formatted_{i}" for i, c in enumerate((NAME, ADMIT_DATE, DISCHARGE_DATE))}
+    asis = {c: f"_asis_{i}" for i, c in enumerate(new)}
+    both = with_dates(format_names(rows.withColumns({asis[c]: F.col(f"`{c}`") for c in new})))
+    held = stage_rows("formatted", both.withColumnsRenamed(new).withColumnsRenamed({asis[c]: c for c in new}))
+    formatted = lambda which: held.select(*[F.col(new[c]).alias(c) if c in which else F.col(f"`{c}`") for c in raw.columns])
+    dated = formatted(new)
+    clean = remove_outliers(dated, outlier_column, threshold, group_cols, null_policy, stage_rows)
+    return CleaningStages(raw, formatted(()), formatted((NAME,)), dated, clean, held.select(*raw.columns, COPIES))
 
 
 def clean_encounters(raw: DataFrame, **options) -> DataFrame:
@@ -101,8 +123,8 @@ def cleaning_report(stages: CleaningStages, outlier_column: str = BILLING,
     """One long table of everything the run reports:
     step, metric, column_name, value (double), value_date (date).
 
-    Four passes: the raw rows' groups of equal rows give the missing counts
-    and the duplicates; one aggregate over the scored rows gives rows in /
+    Four passes: the raw rows' groups of equal rows (`stages.copies`, where they
+    are written) give the missing counts and the duplicates; one aggregate over the scored rows gives rows in /
     removed / saved and the date ranges of the saved rows; the statistics of the
     scores are the third; the grouping of `unique_values` gives the distinct
     category values.
@@ -116,7 +138,10 @@ def cleaning_report(stages: CleaningStages, outlier_column: str = BILLING,
         F.count_if(keep).alias("rows_saved"),
         *[F.min(F.when(keep, F.col(f"`{c}`"))).alias(f"_lo{i}") for i, c in enumerate(dates)],
         *[F.max(F.when(keep, F.col(f"`{c}`"))).alias(f"_hi{i}") for i, c in enumerate(dates)])
-    groups = stages.raw.groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.count(F.lit(1)).alias("_n"))
+    if stages.copies is None:
+        groups = stages.raw.groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        groups = stages.copies.withColumnRenamed(COPIES, "_n")
     profile = groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("_rows"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("_dup"),
         F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias("_in_groups"),

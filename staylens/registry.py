@@ -67,30 +67,40 @@ def _key(spark: SparkSession, sf: str, stage: str) -> str:
     return f"{sf}|{source_mark(spark, [f'{_folder(sf)}/{t}.parquet' for t in SOURCE_TABLES])}|{stage}"
 
 
-def _raw(spark: SparkSession, sf: str) -> DataFrame:
-    """The raw table as a file would hold it (derived once from the order
-    tables and written), loaded: tokens -> NULL, numbers typed."""
-    return remembered(spark, _key(spark, sf, "raw"), lambda: load_raw(_raw_text(spark, sf)))
+def _text(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw table as a file would hold it, derived from the order tables."""
+    text = raw_encounters_text(spark, _folder(sf))
+    return dirtier(text) if sf.endswith(DIRTIER) else text
 
 
 def _raw_text(spark: SparkSession, sf: str) -> DataFrame:
+    return materialised(spark, _key(spark, sf, "raw_text"), lambda: _text(spark, sf))
+
+
+def _raw(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw table, loaded (tokens -> NULL, numbers typed) and written once,
+    with the hash of each row for the dedup."""
     def build() -> DataFrame:
-        text = raw_encounters_text(spark, _folder(sf))
-        return dirtier(text) if sf.endswith(DIRTIER) else text
+        raw = load_raw(_text(spark, sf))
+        return dedup.with_row_hash(raw, [c for c in raw.columns if c != ROW_POS])
 
-    return materialised(spark, _key(spark, sf, "raw_text"), build)
+    return materialised(spark, _key(spark, sf, "raw"), build).drop(dedup.ROW_HASH)
 
 
 def _stages(spark: SparkSession, sf: str) -> cleaning.CleaningStages:
-    """The cleaning run's tables. The deduplicated rows and the formatted ones
-    are written once; the outlier step, the profiles and the run report scan them."""
-    return remembered(spark, _key(spark, sf, "stages"), lambda: cleaning.cleaning_stages(
-        _raw(spark, sf), stage=lambda name, df: materialised(spark, _key(spark, sf, name), lambda: df)))
+    """The cleaning run's tables. The raw rows, and the deduplicated ones as they
+    were and formatted, are written once; the outlier step, the profiles and the
+    run report scan them."""
+    def build() -> cleaning.CleaningStages:
+        raw = _raw(spark, sf)        # written: the stage of that name is read back
+        return cleaning.cleaning_stages(raw, stage_rows=lambda name, df: materialised(spark, _key(spark, sf, name), lambda: df))
+
+    return remembered(spark, _key(spark, sf, "stages"), build)
 
 
 def _clean(spark: SparkSession, sf: str) -> DataFrame:
-    """The clean table, written once."""
-    return materialised(spark, _key(spark, sf, "clean"), lambda: _stages(spark, sf).clean)
+    """The clean table: a filter of the written rows by the written statistics."""
+    return _stages(spark, sf).clean
 
 
 def _tables(spark: SparkSession, sf: str, keying: str = "last_wins") -> Tables:
@@ -506,7 +516,7 @@ def q_encounter_view_timestamps(spark, sf):
         return materialised(spark, _key(spark, sf, f"times|{name}"), lambda: df)
 
     tables = remembered(spark, _key(spark, sf, "times"), lambda: normalise(
-        cleaning.cleaning_stages(load_raw(with_times(_raw_text(spark, sf))), timestamps=True, stage=stage).clean, "exact", stage=stage))
+        cleaning.cleaning_stages(load_raw(with_times(_raw_text(spark, sf))), timestamps=True, stage_rows=stage).clean, "exact", stage=stage))
     text = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("admission_date", "discharge_date")}
     return encounter_view(tables).withColumns(text)
 
