@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from staylens.operators.dedup import distinct_first
+from staylens.operators.dedup import distinct_first, distinct_first_staged
 from staylens.operators.integrity import split_not_null
 from staylens.operators.keys import bounded_broadcast, day_span, last_wins_lookup
 from staylens.schemas import (ADMISSION_ATTRS, ADMISSION_KEYS, BILLING_ATTRS, BILLING_KEYS, PATIENT_ATTRS,
@@ -64,7 +64,8 @@ def normalise(clean: DataFrame, keying: str = "last_wins",
     patients back to key admissions and admissions back to key bills,
     instead of recomputing them. `stage_rows(name, df)` is the same for the rows
     before the NOT NULL split: the tables, the quarantine and their counts are
-    then filters over one written table. `bound_dates` sizes the date lookup by the
+    then filters over one written table, and admissions, which are mostly
+    distinct, are told apart by written hashes. `bound_dates` sizes the date lookup by the
     admission date span (one min/max job) and broadcasts it when small.
     `on_bad="fail"` raises as soon as a table would lose rows to a NULL key
     (checked before the next table is built); the default quarantines them."""
@@ -78,7 +79,11 @@ def normalise(clean: DataFrame, keying: str = "last_wins",
     patients = stage("patients", patients)
     if keying == "last_wins":
         by_name = last_wins_lookup(patients, "name", "patient_id")
-        adm_rows = (distinct_first(renamed, ADMISSION_ATTRS, "admission_id").join(by_name, "name", "left")
+        if stage_rows is _keep:
+            adm_rows = distinct_first(renamed, ADMISSION_ATTRS, "admission_id")
+        else:
+            adm_rows = distinct_first_staged(renamed, ADMISSION_ATTRS, "admission_id", stage_rows, "admissions")
+        adm_rows = (adm_rows.join(by_name, "name", "left")
                     .select("admission_id", "patient_id", *ADMISSION_ATTRS[1:]))
         adm_rows = stage_rows("admissions", adm_rows)
         admissions, admissions_bad = split_not_null(adm_rows, ADMISSION_KEYS, on_bad, "admissions")

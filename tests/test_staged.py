@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from staylens.operators import dedup, keys
 from staylens.plans.cleaning import cleaning_report, cleaning_stages
+from staylens.plans.normalise import normalise
 from staylens.schemas import RAW_COLUMNS
 
 TYPES = {"Billing Amount": "double", "Room Number": "int"}
@@ -74,3 +75,11 @@ def test_cleaning_shuffles_hashes_not_rows(spark, scratch_dir):
     rows = raw_rows(spark).dropDuplicates(RAW_COLUMNS)
     cleaning_stages(rows, stage_rows=stage)
     assert len(shuffled) == 1 and "_row_hash" in shuffled[0] and "Name" not in shuffled[0]
+
+
+def test_staged_admissions_equal_lazy_ones(spark, scratch_dir):
+    clean, seen = cleaning_stages(raw_rows(spark)).clean, []
+    staged, lazy = normalise(clean, stage_rows=stage_in(scratch_dir, seen)), normalise(clean)
+    assert "admissions-shared" in seen
+    for t in ("patients", "admissions", "billing"):
+        assert same(getattr(staged, t), getattr(lazy, t)) and same(staged.quarantine[t], lazy.quarantine[t]), t
