@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.operators.dedup import distinct_first
+from staylens.operators.dedup import distinct_first, distinct_first_staged
 from staylens.operators.dense import dense_ids
 from staylens.operators.integrity import split_not_null
 from staylens.operators.keys import bounded_broadcast, day_span, last_wins_lookup
@@ -75,15 +75,18 @@ class EncounterStore:
         loads = self.loads()
         return Tables(*(self.read(t, loads) for t in SCHEMAS))
 
+    def _stage(self, load: str):
+        """Writes a table under a load's folder and reads it back."""
+        def stage(name: str, df: DataFrame) -> DataFrame:
+            path = f"{self.path}/loads/{load}/{name}"
+            df.write.mode("overwrite").parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+        return stage
+
     def _numbered(self, table: str, rows: DataFrame, order: str, loads: list[str], load: str) -> DataFrame:
         """The load's rows of a table with their ids, written."""
         last = self.read(table, loads).agg(F.max(IDS[table])).first()[0] or 0
-        folder = f"{self.path}/loads/{load}"
-
-        def stage(name: str, df: DataFrame) -> DataFrame:
-            df.write.mode("overwrite").parquet(f"{folder}/{name}")
-            return self.spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
+        stage = self._stage(load)
         numbered = dense_ids(rows, order, IDS[table], stage, name=f"{table}-ranged", start=last + 1)
         return stage(table, numbered.select(*(F.col(f.name).cast(f.dataType) for f in SCHEMAS[table].fields)))
 
@@ -100,7 +103,7 @@ class EncounterStore:
         quarantine = {"patients": bad}
 
         known = self.read("patients", loads).unionByName(patients)
-        rows = distinct_first(renamed, ADMISSION_ATTRS, "_first").join(last_wins_lookup(known, "name", "patient_id"), "name", "left")
+        rows = distinct_first_staged(renamed, ADMISSION_ATTRS, "_first", self._stage(load), "admissions").join(last_wins_lookup(known, "name", "patient_id"), "name", "left")
         rows, quarantine["admissions"] = split_not_null(rows, ADMISSION_KEYS, on_bad, "admissions")
         admissions = self._numbered("admissions", rows, "_first", loads, load)
 

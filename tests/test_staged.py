@@ -1,11 +1,14 @@
 """Dedup by hashes, the written cleaning tables and the store's loads."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from staylens.operators import dedup, keys
 from staylens.plans.cleaning import cleaning_report, cleaning_stages
 from staylens.plans.normalise import normalise
+from staylens.plans.store import EncounterStore
 from staylens.schemas import RAW_COLUMNS
 
 TYPES = {"Billing Amount": "double", "Room Number": "int"}
@@ -83,3 +86,18 @@ def test_staged_admissions_equal_lazy_ones(spark, scratch_dir):
     assert "admissions-shared" in seen
     for t in ("patients", "admissions", "billing"):
         assert same(getattr(staged, t), getattr(lazy, t)) and same(staged.quarantine[t], lazy.quarantine[t]), t
+
+
+def test_a_load_tells_admissions_apart_by_hashes(spark, scratch_dir, monkeypatch):
+    clean = cleaning_stages(raw_rows(spark)).clean
+    one = EncounterStore(spark, os.path.join(scratch_dir, "one"))
+    one.append(clean)
+    load = one.loads()[0]
+    assert spark.read.parquet(f"{one.path}/loads/{load}/admissions-shared").columns == [dedup.ROW_HASH]
+    monkeypatch.setattr(keys, "BROADCAST_MAX_ROWS", 0)            # as if too many hashes were shared
+    two = EncounterStore(spark, os.path.join(scratch_dir, "two"))
+    two.append(clean)
+    for t in ("patients", "admissions", "billing"):
+        assert same(one.read(t), two.read(t)), t
+    ids = [r[0] for r in one.read("admissions").select("admission_id").collect()]
+    assert sorted(ids) == list(range(1, len(ids) + 1))
