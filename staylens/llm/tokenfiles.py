@@ -45,8 +45,7 @@ def _free_pairs(pairs: np.ndarray, counts: np.ndarray, symbols: int, most: int)
     another: their occurrences then never overlap (but for runs of one symbol)."""
     best = np.argsort(-counts, kind="stable")[:4 * most]
     starts, ends, out = set(), set(), []
-    for p in pairs[best].tolist():
-        a, b = divmod(p, symbols)
+    for p, a, b in zip(*(x.tolist() for x in (pairs[best], *np.divmod(pairs[best], symbols)))):
         if a in ends or b in starts or a == b and (a in starts or b in ends):
             continue
         starts.add(a)
@@ -54,49 +53,67 @@ def _free_pairs(pairs: np.ndarray, counts: np.ndarray, symbols: int, most: int)
         out.append(p)
         if len(out) == most:
             break
-    return np.array(sorted(out), np.uint64)
+    return np.array(sorted(out), np.int64)
 
 
 def compress(ids: np.ndarray, min_count: int = MIN_COUNT, per_round: int = RULES_PER_ROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(terminals, rules, symbols) of a block: symbol s < len(terminals) is an
     id, any other is the pair rules[s - len(terminals)] of earlier symbols. In
-    what is left, no pair occurs `min_count` times."""
+    what is left, no pair occurs `min_count` times.
+
+    A pair's count never rises, and a new symbol occurs beside another no more
+    often than its outer part did. So a symbol that begins (ends) no frequent
+    pair in one round begins (ends) none later, and its places are not counted
+    again.
+    """
     terminals = np.flatnonzero(np.bincount(ids)) if len(ids) else np.empty(0, np.int64)
-    places = np.zeros(int(terminals[-1]) + 1 if len(terminals) else 0, np.uint32)
+    places = np.zeros(int(terminals[-1]) + 1 if len(terminals) else 0, np.int64)
     places[terminals] = np.arange(len(terminals))
     seq = places[ids]
     rules: list[np.ndarray] = []
     symbols = len(terminals)
+    begins, finishes = np.ones((2, symbols), bool)      # symbols that may begin or end a frequent pair
     while len(seq) > 1:
-        wide = symbols * symbols >= 1 << 32
-        key = seq[:-1].astype(np.uint64 if wide else np.uint32)
-        key *= key.dtype.type(symbols)
-        key += seq[1:]
-        ordered = np.sort(key)
+        live = np.flatnonzero(begins[seq[:-1]] & finishes[seq[1:]])
+        if not len(live):
+            break
+        first, second = seq[live], seq[live + 1]
+        key = first * symbols + second
+        ordered = np.sort(key.astype(np.uint32) if symbols * symbols < 1 << 32 else key)
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         counts = np.diff(np.append(edge, len(ordered)))
         often = counts >= min_count
         if not often.any():
             break
-        chosen = _free_pairs(ordered[edge[often]].astype(np.uint64), counts[often], symbols, per_round).astype(key.dtype)
-        left, right = np.divmod(chosen, key.dtype.type(symbols))
-        starts, ends = np.zeros(symbols, bool), np.zeros(symbols, bool)
-        starts[left], ends[right] = True, True
-        at = np.flatnonzero(starts[seq[:-1]] & ends[seq[1:]])
-        k = np.minimum(np.searchsorted(chosen, key[at]), len(chosen) - 1)
-        found = chosen[k] == key[at]
-        at, k = at[found], k[found]
+        pairs = ordered[edge[often]].astype(np.int64)
+        chosen = _free_pairs(pairs, counts[often], symbols, per_round)
+        begins, finishes = np.zeros((2, symbols + len(chosen)), bool)
+        for of, found in zip((begins, finishes), np.divmod(pairs, symbols)):
+            of[found] = True
+            of[symbols:] = True
+        left, right = np.divmod(chosen, symbols)
+        # the number of a chosen pair, from 1, by its left and its right symbol
+        lefts, row = np.unique(left, return_inverse=True)
+        rights, column = np.unique(right, return_inverse=True)
+        rows, columns = np.zeros((2, symbols), np.int32)
+        rows[lefts], columns[rights] = np.arange(1, len(lefts) + 1), np.arange(1, len(rights) + 1)
+        number = np.zeros((len(lefts) + 1, len(rights) + 1), np.int32)
+        number[row + 1, column + 1] = np.arange(1, len(chosen) + 1)
+        maybe = np.flatnonzero((rows > 0)[first] & (columns > 0)[second])
+        k = number[rows[first[maybe]], columns[second[maybe]]]
+        found = np.flatnonzero(k)
+        at, k = live[maybe[found]], k[found] - 1
         run = np.concatenate([[True], np.diff(at) > 1])      # every other one of a run of one symbol
-        first = at[np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))]
-        use = (at - first) % 2 == 0
+        begun = at[np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))]
+        use = (at - begun) % 2 == 0
         at, k = at[use], k[use]
         seq[at] = symbols + k
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        seq = seq[stay]
+        seq = seq.compress(stay)
         rules.append(np.stack([left, right], 1).astype(np.uint32))
         symbols += len(chosen)
-    return terminals.astype(np.uint32), np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), seq
+    return terminals.astype(np.uint32), np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), seq.astype(np.uint32)
 
 
 def expansion_lengths(n_terminals: int, rules: np.ndarray) -> np.ndarray:

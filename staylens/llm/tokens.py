@@ -3,8 +3,8 @@
 Both public JSON vocabularies split a text before a space that follows a
 non-space character and never look across that border, so a text's ids are
 the ids of its pieces, one after another. Distinct pieces are encoded once
-per worker (by the library's split and model; for other kinds of vocabulary,
-many in one call, parted by a special token) and kept in a bounded table.
+per worker, many in one call (by the library's split and model; for other kinds
+of vocabulary, parted by a special token), and kept in a bounded table.
 """
 
 from __future__ import annotations
@@ -14,8 +14,7 @@ import json
 import os
 import re
 import sys
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from string import ascii_letters, digits, punctuation
 
 import numpy as np
@@ -53,6 +52,12 @@ def _byte_letters() -> list[int]:
     return [b if b in kept else next(others) for b in range(256)]
 
 
+#: Changes bytes for the second code of a word.
+_OTHER = np.uint8(0x5A)
+#: The letters by byte; 255, which is in no text, is a space.
+_LETTERS = np.array([*_byte_letters()[:255], 0x20], "<u4")
+
+
 def resolve(vocabulary: str) -> str:
     """A vocabulary's path: as given, or the place of a public file of that name."""
     if os.sep in vocabulary:
@@ -84,29 +89,65 @@ def pieces(text: str) -> tuple[str, list[str]]:
     return rest[0], rest[1:]
 
 
-class _Words(dict):
-    """A table that works out what it lacks, or takes it from the table before."""
-
-    def __init__(self, of, old: dict | None = None):
-        super().__init__()
-        self.of, self.old = of, old or {}
-
-    def __missing__(self, word: str) -> bytes:
-        out = self.old.get(word)
-        if out is None:
-            out = self.of(word)
-        self[word] = out
-        return out
-
-    def known(self, word: str) -> bytes | None:
-        out = self.get(word)
-        return self.old.get(word) if out is None else out
+def _gathered(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Spans of `flat`, one after another."""
+    at = np.cumsum(sizes) - sizes
+    take = np.repeat(begins - at, sizes)
+    take += np.arange(len(take))
+    return flat[take]
+
+
+class _Words:
+    """Ids of words, found by two 64-bit codes of each and ordered by the first.
+    What it lacks comes from the table before, or is worked out, all at once:
+    `of` cuts a word, `ids` takes many cuts."""
+
+    def __init__(self, of: Callable, ids: Callable, dtype: np.dtype, old: _Words | None = None):
+        self.of, self.ids, self.old = of, ids, old
+        self.codes, self.checks = np.empty((2, 0), np.uint64)
+        self.begins, self.sizes = np.empty((2, 0), np.int64)
+        self.flat = np.empty(0, dtype)
+
+    def __len__(self) -> int:
+        return len(self.codes)
+
+    def find(self, codes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Place of each word, -1 if it is not here."""
+        if not len(self):
+            return np.full(len(codes), -1)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self) - 1)
+        return np.where((self.codes[at] == codes) & (self.checks[at] == checks), at, -1)
+
+    def take(self, codes: np.ndarray, checks: np.ndarray, texts: Callable) -> tuple[np.ndarray, np.ndarray]:
+        """(first id in `flat`, number of ids) of words with distinct, ascending
+        codes; `texts` gives those at some places."""
+        at = self.find(codes, checks)
+        lacking = np.flatnonzero(at < 0)
+        if len(lacking):
+            before = np.full(len(lacking), -1) if self.old is None else self.old.find(codes[lacking], checks[lacking])
+            new = before < 0
+            if new.any():
+                self._add(codes[lacking[new]], checks[lacking[new]], *self.ids(list(map(self.of, texts(lacking[new])))))
+            if not new.all():
+                kept = before[~new]
+                sizes = self.old.sizes[kept]
+                self._add(codes[lacking[~new]], checks[lacking[~new]], _gathered(self.old.flat, self.old.begins[kept], sizes), sizes)
+            at = self.find(codes, checks)
+        return self.begins[at], self.sizes[at]
+
+    def _add(self, codes: np.ndarray, checks: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        order = np.argsort(np.concatenate([codes, self.codes]), kind="stable")      # of equal codes, the newest is found
+        self.codes = np.concatenate([codes, self.codes])[order]
+        self.checks = np.concatenate([checks, self.checks])[order]
+        self.begins = np.concatenate([len(self.flat) + np.cumsum(sizes) - sizes, self.begins])[order]
+        self.sizes = np.concatenate([sizes, self.sizes])[order]
+        self.flat = np.concatenate([self.flat, ids])
 
     def renewed(self) -> _Words:
         """An empty table after this one: words still in use move over as they
         are met, the others go with this table."""
-        self.old = {}
-        return _Words(self.of, self)
+        self.old = None
+        return _Words(self.of, self.ids, self.flat.dtype, self)
 
 
 class WordIds:
@@ -124,18 +165,17 @@ class WordIds:
         self.mark_id, self.mark = plain[0] if plain else (None, None)
         self.lowers = False
         self.lowers = self._normal(f" {_VISIBLE} ") == f" {_VISIBLE} ".lower()      # all that is done to visible ASCII
-        self.table: dict[str, bytes] = _Words(self._word)      # pieces that follow a space
-        self.parts: dict[str, bytes] = {}      # what the library's own split makes of odd pieces
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.table = _Words(self._cut, self._ids, self.dtype)      # pieces that follow a space
         self.letters = {b: chr(c) for b, c in zip(range(256), _byte_letters())}
         self.pattern = None if self.tokenizer.pre_tokenizer is None else self._pattern()
         self.lead = self._lead()
+        self.merger = self._merger()
         self.plain = self.tokenizer.normalizer is None
         self.heads: dict[str, bytes] = {}      # first pieces
 
-    def _lead(self) -> str | None:
+    def _lead(self) -> bytes | None:
         """What stands before a word of letters after a space when it comes to the
-        merges; None unless such words are one byte-level piece."""
+        merges, as bytes of a text; None unless such words are one byte-level piece."""
         if self.mark is None or sys.byteorder != "little":
             return None
         split, found = self._split, set()
@@ -145,7 +185,24 @@ class WordIds:
             if len(pieces) != 1 or not pieces[0].endswith(letters):
                 return None
             found.add(pieces[0][:-len(letters)])
-        return found.pop() if len(found) == 1 else None
+        bytes_of = {c: b for b, c in self.letters.items()}
+        return bytes(bytes_of[c] for c in found.pop()) if len(found) == 1 and set.union(*map(set, found)) <= set(bytes_of) else None
+
+    def _merger(self):
+        """The library's model behind a split at spaces alone (no byte's letter is
+        one); None if the ids of a piece need not spell just its letters."""
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        model = self.tokenizer.model
+        if self.lead is None or not isinstance(model, models.BPE) or model.unk_token or model.byte_fallback or model.continuing_subword_prefix or model.dropout:
+            return None
+        suffix, vocabulary = model.end_of_word_suffix or "", self.tokenizer.get_vocab()
+        self.spelt = np.zeros(max(vocabulary.values()) + 1, np.int64)      # bytes that an id stands for
+        for token, i in vocabulary.items():
+            self.spelt[i] = len(token.removesuffix(suffix))
+        merger = Tokenizer(model)
+        merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        return merger
 
     def _normal(self, text: str) -> str:
         if self.lowers and text.isascii() and text.isprintable() and "  " not in text:
@@ -182,35 +239,61 @@ class WordIds:
             return word
         return word.encode().decode("latin-1").translate(self.letters)
 
-    def _merged(self, piece: str) -> bytes:
-        """Ids of one piece of the split, by the library's model."""
-        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
-
-    def _part(self, piece: str) -> bytes:
-        out = self.parts.get(piece)
-        if out is None:
-            if len(self.parts) > MAX_WORDS // 10:
-                self.parts.clear()
-            out = self.parts[piece] = self._merged(piece)
-        return out
-
-    def _word(self, w: str) -> bytes:
-        """Ids of a space and a string, through the library's split and model."""
+    def _cut(self, w: str) -> bytes | list[bytes] | str:
+        """What the merges stay within in a space and a string, by the library's
+        split: a piece or several; the string if the library takes it whole."""
+        if self.lead is None:
+            return w
         stem, end = (w[:-1], w[-1]) if w[-1:] in _ENDS else (w, "")
         if stem.isalpha():
-            ids = self.table.known(stem) if end else None
-            if ids is None:
-                low = stem if self.plain else stem.lower() if self.lowers and stem.isascii() else self._normal(stem)
-                if low.isalpha():
-                    ids = self._merged(self.lead + (low if low.isascii() else self._letters(low)))
-                else:
-                    ids = b"".join(map(self._part, self._split(self._normal(" " + stem))))
-                if end:
-                    self.table[stem] = ids
-            return ids + self._part(end) if end else ids
-        if any(x in w for x in self.special):
-            return self._plain(" " + w)
-        return b"".join(map(self._part, self._split(self._normal(" " + w))))
+            low = stem if self.plain else stem.lower() if self.lowers and stem.isascii() else self._normal(stem)
+            if low.isalpha():
+                return [self.lead + low.encode(), end.encode()] if end else self.lead + low.encode()
+        elif any(x in w for x in self.special):
+            return w
+        return w if self.pattern is None else list(map(str.encode, self.pattern.findall(self._normal(" " + w))))
+
+    def _ids(self, cuts: list[bytes | list[bytes] | str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of each word's) from their cuts."""
+        parts: list[bytes | str] = []
+        n = np.ones(len(cuts), np.int64)
+        for i, x in enumerate(cuts):
+            if type(x) is list:
+                parts += x
+                n[i] = len(x)
+            else:
+                parts.append(x)
+        distinct = dict.fromkeys(parts)
+        pieces = [p for p in distinct if type(p) is bytes]
+        whole: dict[str, bytes] = {}
+        self._fill(whole, [p for p in distinct if type(p) is str], " ")
+        number = {p: i for i, p in enumerate([*pieces, *whole])}
+        found = [self._merged(pieces[i:i + GROUP]) for i in range(0, len(pieces), GROUP)]
+        found += [self._parted(list(whole.values()))]
+        flat, sizes = map(np.concatenate, zip(*found))
+        place = np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
+        begins, length = (np.cumsum(sizes) - sizes)[place], sizes[place]
+        ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum(n)]
+        return _gathered(flat, begins, length), np.diff(ends, prepend=0)
+
+    def _parted(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(found), self.dtype), np.array([len(x) for x in found], np.int64) // self.dtype.itemsize
+
+    def _merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, number of each one's) by the library's model: in one
+        call, told apart by the bytes they stand for, or (if these are not the
+        pieces': an id can only stand for more) one by one."""
+        if self.merger is not None:
+            text = _LETTERS[np.frombuffer(b"\xff".join(pieces), np.uint8)].tobytes().decode("utf-32-le")
+            ids = np.array(self.merger.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            spelt = self.spelt[ids]
+            have, want = np.cumsum(spelt), np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+            if len(ids) and spelt.all() and have[-1] == want[-1]:
+                last = np.searchsorted(have, want)
+                if (have[last] == want).all():
+                    return ids, np.diff(last + 1, prepend=0)
+        model = self.tokenizer.model
+        return self._parted([np.array([t.id for t in model.tokenize(self._letters(p.decode()))], self.dtype).tobytes() for p in pieces])
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -264,7 +347,7 @@ class WordIds:
 
     def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """A block of texts: equal pieces are found by their codes, and each
-        distinct one is looked up once by its own bytes."""
+        distinct one is looked up once, by that code and one of its bytes changed."""
         data, offsets = textcodes.buffers(texts)
         cuts = _cuts(data, offsets)
         of_text = np.searchsorted(offsets, cuts, "right") - 1
@@ -273,28 +356,34 @@ class WordIds:
         ends = np.append(cuts[1:], 0)
         ends[last] = offsets[of_text[last] + 1]
         codes = textcodes.span_codes(data, cuts + 1, ends)
-        _, first, kind = np.unique(codes, return_index=True, return_inverse=True)
+        order = np.argsort(codes)
+        codes = codes[order]
+        edge = np.ones(len(codes), bool)
+        edge[1:] = codes[1:] != codes[:-1]
+        first, kind = order[edge], np.empty(len(codes), np.int64)
+        kind[order] = np.cumsum(edge) - 1
         n_pieces = np.bincount(of_text, minlength=len(offsets) - 1)
         head_ends = offsets[1:].copy()
         some = n_pieces > 0
         head_ends[some] = cuts[np.cumsum(n_pieces)[some] - n_pieces[some]]
 
         raw = data.tobytes()
-        rest = [raw[a:b].decode() for a, b in zip((cuts[first] + 1).tolist(), ends[first].tolist())]
+        begin, end = cuts[first] + 1, ends[first]
         heads = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), head_ends.tolist())]
-        found = [*self._rest(rest), *self._heads(heads)]
-        flat = np.frombuffer(b"".join(found), self.dtype)
-        sizes = np.array([len(x) for x in found], np.int64) // self.dtype.itemsize
-        begins = np.cumsum(sizes) - sizes
+        if len(self.table) > MAX_WORDS:
+            self.table = self.table.renewed()
+        begins, sizes = self.table.take(codes[edge], textcodes.span_codes(data ^ _OTHER, begin, end),
+                                        lambda k: [raw[a:b].decode() for a, b in zip(begin[k].tolist(), end[k].tolist())])
+        flat, of_head = self._parted(self._heads(heads))
+        begins = np.concatenate([begins, len(self.table.flat) + np.cumsum(of_head) - of_head])
+        sizes = np.concatenate([sizes, of_head])
+        flat = np.concatenate([self.table.flat, flat])
         # pieces in the order of the texts, each text's head before its others
         place = np.argsort(np.concatenate([of_text * 2 + 1, np.arange(len(heads)) * 2]), kind="stable")
-        pieces = np.concatenate([kind.astype(np.int64), len(rest) + np.arange(len(heads))])[place]
+        pieces = np.concatenate([kind, len(first) + np.arange(len(heads))])[place]
         length = sizes[pieces]
-        at = np.cumsum(length) - length
-        take = np.repeat(begins[pieces] - at, length)
-        take += np.arange(len(take))
         ends_at = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(n_pieces + 1)])]
-        return flat[take], ends_at
+        return _gathered(flat, begins[pieces], length), ends_at
 
     def _heads(self, heads: list[str]) -> list[bytes]:
         if len(self.heads) > MAX_WORDS // 10:
@@ -302,17 +391,6 @@ class WordIds:
         self._fill(self.heads, sorted({h for h in heads if h not in self.heads}), "")
         return [self.heads[h] for h in heads]
 
-    def _rest(self, words: list[str]) -> list[bytes]:
-        if len(self.table) > MAX_WORDS:
-            self.table = self.table.renewed()
-        if self.lead is None:
-            need = [w for w in words if w not in self.table]
-            for w in need:
-                if w in self.table.old:
-                    self.table[w] = self.table.old[w]
-            self._fill(self.table, [w for w in need if w not in self.table], " ")
-        return list(map(self.table.__getitem__, words))
-
 
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Spaces that follow a character other than white space, in one text."""

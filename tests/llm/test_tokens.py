@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -256,3 +257,88 @@ def test_sequences_hold_every_id_and_are_padded(spark):
     assert back == {k: tok.encode(t or "", add_special_tokens=False).ids + [2] for k, t in rows}
     for s in made.values():
         assert len(s["ids"]) == 4 * packing.padded_length(s["used"], 64)
+
+
+def test_new_words_are_merged_many_in_one_call(monkeypatch):
+    calls = []
+    merged = tokens.WordIds._merged
+    monkeypatch.setattr(tokens.WordIds, "_merged", lambda self, pieces: calls.append(1) or merged(self, pieces))
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgéßñ日1-") for _ in range(rng.randint(1, 9))) + rng.choice(["", "", ",", "."]) for _ in range(3000)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        w, lib = tokens.WordIds(name), library(name)
+        calls.clear()
+        got = w.encode([" ".join(words[:1500]), " ".join(words)])
+        assert [np.frombuffer(x, w.dtype).tolist() for x in got] == [lib.encode(" ".join(t), add_special_tokens=False).ids for t in (words[:1500], words)]
+        assert len(calls) <= 5
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_in_one_call_equal_one_by_one(name):
+    w = tokens.WordIds(name)
+    pieces = [t.encode() for t in ("</w>", "a</w>", "x", "\xa0", "\x00", " ", " ", "w>", "日本", "é", "zz" * 400, "\x85", "ab", "</w></w>")]
+    assert w.merger is not None
+    want = [[t.id for t in w.tokenizer.model.tokenize(w._letters(p.decode()))] for p in pieces]
+    for _ in range(2):
+        flat, sizes = w._merged(pieces)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == want
+        w.spelt = np.ones_like(w.spelt)      # ids that spell something else: each piece by itself
+
+
+def test_words_with_one_equal_code_are_told_apart():
+    ids = {"a": [1], "b": [2, 3], "c": [], "d": [4]}
+    made = []
+    table = tokens._Words(lambda w: made.append(w) or w, lambda cuts: (np.array([x for c in cuts for x in ids[c]], np.uint16), np.array([len(ids[c]) for c in cuts])), np.dtype("<u2"))
+
+    def take(codes, checks, words):
+        begins, sizes = table.take(np.array(codes, np.uint64), np.array(checks, np.uint64), lambda k: [words[i] for i in k])
+        assert [table.flat[a:a + n].tolist() for a, n in zip(begins, sizes)] == [ids[w] for w in words]
+
+    take([5, 7], [1, 1], "ac")
+    take([5, 6], [2, 1], "bd")      # "b" has the first code of "a"
+    take([5, 7], [1, 1], "ac")
+    table = table.renewed()
+    take([5, 6, 7], [1, 1, 1], "adc")
+    take([5], [2], "b")
+    assert made == ["a", "c", "b", "d", "a", "b"] and len(table) == 4
+
+
+def plain_grammar(ids, min_count, per_round):
+    """Rounds that count every pair of neighbours; (expansions of the symbols, what is left)."""
+    terminals = sorted(set(ids))
+    seq, rules, symbols = [terminals.index(x) for x in ids], [], len(terminals)
+    while True:
+        counts = Counter(zip(seq, seq[1:]))
+        often = sorted(p for p in counts if counts[p] >= min_count)
+        if not often:
+            return terminals, rules, seq
+        chosen = tokenfiles._free_pairs(np.array([a * symbols + b for a, b in often]), np.array([counts[p] for p in often]), symbols, per_round)
+        number = {divmod(p, symbols): symbols + i for i, p in enumerate(chosen.tolist())}
+        out = []
+        for x in seq:      # a new symbol is never the left part of a pair of this round
+            if out and (out[-1], x) in number:
+                out[-1] = number[out[-1], x]
+            else:
+                out.append(x)
+        seq, symbols = out, symbols + len(number)
+        rules += number
+
+
+@pytest.mark.parametrize("per_round", [1, 3, 2048])
+def test_grammar_equals_counting_every_pair_in_each_round(per_round):
+    rng = np.random.default_rng(per_round)
+    for ids in (np.minimum(rng.zipf(1.5, 3000), 60), np.full(300, 7), rng.integers(0, 3, 600), np.tile(rng.integers(0, 9, 30), 20)):
+        terminals, rules, seq = tokenfiles.compress(ids.astype(np.uint32), 4, per_round)
+        want = plain_grammar(ids.tolist(), 4, per_round)
+        assert (terminals.tolist(), list(map(tuple, rules.tolist())), seq.tolist()) == want
+
+
+def test_rounds_of_the_grammar_count_only_places_of_frequent_pairs(monkeypatch):
+    rng = np.random.default_rng(4)
+    phrases = [rng.integers(0, 20_000, rng.integers(2, 40)) for _ in range(300)]
+    ids = np.concatenate([np.append(phrases[min(k, 299)], rng.integers(0, 20_000, 20)) for k in rng.zipf(1.2, 3000)])
+    counted = []
+    sort = np.sort
+    monkeypatch.setattr(np, "sort", lambda x, *a, **b: counted.append(len(x)) or sort(x, *a, **b))
+    tokenfiles.compress(ids.astype(np.uint32))
+    assert len(counted) > 5 and sum(counted) < 3 * len(ids), (len(ids), counted)
