@@ -46,6 +46,9 @@ from staylens.llm.shared import col, discard, free_name, small_batches, tidy, wr
 N, PERCENT = 5, 80
 #: Prefix shingles meeting in one bucket of the filter, about.
 BUCKET = 1 << 20
+#: Prefix shingles that small sets must share: fewer in common, as a phrase that
+#: many texts hold, make no partner.
+SURE = 4
 #: Shingles gathered in a task before they are sent to the buckets.
 GATHER = 1 << 20
 #: Shingles in at least this many classes go last in the order of prefixes;
@@ -71,10 +74,10 @@ def _needed(n, percent: int):
 
 
 def filter_length(n, percent: int):
-    """Prefix of a set of n in the filter: what a partner may lack, and n / 8 more.
-    Prefixes of two that link agree in an eighth of the smaller set, and that
-    has at least `_needed` shingles."""
-    return np.minimum(n, n - _needed(n, percent) + np.maximum(1, n // 8))
+    """Prefix of a set of n in the filter: what a partner may lack, and n / 8 or
+    SURE more. Prefixes of two that link agree in so many of the smaller set, and
+    that has at least `_needed` shingles."""
+    return np.minimum(n, n - _needed(n, percent) + np.maximum(np.minimum(n, SURE), n // 8))
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -671,14 +674,14 @@ def _rows(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFra
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("least")
     classes = written(sets_of.where("size > 0").groupBy("cls").agg(least, F.max("size").alias("size")).select("cls", "size", "least.id", "least.mark"), "classes")
     needed = F.ceil(F.col("size") * percent / 100)
-    spread = classes.agg(F.sum(F.col("size") - needed + F.floor(F.col("size") / 8) + 1)).first()[0] or 0
+    spread = classes.agg(F.sum(F.col("size") - needed + F.floor(F.col("size") / 8) + SURE)).first()[0] or 0
     n_buckets = 1 + int(spread) // BUCKET
     sent = docs.select("text").mapInArrow(tidy(_to_buckets("text", n, percent, n_buckets, GATHER)), "bucket int, kind int, a binary, b binary")
     parts = 1 + classes.count() // CREDITED
     met = written(sent.groupBy("bucket").applyInArrow(_meeting(FREQUENT, parts), "part int, a binary, b binary"), "met")
     summed = "id bigint, number bigint"
     shared = met.where("part >= 0").groupBy("part").applyInArrow(_sum_up, summed).select(F.col("id").alias("cls"), F.col("number").alias("shared"))
-    sure = F.greatest(F.lit(1), F.floor(needed / 8))
+    sure = F.greatest(F.least(needed, F.lit(SURE)), F.floor(needed / 8))
     left = classes.join(shared, "cls").where(F.col("shared") >= sure).select("cls", F.col("id").alias("rep"), F.col("mark").alias("rep_mark"))
     texts = docs.join(left, docs["id"].eqNullSafe(left["rep"]) & (docs["mark"] == left["rep_mark"])).select("cls", "text")
     full = texts.mapInArrow(tidy(_full_sets("text", n)), "cls bigint, size bigint, shingles binary, bitmap binary")
